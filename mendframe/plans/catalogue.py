@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from mendframe.plans import diagnosis  # noqa: F401
+from mendframe.plans import diagnosis, repairs  # noqa: F401
 from mendframe.plans.registry import ORACLES, QUERIES  # noqa: F401
