@@ -26,6 +26,7 @@ MAX_PIVOTS = 256
 ROUNDING = 6
 SLACK = 1e-5
 CHUNK_BYTES = 64_000_000
+COPY_SALTS = 64
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,19 +52,57 @@ def nearest_neighbours(
     """The k nearest other rows of each row: (id, rank, neighbour, distance).
 
     ``points`` has ``id`` (unique) and ``vec`` (array<double>). Distances are rounded to six
-    places and ties go to the smaller id.
+    places and ties go to the smaller id. Copies of one vector are collapsed first: only
+    their k + 1 smallest ids can be anyone's neighbours, so a large group of copies costs
+    no more than one row.
     """
     points = materialise(points.select("id", "vec"), "points")
-    size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    id_type = points.schema["id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("id", id_type),
-            T.StructField("rank", T.IntegerType()),
-            T.StructField("neighbour", id_type),
-            T.StructField("distance", T.DoubleType()),
-        ]
+    salted = Window.partitionBy("vec", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS))).orderBy("id")
+    firsts = points.withColumn("_r", F.row_number().over(salted)).filter(F.col("_r") <= k + 1)
+    merged = Window.partitionBy("vec").orderBy("id")
+    copies = (
+        firsts.withColumn("_r", F.row_number().over(merged))
+        .filter(F.col("_r") <= k + 1)
+        .groupBy("vec")
+        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        .select(F.col("ids")[0].alias("id"), "vec", "ids")
+    )
+    copies = materialise(copies, "copies")
+    near = _nearest_distinct(copies.select("id", "vec"), k, seed, block_rows)
+    members = copies.select(F.col("id").alias("neighbour"), F.col("ids").alias("_ids"))
+    others = near.join(members, "neighbour").select("id", "distance", F.explode("_ids").alias("near"))
+    own = copies.select("id", F.lit(0.0).alias("distance"), F.explode("ids").alias("near"))
+    # At most (k + 1) squared entries per distinct vector; k + 1 of them cover every copy.
+    lists = (
+        others.unionByName(own)
+        .groupBy("id")
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "near"))), 1, k + 1).alias("l"))
     )
+    per_vector = copies.select("id", "vec").join(lists, "id").select("vec", "l")
+    return (
+        points.join(per_vector, "vec")
+        .select(
+            "id",
+            F.posexplode(F.slice(F.filter("l", lambda x: x["near"] != F.col("id")), 1, k)).alias(
+                "at", "n"
+            ),
+        )
+        .select(
+            "id",
+            (F.col("at") + 1).alias("rank"),
+            F.col("n.near").alias("neighbour"),
+            F.col("n.distance").alias("distance"),
+        )
+    )
+
+
+def _nearest_distinct(
+    points: DataFrame, k: int, seed: int, block_rows: int | None
+) -> DataFrame:
+    """Nearest neighbours among distinct vectors: (id, neighbour, distance)."""
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    id_type = points.schema["id"].dataType.simpleString()
+    schema = f"id {id_type}, neighbour {id_type}, distance double"
     if size["n"] < 2:
         return points.sparkSession.createDataFrame([], schema)
     rows = block_rows or min(MAX_BLOCK_ROWS, max(64, BLOCK_BYTES // (8 * size["d"])))
@@ -130,32 +169,36 @@ def nearest_neighbours(
     ).join(pairs, "holder")
 
     def closest_rows(query: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         if query.empty or other.empty:
-            return empty
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         ids, found = query["id"].to_numpy(), other["other"].to_numpy()
         d = np.round(distances(_matrix(query["vec"]), _matrix(other["other_vec"])), ROUNDING)
-        out = []
-        for i, row in enumerate(d):
-            order = np.lexsort((found, row))
-            order = order[found[order] != ids[i]][:k]
-            out.append(
-                pd.DataFrame({"id": ids[i], "neighbour": found[order], "distance": row[order]})
-            )
-        return pd.concat(out) if out else empty
-
-    kind = id_type.simpleString()
+        d[ids[:, None] == found[None, :]] = np.inf
+        kept = []
+        for row in d:
+            # All rows up to the k-th distance, ties included, then the exact order.
+            last = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+            near = np.flatnonzero((row <= last) & np.isfinite(row))
+            kept.append(near[np.lexsort((found[near], row[near]))][:k])
+        sizes = [len(x) for x in kept]
+        columns = np.concatenate(kept)
+        return pd.DataFrame(
+            {
+                "id": np.repeat(ids, sizes),
+                "neighbour": found[columns],
+                "distance": d[np.repeat(np.arange(len(ids)), sizes), columns],
+            }
+        )
+
     near_rows = (
         queries.groupBy("from", "to")
         .cogroup(others.groupBy("asked_by", "holder"))
-        .applyInPandas(closest_rows, f"id {kind}, neighbour {kind}, distance double")
+        .applyInPandas(closest_rows, schema)
     )
     # At most k rows per query and block reach this window.
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
     return (
-        near_rows.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .select("id", "rank", "neighbour", "distance")
+        near_rows.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
     )
 
 
