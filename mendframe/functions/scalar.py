@@ -47,7 +47,11 @@ def data_columns(df: DataFrame) -> list[str]:
 
 
 def all_present(columns: list[str]) -> Column:
-    """True when none of the columns is null."""
+    """True when none of the columns is null.
+
+    One test per column: a single wide test (as ``na.drop`` builds) would make the optimizer
+    infer a constraint for every combination of column aliases.
+    """
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns], F.lit(True))
 
 
@@ -91,8 +95,15 @@ def interpolate(a: Column, b: Column, alpha: Column) -> Column:
     return a * alpha + b * (F.lit(1.0) - alpha)
 
 
+def round_even(c: Column | str, digits: int) -> Column:
+    """Round half to even on the binary value, as Python does; ``F.round`` rounds the printed
+    decimal half up, which differs on ties."""
+    scale = float(10**digits)
+    return F.rint(_col(c) * scale) / scale
+
+
 def target_accuracy(published: Column | str) -> Column:
-    return F.round(F.coalesce(_col(published), F.lit(DEFAULT_PUBLISHED)) * TARGET_FACTOR, 4)
+    return round_even(F.coalesce(_col(published), F.lit(DEFAULT_PUBLISHED)) * TARGET_FACTOR, 4)
 
 
 def accuracy_gap(current: Column, target: Column) -> Column:

@@ -122,7 +122,7 @@ def cleaner_recommendations(
             ),
             domain_informed=F.lit(True),
             count=F.col("n_zero"),
-            pct=F.round(zero_share, 4),
+            pct=S.round_even(zero_share, 4),
         ),
         _candidate(
             2,
@@ -138,7 +138,7 @@ def cleaner_recommendations(
             .otherwise(F.format_string(K.TEXT_MEAN, column, skew)),
             domain_informed=F.lit(False),
             count=F.col("n_null"),
-            pct=F.round(F.try_divide(F.col("n_null"), F.col("n")), 4),
+            pct=S.round_even(F.try_divide(F.col("n_null"), F.col("n")), 4),
         ),
         _candidate(
             3,
@@ -152,8 +152,8 @@ def cleaner_recommendations(
             strategy=F.lit("log1p"),
             reason=F.format_string(K.TEXT_LOG, column, zero_share * 100, skew),
             domain_informed=F.lit(True),
-            pct=F.round(zero_share, 4),
-            skewness=F.round(skew, 2),
+            pct=S.round_even(zero_share, 4),
+            skewness=S.round_even(skew, 2),
         ),
         _candidate(
             4,
@@ -337,8 +337,8 @@ def validator_recommendations(
         ),
         domain_informed=F.lit(False),
         count=F.col("found"),
-        lower=F.round("lower", 4),
-        upper=F.round("upper", 4),
+        lower=S.round_even("lower", 4),
+        upper=S.round_even("upper", 4),
     )
     return _ranked(_violations(df, meta, **options), [candidate], limit)
 
@@ -430,10 +430,10 @@ def analyst_report(
     return facts.select(
         F.lit("analyst").alias("agent"),
         F.lit(name or "Unknown dataset").alias("dataset"),
-        F.round(missing, 4).alias("missing_pct"),
+        S.round_even(missing, 4).alias("missing_pct"),
         F.col("columns_with_missing").alias("missing_columns"),
         duplicates.alias("duplicate_count"),
-        F.round(ratio, 4).alias("imbalance_ratio"),
+        S.round_even(ratio, 4).alias("imbalance_ratio"),
         "total_outliers",
         "domain_issues",
         _names(meta.get("known_issues", [])).alias("known_issues"),
@@ -486,8 +486,8 @@ def quality_report(df: DataFrame, label: str = K.LABEL) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     return facts.select(
-        F.round(missing, 6).alias("missing_pct"),
-        F.round(smallest, 6).alias("min_class_share"),
+        S.round_even(missing, 6).alias("missing_pct"),
+        S.round_even(smallest, 6).alias("min_class_share"),
         duplicates.alias("n_duplicates"),
         F.when(F.size(issues) > 0, F.array_join(issues, "; "))
         .otherwise("No major issues found.")

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from mendframe.constants import SEED
 from mendframe.functions.hashing import hash_bucket, hash_hex
-from mendframe.operators.ranking import PICKED, pick_smallest
 from mendframe.session import materialise
 
 BLOCK_BYTES = 4_000_000
@@ -54,9 +53,9 @@ def nearest_neighbours(
     ``points`` has ``id`` (unique) and ``vec`` (array<double>). Distances are rounded to six
     places and ties go to the smaller id. Copies of one vector are collapsed first: only
     their k + 1 smallest ids can be anyone's neighbours, so a large group of copies costs
-    no more than one row.
+    no more than one row. The rows are read several times: pass a stored table.
     """
-    points = materialise(points.select("id", "vec"), "points")
+    points = points.select("id", "vec")
     salted = Window.partitionBy("vec", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS))).orderBy("id")
     firsts = points.withColumn("_r", F.row_number().over(salted)).filter(F.col("_r") <= k + 1)
     merged = Window.partitionBy("vec").orderBy("id")
@@ -107,8 +106,9 @@ def _nearest_distinct(
         return points.sparkSession.createDataFrame([], schema)
     rows = block_rows or min(MAX_BLOCK_ROWS, max(64, BLOCK_BYTES // (8 * size["d"])))
     n_pivots = int(min(MAX_PIVOTS, max(1, size["n"] // rows)))
-    picked = pick_smallest(points, n_pivots, seed, "pivots", "id").filter(PICKED).select("vec")
-    pivots = np.array([r["vec"] for r in picked.collect()], dtype="float64")
+    # At most 256 rows.
+    picked = points.orderBy(hash_hex(seed, "pivots", "id")).limit(n_pivots)
+    pivots = np.array([r["vec"] for r in picked.select("vec").collect()], dtype="float64")
 
     @F.pandas_udf("cell int, away double")
     def assign(vec: pd.Series) -> pd.DataFrame:

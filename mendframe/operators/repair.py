@@ -66,7 +66,7 @@ def drop_column(df: DataFrame, column: str) -> DataFrame:
 
 def drop_null_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Drop rows with a null in any data column, or in the given ones only."""
-    return df.na.drop("any", subset=columns or S.data_columns(df))
+    return df.filter(S.all_present(columns or S.data_columns(df)))
 
 
 def remove_duplicates(df: DataFrame, row_id: str = K.ROW_ID) -> DataFrame:
@@ -182,7 +182,7 @@ def integrity_guard(
     return counts.select(
         "rows_before",
         "rows_after",
-        F.round(share, 4).alias("deletion_pct"),
+        S.round_even(share, 4).alias("deletion_pct"),
         (share <= limit).alias("accepted"),
     )
 

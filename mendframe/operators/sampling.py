@@ -18,6 +18,7 @@ from mendframe.operators.sizing import BROADCAST_ROWS
 
 
 def complete_rows(df: DataFrame) -> DataFrame:
+    """Rows without a null in any data column."""
     return df.filter(S.all_present(S.data_columns(df)))
 
 

@@ -13,6 +13,7 @@ from mendframe.operators.neighbours import nearest_neighbours, vector_of
 from mendframe.operators.profile import class_counts
 from mendframe.operators.ranking import dense_index
 from mendframe.operators.sizing import BROADCAST_ROWS
+from mendframe.session import materialise
 
 
 def interpolate_rows(
@@ -93,8 +94,11 @@ def smote(
     features = S.numeric_features(df, label)
     result = clean
     for cls, n in grown.items():
-        own = clean.filter(F.col(label) == cls).select(
-            F.col(row_id).alias("id"), vector_of(features).alias("vec")
+        own = materialise(
+            clean.filter(F.col(label) == cls).select(
+                F.col(row_id).alias("id"), vector_of(features).alias("vec")
+            ),
+            "class",
         )
         near = nearest_neighbours(own, k, seed, **options).select("id", "rank", "neighbour")
         stream = f"smote/{cls}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mendframe import constants as K
+from mendframe.functions import scalar as S
 from mendframe.operators import diagnose, profile
 from mendframe.plans.inputs import (
     DIRTY_EVENTS_SQL,
@@ -83,7 +84,6 @@ _LINE = "(SELECT l_discount, l_tax, l_quantity FROM lineitem)"
     ),
 )
 def zero_as_missing_profile(spark, sf):
-    from mendframe.functions import scalar as S
     from mendframe.operators.quantiles import fit_medians
 
     df = table(spark, sf, "lineitem").select("l_discount", "l_tax")
@@ -284,20 +284,20 @@ def _cleaner_sql(columns, dataset):
             agent="'cleaner'", type="'zero_to_nan_impute'", column="col",
             strategy="'zero_to_nan_then_median'",
             reason=f"printf({_quoted(K.TEXT_ZERO)}, col, n_zero, {share} * 100, 'web_activity')",
-            domain_informed="TRUE", count="n_zero", pct=f"round({share}, 4)",
+            domain_informed="TRUE", count="n_zero", pct=f"round_even({share}, 4)",
         ),
         _rec_sql(
             "numeric_ AND n_null > 0", 2, "ord", "facts",
             rec_id=_rec_id_sql("clean", dataset, "impute", "col"), agent="'cleaner'",
             type="'impute'", column="col", strategy=null_strategy, reason=null_reason,
-            domain_informed="FALSE", count="n_null", pct="round(n_null::DOUBLE / n, 4)",
+            domain_informed="FALSE", count="n_null", pct="round_even(n_null::DOUBLE / n, 4)",
         ),
         _rec_sql(
             f"col = 'value_s' AND (skew > 2 OR {share} > 0.5)", 3, 1, "facts",
             rec_id=_rec_id_sql("clean", dataset, "log_transform", "col"), agent="'cleaner'",
             type="'log_transform'", column="col", strategy="'log1p'",
             reason=f"printf({_quoted(K.TEXT_LOG)}, col, {share} * 100, skew)",
-            domain_informed="TRUE", pct=f"round({share}, 4)", skewness="round(skew, 2)",
+            domain_informed="TRUE", pct=f"round_even({share}, 4)", skewness="round_even(skew, 2)",
         ),
         _rec_sql(
             "col = 'etype'", 4, 1, "facts",
@@ -434,8 +434,8 @@ def _validator_sql(dataset, k, note):
                 strategy="CASE WHEN col IS NULL THEN 'drop_duplicates' ELSE 'clip_iqr' END",
                 reason=f"CASE WHEN col IS NULL THEN printf({_quoted(K.TEXT_DUPLICATES)}, found)"
                 f" ELSE printf({_quoted(K.TEXT_OUTLIERS)}, found, col, {k}.0::DOUBLE, {_quoted(note)}) END",
-                domain_informed="FALSE", count="found", lower="round(lower, 4)",
-                upper="round(upper, 4)",
+                domain_informed="FALSE", count="found", lower="round_even(lower, 4)",
+                upper="round_even(upper, 4)",
             )
         ],
         K.MAX_RECOMMENDATIONS,
@@ -500,9 +500,9 @@ def _analyst_facts_sql():
 @query(
     "analyst_report",
     f"""WITH {_analyst_facts_sql()}
-    SELECT 'analyst' AS agent, 'Web activity' AS dataset, round(missing, 4) AS missing_pct,
+    SELECT 'analyst' AS agent, 'Web activity' AS dataset, round_even(missing, 4) AS missing_pct,
       CAST(missing_columns AS INTEGER) AS missing_columns, duplicates AS duplicate_count,
-      round(ratio, 4) AS imbalance_ratio, CAST(outliers AS BIGINT) AS total_outliers,
+      round_even(ratio, 4) AS imbalance_ratio, CAST(outliers AS BIGINT) AS total_outliers,
       array_to_string(texts, ' | ') AS domain_issues, 2 AS budget_cost,
       printf('Dataset: Web activity. %d domain-specific issues + %d missing + %d imbalance.'
         || ' Published benchmark: 80.0%% accuracy on this dataset.', len(texts),
@@ -532,7 +532,7 @@ def analyst_action_plan(spark, sf):
       (SELECT sum({_MISSING})::DOUBLE / (count(*) * {len(EVENT_FEATURES) + 1}) FROM dirty) AS missing,
       (SELECT min(n)::DOUBLE / sum(n) FROM (SELECT count(*) AS n FROM dirty GROUP BY label)) AS smallest,
       (SELECT n_duplicates FROM ({_DUP.format(source='dirty', keys=KEYS)})) AS duplicates)
-    SELECT round(missing, 6) AS missing_pct, round(smallest, 6) AS min_class_share,
+    SELECT round_even(missing, 6) AS missing_pct, round_even(smallest, 6) AS min_class_share,
       duplicates AS n_duplicates,
       coalesce(nullif(concat_ws('; ',
         CASE WHEN missing > 0.05 THEN printf('High missing rate: %.1f%%', missing * 100) END,
@@ -558,12 +558,12 @@ def quality_stats(spark, sf):
 
 @query(
     "log_candidates",
-    f"""WITH {DOCS_SQL} SELECT 'n_chars' AS "column", round(skewness(n_chars), 2) AS skewness,
+    f"""WITH {DOCS_SQL} SELECT 'n_chars' AS "column", round_even(skewness(n_chars), 2) AS skewness,
       skewness(n_chars) > 2 AS recommended FROM docs""",
 )
 def log_candidates(spark, sf):
     df = docs_labelled(spark, sf)
     names = DOCS_META["domain_rules"]["log_transform_candidates"]
     return profile.null_profile(df, names).select(
-        "column", F.round("skew", 2).alias("skewness"), (F.col("skew") > K.LOG_SKEW_LIMIT).alias("recommended")
+        "column", S.round_even("skew", 2).alias("skewness"), (F.col("skew") > K.LOG_SKEW_LIMIT).alias("recommended")
     )

@@ -143,7 +143,7 @@ def dedup_documents(spark, sf):
 
 def _clip_sql(k):
     low, high = _fences("value", k)
-    return f"""WITH b AS (SELECT round({low}, 4) AS lo, round({high}, 4) AS hi FROM events)
+    return f"""WITH b AS (SELECT round_even({low}, 4) AS lo, round_even({high}, 4) AS hi FROM events)
     SELECT event_id, CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END AS value
     FROM events, b"""
 
@@ -154,7 +154,7 @@ def clip_outliers(spark, sf):
 
     df = table(spark, sf, "events").select("event_id", "value")
     fences = outlier_profile(df, K.IQR_MULTIPLIER, ["value"]).select(
-        F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper")
+        S.round_even("lower", 4).alias("lower"), S.round_even("upper", 4).alias("upper")
     ).first()
     return repair.clip_column(df, "value", fences["lower"], fences["upper"])
 
@@ -190,7 +190,7 @@ def repair_report(spark, sf):
     "integrity_guard",
     f"""WITH {DOCS_SQL}, c AS (SELECT label, count(*) AS n FROM docs GROUP BY label),
     t AS (SELECT sum(n)::BIGINT AS rows_before, (min(n) * count(*))::BIGINT AS rows_after FROM c)
-    SELECT rows_before, rows_after, round((rows_before - rows_after)::DOUBLE / rows_before, 4)
+    SELECT rows_before, rows_after, round_even((rows_before - rows_after)::DOUBLE / rows_before, 4)
       AS deletion_pct, (rows_before - rows_after)::DOUBLE / rows_before <= 0.1 AS accepted FROM t""",
 )
 def integrity_guard(spark, sf):
