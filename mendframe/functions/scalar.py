@@ -134,11 +134,6 @@ def is_expired(created: Column, now: Column, ttl_seconds: int = SESSION_TTL_SECO
     return now > created + F.make_dt_interval(secs=F.lit(ttl_seconds))
 
 
-def standardise(c: Column, mean: float, std: float | None) -> Column:
-    """Population scaling; a constant column is only centred."""
-    return (c - F.lit(mean)) / F.lit(std if std else 1.0)
-
-
 # Aggregates.
 
 

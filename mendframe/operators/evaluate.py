@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ from mendframe import constants as K
 from mendframe.functions import scalar as S
 from mendframe.operators.profile import class_counts, label_summary, one_row
 from mendframe.operators.ranking import PICKED
-from mendframe.operators.sampling import complete_rows, mark_holdout
+from mendframe.operators.sampling import mark_holdout
 from mendframe.session import materialise
 
 MAX_ITERATIONS = 500
@@ -50,65 +50,65 @@ def shared_features(train: DataFrame, holdout: DataFrame, label: str = K.LABEL)
 def evaluate(train: DataFrame, holdout: DataFrame, label: str = K.LABEL) -> Evaluation:
     """Scale, fit on complete training rows, score on complete holdout rows.
 
-    Scaling uses population deviations; the penalty 1/n matches an L2 penalty of weight one
-    on the summed loss, with a free intercept. Errors of the fit are raised.
+    The model is logistic regression on features scaled by their population deviation, with
+    an L2 penalty of weight one on the summed loss and a free intercept. Errors of the fit
+    are raised.
     """
-    clean_train, clean_holdout = complete_rows(train), complete_rows(holdout)
-    n_holdout = clean_holdout.count()
     features = shared_features(train, holdout, label)
-    stats = clean_train.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct(label).alias("classes"),
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)],
-    ).first()
-
-    def refuse(reason: str) -> Evaluation:
-        return Evaluation(0.0, stats["n"], n_holdout, reason=reason)
-
-    if n_holdout < K.MIN_HOLDOUT_ROWS:
-        return refuse("too few holdout rows")
-    if stats["n"] < K.MIN_TRAIN_ROWS:
-        return refuse("too few training rows")
     if not features:
-        return refuse("no shared features")
-    if stats["classes"] < 2:
-        return refuse("one training class")
-    if clean_holdout.agg(F.count_distinct(label)).first()[0] < 2:
-        return refuse("one holdout class")
-
-    means = [stats[f"m{i}"] for i in range(len(features))]
-    stds = [stats[f"s{i}"] for i in range(len(features))]
-    assembler = VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="x")
-
-    def scaled(df: DataFrame) -> DataFrame:
-        columns = [
-            S.standardise(F.col(c).cast("double"), m, s).alias(f"x{i}")
-            for i, (c, m, s) in enumerate(zip(features, means, stds))
-        ]
-        return assembler.transform(df.select(F.col(label).cast("double").alias("y"), *columns)).select("x", "y")
-
-    rows = scaled(clean_train).persist()
+        return Evaluation(0.0, train.count(), holdout.count(), reason="no shared features")
+    rows = _vectors(train, features, label).persist()
+    tests = _vectors(holdout, features, label).persist()
     try:
+        n_train, train_classes = _sizes(rows)
+        n_holdout, holdout_classes = _sizes(tests)
+        guards = {
+            "too few holdout rows": n_holdout < K.MIN_HOLDOUT_ROWS,
+            "too few training rows": n_train < K.MIN_TRAIN_ROWS,
+            "one training class": train_classes < 2,
+            "one holdout class": holdout_classes < 2,
+        }
+        reason = next((name for name, hit in guards.items() if hit), None)
+        if reason:
+            return Evaluation(0.0, n_train, n_holdout, reason=reason)
+        # Spark scales by the sample deviation, which is larger by the factor `stretch`; the
+        # penalty and the coefficients are converted to the population scale.
+        stretch = (n_train / (n_train - 1)) ** 0.5
+        scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(rows)
         model = LogisticRegression(
             featuresCol="x",
             labelCol="y",
             maxIter=MAX_ITERATIONS,
-            regParam=1.0 / stats["n"],
+            regParam=1.0 / n_train / stretch**2,
             elasticNetParam=0.0,
             standardization=False,
             tol=TOLERANCE,
-        ).fit(rows)
+        ).fit(scaler.transform(rows).select("x", "y"))
+        scored = model.transform(scaler.transform(tests))
+        accuracy = scored.agg(accuracy_of("prediction", "y")).first()[0]
     finally:
         rows.unpersist()
-    accuracy = model.transform(scaled(clean_holdout)).agg(accuracy_of("prediction", "y")).first()[0]
+        tests.unpersist()
     matrix = model.coefficientMatrix.toArray()
-    coefficients = matrix[0] if matrix.shape[0] == 1 else matrix.mean(axis=0)
+    coefficients = (matrix[0] if matrix.shape[0] == 1 else matrix.mean(axis=0)) / stretch
     return Evaluation(
-        accuracy, stats["n"], n_holdout, {c: float(w) for c, w in zip(features, coefficients)}
+        accuracy, n_train, n_holdout, {c: float(w) for c, w in zip(features, coefficients)}
     )
 
 
+def _vectors(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Complete rows as feature vector and label; the assembler skips rows with a null feature."""
+    others = [c for c in S.data_columns(df) if c not in features]
+    assembler = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip")
+    rows = assembler.transform(df.filter(S.all_present(others)))
+    return rows.select("raw", F.col(label).cast("double").alias("y"))
+
+
+def _sizes(rows: DataFrame) -> tuple[int, int]:
+    row = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("classes")).first()
+    return row["n"], row["classes"]
+
+
 def accuracy_of(prediction: str, label: str) -> Column:
     return F.avg((F.col(prediction) == F.col(label)).cast("double")).alias("accuracy")
 

@@ -18,7 +18,8 @@ CHUNK_ROWS = 100_000
 
 @dataclass(frozen=True)
 class Running:
-    """A running value: ``sum``, ``max``, ``first`` or ``last`` (non-null) up to each row.
+    """A running value: ``sum``, ``max``, ``first`` or ``last`` (non-null) up to each row, or
+    ``run``, the length so far of the current run of equal values (rows with null are skipped).
 
     ``through`` says whether the current row counts.
     """
@@ -83,19 +84,81 @@ def scan(
     rows = df.withColumn("_chunk", chunk)
     local = Window.partitionBy(*place).orderBy(*order)
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
-    summary = rows.groupBy(*place).agg(
-        *[r.summary(order).alias(f"_s_{name}") for name, r in running.items()]
-    )
+    runs = {name: r for name, r in running.items() if r.kind == "run"}
+    plain = {name: r for name, r in running.items() if r.kind != "run"}
+    for name, r in runs.items():
+        rows = _local_runs(rows, name, r.value, local)
+    aggregates = [r.summary(order).alias(f"_s_{name}") for name, r in plain.items()]
+    for name, r in runs.items():
+        aggregates += _run_summary(name, r.value, order)
+    summary = rows.groupBy(*place).agg(*aggregates)
+    for name in runs:
+        summary = _carry_run(summary, name, keys, over_chunks)
     carried = summary.select(
-        *place, *[r.carry(f"_s_{name}", over_chunks).alias(f"_c_{name}") for name, r in running.items()]
-    )
-    scanned = rows.select(
-        "*", *[r.local(local).alias(f"_l_{name}") for name, r in running.items()]
+        *place,
+        *[r.carry(f"_s_{name}", over_chunks).alias(f"_c_{name}") for name, r in plain.items()],
+        *[c for name in runs for c in (f"_ca_{name}", f"_cn_{name}")],
     )
+    scanned = rows.select("*", *[r.local(local).alias(f"_l_{name}") for name, r in plain.items()])
+    merged = {n: r.merge(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, r in plain.items()}
+    for name, r in runs.items():
+        goes_on = (F.col(f"_b_{name}") == 1) & r.value.eqNullSafe(F.col(f"_ca_{name}"))
+        before = F.when(goes_on, F.col(f"_cn_{name}")).otherwise(0)
+        length = F.col(f"_i_{name}") - F.col(f"_b_{name}") + 1 + before
+        merged[name] = F.when(r.value.isNotNull(), length).otherwise(0).cast("bigint")
     return scanned.join(carried, place).select(
-        *[F.col(c) for c in df.columns],
-        *[r.merge(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, r in running.items()],
+        *[F.col(c) for c in df.columns], *[merged[n].alias(n) for n in running]
+    )
+
+
+def _local_runs(rows: DataFrame, name: str, value: Column, local) -> DataFrame:
+    """Index of each non-null value within its chunk, and the index where its run begins."""
+    so_far = local.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns(
+        {
+            f"_p_{name}": F.last(value, ignorenulls=True).over(earlier),
+            f"_i_{name}": F.count(value).over(so_far),
+        }
+    )
+    begins = F.when(
+        value.isNotNull() & ~value.eqNullSafe(F.col(f"_p_{name}")), F.col(f"_i_{name}")
+    )
+    return rows.withColumn(f"_b_{name}", F.last(begins, ignorenulls=True).over(so_far))
+
+
+def _run_summary(name: str, value: Column, order: list[str]) -> list[Column]:
+    """Values, first and last value, and length of the last run of a chunk."""
+    at = F.when(value.isNotNull(), F.struct(*order))
+    length = F.col(f"_i_{name}") - F.col(f"_b_{name}") + 1
+    return [
+        F.count(value).alias(f"_n_{name}"),
+        F.min_by(value, at).alias(f"_first_{name}"),
+        F.max_by(value, at).alias(f"_last_{name}"),
+        F.max_by(length, at).alias(f"_tail_{name}"),
+    ]
+
+
+def _carry_run(summary: DataFrame, name: str, keys: list[str], over_chunks) -> DataFrame:
+    """Value and length of the run that is open when a chunk begins.
+
+    A run goes on through a chunk only if the chunk is one run of the same value.
+    """
+    n, tail = F.col(f"_n_{name}"), F.col(f"_tail_{name}")
+    earlier = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = over_chunks.rowsBetween(Window.unboundedPreceding, 0)
+    summary = summary.withColumn(
+        f"_ca_{name}", F.last(f"_last_{name}", ignorenulls=True).over(earlier)
+    )
+    goes_on = (tail == n) & F.col(f"_first_{name}").eqNullSafe(F.col(f"_ca_{name}"))
+    summary = summary.withColumn(f"_new_{name}", (n > 0) & ~goes_on)
+    summary = summary.withColumn(
+        f"_g_{name}", F.sum(F.col(f"_new_{name}").cast("int")).over(so_far)
     )
+    inside = Window.partitionBy(*keys, f"_g_{name}").orderBy("_chunk")
+    open_run = F.sum(F.when(F.col(f"_new_{name}"), tail).otherwise(n)).over(inside)
+    summary = summary.withColumn(f"_open_{name}", open_run)
+    return summary.withColumn(f"_cn_{name}", F.lag(f"_open_{name}", 1, 0).over(over_chunks))
 
 
 def top_rows(

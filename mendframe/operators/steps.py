@@ -93,28 +93,16 @@ def _left(spent: DataFrame, budget: int) -> DataFrame:
 
 def _with_streaks(steps: DataFrame, budget: int) -> DataFrame:
     """Budget and length of the current run of equal actions; rollbacks are no part of it."""
-    counted = F.col("action") != "rollback"
-    first = scan(
+    spent = scan(
         steps,
         SESSION,
         ORDER,
         step_chunk(),
         _before=Running("sum", F.col("cost").cast("bigint"), through=False),
         _after=Running("sum", F.col("cost").cast("bigint")),
-        _at=count(counted),
-        _previous=Running("last", F.when(counted, F.col("action")), through=False),
-    )
-    first = materialise(_left(first, budget), "ledger")
-    changed = counted & ~F.col("action").eqNullSafe(F.col("_previous"))
-    second = scan(
-        first,
-        SESSION,
-        ORDER,
-        step_chunk(),
-        _start=Running("last", F.when(changed, F.col("_at"))),
+        streak=Running("run", F.when(F.col("action") != "rollback", F.col("action"))),
     )
-    length = F.when(counted, F.col("_at") - F.col("_start") + 1).otherwise(0)
-    return second.withColumn("streak", length.cast("bigint")).drop("_at", "_start", "_previous")
+    return _left(spent, budget)
 
 
 def action_streaks(steps: DataFrame, length: int = K.STREAK) -> DataFrame:

@@ -11,6 +11,7 @@ from mendframe.operators import steps as L
 from mendframe.operators.scan import Running, count, moving_average, scan
 from mendframe.plans.inputs import table
 from mendframe.plans.registry import query
+from mendframe.session import materialise
 
 # Both engines read these expressions alike.
 ACTION = """CASE WHEN event_id % 23 = 0 THEN 'rollback' WHEN event_type = 'signup' THEN 'query_cleaner'
@@ -29,6 +30,9 @@ MEASURES = {
 }
 TARGET = 0.9
 DAY = 86_400
+# Part of a session scanned by one task. Choose it so that the busiest session's rows within
+# it fit a task, and not much smaller: every part costs one summary row.
+CHUNK_SECONDS = 10 * DAY
 
 
 def action_log(spark, sf):
@@ -47,8 +51,8 @@ def action_log(spark, sf):
         now = F.when(applied, F.expr(value))
         running[f"{name}_before"] = Running("last", now, through=False)
         running[f"{name}_after"] = Running("last", now)
-    day = F.floor(F.unix_timestamp("ts") / DAY)
-    log = scan(events, ["session_id"], ["ts", "event_id"], day, **running)
+    part = F.floor(F.unix_timestamp("ts") / CHUNK_SECONDS)
+    log = scan(events, ["session_id"], ["ts", "event_id"], part, **running)
     filled = {
         f"{name}_{when}": F.coalesce(F.col(f"{name}_{when}"), F.lit(start))
         for name, (_, start) in MEASURES.items()
@@ -163,8 +167,8 @@ def type_streaks(spark, sf):
         F.when(F.col("event_type") == "click", "apply").otherwise(F.col("event_type")).alias("action"),
         F.col("ts").cast("timestamp").alias("ts"), F.lit(0).alias("cost"),
     )
-    day = F.floor(F.unix_timestamp("ts") / DAY)
-    steps = scan(events, ["session_id"], ["ts", "event_id"], day, step=count())
+    part = F.floor(F.unix_timestamp("ts") / CHUNK_SECONDS)
+    steps = scan(events, ["session_id"], ["ts", "event_id"], part, step=count())
     return L.action_streaks(steps).select(
         F.col("session_id").alias("user_id"), "event_id", "event_type"
     )
@@ -188,7 +192,7 @@ _AUDIT_SQL = f"""{_STREAK_SQL},
 
 
 def audited(spark, sf):
-    steps = action_log(spark, sf)
+    steps = materialise(action_log(spark, sf), "steps")
     return L.rule_audit(steps, issued_recs(steps))
 
 
@@ -548,8 +552,6 @@ def reward_markers(spark, sf):
 
 def _stored(scored):
     """The reward column alone, written once for statistics that read it twice."""
-    from mendframe.session import materialise
-
     return materialise(scored.select("reward"), "rewards")
 
 
