@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from mendframe.constants import ROW_ID
 from mendframe.functions.hashing import hash_bucket, hash_hex
-from mendframe.operators.sizing import null_safe_join, small_side
+from mendframe.operators.sizing import BROADCAST_ROWS, null_safe_join, small_side
+from mendframe.session import materialise
 
 PICKED = "_picked"
 
@@ -101,3 +102,30 @@ def dense_index(
     return placed.withColumn(name, (position - 1 + F.col("_offset")).cast("bigint")).drop(
         "_h", "_b", "_offset"
     )
+
+
+def value_codes(
+    values: DataFrame, column: str, name: str = "_code", sort_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Number distinct values 0..k-1 in sorted order.
+
+    Few values are sorted by one task. Many are range-partitioned and stored, so that the
+    partition numbers stay fixed, and numbered within their partition plus an offset.
+    """
+    distinct = values.select(column).filter(F.col(column).isNotNull()).distinct()
+    if distinct.limit(sort_rows + 1).count() <= sort_rows:
+        order = F.row_number().over(Window.orderBy(column))
+        return distinct.withColumn(name, (order - 1).cast("int"))
+    ranged = distinct.repartitionByRange(column).withColumn("_p", F.spark_partition_id())
+    stored = materialise(ranged, "values")
+    # One row per partition.
+    offsets = (
+        stored.groupBy("_p")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_offset", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
+        .drop("_n")
+    )
+    order = F.row_number().over(Window.partitionBy("_p").orderBy(column))
+    return stored.join(offsets, "_p").select(
+        column, (order - 1 + F.col("_offset")).cast("int").alias(name)
+    )

@@ -13,6 +13,8 @@ from mendframe.functions import scalar as S
 from mendframe.operators import sampling, synth
 from mendframe.operators.profile import one_row
 from mendframe.operators.quantiles import fit_medians
+from mendframe.operators.ranking import value_codes
+from mendframe.operators.sizing import BROADCAST_ROWS, small_side
 
 ALL = "all"
 
@@ -83,7 +85,10 @@ def clip_column(df: DataFrame, column: str, lower: float, upper: float) -> DataF
 
 
 def encode_categories(
-    df: DataFrame, columns: list[str] | None = None, null_as_category: bool = False
+    df: DataFrame,
+    columns: list[str] | None = None,
+    null_as_category: bool = False,
+    sort_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Replace text columns by 0..k-1 in order of the sorted distinct values.
 
@@ -91,38 +96,13 @@ def encode_categories(
     ordinary value ``nan``. The code tables hold one row per distinct value; they are
     broadcast if small, else joined by shuffle.
     """
-    from pyspark.sql import Window
-
-    from mendframe.operators.sizing import small_side
-
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    columns = columns or [
-        c for c in S.feature_columns(df) if isinstance(kinds[c], T.StringType)
-    ]
+    columns = columns or [c for c in S.feature_columns(df) if isinstance(kinds[c], T.StringType)]
     for c in columns:
         value = F.coalesce(F.col(c), F.lit("nan")) if null_as_category else F.col(c)
         df = df.withColumn("_value", value)
-        values = df.select("_value").filter(F.col("_value").isNotNull()).distinct()
-        # Codes are ranks over distinct values only, split by leading character so that no
-        # task has to sort all values of a column with very many of them.
-        first = values.withColumn("_c", F.substring("_value", 1, 1))
-        sizes = first.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
-        offsets = sizes.withColumn(
-            "_offset", F.sum("_n").over(Window.orderBy("_c")) - F.col("_n")
-        ).drop("_n")
-        codes = first.join(offsets, "_c").select(
-            "_value",
-            (
-                F.row_number().over(Window.partitionBy("_c").orderBy("_value"))
-                - 1
-                + F.col("_offset")
-            )
-            .cast("int")
-            .alias("_code"),
-        )
-        df = df.join(small_side(codes), "_value", "left").withColumn(c, F.col("_code")).drop(
-            "_value", "_code"
-        )
+        codes = small_side(value_codes(df, "_value", "_code", sort_rows), sort_rows)
+        df = df.join(codes, "_value", "left").withColumn(c, F.col("_code")).drop("_value", "_code")
     return df
 
 

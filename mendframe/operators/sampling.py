@@ -14,7 +14,7 @@ from mendframe.functions.hashing import hash_hex, pick_index, unit
 from mendframe.operators.profile import class_counts
 from mendframe.operators.quantiles import fit_order_statistic
 from mendframe.operators.ranking import PICKED, dense_index, mark_smallest, pick_smallest
-from mendframe.operators.sizing import BROADCAST_ROWS
+from mendframe.operators.sizing import BROADCAST_ROWS, fits_broadcast, size_of
 
 
 def complete_rows(df: DataFrame) -> DataFrame:
@@ -91,11 +91,17 @@ def oversample(
     in one task: its rows are broadcast when few, and else hit about equally often.
     """
     clean = complete_rows(df)
-    sizes = class_counts(clean, label).agg(
-        F.max("n").alias("largest"),
-        F.coalesce(F.max(F.when(F.col(label) == target_class, F.col("n"))), F.lit(0)).alias("own"),
-        F.count(F.lit(1)).alias("classes"),
-    ).first()
+    sizes = (
+        clean.groupBy(label)
+        .agg(*size_of(clean, F.col(label) == target_class), F.count(label).alias("n"))
+        .agg(
+            F.max("n").alias("largest"),
+            F.coalesce(F.max("rows"), F.lit(0)).alias("own"),
+            F.coalesce(F.max("bytes"), F.lit(0)).alias("bytes"),
+            F.count_if(F.col("n") > 0).alias("classes"),
+        )
+        .first()
+    )
     if sizes["classes"] < 2 or not sizes["own"] or sizes["largest"] <= sizes["own"]:
         return df if sizes["classes"] < 2 else clean
     indexed = dense_index(clean.filter(F.col(label) == target_class), seed, "over", row_id)
@@ -103,7 +109,7 @@ def oversample(
         F.col("id").alias("_draw"),
         pick_index(unit(seed, "over/draw", "id"), sizes["own"]).alias("_idx"),
     )
-    small = sizes["own"] <= broadcast_rows
+    small = fits_broadcast(sizes["own"], sizes["bytes"], broadcast_rows)
     drawn = draws.join(F.broadcast(indexed) if small else indexed, "_idx")
     drawn = with_new_keys(drawn, df, row_id)
     return clean.unionByName(drawn.select(*clean.columns))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -29,3 +30,16 @@ def null_safe_join(
     for k in keys:
         condition = condition & left[k].eqNullSafe(renamed[f"_r_{k}"])
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def size_of(df: DataFrame, when: Column) -> list[Column]:
+    """Aggregates for rows and text bytes of the rows a condition selects, to check a broadcast."""
+    row = F.length(F.to_json(F.struct(*df.columns)))
+    return [
+        F.count_if(when).alias("rows"),
+        F.coalesce(F.sum(F.when(when, row)), F.lit(0)).alias("bytes"),
+    ]
+
+
+def fits_broadcast(rows: int, size: int, max_rows: int = BROADCAST_ROWS) -> bool:
+    return rows <= max_rows and size <= BROADCAST_BYTES

@@ -12,7 +12,7 @@ from mendframe.operators import sampling
 from mendframe.operators.neighbours import nearest_neighbours, vector_of
 from mendframe.operators.profile import class_counts
 from mendframe.operators.ranking import dense_index
-from mendframe.operators.sizing import BROADCAST_ROWS
+from mendframe.operators.sizing import BROADCAST_ROWS, fits_broadcast, size_of
 from mendframe.session import materialise
 
 
@@ -31,7 +31,8 @@ def interpolate_rows(
     rows stay as they are, nulls included.
     """
     own = sampling.complete_rows(df).filter(F.col(label) == target_class)
-    n = own.count()
+    size = own.agg(*size_of(own, F.lit(True))).first()
+    n, small = size["rows"], fits_broadcast(size["rows"], size["bytes"], broadcast_rows)
     if n < 2 or n_to_add <= 0:
         return df
     features = S.feature_columns(df, label)
@@ -50,7 +51,7 @@ def interpolate_rows(
         side = indexed.select(
             F.col("_idx").alias(index), *[F.col(c).alias(f"{name}{i}") for i, c in enumerate(features)]
         )
-        return F.broadcast(side) if n <= broadcast_rows else side
+        return F.broadcast(side) if small else side
 
     mixed = draws.join(parent("_a", "_i"), "_i").join(parent("_b", "_j"), "_j")
     rows = mixed.select(
@@ -85,6 +86,7 @@ def smote(
     class too small to have k neighbours.
     """
     clean = sampling.complete_rows(df)
+    # One row per class.
     sizes = {r[label]: r["n"] for r in class_counts(clean, label).collect()}
     largest = max(sizes.values(), default=0)
     grown = {c: n for c, n in sorted(sizes.items()) if n < largest}

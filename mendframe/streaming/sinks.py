@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.session import scratch_path
@@ -43,13 +43,11 @@ def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
         .start()
         .awaitTermination()
     )
-    rows = spark.read.parquet(out)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return latest.select(*keys, "_v.*")
+    return latest_by(spark.read.parquet(out), keys, "batch").drop("batch")
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Latest snapshot of each key from an append-only table of snapshots."""
-    newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return rows.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
+    """Latest snapshot of each key from an append-only table; combined before the shuffle."""
+    values = [c for c in rows.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v"))
+    return latest.select(*keys, "_v.*")

@@ -170,3 +170,16 @@ def test_catalogue(spark):
     assert meta["adult_census"]["target_accuracy"] == 0.8449
     assert meta["heart_disease"]["difficulty"] == "hard"
     assert {r["name"] for r in datasets_for(spark, "easy").collect()} == {"adult_census", "breast_cancer"}
+
+
+def test_codes_of_many_values(spark):
+    """Sorted by one task or by ranges: the same codes, null kept null."""
+    from mendframe.operators.ranking import value_codes
+
+    words = [f"user_{(i * 7919) % 500}" for i in range(900)] + [None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    want = sorted((w, i) for i, w in enumerate(sorted({w for w in words if w})))
+    assert rows(value_codes(df, "w")) == rows(value_codes(df, "w", sort_rows=10))
+    assert sorted(map(tuple, value_codes(df, "w", sort_rows=10).collect())) == want
+    coded = repair.encode_categories(df, ["w"], sort_rows=10)
+    assert coded.count() == 901 and coded.filter("w is null").count() == 1
