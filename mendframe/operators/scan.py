@@ -42,7 +42,7 @@ class Running:
             return F.sum(self.value)
         if self.kind == "max":
             return F.max(self.value)
-        at = F.when(self.value.isNotNull(), F.struct(*order))
+        at = F.when(self.value.isNotNull(), _place(order))
         return F.max_by(self.value, at) if self.kind == "last" else F.min_by(self.value, at)
 
     def carry(self, name: str, window) -> Column:
@@ -62,6 +62,11 @@ class Running:
         return F.coalesce(local, carried) if self.kind == "last" else F.coalesce(carried, local)
 
 
+def _place(order: list[str]) -> Column:
+    """Order as one value; a plain column keeps hash aggregation possible."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def count(condition: Column | None = None, through: bool = True) -> Running:
     one = F.lit(1) if condition is None else F.when(condition, 1).otherwise(0)
     return Running("sum", one.cast("bigint"), through)
@@ -129,7 +134,7 @@ def _local_runs(rows: DataFrame, name: str, value: Column, local) -> DataFrame:
 
 def _run_summary(name: str, value: Column, order: list[str]) -> list[Column]:
     """Values, first and last value, and length of the last run of a chunk."""
-    at = F.when(value.isNotNull(), F.struct(*order))
+    at = F.when(value.isNotNull(), _place(order))
     length = F.col(f"_i_{name}") - F.col(f"_b_{name}") + 1
     return [
         F.count(value).alias(f"_n_{name}"),

@@ -31,6 +31,7 @@ from mendframe.plans.step_log import (
     action_log,
     issued_recs,
     scored_steps,
+    stored_log,
 )
 from mendframe.session import materialise, scratch_path
 from mendframe.sources import event_log, samples, tables
@@ -239,7 +240,7 @@ def training_samples(spark, sf):
       AS prompt FROM state LEFT JOIN best USING (session_id)""",
 )
 def prompt_json(spark, sf):
-    steps = action_log(spark, sf)
+    steps = stored_log(spark, sf)
     ledger, recs = L.budget_ledger(steps), issued_recs(steps)
     state = L.session_state(ledger).join(L.best_pending(steps, recs), "session_id", "left")
     shown = F.struct(

@@ -66,6 +66,11 @@ def action_log(spark, sf):
     )
 
 
+def stored_log(spark, sf):
+    """The step log as a written table, for queries that read it more than once."""
+    return materialise(action_log(spark, sf), "steps")
+
+
 def issued_recs(steps):
     """Recommendations of the query steps: up to four each, numbered by priority."""
     number = F.explode(F.sequence(F.lit(0), F.col("n_recs") - 1)).alias("j")
@@ -131,7 +136,7 @@ def issued(spark, sf):
     f"WITH {LOG_SQL} SELECT session_id, step, action, cost, budget_before, budget_remaining FROM ledger",
 )
 def budget_ledger(spark, sf):
-    return L.budget_ledger(action_log(spark, sf)).select(
+    return L.budget_ledger(stored_log(spark, sf)).select(
         "session_id", "step", "action", "cost", "budget_before", "budget_remaining"
     )
 
@@ -150,7 +155,7 @@ _STREAK_SQL = """hist AS (SELECT *, row_number() OVER (PARTITION BY session_id O
     SELECT session_id, step, action, streak FROM runs WHERE streak >= 3 AND action <> 'apply'""",
 )
 def action_streaks(spark, sf):
-    return L.action_streaks(action_log(spark, sf)).select("session_id", "step", "action", "streak")
+    return L.action_streaks(stored_log(spark, sf)).select("session_id", "step", "action", "streak")
 
 
 @query(
@@ -192,7 +197,7 @@ _AUDIT_SQL = f"""{_STREAK_SQL},
 
 
 def audited(spark, sf):
-    steps = materialise(action_log(spark, sf), "steps")
+    steps = stored_log(spark, sf)
     return L.rule_audit(steps, issued_recs(steps))
 
 
@@ -213,7 +218,7 @@ def rule_audit(spark, sf):
     WHERE action = 'apply' AND rec_id IS NOT NULL AND NOT was_issued""",
 )
 def invalid_applies(spark, sf):
-    steps = action_log(spark, sf)
+    steps = stored_log(spark, sf)
     return L.invalid_applies(steps, issued_recs(steps)).select("session_id", "step", "rec_id")
 
 
@@ -223,7 +228,7 @@ def invalid_applies(spark, sf):
     WHERE action = 'apply' AND first_apply < step""",
 )
 def duplicate_applies(spark, sf):
-    steps = action_log(spark, sf)
+    steps = stored_log(spark, sf)
     return L.duplicate_applies(steps, issued_recs(steps)).select("session_id", "step", "rec_id")
 
 
@@ -309,7 +314,7 @@ def reward_range_check(spark, sf):
     SELECT session_id, step, ends AND NOT after_end AS ends_session, after_end FROM f""",
 )
 def done_flag(spark, sf):
-    ledger = L.budget_ledger(action_log(spark, sf))
+    ledger = L.budget_ledger(stored_log(spark, sf))
     return L.done_flags(ledger).select("session_id", "step", "ends_session", "after_end")
 
 
@@ -322,7 +327,7 @@ def done_flag(spark, sf):
       round_even(accuracy_after - start, 4) AS improvement_over_start FROM d WHERE action = 'apply'""",
 )
 def accuracy_deltas(spark, sf):
-    return L.accuracy_deltas(action_log(spark, sf)).select(
+    return L.accuracy_deltas(stored_log(spark, sf)).select(
         "session_id", "step", "accuracy_delta", "effect", "improvement_over_start"
     )
 
@@ -344,7 +349,7 @@ _PENDING_SQL = """pending AS (SELECT * FROM recs r WHERE NOT EXISTS (SELECT 1 FR
 
 @query("pending_recs", f"WITH {LOG_SQL}, {_PENDING_SQL} SELECT * FROM pending")
 def pending_recs(spark, sf):
-    steps = action_log(spark, sf)
+    steps = stored_log(spark, sf)
     return L.pending_recs(steps, issued_recs(steps)).select(
         "session_id", "rec_id", "step", "agent", "priority"
     )
@@ -352,7 +357,7 @@ def pending_recs(spark, sf):
 
 @query("best_pending", f"WITH {LOG_SQL}, {_PENDING_SQL} SELECT * FROM best")
 def best_pending(spark, sf):
-    steps = action_log(spark, sf)
+    steps = stored_log(spark, sf)
     return L.best_pending(steps, issued_recs(steps))
 
 
@@ -378,7 +383,7 @@ _STATE_SQL = f"""{_PENDING_SQL}, state AS (SELECT session_id,
       CASE WHEN next_action = 'query_augmenter' THEN 1 END AS target_class FROM chosen""",
 )
 def next_action(spark, sf):
-    steps = action_log(spark, sf)
+    steps = stored_log(spark, sf)
     return L.next_action(L.budget_ledger(steps), issued_recs(steps))
 
 
@@ -395,7 +400,7 @@ def next_action(spark, sf):
 )
 def next_action_early(spark, sf):
     """With a budget large enough that no session has ended."""
-    steps = action_log(spark, sf)
+    steps = stored_log(spark, sf)
     return L.next_action(L.budget_ledger(steps, budget=1000), issued_recs(steps))
 
 
@@ -412,7 +417,7 @@ def next_action_early(spark, sf):
     FROM state JOIN tail USING (session_id) LEFT JOIN best USING (session_id)""",
 )
 def observations(spark, sf):
-    steps = action_log(spark, sf)
+    steps = stored_log(spark, sf)
     seen = L.observations(L.budget_ledger(steps), issued_recs(steps))
     return seen.select(
         "session_id", "current_accuracy", "target_accuracy", "accuracy_gap", "budget_remaining",
@@ -447,7 +452,7 @@ def observations(spark, sf):
     FROM walk w WHERE i = (SELECT count(*) FROM moves m WHERE m.session_id = w.session_id)""",
 )
 def rollback_state(spark, sf):
-    return L.rollback_state(action_log(spark, sf))
+    return L.rollback_state(stored_log(spark, sf))
 
 
 _EPISODES_SQL = """episodes AS (SELECT session_id, count(*) AS n_steps,
