@@ -30,8 +30,13 @@ def unit(seed: int, stream: str, *keys: Column | str) -> Column:
 
 
 def hash_bucket(digest: Column) -> Column:
-    """Order-preserving 16-bit prefix of a digest: 0..65535."""
-    return F.conv(F.substring(digest, 1, BUCKET_BITS // 4), 16, 10).cast("int")
+    """First four hex digits of a digest: 65,536 buckets that sort like the digest."""
+    return F.substring(digest, 1, BUCKET_BITS // 4)
+
+
+def hash_slot(digest: Column) -> Column:
+    """The bucket of a digest as a number: 0..65535."""
+    return F.conv(hash_bucket(digest), 16, 10).cast("int")
 
 
 def pick_index(draw: Column, size: Column | int) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mendframe.constants import SEED
-from mendframe.functions.hashing import hash_bucket, hash_hex
+from mendframe.functions.hashing import hash_hex, hash_slot
 from mendframe.session import materialise
 
 BLOCK_BYTES = 4_000_000
@@ -132,7 +132,7 @@ def _nearest_distinct(
         base[c] = sum(parts[x] for x in base)
     start = F.create_map(*[F.lit(x) for c in sorted(parts) for x in (c, base[c])])
     width = F.create_map(*[F.lit(x) for c in sorted(parts) for x in (c, parts[c])])
-    slot = hash_bucket(hash_hex(seed, "blocks", "id"))
+    slot = hash_slot(hash_hex(seed, "blocks", "id"))
     blocked = celled.withColumn(
         "block", (start[F.col("cell")] + F.pmod(slot, width[F.col("cell")])).cast("int")
     ).drop("away", "cell")
