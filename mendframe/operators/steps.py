@@ -605,13 +605,15 @@ def tool_distribution(responses: DataFrame) -> DataFrame:
 def generation_report(responses: DataFrame) -> DataFrame:
     """Per period: responses, valid share, mean reward, number of agents, single-tool warning.
 
-    ``responses`` has ``period``, ``agent`` and ``reward``.
+    ``responses`` has ``period``, ``agent`` and ``reward``; rewards have at most four places
+    and are summed as whole ten-thousandths.
     """
+    units = F.sum(F.rint(F.col("reward") * 10_000).cast("bigint"))
     valid = F.col("agent").isin(K.AGENTS).cast("double")
     return responses.groupBy("period").agg(
         F.count(F.lit(1)).alias("n_responses"),
         S.round_even(F.avg(valid), 6).alias("valid_rate"),
-        S.round_even(F.avg("reward"), 6).alias("mean_reward"),
+        S.round_even(units / F.count("reward") / 10_000, 6).alias("mean_reward"),
         F.count_distinct("agent").alias("n_tools"),
         (F.count_distinct("agent") == 1).alias("single_tool"),
     )

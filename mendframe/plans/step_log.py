@@ -652,7 +652,8 @@ _REPORT_SQL = f"""{_RESPONSES_SQL}, g AS (SELECT CASE WHEN ts < TIMESTAMP '2024-
       ELSE 'after' END AS period, {_AGENT_SQL} AS agent, value AS reward FROM resp),
     rep AS (SELECT period, count(*) AS n_responses, round_even(avg((agent IN ('cleaner', 'augmenter',
       'balancer', 'relabeler', 'validator'))::INTEGER), 6) AS valid_rate,
-      round_even(avg(reward), 6) AS mean_reward, count(DISTINCT agent) AS n_tools,
+      round_even(sum(round_even(reward * 10000, 0)) / count(reward) / 10000, 6) AS mean_reward,
+      count(DISTINCT agent) AS n_tools,
       count(DISTINCT agent) = 1 AS single_tool FROM g GROUP BY period)"""
 
 
