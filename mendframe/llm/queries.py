@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendframe.llm import mixing, simhash, urls
+from mendframe.llm import bpe, mixing, simhash, urls, wavelet
 from mendframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +37,26 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_wavelet_shards")
+def wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as wavelet-matrix files and read back from them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return wavelet.read_shards(wavelet.store_tokens(table(spark, sf_dir, "documents"), path, end_id=1))
+
+
+def id_digests(ids: list[int], decoded: str) -> tuple[int, str, str]:
+    joined = ",".join(map(str, ids)).encode()
+    return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
+@query("op6_bpe_round_trip")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the transducer and exact merges, then decoded."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, id_digests, schema)
+
+
 @query("op9_url_filter")
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url judged by domain rules, or else by boosted trees on lexical features."""
