@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendframe.llm import bpe, mixing, simhash, urls, wavelet
-from mendframe.llm.common import table
+from mendframe.llm import ann, bpe, langid, mixing, simhash, toxicity, urls, wavelet
+from mendframe.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,25 @@ def query(name: str):
     return register
 
 
+TOXIC_FROM = 0.7
+
+
+@query("op1_learned_partitions")
+def learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, by inner product."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op2_language_kernel")
+def language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = fold("doc_id", 4) == 2
+    found = langid.predict(docs, langid.fit(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op3_source_mix")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document contributes to a mix of sources with weights 1, 2, 3, repeating."""
@@ -44,6 +63,16 @@ def wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.store_tokens(table(spark, sf_dir, "documents"), path, end_id=1))
 
 
+@query("op5_toxicity_scores")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; learned from those outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = fold("doc_id", 3) == 1
+    found = toxicity.predict(docs, toxicity.fit(docs.where(~out), labels.where(~out)))
+    predicted = F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0)
+    return found.select("doc_id", out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def id_digests(ids: list[int], decoded: str) -> tuple[int, str, str]:
     joined = ",".join(map(str, ids)).encode()
     return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()

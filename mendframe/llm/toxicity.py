@@ -42,8 +42,8 @@ MIN_TOXIC, MIN_TEXTS = 4, 20
 #: Lengths of word beginnings.
 STEMS = (4, 5, 6)
 #: Voters are treated as repeating each other from this correlation within a class on.
-CORRELATED = 0.3
-ROUNDS, STEPS, RIDGE = 25, 400, 1e-4
+CORRELATED = 0.7
+ROUNDS, STEPS, RIDGE = 25, 300, 1e-6
 PRESET_PRIOR, PRESET_TOXIC, PRESET_CLEAN = 0.1, 0.2, 0.002
 MEMO_WORDS = 400_000
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -177,22 +177,44 @@ def restricted(fired: Firings, rows: np.ndarray) -> tuple[int, np.ndarray, np.nd
     return int(rows.sum()), number[fired.row[kept]], fired.event[kept]
 
 
-def fit_linear(fired: Firings, events: int, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Logistic regression on soft labels by accelerated gradient steps; the last weight is the intercept."""
-    total, mean = weight.sum(), float(np.average(target, weights=weight))
-    w, last = np.zeros(events + 1), np.zeros(events + 1)
-    w[-1] = last[-1] = math.log(max(mean, 1e-4) / max(1 - mean, 1e-4))
-    # Step sizes by feature: its own curvature bound, times the firings of a text.
-    often = np.append(np.bincount(fired.event, weight[fired.row], minlength=events), total) / total
-    width = np.bincount(fired.row, minlength=fired.n).max(initial=0) + 1
-    step = 1 / (0.25 * often * min(width, 40) + RIDGE)
-    for t in range(STEPS):
-        at = w + (t / (t + 3)) * (w - last)
-        p = 1 / (1 + np.exp(-np.clip(fired.scores(at[:-1]) + at[-1], -50, 50)))
-        error = weight * (p - target)
-        slope = np.append(fired.sums(error, events), error.sum()) / total
-        slope[:-1] += RIDGE * at[:-1]
-        last, w = w, at - step * slope
+def fit_linear(fired: Firings, events: int, target: np.ndarray) -> np.ndarray:
+    """Logistic regression on soft labels with a small ridge, by L-BFGS; the last weight is the intercept."""
+    mean = min(max(float(target.mean()), 1e-4), 1 - 1e-4)
+    w = np.zeros(events + 1)
+    w[-1] = math.log(mean / (1 - mean))
+    ridge = np.append(np.full(events, RIDGE), 0.0)
+
+    def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
+        odds = fired.scores(at[:-1]) + at[-1]
+        error = 1 / (1 + np.exp(-np.clip(odds, -50, 50))) - target
+        slope = np.append(fired.sums(error, events), error.sum()) / fired.n + ridge * at
+        return float(np.mean(np.logaddexp(0, odds) - target * odds) + 0.5 * (ridge * at * at).sum()), slope
+
+    value, slope = loss(w)
+    memory: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        step, used = -slope, []
+        for s, y in reversed(memory):
+            a = (s @ step) / (s @ y)
+            used.append(a)
+            step = step - a * y
+        if memory:
+            s, y = memory[-1]
+            step = step * (s @ y) / (y @ y)
+        for (s, y), a in zip(memory, reversed(used), strict=True):
+            step = step + (a - (y @ step) / (s @ y)) * s
+        descent, size = slope @ step, 1.0
+        while True:
+            new_value, new_slope = loss(w + size * step)
+            if new_value <= value + 1e-4 * size * descent or size < 1e-10:
+                break
+            size /= 2
+        s, y = size * step, new_slope - slope
+        if s @ y > 1e-14:
+            memory = [*memory, (s, y)][-10:]
+        gain, w, value, slope = value - new_value, w + s, new_value, new_slope
+        if gain < 1e-9:
+            break
     return w
 
 
@@ -282,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         start = fit_label_model(Firings(*restricted(votes, label >= 0)), voters, label[label >= 0], start)
     model = fit_label_model(votes, voters, label, start) if len(fired_rows) else start
     target = model.posterior(votes)
-    w = fit_linear(everything, len(events), target, np.ones(len(target))) if len(target) else np.zeros(len(events) + 1)
+    w = fit_linear(everything, len(events), target) if len(target) else np.zeros(len(events) + 1)
     return Model(dict(zip(events, w[:-1].tolist(), strict=True)), float(w[-1]))
 
 
