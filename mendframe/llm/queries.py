@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendframe.llm import ann, bpe, langid, mixing, simhash, toxicity, urls, wavelet
+from mendframe.llm import ann, bm25, bpe, langid, mixing, simhash, tokencount, toxicity, urls, wavelet
 from mendframe.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,19 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, id_digests, schema)
 
 
+@query("op7_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and score of the best unigram segmentation of every document."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_bm25_top10")
+def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents nearest to every document whose id is divisible by 100, by BM25."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.search(docs, F.col("doc_id") % 100 == 0, k=10)
+
+
 @query("op9_url_filter")
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url judged by domain rules, or else by boosted trees on lexical features."""
