@@ -201,3 +201,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of ``docs`` with a recognised language that scores ``least`` or more, all columns kept."""
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.zeros(0, bool)
+            for names, scores in shared.value.predict(t.as_py() for t in batch.column("text")):
+                kept = np.append(kept, (np.array(names, object) != UNKNOWN) & (scores >= least))
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendframe.session import materialise
@@ -33,6 +33,8 @@ BITS = 64
 PAIR_ROWS = 32
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
+#: Independent word fingerprints that near-duplicate texts are looked for with.
+FAMILIES = 14
 
 
 def shingle_hashes(words: list[bytes], width: int) -> list[int]:
@@ -92,35 +94,37 @@ def flips(fp: Column, mask: Column, count: int) -> Column:
     return found
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
+def links(fps: DataFrame, radius: int, parts: tuple[str, ...] = ()) -> DataFrame:
     """``a < b``: links that join exactly the distinct ``fp`` values within ``radius`` bits.
 
-    Pairs of small buckets appear as they are; of a large one each variant's members are linked
-    to their smallest, which leaves the connected components unchanged.
+    ``parts`` are columns that set independent families of fingerprints apart. Pairs of small buckets
+    appear as they are; of a large one each variant's members are linked to their smallest, which
+    leaves the connected components unchanged.
     """
     if radius % 2 or radius < 2:
         raise ValueError("radius must be even")
+    bucket = [*parts, "table", "key"]
     tables = F.array(*[F.lit(m).cast("long") for m in masks(radius)])
-    rows = fps.select("fp", F.posexplode(tables).alias("table", "mask")).withColumn(
+    rows = fps.select(*parts, "fp", F.posexplode(tables).alias("table", "mask")).withColumn(
         "key", F.col("fp").bitwiseAND(F.col("mask"))
     )
-    shared = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(rows.join(shared, ["table", "key"]), "simhash-buckets")
-    small = members.where(F.col("n") <= PAIR_ROWS).groupBy("table", "key").agg(F.collect_list("fp").alias("fps"))
+    shared = rows.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(rows.join(shared, bucket), "simhash-buckets")
+    small = members.where(F.col("n") <= PAIR_ROWS).groupBy(*bucket).agg(F.collect_list("fp").alias("fps"))
     pairs = (
-        small.select("fps", F.explode("fps").alias("a"))
-        .select("a", F.explode("fps").alias("b"))
+        small.select(*parts, "fps", F.explode("fps").alias("a"))
+        .select(*parts, "a", F.explode("fps").alias("b"))
         .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     )
+    # A variant has few members: all of them lie within radius / 2 bits of it.
     variants = members.where(F.col("n") > PAIR_ROWS).select(
-        "table", "key", "fp", F.explode(flips(F.col("fp"), F.col("mask"), radius // 2)).alias("variant")
+        *bucket, "fp", F.explode(flips(F.col("fp"), F.col("mask"), radius // 2)).alias("variant")
     )
-    # A variant has few members: all of them lie within radius / 2 bits of it.
     stars = (
-        variants.groupBy("table", "key", "variant")
+        variants.groupBy(*bucket, "variant")
         .agg(F.sort_array(F.collect_set("fp")).alias("fps"))
         .where(F.size("fps") > 1)
-        .select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 1 << 30)).alias("b"))
+        .select(*parts, F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 1 << 30)).alias("b"))
     )
     return materialise(pairs.union(stars).distinct(), "simhash-links")
 
@@ -171,5 +175,113 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFra
     return groups(materialise(fingerprints(docs, width), "simhash-marks"), radius)
 
 
+def word_fingerprints(text: str | None, families: int) -> list[int]:
+    """Independent fingerprints of a text's set of words: close texts differ in few bits of each."""
+    words = set((text or "").encode().lower().split())
+    base = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+    found = []
+    for family in range(families):
+        x = base + np.uint64((family + 1) * 0x9E3779B97F4A7C15 % (1 << BITS))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x = (x ^ (x >> np.uint64(31))).byteswap()
+        ones = np.zeros(BITS, np.int64)
+        for start in range(0, len(x), CHUNK):
+            part = x[start : start + CHUNK]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        found.append(int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big", signed=True))
+    return found
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes((text or "").encode().lower().split(), width), np.uint64)).view(np.int64)
+
+
+def per_text(texts: DataFrame, name: str, compute) -> DataFrame:
+    """``node`` and an array of longs that ``compute`` makes of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                found = [np.asarray(compute(t.as_py()), np.int64) for t in part.column("text")]
+                starts = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", name])
+
+    return texts.select("node", "text").mapInArrow(run, f"node string, {name} array<long>")
+
+
+def candidates(texts: DataFrame, families: int, radius: int) -> DataFrame:
+    """``a < b``: texts that share a fingerprint, or have one within ``radius`` bits, in some family.
+
+    ``texts`` has one ``node`` per distinct text. Texts with one fingerprint are tied to the smallest.
+    """
+    marks = materialise(per_text(texts, "fps", lambda t: word_fingerprints(t, families)), "simhash-families")
+    rows = marks.select("node", F.posexplode("fps").alias("family", "fp"))
+    hubs = materialise(rows.groupBy("family", "fp").agg(F.min("node").alias("hub")), "simhash-hubs")
+    tied = rows.join(hubs, ["family", "fp"]).where("node <> hub").select(F.col("hub").alias("x"), F.col("node").alias("y"))
+    found = links(hubs.select("family", "fp"), radius, ("family",))
+    ends = [hubs.select("family", F.col("fp").alias(e), F.col("hub").alias(n)) for e, n in (("a", "x"), ("b", "y"))]
+    linked = found.join(ends[0], ["family", "a"]).join(ends[1], ["family", "b"]).select("x", "y")
+    pairs = tied.union(linked).where("x <> y")
+    return materialise(
+        pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-candidates"
+    )
+
+
+def confirmed(edges: DataFrame, texts: DataFrame, width: int, similar: float, at_once: int = 2) -> DataFrame:
+    """``node, root``: components of the candidate links whose shingle sets have that Jaccard similarity.
+
+    In each round every text confirms its next ``at_once`` links that are not within one component yet;
+    links within a component need no confirmation, so large groups cost about one comparison a text.
+    """
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    grams = materialise(
+        per_text(texts.join(ends, "node", "left_semi"), "grams", lambda t: shingles(t, width)), "simhash-grams"
+    )
+    good, roots = None, None
+    while edges.head(1):
+        order = Window.partitionBy("b").orderBy("a")
+        ranked = materialise(edges.withColumn("r", F.row_number().over(order)), "simhash-open")
+        pairs = ranked.where(F.col("r") <= at_once).select("a", "b")
+        pairs = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+        pairs = pairs.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        jaccard = F.coalesce(both / (F.size("x") + F.size("y") - both), F.lit(1.0))
+        now = pairs.where(jaccard >= similar).select("a", "b")
+        good = materialise(now if good is None else good.union(now), "simhash-confirmed")
+        roots = materialise(components(good), "simhash-roots")
+        rest = ranked.where(F.col("r") > at_once).select("a", "b")
+        for end in ("a", "b"):
+            named = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            rest = rest.join(named, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        edges = materialise(rest.where("root_a <> root_b").select("a", "b"), "simhash-rest")
+    return roots if roots is not None else edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 2, similar: float = 0.8, families: int = FAMILIES) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id.
+
+    Equal texts are one group. Different texts are linked if their sets of ``width``-word shingles
+    have a Jaccard similarity of ``similar`` or more and covering hashing finds them near: shingles
+    react too strongly to a changed word for few bits to differ, so the fingerprints are taken over
+    words, in several independent families, and the shingles confirm. Groups are connected links.
+    Rows that repeat an id and text count once; of a group without ids one row stays.
+    """
+    node = F.coalesce(F.md5("text"), F.lit("")).alias("node")
+    ids = materialise(docs.select("doc_id", node), "simhash-texts").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    texts = docs.select("doc_id", node, "text").join(ids, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "simhash-distinct-texts")
+    groups_ = confirmed(candidates(texts, families, radius), texts, width, similar)
+    named = ids.join(groups_, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = Window.partitionBy("root").orderBy(F.col("first_id").asc_nulls_last(), "node")
+    winners = named.withColumn("r", F.row_number().over(first)).where("r = 1").select(
+        F.col("node").alias("_node"), F.col("first_id").alias("_first_id")
+    )
+    rows = docs.withColumn("_node", node).join(winners, "_node").where(F.col("doc_id").eqNullSafe(F.col("_first_id")))
+    return rows.dropDuplicates(["_node"]).select(*docs.columns)
+
+
 def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

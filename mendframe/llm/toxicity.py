@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.llm.common import hash_sample
+from mendframe.session import materialise
 
 #: Fixed value: insults that vote from the start.
 SEED_WORDS = (
@@ -39,6 +40,8 @@ TRAIN_ROWS = 20_000
 VOTERS, FEATURES = 600, 3000
 #: A voter fires in this many toxic sample texts at least, an additional feature in this many texts.
 MIN_TOXIC, MIN_TEXTS = 4, 20
+#: How far above chance (in units of the log-likelihood ratio) an event must go with the label.
+SURE = 4.0
 #: Lengths of word beginnings.
 STEMS = (4, 5, 6)
 #: Voters are treated as repeating each other from this correlation within a class on.
@@ -266,17 +269,19 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 
     events = list(dict.fromkeys([*SEED_WORDS, *PATTERNS]))
     if n_toxic and n_clean:
-        counted = event_counts(sample.where("label >= 0")).where(
-            (F.col("toxic") >= MIN_TOXIC) | (F.col("toxic") + F.col("clean") >= MIN_TEXTS)
-        )
+        counts = materialise(event_counts(sample.where("label >= 0")), "toxicity-events")
+        n_events = counts.where(F.col("toxic") + F.col("clean") >= MIN_TOXIC).count()
+        counted = counts.where((F.col("toxic") >= MIN_TOXIC) | (F.col("toxic") + F.col("clean") >= MIN_TEXTS))
         found = sorted((r["event"], r["toxic"], r["clean"]) for r in counted.collect())
         names = [e for e, _, _ in found]
         toxic, clean = np.array([x[1:] for x in found], float).reshape(-1, 2).T
         value = association(toxic, clean, n_toxic, n_clean)
-        ranked = [names[i] for i in np.argsort(-value, kind="stable") if value[i] > 0 and toxic[i] >= MIN_TOXIC]
+        # So many events are looked at that some go with the label by chance: the bar rises with them.
+        bar = 2 * math.log(max(1, n_events)) + SURE
+        ranked = [names[i] for i in np.argsort(-value, kind="stable") if value[i] >= bar and toxic[i] >= MIN_TOXIC]
         events = list(dict.fromkeys([*events, *ranked[:VOTERS]]))
         voters = len(events)
-        rest = [names[i] for i in np.argsort(-np.abs(value), kind="stable")]
+        rest = [names[i] for i in np.argsort(-np.abs(value), kind="stable") if abs(value[i]) >= bar]
         events = list(dict.fromkeys([*events, *rest[:FEATURES]]))
     else:
         voters = len(events)
@@ -319,3 +324,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = shared.value.scores(t.as_py() for t in batch.column("text"))
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
