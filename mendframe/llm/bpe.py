@@ -21,7 +21,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -37,8 +36,8 @@ from mendframe.session import materialise, scratch_path
 LEXICON_WORDS = 1 << 15
 #: Longer words (in characters) are not considered for it.
 LEXICON_CHARS = 32
-#: Encoded words and counted words that a task keeps before it starts anew.
-MEMO_WORDS = 300_000
+#: Encoded chunks that a worker, and counted ones that a task keeps before it starts anew.
+MEMO_WORDS = 900_000
 #: Characters whose words are held at a time; a longer text is held alone.
 BATCH_CHARS = 1 << 20
 #: Fixed value: how the byte-level scheme splits text into words.
@@ -46,6 +45,8 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+#: Punctuation that is a word by itself behind letters.
+ENDINGS = tuple(".,;:!?")
 NO_RANK = np.int64(1 << 40)
 MAGIC = b"MAT1"
 
@@ -117,6 +118,14 @@ class Vocabulary:
             found.extend([part] if part in self.special else self.words.findall(part))
         return found
 
+    def words_after_space(self, chunk: str) -> list[str]:
+        """The words of a space and a chunk without spaces; letters alone need no search."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        if chunk[-1:] in ENDINGS and chunk[:-1].isalpha():
+            return [" " + chunk[:-1], chunk[-1:]]
+        return self.pretokens(" " + chunk)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one array and where each word's start (one more entry at the end).
 
@@ -259,25 +268,46 @@ class Lexicon:
         self.labels, self.ends = parts[6][0], parts[7][0]
         arcs = np.diff(np.frombuffer(self.first, np.int32))
         self.arc_keys = np.repeat(np.arange(len(arcs)), arcs) << 8 | np.frombuffer(view[parts[6][0] : sum(parts[6])], np.uint8)
+        self.outs, self.final_outs = (np.frombuffer(x, np.int32).astype(np.int64) for x in (self.out, self.final_at))
+        self.ids = np.frombuffer(self.pool, "<u4") if len(self.pool) else np.zeros(0, "<u4")
+        self.all_ids = np.append(self.ids, np.frombuffer(self.final_pool, "<u4") if len(self.final_pool) else self.ids[:0])
         self.targets, self.final = np.frombuffer(self.target, np.int32), np.frombuffer(view[parts[7][0] : sum(parts[7])], np.uint8)
 
-    def accepts(self, words: list[bytes]) -> np.ndarray:
-        """Which words it holds: all of them take one step at a time."""
+    def find_all(self, words: list[bytes]) -> dict[int, bytes]:
+        """The ids (as bytes) of those of the words that it holds, by position; all take one step at a time."""
         sizes = np.array([len(w) for w in words], np.int64)
         data, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
-        held = np.zeros(len(words), bool)
+        arc_of, final_state = np.full(len(data), -1), np.full(len(words), -1)
         alive, state, depth = np.arange(len(words)), np.full(len(words), self.root), 0
         while len(alive):
             ended = sizes[alive] == depth
-            held[alive[ended]] = self.final[state[ended]]
+            done = ended & (self.final[state] != 0)
+            final_state[alive[done]] = state[done]
             alive, state = alive[~ended], state[~ended]
             if not len(alive) or not len(self.arc_keys):
                 break
-            key = state << 8 | data[starts[alive] + depth]
+            at = starts[alive] + depth
+            key = state << 8 | data[at]
             arc = np.minimum(np.searchsorted(self.arc_keys, key), len(self.arc_keys) - 1)
             there = self.arc_keys[arc] == key
-            alive, state, depth = alive[there], self.targets[arc[there]].astype(np.int64), depth + 1
-        return held
+            alive, arc = alive[there], arc[there]
+            arc_of[at[there]] = arc
+            state, depth = self.targets[arc].astype(np.int64), depth + 1
+        held = np.flatnonzero(final_state >= 0)
+        if not len(held):
+            return {}
+        # Outputs of the arcs of a held word, in order, then those of its final state.
+        inside = np.repeat(final_state >= 0, sizes)
+        arcs, owner = arc_of[inside], np.repeat(np.arange(len(words)), sizes)[inside]
+        first = np.append(self.outs[arcs], self.final_outs[final_state[held]] + len(self.ids))
+        last = np.append(self.outs[arcs + 1], self.final_outs[final_state[held] + 1] + len(self.ids))
+        order = np.argsort(np.append(owner, held), kind="stable")
+        first, count, owner = first[order], (last - first)[order], np.append(owner, held)[order]
+        ends = np.cumsum(count)
+        picked = np.arange(ends[-1]) + np.repeat(first - ends + count, count)
+        out = self.all_ids[picked].tobytes()
+        upto = 4 * np.append(0, ends)[np.searchsorted(owner, np.append(held, len(words)))]
+        return {i: out[a:b] for i, a, b in zip(held.tolist(), upto.tolist(), upto[1:].tolist(), strict=False)}
 
     def find(self, word: bytes) -> list[int] | None:
         """The ids of a word it holds, else None."""
@@ -311,41 +341,85 @@ def text_batches(texts: Iterable[str | None]) -> Iterator[list[str]]:
 
 
 class Codec:
-    """Encodes and decodes texts within a task."""
+    """Encodes and decodes texts within a worker, which keeps what it has encoded for later tasks.
+
+    A text is cut at its spaces: a word never reaches over a single space between other characters,
+    and the space belongs to the word behind it. Chunks that white space touches on either side are
+    marked, and a text that has one is split into words as a whole.
+    """
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None):
         self.vocab, self.lexicon = vocab, lexicon
-        self.memo: dict[str, bytes] = {}
+        self.bytes_of = [vocab.bytes_of.get(i, b"") for i in range(max(vocab.bytes_of) + 1)]
+        self.memo: dict[str, bytes | None] = {}
 
-    def learn(self, words: set[str]) -> None:
-        """Adds the ids of new words: from the automaton, else by merging."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = list(words.difference(self.memo))
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words: from the automaton, else by merging all of them together."""
+        found = {w: struct.pack("<I", self.vocab.special[w]) for w in words.intersection(self.vocab.special)}
+        new = list(words.difference(found))
         coded = [w.encode() for w in new]
-        held = self.lexicon.accepts(coded) if self.lexicon else np.zeros(len(new), bool)
-        for i in np.flatnonzero(held):
-            ids = self.lexicon.find(coded[i])
-            self.memo[new[i]] = struct.pack(f"<{len(ids)}I", *ids)
-        unseen = np.flatnonzero(~held).tolist()
+        held = self.lexicon.find_all(coded) if self.lexicon else {}
+        for i, ids in held.items():
+            found[new[i]] = ids
+        unseen = [i for i in range(len(new)) if i not in held]
         ids, starts = self.vocab.merge([coded[i] for i in unseen])
         data, starts = ids.tobytes(), (4 * starts).tolist()
         for k, i in enumerate(unseen):
-            self.memo[new[i]] = data[starts[k] : starts[k + 1]]
-        for word in words.intersection(self.vocab.special):
-            self.memo[word] = struct.pack("<I", self.vocab.special[word])
+            found[new[i]] = data[starts[k] : starts[k + 1]]
+        return found
+
+    def learn(self, chunks: set[str]) -> None:
+        """Adds the ids of new chunks; None for those whose words depend on their surroundings."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        memo, ended, other = self.memo, {}, {}
+        words = set()
+        for chunk in chunks.difference(memo):
+            core = chunk[:-1] if chunk[-1:] in ENDINGS else chunk
+            if core.isalpha():
+                if core not in memo:
+                    words.add(core)
+                if core is not chunk:
+                    ended[chunk] = core
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                memo[chunk] = None
+            else:
+                other[chunk] = self.vocab.pretokens(" " + chunk)
+        cores = self.encode_words({" " + w for w in words})
+        for word in words:
+            memo[word] = cores[" " + word]
+        marks = self.encode_words(set(ENDINGS)) if ended else {}
+        for chunk, core in ended.items():
+            memo[chunk] = memo[core] + marks[chunk[-1]]
+        known = self.encode_words({w for found in other.values() for w in found})
+        for chunk, found in other.items():
+            memo[chunk] = b"".join(map(known.__getitem__, found))
+
+    def whole(self, text: str) -> bytes:
+        words = self.vocab.pretokens(text)
+        return b"".join(map(self.encode_words(set(words)).__getitem__, words))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         for batch in text_batches(texts):
-            words = [self.vocab.pretokens(t) for t in batch]
-            # Forgets between batches only, so all words of this one are known below.
-            self.learn({w for found in words for w in found})
-            known = self.memo.__getitem__
-            for found in words:
-                yield np.frombuffer(b"".join(map(known, found)), "<u4")
+            split = [t.split(" ") for t in batch]
+            # Forgets between batches only, so all chunks of this one are known below.
+            self.learn({c for chunks in split for c in chunks[1:]})
+            starts = self.encode_words({w for chunks in split for w in self.vocab.pretokens(chunks[0])})
+            for text, chunks in zip(batch, split, strict=True):
+                found = list(map(self.memo.__getitem__, chunks[1:]))
+                if None in found or chunks[0][-1:].isspace():
+                    yield np.frombuffer(self.whole(text), "<u4")
+                else:
+                    first = b"".join(map(starts.__getitem__, self.vocab.pretokens(chunks[0])))
+                    yield np.frombuffer(first + b"".join(found), "<u4")
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.vocab.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
+
+
+@lru_cache(maxsize=2)
+def worker_codec(tokenizer: str, lexicon: str) -> Codec:
+    return Codec(vocabulary(tokenizer), Lexicon(SparkFiles.get(lexicon)))
 
 
 def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -356,21 +430,22 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, seen = vocabulary(tokenizer), Counter()
+        vocab, chunks = vocabulary(tokenizer), Counter()
 
         def rows():
+            seen: dict[str, int] = {}
+            for chunk, n in chunks.items():
+                for word in vocab.words_after_space(chunk):
+                    seen[word] = seen.get(word, 0) + n
+            chunks.clear()
             return pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
         for batch in batches:
-            for texts in text_batches(t.as_py() for t in batch.column("text")):
+            for text in batch.column("text"):
                 # Equal chunks between spaces are counted first and split into words once.
-                chunks = Counter(chain.from_iterable(t.split(" ") for t in texts))
-                for chunk, n in chunks.items():
-                    for word in vocab.pretokens(" " + chunk):
-                        seen[word] += n
-                if len(seen) > MEMO_WORDS:
+                chunks.update((text.as_py() or "").split(" "))
+                if len(chunks) > MEMO_WORDS:
                     yield rows()
-                    seen.clear()
         yield rows()
 
     counted = docs.select("text").mapInArrow(run, "word string, n long")
@@ -415,7 +490,7 @@ def encode_with(docs: DataFrame, tokenizer: str, name: str, make, schema: str) -
     """Rows that ``make(codec, doc_ids, texts)`` gives for every batch of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary(tokenizer), Lexicon(SparkFiles.get(name)))
+        codec = worker_codec(tokenizer, name)
         for batch in batches:
             yield from make(codec, batch.column("doc_id"), batch.column("text"))
 

@@ -31,6 +31,9 @@ def query(name: str):
 
 TOXIC_FROM = 0.7
 
+#: Token ids as text.
+DECIMAL = [str(i) for i in range(1 << 16)]
+
 
 @query("op1_learned_partitions")
 def learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +77,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_digests(ids: list[int], decoded: str) -> tuple[int, str, str]:
-    joined = ",".join(map(str, ids)).encode()
+    joined = ",".join(map(DECIMAL.__getitem__, ids)).encode()
     return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
