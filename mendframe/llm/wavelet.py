@@ -22,6 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import normalize
 from urllib.parse import urlparse
 
 import numpy as np
@@ -41,11 +42,11 @@ SHARD_TOKENS = 1 << 21
 #: Bits of a block, the unit of compression and of stored ranks.
 BLOCK_BITS = 1 << 17
 #: Encoded words a worker keeps before it starts anew, and characters whose words are held at a time.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 1_000_000
 BATCH_CHARS = 1 << 20
-#: Letters that neither normalisation nor splitting treats specially; punctuation that ends a word.
+#: Letters that neither normalisation nor splitting treats specially; punctuation that is cut off words.
 PLAIN = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-ENDINGS = ".,;:!?"
+SPLIT_OFF = (".", ",")
 
 
 class WordEncoder:
@@ -63,6 +64,7 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
+        self.open_ended: set[str] = set()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -82,20 +84,19 @@ class WordEncoder:
     def learn(self, words: set[str]) -> None:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        parts, other = {}, []
+            self.open_ended.clear()
+        plain, other = [], []
         for word in words.difference(self.memo):
-            core = word.rstrip(ENDINGS)
-            if PLAIN(core):
-                parts[word] = (core.lower(), word[len(core) :])
+            if word.isascii() and word.isalpha() or PLAIN(word):
+                plain.append(word)
             else:
                 other.append(word)
-        memo, fresh = self.memo, {c for c, _ in parts.values()}
-        cores = self.plain([c for c in fresh if c not in memo])
-        endings = list({e for _, e in parts.values()})
-        ended = dict(zip(endings, self.whole(endings), strict=True))
-        memo |= zip(other, self.whole(other), strict=True)
-        for word, (core, ending) in parts.items():
-            memo[word] = (cores[core] if core in cores else memo[core]) + ended[ending]
+                if word not in SPLIT_OFF and open_ended(word):
+                    self.open_ended.add(word)
+        self.memo |= self.plain([w for w in plain if w == w.lower()])
+        self.memo |= zip(other, self.whole(other), strict=True)
+        capital = [w for w in plain if w != w.lower()]
+        self.memo |= zip(capital, self.whole(capital), strict=True)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -105,14 +106,40 @@ class WordEncoder:
             if held and size + len(text) > BATCH_CHARS:
                 yield from self._joined(held)
                 held, size = [], 0
-            held.append(lowered(text).replace("\n", " ").split(" "))
+            held.append(lowered(text).replace("\n", " "))
             size += len(text)
         yield from self._joined(held)
 
-    def _joined(self, held: list[list[str]]) -> Iterator[bytes]:
-        self.learn({w for words in held for w in words})
-        for words in held:
-            yield b"".join(map(self.memo.__getitem__, words))
+    def _joined(self, texts: list[str]) -> Iterator[bytes]:
+        split = [punctuation_apart(t) for t in texts]
+        self.learn({w for words in split for w in words})
+        for text, words in zip(texts, split, strict=True):
+            if not self.open_ended.isdisjoint(words):
+                # Some word ends in a character that could belong to punctuation behind it.
+                words = text.split(" ")
+                new = list(set(words).difference(self.memo))
+                self.memo |= zip(new, self.whole(new), strict=True)
+                self.open_ended.update(filter(open_ended, new))
+                yield b"".join(map(self.memo.__getitem__, words))
+            else:
+                yield b"".join(map(self.memo.__getitem__, words))
+
+
+def open_ended(word: str) -> bool:
+    """Whether a word, normalised as the tokenizer does, ends in neither a letter nor a digit."""
+    return bool(word) and not normalize("NFC", word[-1]).lower()[-1].isalnum()
+
+
+def punctuation_apart(text: str) -> list[str]:
+    """The text cut at spaces, and before a full stop or comma that ends a word.
+
+    A letter or digit and the punctuation behind it are never in one word. Where two such marks
+    follow each other the text is cut at spaces alone, as they may be one word.
+    """
+    apart = (text + " ").replace(". ", " . ").replace(", ", " , ")
+    if any(pair in apart for pair in (". .", ", ,", ". ,", ", .")):
+        return text.split(" ")
+    return apart.split(" ")
 
 
 def lowered(text: str) -> str:
