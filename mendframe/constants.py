@@ -70,6 +70,11 @@ REWARD_WEIGHTS = {
     "efficiency": 0.15,
     "completion": 0.15,
 }
+# Graders are lines: a base, and a slope for what is gained, left or issued.
+NEUTRAL_SCORE = 0.5
+QUERY_BASE, QUERY_PER_REC, RECS_REWARDED = 0.45, 0.05, 3
+GAIN_SLOPE, QUERY_LEFT_SLOPE, PROGRESS_SLOPE = 0.49, 0.3, 0.4
+DONE_BASE, DONE_LEFT_SLOPE = 0.9, 0.09
 REWARD_FLOOR = 0.001
 REWARD_CEILING = 0.999
 ROLLBACK_REWARD = 0.3

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from mendframe import constants as K
 from mendframe.functions import scalar as S
+from mendframe.operators.replay import EFFECTIVE, replay
 from mendframe.operators.scan import Running, count, scan, step_chunk, top_rows
-from mendframe.session import materialise
 
 SESSION = ["session_id"]
 ORDER = ["step"]
@@ -67,130 +67,61 @@ def split_known_sessions(steps: DataFrame, sessions: DataFrame) -> tuple[DataFra
 # Running state.
 
 
-def budget_ledger(steps: DataFrame, budget: int = K.BUDGET) -> DataFrame:
-    """Budget before and after each step. Costs are never negative, so flooring the running
-    sum at zero equals flooring every step."""
-    spent = scan(
-        steps,
-        SESSION,
-        ORDER,
-        step_chunk(),
-        _before=Running("sum", F.col("cost").cast("bigint"), through=False),
-        _after=Running("sum", F.col("cost").cast("bigint")),
-    )
-    return _left(spent, budget)
-
-
-def _left(spent: DataFrame, budget: int) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    return spent.withColumns(
-        {
-            "budget_before": F.greatest(zero, F.lit(budget) - F.col("_before")),
-            "budget_remaining": F.greatest(zero, F.lit(budget) - F.col("_after")),
-        }
-    ).drop("_before", "_after")
-
+def action_streaks(steps: DataFrame, length: int = K.STREAK) -> DataFrame:
+    """Steps that repeat the same action for the ``length``-th time or more; apply is exempt.
 
-def _with_streaks(steps: DataFrame, budget: int) -> DataFrame:
-    """Budget and length of the current run of equal actions; rollbacks are no part of it."""
-    spent = scan(
-        steps,
-        SESSION,
-        ORDER,
-        step_chunk(),
-        _before=Running("sum", F.col("cost").cast("bigint"), through=False),
-        _after=Running("sum", F.col("cost").cast("bigint")),
+    Rollbacks are no part of a run.
+    """
+    runs = scan(
+        steps, SESSION, ORDER, step_chunk(),
         streak=Running("run", F.when(F.col("action") != "rollback", F.col("action"))),
     )
-    return _left(spent, budget)
-
-
-def action_streaks(steps: DataFrame, length: int = K.STREAK) -> DataFrame:
-    """Steps that repeat the same action for the ``length``-th time or more; apply is exempt."""
-    runs = _with_streaks(steps, K.BUDGET)
     return runs.filter((F.col("streak") >= length) & (F.col("action") != "apply"))
 
 
-def issued_steps(recs: DataFrame) -> DataFrame:
-    """First step at which each recommendation was issued."""
-    return recs.groupBy(*REC).agg(F.min("step").alias("issued_step"))
+def rule_audit(
+    steps: DataFrame, recs: DataFrame, budget: int = K.BUDGET, streak: int = K.STREAK
+) -> DataFrame:
+    """Steps with outcome, charged cost, budget, streak and the rule they break (null if none)."""
+    return replay(steps, recs, budget, streak)
 
 
-def _applies(steps: DataFrame) -> Column:
-    return (F.col("action") == "apply") & (F.coalesce(F.col("rec_id"), F.lit("")) != "")
+def budget_ledger(steps: DataFrame, recs: DataFrame, budget: int = K.BUDGET) -> DataFrame:
+    """What each step is charged, and the budget before and after it."""
+    return replay(steps, recs, budget)
 
 
-def applied_history(steps: DataFrame, recs: DataFrame) -> DataFrame:
-    """Apply steps with the step that issued their recommendation and the first valid apply.
+def invalid_applies(audited: DataFrame) -> DataFrame:
+    """Applies of a recommendation that no executed query of the session had issued before."""
+    return audited.filter(F.col("rule") == "invalid_rec_id")
 
-    Only steps that name a recommendation take part, so null keys never meet in one task.
-    """
-    applies = steps.filter(_applies(steps)).join(issued_steps(recs), REC, "left")
-    valid = F.coalesce(F.col("issued_step") < F.col("step"), F.lit(False))
-    applies = applies.withColumn("was_issued", valid)
-    first = applies.filter("was_issued").groupBy(*REC).agg(F.min("step").alias("first_apply"))
-    return applies.join(first, REC, "left")
 
+def duplicate_applies(audited: DataFrame) -> DataFrame:
+    """Applies of a recommendation that was applied before."""
+    return audited.filter(F.col("rule") == "duplicate_apply")
 
-def invalid_applies(steps: DataFrame, recs: DataFrame) -> DataFrame:
-    """Applies of a recommendation that was not issued before in the same session."""
-    return applied_history(steps, recs).filter(~F.col("was_issued"))
 
+def effective(audited: DataFrame) -> DataFrame:
+    """Steps that took place: neither refused nor after the end of their session."""
+    return audited.filter(F.col("outcome").isin(*EFFECTIVE))
 
-def duplicate_applies(steps: DataFrame, recs: DataFrame) -> DataFrame:
-    """Applies of a recommendation that was validly applied before."""
-    return applied_history(steps, recs).filter(F.col("first_apply") < F.col("step"))
 
+def executed(action: Column) -> Column:
+    """Whether an action was carried out, neither blocked, refused nor too late."""
+    return action & (F.col("outcome") == "executed")
 
-def rule_audit(
-    steps: DataFrame,
-    recs: DataFrame,
-    budget: int = K.BUDGET,
-    streak: int = K.STREAK,
-) -> DataFrame:
-    """Steps with their budget, streak and the first rule they break (null if none)."""
-    runs = materialise(_with_streaks(steps, budget), "runs")
-    facts = ["was_issued", "first_apply"]
-    named = applied_history(runs, recs).drop("issued_step")
-    other = runs.filter(~_applies(runs)).withColumns(
-        {"was_issued": F.lit(None).cast("boolean"), "first_apply": F.lit(None).cast("bigint")}
-    )
-    action, left = F.col("action"), F.col("budget_before")
-    is_apply = action == "apply"
-    rule = (
-        F.when(action == "rollback", F.lit(None))
-        .when(left <= 0, "budget_exhausted")
-        .when((F.col("streak") >= streak) & ~is_apply, "action_spam")
-        .when(
-            action.isin(K.EXPENSIVE_ACTIONS) & (left < K.EXPENSIVE_MIN_BUDGET),
-            "low_budget_expensive_query",
-        )
-        .when(is_apply & (F.coalesce(F.col("rec_id"), F.lit("")) == ""), "missing_rec_id")
-        .when(is_apply & (F.col("first_apply") < F.col("step")), "duplicate_apply")
-        .when(is_apply & ~F.col("was_issued"), "invalid_rec_id")
-    )
-    return named.unionByName(other).withColumn("rule", rule).drop(*facts)
+
+def changed() -> Column:
+    """Whether a step changed the table: an executed apply or a rollback that worked."""
+    return executed(F.col("action") == "apply") | (F.col("outcome") == "undone")
 
 
-def done_flags(ledger: DataFrame) -> DataFrame:
+def done_flags(audited: DataFrame) -> DataFrame:
     """Whether a step ends its session, and whether it comes after the end.
 
-    A session ends with the first apply that reaches the target or when the budget is used up.
-    ``ledger`` is a step log with budgets.
+    A session ends with an executed apply that reaches the target or when the budget is used up.
     """
-    reached = (F.col("action") == "apply") & (F.col("accuracy_after") >= F.col("target_accuracy"))
-    ends = (reached | (F.col("budget_remaining") <= 0)).cast("int")
-    flagged = scan(
-        ledger.withColumn("_ends", ends),
-        SESSION,
-        ORDER,
-        step_chunk(),
-        _ended=Running("max", F.col("_ends"), through=False),
-    )
-    after_end = F.coalesce(F.col("_ended"), F.lit(0)) == 1
-    return flagged.withColumns({"after_end": after_end, "ends_session": (F.col("_ends") == 1) & ~after_end}).drop(
-        "_ends", "_ended"
-    )
+    return audited.withColumn("after_end", F.col("outcome") == "after_end")
 
 
 def accuracy_deltas(steps: DataFrame, band: float = K.EFFECT_BAND) -> DataFrame:
@@ -239,19 +170,18 @@ def reward_components(steps: DataFrame, budget: int = K.BUDGET) -> DataFrame:
         .when(is_apply, 0.2)
         .otherwise(K.REWARD_FLOOR),
         "accuracy": S.clamp_reward(
-            F.when(query, F.lit(0.05) * F.least(F.col("n_recs"), F.lit(3)) + 0.45).otherwise(
-                gain / room * 0.49 + 0.5
-            )
+            F.when(query, K.QUERY_BASE + K.QUERY_PER_REC * F.least(F.col("n_recs"), F.lit(K.RECS_REWARDED)))
+            .otherwise(K.NEUTRAL_SCORE + K.GAIN_SLOPE * (gain / room))
         ),
         "quality": S.clamp_reward(
-            F.when(query, 0.45).otherwise((less_missing + more_balance) / 2.0 * 2.0 + 0.5)
+            F.when(query, K.QUERY_BASE).otherwise(K.NEUTRAL_SCORE + (less_missing + more_balance))
         ),
         "efficiency": F.when(query & (F.col("budget_remaining") <= K.LOW_BUDGET), 0.15)
         .when(is_apply & unchanged, 0.1)
-        .when(query, S.clamp_reward(left * 0.3 + 0.5))
-        .otherwise(S.clamp_reward(left * 0.49 + 0.5)),
-        "completion": F.when(after >= target, S.clamp_reward(left * 0.09 + 0.9))
-        .when(after > before, S.clamp_reward(after / target * 0.4 + 0.5))
+        .when(query, S.clamp_reward(K.NEUTRAL_SCORE + K.QUERY_LEFT_SLOPE * left))
+        .otherwise(S.clamp_reward(K.NEUTRAL_SCORE + K.GAIN_SLOPE * left)),
+        "completion": F.when(after >= target, S.clamp_reward(K.DONE_BASE + K.DONE_LEFT_SLOPE * left))
+        .when(after > before, S.clamp_reward(K.NEUTRAL_SCORE + K.PROGRESS_SLOPE * (after / target)))
         .when(query & (F.col("n_recs") > 0), 0.35)
         .otherwise(0.1),
     }
@@ -270,15 +200,17 @@ def reward_total() -> Column:
 def score_steps(audited: DataFrame, budget: int = K.BUDGET) -> DataFrame:
     """Reward of every step of an audited log.
 
-    Rollbacks and blocked steps have constant rewards that stay out of the reward history.
+    Working rollbacks and blocked steps have constant rewards that stay out of the reward history;
+    refused steps and steps after the end have none.
     """
     scored = reward_components(audited, budget)
-    blocked = F.col("rule").isNotNull()
-    rollback = F.col("action") == "rollback"
+    outcome = F.col("outcome")
     reward = (
-        F.when(rollback, K.ROLLBACK_REWARD).when(blocked, K.BLOCKED_REWARD).otherwise(reward_total())
+        F.when(outcome == "undone", K.ROLLBACK_REWARD)
+        .when(outcome == "blocked", K.BLOCKED_REWARD)
+        .when(outcome == "executed", reward_total())
     )
-    return scored.withColumns({"reward": reward, "in_history": ~rollback & ~blocked})
+    return scored.withColumns({"reward": reward, "in_history": outcome == "executed"})
 
 
 def reward_decomposition(audited: DataFrame, budget: int = K.BUDGET) -> DataFrame:
@@ -302,24 +234,25 @@ def reward_range_violations(scored: DataFrame) -> DataFrame:
     """Number of rewards, and of rewards that are not strictly between 0 and 1."""
     inside = (F.col("reward") > 0) & (F.col("reward") < 1)
     return scored.agg(
-        F.count(F.lit(1)).alias("n_rewards"),
-        F.count_if(~F.coalesce(inside, F.lit(False))).alias("n_violations"),
+        F.count("reward").alias("n_rewards"),
+        F.count_if(~inside).alias("n_violations"),
     )
 
 
 # Pending recommendations and the next action.
 
 
-def pending_recs(steps: DataFrame, recs: DataFrame) -> DataFrame:
-    """Issued recommendations that were not applied yet."""
-    applied = steps.filter(_applies(steps)).select(*REC)
-    return recs.join(applied, REC, "left_anti")
+def pending_recs(audited: DataFrame, recs: DataFrame) -> DataFrame:
+    """Recommendations of executed queries that no executed apply has used up."""
+    asked = audited.filter(executed(is_query())).select("session_id", "step")
+    applied = audited.filter(executed(F.col("action") == "apply")).select(*REC)
+    return recs.join(asked, ["session_id", "step"], "left_semi").join(applied, REC, "left_anti")
 
 
-def best_pending(steps: DataFrame, recs: DataFrame) -> DataFrame:
+def best_pending(audited: DataFrame, recs: DataFrame) -> DataFrame:
     """Per session the pending recommendation of the lowest priority number."""
     return (
-        pending_recs(steps, recs)
+        pending_recs(audited, recs)
         .groupBy(*SESSION)
         .agg(
             F.min(F.struct("priority", "rec_id")).alias("_best"),
@@ -334,21 +267,30 @@ def best_pending(steps: DataFrame, recs: DataFrame) -> DataFrame:
     )
 
 
-def session_state(ledger: DataFrame) -> DataFrame:
-    """Latest state of every session and the agents it has asked; map-side combined."""
+def session_state(audited: DataFrame) -> DataFrame:
+    """Latest state of every session and the agents it has asked; map-side combined.
+
+    The table is as the last step that changed it left it, or as the session found it.
+    """
     at = F.col("step")
     latest = {
-        c: F.max_by(c, at).alias(c)
-        for c in (
-            "accuracy_after", "missing_after", "balance_after", "target_accuracy", "budget_remaining",
-        )
+        f"{c}_after": F.coalesce(
+            F.max_by(f"{c}_after", F.when(changed(), at)), F.min_by(f"{c}_before", at)
+        ).alias(f"{c}_after")
+        for c in ("accuracy", "missing", "balance")
     }
     asked = {
-        name: F.max(F.col("action") == action).alias(f"asked_{name}")
+        name: F.max(executed(F.col("action") == action)).alias(f"asked_{name}")
         for action in K.QUERY_ACTIONS
         for name in [action.removeprefix("query_")]
     }
-    return ledger.groupBy(*SESSION).agg(F.max("step").alias("last_step"), *latest.values(), *asked.values())
+    return audited.groupBy(*SESSION).agg(
+        F.max("step").alias("last_step"),
+        *latest.values(),
+        F.max("target_accuracy").alias("target_accuracy"),
+        F.min("budget_remaining").alias("budget_remaining"),
+        *asked.values(),
+    )
 
 
 def next_action(ledger: DataFrame, recs: DataFrame) -> DataFrame:
@@ -377,7 +319,7 @@ def observations(ledger: DataFrame, recs: DataFrame, meta: DataFrame | None = No
     """One nested row per session: accuracy, gap, budget, benchmarks, statistics, last five
     steps and the best pending recommendation. The full pending list is ``pending_recs``."""
     trace = (
-        recent_trace(ledger)
+        recent_trace(effective(ledger))
         .groupBy(*SESSION)
         .agg(
             F.array_sort(F.collect_list(F.struct("step", "action", "rec_id", "accuracy_after"))).alias(
@@ -390,7 +332,7 @@ def observations(ledger: DataFrame, recs: DataFrame, meta: DataFrame | None = No
     joined = (
         session_state(ledger)
         .join(start, SESSION)
-        .join(trace, SESSION)
+        .join(trace, SESSION, "left")
         .join(best_pending(ledger, recs), SESSION, "left")
     )
     extra = []
@@ -517,23 +459,28 @@ def _fold_rollbacks(column: str, quota: int, depth: int) -> Column:
 def episode_summary(scored: DataFrame) -> DataFrame:
     """Per session: steps, history length, mean and total reward, best and last accuracy, success.
 
+    Only steps that took place count; a session starts with the accuracy its first step found.
+
     Rewards have four places, so they are summed as whole ten-thousandths: the result does
     not depend on the order of the rows.
     """
-    kept = F.col("in_history")
+    kept, there = F.col("in_history"), F.col("outcome").isin(*EFFECTIVE)
     units = F.sum(F.when(kept, F.rint(F.col("reward") * 10_000).cast("bigint")))
-    applied = F.col("action") == "apply"
-    reached = applied & (F.col("accuracy_after") >= F.col("target_accuracy"))
+    reached = executed(F.col("action") == "apply") & (F.col("accuracy_after") >= F.col("target_accuracy"))
+    start = F.min_by("accuracy_before", "step")
+    accuracy = F.when(changed(), F.col("accuracy_after"))
     return scored.groupBy(*SESSION).agg(
-        F.count(F.lit(1)).alias("n_steps"),
+        F.count_if(there).alias("n_steps"),
         F.count_if(kept).alias("n_rewards"),
         F.coalesce(F.rint(F.try_divide(units, F.count_if(kept))) / 10_000, F.lit(0.0)).alias(
             "mean_reward"
         ),
         F.coalesce(units / 10_000, F.lit(0.0)).alias("total_reward"),
-        S.round_even(F.max("accuracy_after"), 4).alias("best_accuracy"),
-        S.round_even(F.max_by("accuracy_after", "step"), 4).alias("last_accuracy"),
-        F.count_if(F.col("action") == "rollback").alias("n_rollbacks"),
+        S.round_even(F.greatest(F.max(accuracy), start), 4).alias("best_accuracy"),
+        S.round_even(F.coalesce(F.max_by("accuracy_after", F.when(changed(), F.col("step"))), start), 4).alias(
+            "last_accuracy"
+        ),
+        F.count_if(F.col("outcome") == "undone").alias("n_rollbacks"),
         F.max(reached).alias("success"),
     )
 
@@ -552,7 +499,7 @@ def trajectories(scored: DataFrame, part_rows: int = 1_000) -> DataFrame:
     """Step lists per session in parts of at most ``part_rows`` steps, ready to export."""
     steps = F.struct("step", "action", "rec_id", "accuracy_after", "reward")
     return (
-        scored.withColumn("part", step_chunk(rows=part_rows))
+        effective(scored).withColumn("part", step_chunk(rows=part_rows))
         .groupBy("session_id", "part")
         .agg(F.array_sort(F.collect_list(steps)).alias("steps"))
         .select(
@@ -587,6 +534,7 @@ def session_metrics(steps: DataFrame, now: Column, ttl_seconds: int = K.SESSION_
 
 def reward_histogram(scored: DataFrame, bins: int = 30) -> DataFrame:
     """Counts in equal bins from the smallest to the largest reward."""
+    scored = scored.filter(F.col("reward").isNotNull())
     span = scored.agg(F.min("reward").alias("lo"), F.max("reward").alias("hi")).first()
     if span["lo"] is None:
         return scored.select(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("n")).limit(0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mendframe import constants as K
 from mendframe.operators import diagnose, steps
@@ -101,7 +102,10 @@ def auto_repair(
             budget = max(0, budget - 1)
             note("rollback", {}, 1, 0, hurt, before, "undone")
     trace = spark.createDataFrame(log, TRACE_SCHEMA)
-    from pyspark.sql import functions as F
-
-    scored = steps.score_steps(trace.withColumn("rule", F.lit(None).cast("string")))
-    return current, scored
+    told = F.when(F.col("action") == "rollback", "undone").when(
+        F.col("outcome").startswith("rejected"), "refused"
+    )
+    # The scores read what a step did; the trace keeps its own words for it.
+    named = trace.withColumnRenamed("outcome", "note").withColumn("outcome", F.coalesce(told, F.lit("executed")))
+    scored = steps.score_steps(named)
+    return current, scored.drop("outcome").withColumnRenamed("note", "outcome")

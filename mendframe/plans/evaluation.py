@@ -31,7 +31,7 @@ from mendframe.plans.step_log import (
     action_log,
     issued_recs,
     scored_steps,
-    stored_log,
+    audited,
 )
 from mendframe.session import materialise, scratch_path
 from mendframe.sources import event_log, samples, tables
@@ -216,7 +216,7 @@ _COMPLETION_SQL = """CASE WHEN rec_id IS NULL THEN '{"action":"' || action || '"
 
 @query(
     "training_samples",
-    f"""WITH {LOG_SQL}, {_SCORED_SQL} SELECT 'session ' || session_id || ' step ' || step AS prompt,
+    f"""WITH RECURSIVE {LOG_SQL}, {_SCORED_SQL} SELECT 'session ' || session_id || ' step ' || step AS prompt,
       {_COMPLETION_SQL} AS completion, reward FROM scored WHERE reward > 0.001""",
 )
 def training_samples(spark, sf):
@@ -230,7 +230,7 @@ def training_samples(spark, sf):
 
 @query(
     "prompt_json",
-    f"""WITH {LOG_SQL}, {_STATE_SQL}
+    f"""WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}, {_STATE_SQL}
     SELECT session_id, '<|system|>' || chr(10) || '{samples.SYSTEM_TEXT}' || chr(10) || '<|user|>'
       || chr(10) || 'Current environment state:' || chr(10) || '{{"session_id":' || session_id
       || ',"current_accuracy":' || round_even(accuracy, 4) || ',"target_accuracy":0.9,"budget_remaining":'
@@ -240,9 +240,8 @@ def training_samples(spark, sf):
       AS prompt FROM state LEFT JOIN best USING (session_id)""",
 )
 def prompt_json(spark, sf):
-    steps = stored_log(spark, sf)
-    ledger, recs = L.budget_ledger(steps), issued_recs(steps)
-    state = L.session_state(ledger).join(L.best_pending(steps, recs), "session_id", "left")
+    steps = audited(spark, sf)
+    state = L.session_state(steps).join(L.best_pending(steps, issued_recs(steps)), "session_id", "left")
     shown = F.struct(
         "session_id",
         S.round_even("accuracy_after", 4).alias("current_accuracy"),
@@ -308,17 +307,18 @@ def stream_session_metrics(spark, sf):
 
 @query(
     "stream_rule_audit",
-    f"""WITH {LOG_SQL}, {_AUDIT_SQL}
-    SELECT session_id, step, action, rec_id, budget_before, streak, rule FROM audit""",
+    f"""WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}
+    SELECT session_id, step, action, rec_id, outcome, budget_before, streak, rule FROM audit""",
 )
 def stream_rule_audit(spark, sf):
     steps = action_log(spark, sf)
     prefix = F.concat_ws("_", F.col("session_id").cast("string"), F.col("event_id").cast("string"))
     numbers = F.when(F.col("n_recs") > 0, F.sequence(F.lit(0), F.col("n_recs") - 1))
     issued = F.transform(numbers, lambda j: F.concat_ws("_", prefix, j.cast("string")))
-    stored = materialise(steps.withColumn("issued", issued), "steps")
-    path = stored.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(stored.schema).parquet(path)
+    path = scratch_path(spark, "steps")
+    full = steps.withColumn("issued", issued)
+    full.write.parquet(path)
+    stream = spark.readStream.schema(full.schema).parquet(path)
     return run_append(stream_audit(stream), "audit")
 
 

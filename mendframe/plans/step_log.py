@@ -106,14 +106,53 @@ def _log_sql():
       FROM ev3),
     recs AS (SELECT session_id, session_id || '_' || event_id || '_' || j AS rec_id, step,
       substr(action, 7, 20) AS agent, CAST(j + 1 AS INTEGER) AS priority
-      FROM (SELECT *, unnest(range(n_recs)) AS j FROM log WHERE n_recs > 0)),
-    ledger AS (SELECT *, greatest(0, 12 - (sum(cost) OVER (PARTITION BY session_id ORDER BY step))
-        + cost)::BIGINT AS budget_before,
-      greatest(0, 12 - sum(cost) OVER (PARTITION BY session_id ORDER BY step))::BIGINT
-        AS budget_remaining FROM log)"""
+      FROM (SELECT *, unnest(range(n_recs)) AS j FROM log WHERE n_recs > 0))"""
+
+
+def _walk_sql(budget=12):
+    """The steps of every session one after the other, each on the state the one before left."""
+    return f"""handed AS (SELECT l.*, coalesce(ids, []::VARCHAR[]) AS ids FROM log l LEFT JOIN
+      (SELECT session_id, step, list(rec_id) AS ids FROM recs GROUP BY ALL) USING (session_id, step)),
+    walk AS (SELECT session_id, 0::BIGINT AS step, {budget}::BIGINT AS budget_before,
+        {budget}::BIGINT AS budget_remaining, FALSE AS done, NULL::VARCHAR AS last, 0::BIGINT AS streak,
+        0::BIGINT AS run, []::VARCHAR[] AS issued, []::VARCHAR[] AS applied, 0 AS stack, 0 AS undone,
+        NULL::VARCHAR AS rule, ''::VARCHAR AS outcome, 0::BIGINT AS charged, FALSE AS ends_session
+      FROM (SELECT DISTINCT session_id FROM log)
+      UNION ALL
+      SELECT session_id, step, budget_before, left_now, done OR ends, last, streak, run, issued, applied,
+        stack, undone, rule, outcome, charged, ends FROM (SELECT *,
+          outcome <> 'after_end' AND outcome <> 'refused' AND (left_now <= 0
+            OR (outcome = 'executed' AND action = 'apply' AND reached)) AS ends
+        FROM (SELECT *, greatest(0, budget_before - charged)::BIGINT AS left_now,
+          CASE WHEN outcome = 'executed' AND action <> 'apply' THEN list_concat(issued0, ids) ELSE issued0 END AS issued,
+          CASE WHEN outcome = 'executed' AND action = 'apply' THEN list_append(applied0, rec_id) ELSE applied0 END AS applied,
+          CASE WHEN outcome = 'executed' AND action = 'apply' THEN least(3, stack0 + 1)
+            WHEN outcome = 'undone' THEN stack0 - 1 ELSE stack0 END AS stack,
+          CASE WHEN outcome = 'undone' THEN undone0 + 1 ELSE undone0 END AS undone
+        FROM (SELECT *, CASE outcome WHEN 'undone' THEN 1 WHEN 'blocked' THEN 1 WHEN 'executed' THEN cost ELSE 0 END::BIGINT AS charged
+        FROM (SELECT *, CASE WHEN done THEN 'after_end'
+            WHEN action = 'rollback' THEN CASE WHEN undone0 < 3 AND stack0 > 0 THEN 'undone' ELSE 'refused' END
+            WHEN rule IS NOT NULL THEN 'blocked' ELSE 'executed' END AS outcome
+        FROM (SELECT *, CASE WHEN done OR action = 'rollback' THEN NULL
+            WHEN budget_before <= 0 THEN 'budget_exhausted'
+            WHEN streak >= 3 AND action <> 'apply' THEN 'action_spam'
+            WHEN action IN ('query_validator', 'query_analyst') AND budget_before < 3 THEN 'low_budget_expensive_query'
+            WHEN action = 'apply' AND coalesce(rec_id, '') = '' THEN 'missing_rec_id'
+            WHEN action = 'apply' AND list_contains(applied0, rec_id) THEN 'duplicate_apply'
+            WHEN action = 'apply' AND NOT list_contains(issued0, rec_id) THEN 'invalid_rec_id' END AS rule
+        FROM (SELECT h.session_id, h.step, h.action, h.rec_id, h.cost, h.ids, w.done, w.undone AS undone0,
+            w.stack AS stack0, w.issued AS issued0, w.applied AS applied0, w.budget_remaining AS budget_before,
+            coalesce(h.accuracy_after >= h.target_accuracy, FALSE) AS reached,
+            CASE WHEN w.done OR h.action = 'rollback' THEN 0 WHEN h.action = w.last THEN w.run + 1 ELSE 1 END::BIGINT AS streak,
+            CASE WHEN w.done OR h.action = 'rollback' THEN w.run WHEN h.action = w.last THEN w.run + 1 ELSE 1 END::BIGINT AS run,
+            CASE WHEN w.done OR h.action = 'rollback' THEN w.last ELSE h.action END AS last
+          FROM walk w JOIN handed h ON h.session_id = w.session_id AND h.step = w.step + 1)))))) ),
+    audit AS (SELECT l.*, w.outcome, w.rule, w.charged, w.budget_before, w.budget_remaining, w.streak, w.ends_session
+      FROM log l JOIN walk w USING (session_id, step))"""
 
 
 LOG_SQL = _log_sql()
+_AUDIT_SQL = _walk_sql()
 LOG_COLUMNS = (
     "session_id, step, event_id, action, rec_id, cost, n_recs, accuracy_before, accuracy_after,"
     " missing_before, missing_after, balance_before, balance_after, target_accuracy"
@@ -133,20 +172,19 @@ def issued(spark, sf):
 
 @query(
     "budget_ledger",
-    f"WITH {LOG_SQL} SELECT session_id, step, action, cost, budget_before, budget_remaining FROM ledger",
+    f"WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL} SELECT session_id, step, action, outcome, charged, budget_before,"
+    " budget_remaining FROM audit",
 )
 def budget_ledger(spark, sf):
-    return L.budget_ledger(stored_log(spark, sf)).select(
-        "session_id", "step", "action", "cost", "budget_before", "budget_remaining"
+    return audited(spark, sf).select(
+        "session_id", "step", "action", "outcome", "charged", "budget_before", "budget_remaining"
     )
 
 
-_STREAK_SQL = """hist AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step) -
+_STREAK_SQL = """runs AS (SELECT *, row_number() OVER (PARTITION BY session_id, action, island ORDER BY step) AS streak
+      FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step) -
       row_number() OVER (PARTITION BY session_id, action ORDER BY step) AS island
-      FROM ledger WHERE action <> 'rollback'),
-    runs AS (SELECT * EXCLUDE (island), row_number() OVER (PARTITION BY session_id, action, island
-      ORDER BY step) AS streak FROM hist
-      UNION ALL BY NAME SELECT *, 0::BIGINT AS streak FROM ledger WHERE action = 'rollback')"""
+      FROM log WHERE action <> 'rollback'))"""
 
 
 @query(
@@ -179,57 +217,50 @@ def type_streaks(spark, sf):
     )
 
 
-_AUDIT_SQL = f"""{_STREAK_SQL},
-    first_issue AS (SELECT session_id, rec_id, min(step) AS issued_step FROM recs GROUP BY ALL),
-    named AS (SELECT r.*, coalesce(i.issued_step < r.step, FALSE) AS was_issued FROM runs r
-      LEFT JOIN first_issue i ON i.session_id = r.session_id AND i.rec_id = r.rec_id),
-    valid AS (SELECT session_id, rec_id, min(step) AS first_apply FROM named
-      WHERE action = 'apply' AND was_issued GROUP BY ALL),
-    audit AS (SELECT n.*, first_apply, CASE WHEN action = 'rollback' THEN NULL
-      WHEN budget_before <= 0 THEN 'budget_exhausted'
-      WHEN streak >= 3 AND action <> 'apply' THEN 'action_spam'
-      WHEN action IN ('query_validator', 'query_analyst') AND budget_before < 3
-        THEN 'low_budget_expensive_query'
-      WHEN action = 'apply' AND n.rec_id IS NULL THEN 'missing_rec_id'
-      WHEN action = 'apply' AND first_apply < step THEN 'duplicate_apply'
-      WHEN action = 'apply' AND NOT was_issued THEN 'invalid_rec_id' END AS rule
-      FROM named n LEFT JOIN valid v ON v.session_id = n.session_id AND v.rec_id = n.rec_id)"""
-
-
-def audited(spark, sf):
+def audited(spark, sf, budget=K.BUDGET):
     steps = stored_log(spark, sf)
-    return L.rule_audit(steps, issued_recs(steps))
+    return materialise(L.rule_audit(steps, issued_recs(steps), budget), "audit")
 
 
 @query(
     "rule_audit",
-    f"""WITH {LOG_SQL}, {_AUDIT_SQL}
-    SELECT session_id, step, action, rec_id, budget_before, streak, rule FROM audit""",
+    f"""WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}
+    SELECT session_id, step, action, rec_id, outcome, budget_before, streak, rule FROM audit""",
 )
 def rule_audit(spark, sf):
     return audited(spark, sf).select(
-        "session_id", "step", "action", "rec_id", "budget_before", "streak", "rule"
+        "session_id", "step", "action", "rec_id", "outcome", "budget_before", "streak", "rule"
+    )
+
+
+@query(
+    "rule_audit_long",
+    f"""WITH RECURSIVE {LOG_SQL}, {_walk_sql(60)}
+    SELECT session_id, step, action, rec_id, outcome, budget_before, streak, rule FROM audit""",
+)
+def rule_audit_long(spark, sf):
+    """With a budget that outlasts most sessions, so that every outcome occurs often."""
+    return audited(spark, sf, budget=60).select(
+        "session_id", "step", "action", "rec_id", "outcome", "budget_before", "streak", "rule"
     )
 
 
 @query(
     "invalid_applies",
-    f"""WITH {LOG_SQL}, {_AUDIT_SQL} SELECT session_id, step, rec_id FROM audit
-    WHERE action = 'apply' AND rec_id IS NOT NULL AND NOT was_issued""",
+    f"""WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL} SELECT session_id, step, rec_id FROM audit
+    WHERE rule = 'invalid_rec_id'""",
 )
 def invalid_applies(spark, sf):
-    steps = stored_log(spark, sf)
-    return L.invalid_applies(steps, issued_recs(steps)).select("session_id", "step", "rec_id")
+    return L.invalid_applies(audited(spark, sf)).select("session_id", "step", "rec_id")
 
 
 @query(
     "duplicate_applies",
-    f"""WITH {LOG_SQL}, {_AUDIT_SQL} SELECT session_id, step, rec_id FROM audit
-    WHERE action = 'apply' AND first_apply < step""",
+    f"""WITH RECURSIVE {LOG_SQL}, {_walk_sql(60)} SELECT session_id, step, rec_id FROM audit
+    WHERE rule = 'duplicate_apply'""",
 )
 def duplicate_applies(spark, sf):
-    steps = stored_log(spark, sf)
-    return L.duplicate_applies(steps, issued_recs(steps)).select("session_id", "step", "rec_id")
+    return L.duplicate_applies(audited(spark, sf, budget=60)).select("session_id", "step", "rec_id")
 
 
 # The same order of operations as the column expressions, so the doubles agree.
@@ -243,27 +274,26 @@ _SCORES = {
     "format": f"""CASE WHEN {_Q} OR (action = 'apply' AND rec_id IS NOT NULL) THEN 0.999::DOUBLE
       WHEN action = 'apply' THEN 0.2::DOUBLE ELSE 0.001::DOUBLE END""",
     "accuracy": _CLAMP.format(
-        f"""CASE WHEN {_Q} THEN 0.05::DOUBLE * least(n_recs, 3) + 0.45::DOUBLE ELSE
-      {_GAIN} / greatest(0.001::DOUBLE, target_accuracy - accuracy_before) * 0.49::DOUBLE
-      + 0.5::DOUBLE END"""
+        f"""CASE WHEN {_Q} THEN 0.45::DOUBLE + 0.05::DOUBLE * least(n_recs, 3) ELSE 0.5::DOUBLE + 0.49::DOUBLE *
+      ({_GAIN} / greatest(0.001::DOUBLE, target_accuracy - accuracy_before)) END"""
     ),
     "quality": _CLAMP.format(
-        f"CASE WHEN {_Q} THEN 0.45::DOUBLE ELSE ({_LESS} + {_MORE}) / 2 * 2 + 0.5::DOUBLE END"
+        f"CASE WHEN {_Q} THEN 0.45::DOUBLE ELSE 0.5::DOUBLE + ({_LESS} + {_MORE}) END"
     ),
     "efficiency": f"""CASE WHEN {_Q} AND budget_remaining <= 2 THEN 0.15::DOUBLE
       WHEN action = 'apply' AND {_GAIN} <= 0 AND {_LESS} <= 0 AND {_MORE} <= 0 THEN 0.1::DOUBLE
-      WHEN {_Q} THEN {_CLAMP.format(f'{_LEFT} * 0.3::DOUBLE + 0.5::DOUBLE')}
-      ELSE {_CLAMP.format(f'{_LEFT} * 0.49::DOUBLE + 0.5::DOUBLE')} END""",
+      WHEN {_Q} THEN {_CLAMP.format(f'0.5::DOUBLE + 0.3::DOUBLE * {_LEFT}')}
+      ELSE {_CLAMP.format(f'0.5::DOUBLE + 0.49::DOUBLE * {_LEFT}')} END""",
     "completion": f"""CASE WHEN accuracy_after >= target_accuracy
-      THEN {_CLAMP.format(f'{_LEFT} * 0.09::DOUBLE + 0.9::DOUBLE')}
+      THEN {_CLAMP.format(f'0.9::DOUBLE + 0.09::DOUBLE * {_LEFT}')}
       WHEN accuracy_after > accuracy_before
-      THEN {_CLAMP.format('accuracy_after / target_accuracy * 0.4::DOUBLE + 0.5::DOUBLE')}
+      THEN {_CLAMP.format('0.5::DOUBLE + 0.4::DOUBLE * (accuracy_after / target_accuracy)')}
       WHEN {_Q} AND n_recs > 0 THEN 0.35::DOUBLE ELSE 0.1::DOUBLE END""",
 }
 _SCORED_SQL = f"""{_AUDIT_SQL},
     graded AS (SELECT *, {", ".join(f"{sql} AS {name}_score" for name, sql in _SCORES.items())} FROM audit),
-    scored AS (SELECT *, action <> 'rollback' AND rule IS NULL AS in_history,
-      CASE WHEN action = 'rollback' THEN 0.3::DOUBLE WHEN rule IS NOT NULL THEN 0.001::DOUBLE ELSE
+    scored AS (SELECT *, outcome = 'executed' AS in_history,
+      CASE outcome WHEN 'undone' THEN 0.3::DOUBLE WHEN 'blocked' THEN 0.001::DOUBLE WHEN 'executed' THEN
         round_even({_CLAMP.format(" + ".join(f"{n}_score * {w}::DOUBLE" for n, w in K.REWARD_WEIGHTS.items()))}, 4)
       END AS reward FROM graded)"""
 
@@ -274,17 +304,17 @@ def scored_steps(spark, sf):
 
 @query(
     "reward_scores",
-    f"WITH {LOG_SQL}, {_SCORED_SQL} SELECT session_id, step, action, rule, in_history, reward FROM scored",
+    f"WITH RECURSIVE {LOG_SQL}, {_SCORED_SQL} SELECT session_id, step, action, outcome, rule, in_history, reward FROM scored",
 )
 def reward_scores(spark, sf):
     return scored_steps(spark, sf).select(
-        "session_id", "step", "action", "rule", "in_history", "reward"
+        "session_id", "step", "action", "outcome", "rule", "in_history", "reward"
     )
 
 
 @query(
     "reward_components",
-    f"WITH {LOG_SQL}, {_SCORED_SQL} "
+    f"WITH RECURSIVE {LOG_SQL}, {_SCORED_SQL} "
     + " UNION ALL ".join(
         f"""SELECT session_id, step, reward, '{n}' AS grader, round_even({n}_score, 4) AS score,
         {w}::DOUBLE AS weight, round_even({n}_score * {w}::DOUBLE, 4) AS contribution FROM scored
@@ -298,7 +328,7 @@ def reward_components(spark, sf):
 
 @query(
     "reward_range_check",
-    f"""WITH {LOG_SQL}, {_SCORED_SQL} SELECT count(*) AS n_rewards,
+    f"""WITH RECURSIVE {LOG_SQL}, {_SCORED_SQL} SELECT count(reward) AS n_rewards,
       count(*) FILTER (NOT (reward > 0 AND reward < 1)) AS n_violations FROM scored""",
 )
 def reward_range_check(spark, sf):
@@ -307,15 +337,11 @@ def reward_range_check(spark, sf):
 
 @query(
     "done_flag",
-    f"""WITH {LOG_SQL}, e AS (SELECT *, (action = 'apply' AND accuracy_after >= target_accuracy)
-      OR budget_remaining <= 0 AS ends FROM ledger),
-    f AS (SELECT session_id, step, ends, coalesce(bool_or(ends) OVER (PARTITION BY session_id
-      ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS after_end FROM e)
-    SELECT session_id, step, ends AND NOT after_end AS ends_session, after_end FROM f""",
+    f"""WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL} SELECT session_id, step, ends_session,
+      outcome = 'after_end' AS after_end FROM audit""",
 )
 def done_flag(spark, sf):
-    ledger = L.budget_ledger(stored_log(spark, sf))
-    return L.done_flags(ledger).select("session_id", "step", "ends_session", "after_end")
+    return L.done_flags(audited(spark, sf)).select("session_id", "step", "ends_session", "after_end")
 
 
 @query(
@@ -341,37 +367,37 @@ def recent_trace(spark, sf):
     return L.recent_trace(action_log(spark, sf)).select("session_id", "step", "action", "accuracy_after")
 
 
-_PENDING_SQL = """pending AS (SELECT * FROM recs r WHERE NOT EXISTS (SELECT 1 FROM log a
-      WHERE a.action = 'apply' AND a.session_id = r.session_id AND a.rec_id = r.rec_id)),
+_PENDING_SQL = """pending AS (SELECT r.* FROM recs r JOIN audit q ON q.session_id = r.session_id AND q.step = r.step
+      AND q.outcome = 'executed' WHERE NOT EXISTS (SELECT 1 FROM audit a WHERE a.action = 'apply'
+      AND a.outcome = 'executed' AND a.session_id = r.session_id AND a.rec_id = r.rec_id)),
     best AS (SELECT session_id, arg_min(rec_id, (priority, rec_id)) AS rec_id,
       min(priority) AS priority, count(*) AS n_pending FROM pending GROUP BY session_id)"""
 
 
-@query("pending_recs", f"WITH {LOG_SQL}, {_PENDING_SQL} SELECT * FROM pending")
+@query("pending_recs", f"WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}, {_PENDING_SQL} SELECT * FROM pending")
 def pending_recs(spark, sf):
-    steps = stored_log(spark, sf)
+    steps = audited(spark, sf)
     return L.pending_recs(steps, issued_recs(steps)).select(
         "session_id", "rec_id", "step", "agent", "priority"
     )
 
 
-@query("best_pending", f"WITH {LOG_SQL}, {_PENDING_SQL} SELECT * FROM best")
+@query("best_pending", f"WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}, {_PENDING_SQL} SELECT * FROM best")
 def best_pending(spark, sf):
-    steps = stored_log(spark, sf)
+    steps = audited(spark, sf)
     return L.best_pending(steps, issued_recs(steps))
 
 
-_STATE_SQL = f"""{_PENDING_SQL}, state AS (SELECT session_id,
-      arg_max(missing_after, step) AS missing, arg_max(balance_after, step) AS balance,
-      arg_max(accuracy_after, step) AS accuracy, arg_min(accuracy_before, step) AS start,
-      arg_max(budget_remaining, step) AS budget_remaining,
-      {", ".join(f"bool_or(action = '{a}') AS asked_{a[6:]}" for a in K.QUERY_ACTIONS)}
-      FROM ledger GROUP BY session_id)"""
-
-
-@query(
-    "next_action",
-    f"""WITH {LOG_SQL}, {_STATE_SQL}, chosen AS (SELECT s.session_id, b.rec_id,
+_CHANGED = "(outcome = 'undone' OR (outcome = 'executed' AND action = 'apply'))"
+_LATEST = ", ".join(
+    f"""coalesce(arg_max({m}_after, step) FILTER (WHERE {_CHANGED}), arg_min({m}_before, step)) AS {m}"""
+    for m in ("missing", "balance", "accuracy")
+)
+_STATE_SQL = f"""{_PENDING_SQL}, state AS (SELECT session_id, {_LATEST},
+      arg_min(accuracy_before, step) AS start, min(budget_remaining) AS budget_remaining,
+      {", ".join(f"bool_or(action = '{a}' AND outcome = 'executed') AS asked_{a[6:]}" for a in K.QUERY_ACTIONS)}
+      FROM audit GROUP BY session_id)"""
+_NEXT_SQL = f"""chosen AS (SELECT s.session_id, b.rec_id,
       CASE WHEN budget_remaining <= 0 THEN 'stop'
       WHEN NOT ({" OR ".join(f"asked_{a[6:]}" for a in K.QUERY_ACTIONS)}) THEN 'query_analyst'
       WHEN b.rec_id IS NOT NULL THEN 'apply'
@@ -380,45 +406,38 @@ _STATE_SQL = f"""{_PENDING_SQL}, state AS (SELECT session_id,
       WHEN NOT asked_augmenter THEN 'query_augmenter' ELSE 'stop' END AS next_action
       FROM state s LEFT JOIN best b USING (session_id))
     SELECT session_id, next_action, CASE WHEN next_action = 'apply' THEN rec_id END AS rec_id,
-      CASE WHEN next_action = 'query_augmenter' THEN 1 END AS target_class FROM chosen""",
-)
+      CASE WHEN next_action = 'query_augmenter' THEN 1 END AS target_class FROM chosen"""
+
+
+@query("next_action", f"WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}, {_STATE_SQL}, {_NEXT_SQL}")
 def next_action(spark, sf):
-    steps = stored_log(spark, sf)
-    return L.next_action(L.budget_ledger(steps), issued_recs(steps))
+    steps = audited(spark, sf)
+    return L.next_action(steps, issued_recs(steps))
 
 
-@query(
-    "next_action_early",
-    f"""WITH {LOG_SQL.replace("12 -", "1000 -")}, {_STATE_SQL}, chosen AS (SELECT s.session_id, b.rec_id,
-      CASE WHEN budget_remaining <= 0 THEN 'stop' WHEN b.rec_id IS NOT NULL THEN 'apply'
-      WHEN missing > 0.05 AND NOT asked_cleaner THEN 'query_cleaner'
-      WHEN balance < 0.45 AND NOT asked_balancer THEN 'query_balancer'
-      WHEN NOT asked_augmenter THEN 'query_augmenter' ELSE 'stop' END AS next_action
-      FROM state s LEFT JOIN best b USING (session_id))
-    SELECT session_id, next_action, CASE WHEN next_action = 'apply' THEN rec_id END AS rec_id,
-      CASE WHEN next_action = 'query_augmenter' THEN 1 END AS target_class FROM chosen""",
-)
+@query("next_action_early", f"WITH RECURSIVE {LOG_SQL}, {_walk_sql(1000)}, {_STATE_SQL}, {_NEXT_SQL}")
 def next_action_early(spark, sf):
-    """With a budget large enough that no session has ended."""
-    steps = stored_log(spark, sf)
-    return L.next_action(L.budget_ledger(steps, budget=1000), issued_recs(steps))
+    """With a budget so large that sessions end by their target alone."""
+    steps = audited(spark, sf, budget=1000)
+    return L.next_action(steps, issued_recs(steps))
 
 
 @query(
     "observations",
-    f"""WITH {LOG_SQL}, {_STATE_SQL}, tail AS (SELECT session_id, string_agg(action, '>' ORDER BY step)
-      AS trace FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step DESC) AS r
-      FROM log) WHERE r <= 5 GROUP BY session_id)
+    f"""WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}, {_STATE_SQL}, tail AS (SELECT session_id,
+      string_agg(action, '>' ORDER BY step) AS trace FROM (SELECT *, row_number() OVER (PARTITION BY
+      session_id ORDER BY step DESC) AS r FROM audit WHERE outcome IN ('executed', 'blocked', 'undone'))
+      WHERE r <= 5 GROUP BY session_id)
     SELECT session_id, round_even(accuracy, 4) AS current_accuracy, {TARGET}::DOUBLE AS target_accuracy,
       round_even(greatest(0, {TARGET}::DOUBLE - accuracy), 4) AS accuracy_gap, budget_remaining,
       round_even(start, 4) AS starting_accuracy, round_even(accuracy - start, 4) AS improvement_over_start,
       round_even(missing, 4) AS missing_pct, round_even(balance, 4) AS balance_ratio, trace,
       coalesce(n_pending, 0) AS n_pending, rec_id AS best_rec_id
-    FROM state JOIN tail USING (session_id) LEFT JOIN best USING (session_id)""",
+    FROM state LEFT JOIN tail USING (session_id) LEFT JOIN best USING (session_id)""",
 )
 def observations(spark, sf):
-    steps = stored_log(spark, sf)
-    seen = L.observations(L.budget_ledger(steps), issued_recs(steps))
+    steps = audited(spark, sf)
+    seen = L.observations(steps, issued_recs(steps))
     return seen.select(
         "session_id", "current_accuracy", "target_accuracy", "accuracy_gap", "budget_remaining",
         "benchmarks.*", "dataset_stats.*",
@@ -455,26 +474,28 @@ def rollback_state(spark, sf):
     return L.rollback_state(stored_log(spark, sf))
 
 
-_EPISODES_SQL = """episodes AS (SELECT session_id, count(*) AS n_steps,
+_EPISODES_SQL = f"""episodes AS (SELECT session_id,
+      count(*) FILTER (outcome IN ('executed', 'blocked', 'undone')) AS n_steps,
       count(*) FILTER (in_history) AS n_rewards,
       coalesce(round_even(sum(round_even(reward * 10000, 0)) FILTER (in_history)
         / count(*) FILTER (in_history), 0) / 10000, 0) AS mean_reward,
       coalesce(sum(round_even(reward * 10000, 0)) FILTER (in_history) / 10000, 0) AS total_reward,
-      round_even(max(accuracy_after), 4) AS best_accuracy,
-      round_even(arg_max(accuracy_after, step), 4) AS last_accuracy,
-      count(*) FILTER (action = 'rollback') AS n_rollbacks,
-      bool_or(action = 'apply' AND accuracy_after >= target_accuracy) AS success
+      round_even(greatest(max(accuracy_after) FILTER (WHERE {_CHANGED}), arg_min(accuracy_before, step)), 4) AS best_accuracy,
+      round_even(coalesce(arg_max(accuracy_after, step) FILTER (WHERE {_CHANGED}), arg_min(accuracy_before, step)), 4)
+        AS last_accuracy,
+      count(*) FILTER (outcome = 'undone') AS n_rollbacks,
+      bool_or(action = 'apply' AND outcome = 'executed' AND accuracy_after >= target_accuracy) AS success
       FROM scored GROUP BY session_id)"""
 
 
-@query("episode_summary", f"WITH {LOG_SQL}, {_SCORED_SQL}, {_EPISODES_SQL} SELECT * FROM episodes")
+@query("episode_summary", f"WITH RECURSIVE {LOG_SQL}, {_SCORED_SQL}, {_EPISODES_SQL} SELECT * FROM episodes")
 def episode_summary(spark, sf):
     return L.episode_summary(scored_steps(spark, sf))
 
 
 @query(
     "overall_summary",
-    f"""WITH {LOG_SQL}, {_SCORED_SQL}, {_EPISODES_SQL} SELECT count(*) AS n_episodes,
+    f"""WITH RECURSIVE {LOG_SQL}, {_SCORED_SQL}, {_EPISODES_SQL} SELECT count(*) AS n_episodes,
       round_even(avg(mean_reward), 6) AS mean_reward, round_even(avg(total_reward), 6) AS mean_total_reward,
       round_even(avg(success::INTEGER), 6) AS success_rate FROM episodes""",
 )
@@ -484,10 +505,10 @@ def overall_summary(spark, sf):
 
 @query(
     "trajectories",
-    f"""WITH {LOG_SQL}, {_SCORED_SQL} SELECT session_id, CAST(floor(step / 1000) AS BIGINT) AS part,
+    f"""WITH RECURSIVE {LOG_SQL}, {_SCORED_SQL} SELECT session_id, CAST(floor(step / 1000) AS BIGINT) AS part,
       CAST(count(*) AS INTEGER) AS n_steps, string_agg(CAST(action AS VARCHAR), '>' ORDER BY step) AS actions,
       round_even(sum(reward), 4) AS reward_sum, round_even(sum(accuracy_after), 4) AS accuracy_sum
-    FROM scored GROUP BY session_id, part""",
+    FROM scored WHERE outcome IN ('executed', 'blocked', 'undone') GROUP BY session_id, part""",
 )
 def trajectories(spark, sf):
     total = lambda c: S.round_even(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
@@ -516,7 +537,7 @@ def session_metrics(spark, sf):
 
 @query(
     "reward_moving_avg",
-    f"""WITH {LOG_SQL}, {_SCORED_SQL}, {_EPISODES_SQL}
+    f"""WITH RECURSIVE {LOG_SQL}, {_SCORED_SQL}, {_EPISODES_SQL}
     SELECT session_id, moving_avg FROM (SELECT session_id, round_even(avg(mean_reward) OVER w, 6) AS moving_avg,
       count(*) OVER w AS n FROM episodes
       WINDOW w AS (ORDER BY session_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE n = 5""",
@@ -531,9 +552,9 @@ def reward_moving_avg(spark, sf):
 
 @query(
     "reward_histogram",
-    f"""WITH {LOG_SQL}, {_SCORED_SQL}, b AS (SELECT min(reward) AS lo, max(reward) AS hi FROM scored)
+    f"""WITH RECURSIVE {LOG_SQL}, {_SCORED_SQL}, b AS (SELECT min(reward) AS lo, max(reward) AS hi FROM scored WHERE reward IS NOT NULL)
     SELECT CAST(least(floor((reward - lo) / (hi - lo) * 30), 29) AS INTEGER) AS bin, count(*) AS n
-    FROM scored, b GROUP BY bin""",
+    FROM scored, b WHERE reward IS NOT NULL GROUP BY bin""",
 )
 def reward_histogram(spark, sf):
     return L.reward_histogram(_stored(scored_steps(spark, sf)))
@@ -541,7 +562,7 @@ def reward_histogram(spark, sf):
 
 @query(
     "reward_markers",
-    f"""WITH {LOG_SQL}, {_SCORED_SQL} SELECT round_even(avg(reward), 6) AS mean_reward,
+    f"""WITH RECURSIVE {LOG_SQL}, {_SCORED_SQL} SELECT round_even(avg(reward), 6) AS mean_reward,
       round_even(quantile_cont(reward, 0.5), 6) AS median_reward FROM scored""",
 )
 def reward_markers(spark, sf):

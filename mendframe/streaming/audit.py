@@ -1,81 +1,77 @@
-"""Live rule audit: the same rules as the batch audit, with bounded state per session."""
+"""Live rule audit: the batch fold, fed step by step, with bounded state per session."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mendframe import constants as K
+from mendframe.operators.replay import Session
 
 OUTPUT = (
-    "session_id bigint, step bigint, action string, rec_id string, budget_before bigint,"
-    " streak bigint, rule string"
+    "session_id bigint, step bigint, action string, rec_id string, outcome string,"
+    " budget_before bigint, streak bigint, rule string"
 )
-STATE = "spent bigint, last string, run bigint, issued array<string>, applied array<string>"
+STATE = "state string"
 
 
-def stream_audit(
-    steps: DataFrame, budget: int = K.BUDGET, streak: int = K.STREAK
-) -> DataFrame:
-    """First broken rule of every step as it arrives.
+def stream_audit(steps: DataFrame, budget: int = K.BUDGET, streak: int = K.STREAK) -> DataFrame:
+    """Outcome and broken rule of every step as it arrives.
 
-    ``steps`` has ``session_id, step, action, rec_id, cost`` and the list ``issued`` of
-    recommendation ids a query step hands out. Ids are remembered only while budget is left:
-    every query costs budget, so the state of a session stays small however long its log is.
-    Micro-batches must follow the step order; inside one, steps are sorted here.
+    ``steps`` has ``session_id, step, action, rec_id, accuracy_after, target_accuracy`` and the list
+    ``issued`` of recommendation ids a query step hands out. Steps are numbered 1, 2, ... per session,
+    so order does not depend on micro-batches: a step that comes early waits in the state until those
+    before it have come. A session that has ended keeps no ids and lets nothing wait, and it ends
+    within its budget, so the state stays small however long its log is.
     """
 
     def audit(
         key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        spent, last, run, issued, applied = state.get if state.exists else (0, None, 0, [], [])
-        issued, applied = set(issued), set(applied)
-        rows = pd.concat(list(pieces)).sort_values("step", kind="stable")
-        out = []
-        for row in rows.itertuples(index=False):
-            left = max(0, budget - spent)
-            rec = row.rec_id if isinstance(row.rec_id, str) and row.rec_id else None
-            length = 0
-            if row.action != "rollback":
-                length = run = run + 1 if row.action == last else 1
-                last = row.action
-            rule = _first_rule(row.action, rec, left, length, streak, issued, applied)
-            out.append((key[0], row.step, row.action, row.rec_id, left, length, rule))
-            if left > 0:
-                if row.action == "apply" and rec in issued:
-                    applied.add(rec)
-                issued.update(row.issued if row.issued is not None else ())
-            else:
-                issued, applied = set(), set()
-            spent = min(budget, spent + int(row.cost))
-        state.update((spent, last, run, sorted(issued), sorted(applied)))
-        columns = ["session_id", "step", "action", "rec_id", "budget_before", "streak", "rule"]
-        yield pd.DataFrame(out, columns=columns)
+        session, following, waiting = _loaded(state.get[0] if state.exists else None, budget, streak)
+        for piece in pieces:
+            out = []
+            for row in piece.sort_values("step", kind="stable").itertuples(index=False):
+                rec = row.rec_id if isinstance(row.rec_id, str) else None
+                ids = [] if row.issued is None else [str(i) for i in row.issued]
+                waiting[int(row.step)] = (row.action, rec, ids, bool(row.reached))
+            while following in waiting or (session.done and waiting):
+                at = following if following in waiting else min(waiting)
+                action, rec, ids, reached = waiting.pop(at)
+                outcome, rule, _, before, _, run, _ = session.step(action, rec, ids, reached)
+                out.append((key[0], at, action, rec, outcome, before, run, rule))
+                following = max(following, at + 1)
+            if out:
+                columns = [c.split()[0] for c in OUTPUT.split(", ")]
+                yield pd.DataFrame(out, columns=columns)
+        state.update((_stored(session, following, waiting),))
 
+    reached = F.coalesce(F.col("accuracy_after") >= F.col("target_accuracy"), F.lit(False))
     return (
-        steps.select("session_id", "step", "action", "rec_id", "cost", "issued")
+        steps.select("session_id", "step", "action", "rec_id", "issued", reached.alias("reached"))
         .groupBy("session_id")
         .applyInPandasWithState(audit, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
     )
 
 
-def _first_rule(action, rec, left, length, streak, issued, applied) -> str | None:
-    if action == "rollback":
-        return None
-    if left <= 0:
-        return "budget_exhausted"
-    if length >= streak and action != "apply":
-        return "action_spam"
-    if action in K.EXPENSIVE_ACTIONS and left < K.EXPENSIVE_MIN_BUDGET:
-        return "low_budget_expensive_query"
-    if action == "apply":
-        if rec is None:
-            return "missing_rec_id"
-        if rec in applied:
-            return "duplicate_apply"
-        if rec not in issued:
-            return "invalid_rec_id"
-    return None
+def _loaded(text: str | None, budget: int, streak: int) -> tuple[Session, int, dict[int, tuple]]:
+    session = Session(budget, streak)
+    if text is None:
+        return session, 1, {}
+    kept = json.loads(text)
+    session.budget, session.done, session.last, session.run, session.stack, session.undone = kept["now"]
+    session.issued, session.applied = set(kept["issued"]), set(kept["applied"])
+    return session, kept["following"], {int(k): tuple(v) for k, v in kept["waiting"].items()}
+
+
+def _stored(session: Session, following: int, waiting: dict[int, tuple]) -> str:
+    now = (session.budget, session.done, session.last, session.run, session.stack, session.undone)
+    known = ([], []) if session.done else (sorted(session.issued), sorted(session.applied))
+    return json.dumps(
+        {"now": now, "issued": known[0], "applied": known[1], "following": following, "waiting": waiting}
+    )

@@ -21,8 +21,8 @@ def stream_sessions(
     """Snapshots per session: start, last step, steps in time and steps after expiry.
 
     Age counts from the first step, not from the last one, so this is no session window.
-    Rows arrive in pieces and only four numbers per session are kept; the state goes when
-    the watermark passes the expiry.
+    Rows arrive in pieces and only four numbers per session are kept. They stay when a session has
+    expired, so that a later step is rejected and does not start the session anew.
     """
 
     def update(
@@ -30,7 +30,6 @@ def stream_sessions(
     ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             created, seen, n, rejected = state.get
-            state.remove()
             yield _snapshot(key, created, seen, n, rejected, "expired")
             return
         times = [piece["at"].to_numpy(dtype="float64") for piece in pieces]
@@ -44,8 +43,10 @@ def stream_sessions(
             seen = max(seen, float(t.max()))
         state.update((created, seen, n, rejected))
         expiry = int((created + ttl_seconds) * 1000)
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield _snapshot(key, created, seen, n, rejected, "active")
+        expired = expiry <= state.getCurrentWatermarkMs()
+        if not expired:
+            state.setTimeoutTimestamp(expiry)
+        yield _snapshot(key, created, seen, n, rejected, "expired" if expired else "active")
 
     timed = steps.select("session_id", F.col("ts").cast("timestamp").alias("ts")).withColumn(
         "at", F.unix_micros("ts") / 1_000_000.0

@@ -52,46 +52,129 @@ def log(spark, request):
     return rows, recs, steps, table
 
 
-def replay_rules(rows, recs):
-    issued_at = {(s, r): step for s, r, step, _, _ in recs}
+COSTS = {"query_cleaner": 1, "query_augmenter": 1, "query_balancer": 1, "query_validator": 2, "query_analyst": 2}
+
+
+def replay_rules(rows, recs, budget=12):
+    """Step by step, with everything remembered: outcome, budget before and after, run, rule, end."""
+    ids = {}
+    for s, r, step, *_ in recs:
+        ids.setdefault((s, step), []).append(r)
     out, state = {}, {}
-    for s, step, action, rec, cost, *_ in rows:
-        st = state.setdefault(s, {"spent": 0, "hist": [], "applied": set()})
-        left = max(0, 12 - st["spent"])
-        rule, run = None, 0
-        known = rec is not None and issued_at.get((s, rec), 10**9) < step
-        if action != "rollback":
+    for s, step, action, rec, *rest in rows:
+        st = state.setdefault(s, {"left": budget, "hist": [], "issued": [], "applied": [], "stack": [], "undone": 0, "done": False})
+        left, rule, run = st["left"], None, 0
+        reached = rest[3] is not None and rest[3] >= rest[8]
+        if st["done"]:
+            out[s, step] = ("after_end", left, left, 0, None, False)
+            continue
+        if action == "rollback":
+            if st["undone"] == 3 or not st["stack"]:
+                out[s, step] = ("refused", left, left, 0, None, False)
+                continue
+            st["stack"].pop()
+            st["undone"] += 1
+            outcome, cost = "undone", 1
+        else:
             st["hist"].append(action)
             for a in reversed(st["hist"]):
                 if a != action:
                     break
                 run += 1
-            if left <= 0:
-                rule = "budget_exhausted"
-            elif run >= 3 and action != "apply":
+            if len(st["hist"]) >= 3 and len(set(st["hist"][-3:])) == 1 and action != "apply":
                 rule = "action_spam"
-            elif action == "query_analyst" and left < 3:
+            elif action in ("query_validator", "query_analyst") and left < 3:
                 rule = "low_budget_expensive_query"
-            elif action == "apply" and rec is None:
+            elif action == "apply" and not rec:
                 rule = "missing_rec_id"
             elif action == "apply" and rec in st["applied"]:
                 rule = "duplicate_apply"
-            elif action == "apply" and not known:
+            elif action == "apply" and rec not in st["issued"]:
                 rule = "invalid_rec_id"
-        if action == "apply" and known:
-            st["applied"].add(rec)
-        st["spent"] += cost
-        out[s, step] = (left, run, rule)
+            outcome, cost = ("blocked", 1) if rule else ("executed", COSTS.get(action, 0))
+            if outcome == "executed" and action == "apply":
+                st["applied"].append(rec)
+                st["stack"] = [*st["stack"], 1][-3:]
+            elif outcome == "executed":
+                st["issued"] += ids.get((s, step), [])
+        st["left"] = max(0, left - cost)
+        st["done"] = st["left"] <= 0 or (outcome == "executed" and action == "apply" and reached)
+        out[s, step] = (outcome, left, st["left"], run, rule, st["done"])
     return out
 
 
-def test_rule_audit_matches_a_replay(log):
+def told(df):
+    names = ("outcome", "budget_before", "budget_remaining", "streak", "rule", "ends_session")
+    return {(r["session_id"], r["step"]): tuple(r[n] for n in names) for r in df.collect()}
+
+
+@pytest.mark.parametrize("budget", [12, 40, 300])
+def test_rule_audit_matches_a_replay(log, budget):
     rows, recs, steps, table = log
-    got = {
-        (r["session_id"], r["step"]): (r["budget_before"], r["streak"], r["rule"])
-        for r in L.rule_audit(steps, table).collect()
-    }
-    assert got == replay_rules(rows, recs)
+    assert told(L.rule_audit(steps.repartition(5), table, budget)) == replay_rules(rows, recs, budget)
+
+
+STEPS = (
+    "session_id bigint, step bigint, action string, rec_id string, cost int, n_recs int,"
+    " accuracy_before double, accuracy_after double, missing_before double,"
+    " missing_after double, balance_before double, balance_after double, target_accuracy double"
+)
+RECS = "session_id bigint, rec_id string, step bigint, agent string, priority int"
+
+
+def session(spark, actions, recs=()):
+    """One session of (action, rec_id, accuracy_after), with recommendations (rec_id, step)."""
+    rows = [(1, i + 1, a, r, 0, 0, 0.5, acc, 0.1, 0.1, 0.3, 0.3, 0.9) for i, (a, r, acc) in enumerate(actions)]
+    table = [(1, r, step, "cleaner", 1) for r, step in recs]
+    return spark.createDataFrame(rows, STEPS), spark.createDataFrame(table, RECS)
+
+
+def test_blocked_queries_hand_nothing_out(spark):
+    steps, recs = session(
+        spark, [("query_cleaner", None, 0.5)] * 3 + [("apply", "x", 0.6)], [("w", 1), ("x", 3)]
+    )
+    audited = L.rule_audit(steps, recs)
+    got = told(audited)
+    assert [got[1, i][0] for i in range(1, 5)] == ["executed", "executed", "blocked", "blocked"]
+    assert got[1, 3][4] == "action_spam" and got[1, 4][4] == "invalid_rec_id"
+    assert [got[1, i][2] for i in range(1, 5)] == [11, 10, 9, 8]  # a blocked step costs 1, whatever it is
+    assert [r["rec_id"] for r in L.pending_recs(audited, recs).collect()] == ["w"]
+
+
+def test_blocked_and_refused_steps_have_their_own_price(spark):
+    steps, recs = session(
+        spark,
+        [("query_validator", None, 0.5)] * 3 + [("rollback", None, 0.5)] * 30 + [("apply", None, 0.5), ("query_cleaner", None, 0.5)],
+    )
+    got = told(L.rule_audit(steps, recs))
+    assert [got[1, i][2] for i in (1, 2, 3)] == [10, 8, 7]
+    assert {got[1, i][:3] for i in range(4, 34)} == {("refused", 7, 7)}
+    assert got[1, 34][:3] == ("blocked", 7, 6) and got[1, 35][:3] == ("executed", 6, 5)
+
+
+def test_nothing_counts_after_the_end(spark):
+    steps, recs = session(
+        spark,
+        [("query_cleaner", None, 0.5), ("apply", "a", 0.95), ("query_analyst", None, 0.95), ("apply", "b", 0.2), ("rollback", None, 0.5)],
+        [("a", 1), ("b", 1)],
+    )
+    audited = L.rule_audit(steps, recs)
+    assert [told(audited)[1, i][0] for i in range(1, 6)] == ["executed", "executed", *["after_end"] * 3]
+    scored = {r["step"]: (r["reward"], r["in_history"]) for r in L.score_steps(audited).collect()}
+    assert all(scored[i] == (None, False) for i in (3, 4, 5)) and scored[2][1]
+    row = L.episode_summary(L.score_steps(audited)).first()
+    assert (row["n_steps"], row["n_rewards"], row["last_accuracy"], row["success"]) == (2, 2, 0.95, True)
+
+
+def test_a_blocked_apply_uses_nothing_up(spark):
+    steps, recs = session(
+        spark, [("apply", "a", 0.6), ("query_cleaner", None, 0.6), ("rollback", None, 0.6)], [("a", 2)]
+    )
+    audited = L.rule_audit(steps, recs)
+    assert [told(audited)[1, i][0] for i in (1, 2, 3)] == ["blocked", "executed", "refused"]
+    assert [r["rec_id"] for r in L.pending_recs(audited, recs).collect()] == ["a"]
+    state = L.session_state(audited).first()
+    assert (state["accuracy_after"], state["budget_remaining"], state["asked_cleaner"]) == (0.5, 10, True)
 
 
 def replay_rollbacks(rows):
@@ -171,18 +254,16 @@ def test_scans_do_not_depend_on_the_chunk(log, chunk):
 
 
 def test_done_after_budget_or_target(spark):
-    rows = [
-        (1, 1, "query_cleaner", 11, 0.5), (1, 2, "apply", 11, 0.95), (1, 3, "apply", 11, 0.2),
-        (2, 1, "query_analyst", 0, 0.5), (2, 2, "apply", 0, 0.99), (2, 3, "rollback", 0, 0.5),
-        (3, 1, "query_cleaner", 5, 0.99),
-    ]
-    df = spark.createDataFrame(
-        rows, "session_id bigint, step bigint, action string, budget_remaining bigint, accuracy_after double"
-    ).withColumn("target_accuracy", F.lit(0.9))
-    got = {(r["session_id"], r["step"]): (r["ends_session"], r["after_end"]) for r in L.done_flags(df).collect()}
-    assert [k for k, v in got.items() if v[0]] and got[1, 2] == (True, False) and got[1, 3] == (False, True)
-    assert got[2, 1] == (True, False) and got[2, 2] == (False, True)
-    assert got[3, 1] == (False, False)  # a query that meets the target does not end the session
+    """A query that meets the target does not end a session; an apply that does, or no budget, ends it."""
+    steps, recs = session(
+        spark, [("query_cleaner", None, 0.99), ("apply", "a", 0.95), ("query_cleaner", None, 0.2)], [("a", 1)]
+    )
+    flags = {r["step"]: (r["ends_session"], r["after_end"]) for r in L.done_flags(L.rule_audit(steps, recs)).collect()}
+    assert flags == {1: (False, False), 2: (True, False), 3: (False, True)}
+    spent = L.done_flags(L.rule_audit(steps, recs, budget=1))
+    assert {r["step"]: (r["ends_session"], r["after_end"]) for r in spent.collect()} == {
+        1: (True, False), 2: (False, True), 3: (False, True),
+    }
 
 
 def test_reward_by_hand(spark):
@@ -198,7 +279,9 @@ def test_reward_by_hand(spark):
         "session_id bigint, step bigint, action string, rec_id string, n_recs int,"
         " budget_remaining bigint, accuracy_before double, accuracy_after double,"
         " missing_before double, missing_after double, balance_before double, balance_after double",
-    ).withColumns({"target_accuracy": F.lit(0.8), "rule": F.lit(None).cast("string")})
+    ).withColumns(
+        {"target_accuracy": F.lit(0.8), "outcome": F.when(F.col("action") == "rollback", "undone").otherwise("executed")}
+    )
     got = {r["step"]: r["reward"] for r in L.score_steps(df).collect()}
     query = 0.15 * 0.999 + 0.35 * 0.55 + 0.2 * 0.45 + 0.15 * (0.5 + 11 / 12 * 0.3) + 0.15 * 0.35
     apply = (
@@ -221,7 +304,13 @@ def test_next_action_follows_the_plan(spark):
         rows,
         "session_id bigint, step bigint, action string, budget_remaining bigint, missing_after double,"
         " balance_after double",
-    ).withColumns({"rec_id": F.lit(None).cast("string"), "accuracy_after": F.lit(0.5), "target_accuracy": F.lit(0.9)})
+    ).withColumns(
+        {
+            "rec_id": F.lit(None).cast("string"), "outcome": F.lit("executed"), "target_accuracy": F.lit(0.9),
+            "accuracy_before": F.lit(0.5), "accuracy_after": F.lit(0.5),
+            "missing_before": F.col("missing_after"), "balance_before": F.col("balance_after"),
+        }
+    )
     recs = spark.createDataFrame(
         [(5, "b", 1, "cleaner", 2), (5, "a", 1, "cleaner", 1)],
         "session_id bigint, rec_id string, step bigint, agent string, priority int",

@@ -12,7 +12,7 @@ from mendframe.streaming.audit import stream_audit
 from mendframe.streaming.quality import quality_windows
 from mendframe.streaming.sessions import stream_sessions
 from mendframe.streaming.sinks import latest_by, run_append, run_update
-from test_steps import make_log
+from test_steps import RECS, STEPS, make_log
 
 
 def write_parts(df, column, parts, path):
@@ -25,26 +25,37 @@ def stream(spark, df, path, per_batch=1):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-def test_audit_over_several_batches(spark):
+@pytest.mark.parametrize("batches", [1, 3, 10])
+def test_audit_does_not_depend_on_batches(spark, batches):
+    """The rows come in any order, spread over the micro-batches by a hash."""
     rows, recs = make_log(3)
-    steps = spark.createDataFrame(
-        rows,
-        "session_id bigint, step bigint, action string, rec_id string, cost int, n_recs int, a double,"
-        " accuracy_after double, m double, n double, o double, p double, target_accuracy double",
-    )
-    table = spark.createDataFrame(recs, "session_id bigint, rec_id string, step bigint, agent string, priority int")
+    steps = spark.createDataFrame(rows, STEPS)
+    table = spark.createDataFrame(recs, RECS)
     issued = table.groupBy("session_id", "step").agg(F.collect_list("rec_id").alias("issued"))
-    full = steps.join(issued, ["session_id", "step"], "left")
+    full = steps.join(issued, ["session_id", "step"], "left").withColumn("part", F.pmod(F.xxhash64("session_id", "step"), F.lit(batches)))
     path = scratch_path(spark, "audit-input")
-    for low in range(0, 120, 30):
-        part = full.filter((F.col("step") > low) & (F.col("step") <= low + 30))
-        part.coalesce(1).write.mode("append").parquet(path)
-    columns = ["session_id", "step", "budget_before", "streak", "rule"]
-    got = run_append(stream_audit(stream(spark, full, path)), "audit-test").select(columns)
+    write_parts(full, "part", batches, path)
+    columns = ["session_id", "step", "outcome", "budget_before", "streak", "rule"]
+    got = run_append(stream_audit(stream(spark, full.drop("part"), path)), "audit-test").select(columns)
     want = L.rule_audit(steps, table).select(columns)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_expired_sessions_stay_known(spark):
+    """A step long after the expiry, in a later batch, is rejected and starts nothing anew."""
+    kind = "session_id bigint, s bigint, part int"
+    rows = [(1, 0, 0), (1, 100, 0), (9, 90_000, 1), (9, 90_001, 2), (1, 180_000, 3), (9, 180_001, 3)]
+    df = spark.createDataFrame(rows, kind).select(
+        "session_id", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), "part"
+    )
+    path = scratch_path(spark, "sessions-late")
+    write_parts(df, "part", 4, path)
+    snapshots = run_append(stream_sessions(stream(spark, df.drop("part"), path), delay="1 minute"), "late-test")
+    last = snapshots.withColumn("n", F.col("n_steps") + F.col("n_rejected"))
+    got = {r["session_id"]: (r["n_steps"], r["n_rejected"]) for r in latest_by(last, ["session_id"], "n").collect()}
+    assert got == {1: (2, 1), 9: (2, 1)}
+
+
 def test_sessions_expire_from_their_start(spark):
     rows = [(1, 0), (1, 100), (1, 2000), (2, 50), (2, 1800), (3, 9000)]
     df = spark.createDataFrame(rows, "session_id bigint, s bigint").select(
