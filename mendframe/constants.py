@@ -7,7 +7,7 @@ LABEL = "label"
 ROW_ID = "_row_id"
 
 # Diagnosis thresholds (fixed values).
-MAX_RECOMMENDATIONS = 4
+TOP_RECOMMENDATIONS = 4
 MEDIAN_SKEW_LIMIT = 1.0
 LOG_SKEW_LIMIT = 2.0
 LOG_ZERO_SHARE = 0.5
@@ -17,8 +17,7 @@ MIN_ROWS_TO_AUGMENT = 10
 IQR_MULTIPLIER = 3.0
 IQR_MULTIPLIER_MEDICAL = 5.0
 AUGMENT_SHARE = 0.85
-AUGMENT_CAP = 300
-AUGMENT_WARNING = 200
+AUGMENT_WARNING_SHARE = 1.0
 BALANCED_RATIO = 0.45
 SEVERE_IMBALANCE = 0.35
 PLAN_MISSING_SHARE = 0.05
@@ -33,10 +32,10 @@ MIN_HOLDOUT_ROWS = 5
 TARGET_FACTOR = 0.97
 DEFAULT_PUBLISHED = 0.80
 REGRESSION_DROP = 0.005
-REGRESSION_ROWS_HIGH = 800
+REGRESSION_GROWTH = 0.3
 REGRESSION_MISSING = 0.15
 REGRESSION_BALANCE = 0.25
-REGRESSION_ROWS_LOW = 200
+REGRESSION_LOSS = 0.3
 TOP_FEATURES = 4
 
 # Step log rules (fixed values).
@@ -144,6 +143,37 @@ TEXT_ISSUE_SKEW = (
     "'%s' is heavily right-skewed (skew=%.1f) — log transform recommended"
 )
 
+# Reports of the augmenter, balancer and validator (fixed values).
+TEXT_AUGMENT_FEW = "Too few clean rows."
+TEXT_AUGMENT_ONE_CLASS = "Only one class present."
+TEXT_AUGMENT_FINE = "Class %s already well-represented (ratio=%.2f)."
+TEXT_AUGMENT_FOUND = "Imbalance detected: minority=%s (%d rows, ratio=%.2f)."
+SUMMARY_AUGMENT_NONE = "0 recommendations."
+SUMMARY_AUGMENT_FINE = "No augmentation needed."
+SUMMARY_AUGMENT_FOUND = "1 recommendation."
+TEXT_BALANCE_ONE_CLASS = "Only one class."
+TEXT_BALANCE_FINE = "Classes balanced (ratio=%.2f)."
+TEXT_BALANCE_FOUND = "Imbalance: ratio=%.2f (minority=%s: %d, majority=%s: %d)."
+SUMMARY_BALANCE_NONE = "0 recs."
+SUMMARY_BALANCE_FINE = "No action needed."
+SUMMARY_BALANCE_FOUND = (
+    "2 strategies: oversample minority (preserves data) OR undersample majority"
+    " (faster, loses info)."
+)
+SUMMARY_VALIDATOR = "%d recs. Budget cost: %d."
+
+# What a repair did (fixed values).
+DONE_ZEROS = "Converted %d medically-impossible zeros to NaN, then median-imputed."
+DONE_LOG = "Applied log1p transform to '%s' (was heavily right-skewed)."
+DONE_DROP_COLUMN = "Dropped redundant feature '%s'."
+DONE_DROP_ROWS = "Dropped %d rows with NaN values."
+DONE_IMPUTE = "Applied %s to ['%s']. Fixed %d missing values."
+DONE_AUGMENT = "Added %d synthetic rows for class %s via SMOTE-like interpolation."
+DONE_UNDERSAMPLE = "Undersampled majority to %d rows/class."
+DONE_OVERSAMPLE = "Oversampled class %s by %d rows."
+DONE_DUPLICATES = "Removed %d duplicate rows."
+DONE_CLIP = "Clipped '%s' outliers to [%s, %s]."
+
 # Regression causes and suggestions (fixed values).
 REGRESSION_CAUSES = {
     "large_augmentation_overfitting": (

@@ -70,15 +70,16 @@ def _candidate(section: int, pos: Column, applies: Column, **fields: Column) ->
     )
 
 
-def _ranked(summary: DataFrame, candidates: list[Column], limit: int) -> DataFrame:
-    """Keep the first ``limit`` candidates in section order, numbered from 1.
+def _ranked(summary: DataFrame, candidates: list[Column], limit: int | None = None) -> DataFrame:
+    """The candidates in section order, numbered from 1; only the first ``limit`` if one is given.
 
     The summary has one row per column or class of the schema, so one list holds it.
     """
     rows = summary.select(F.inline(F.filter(F.array(*candidates), lambda c: c["applies"])))
     ordered = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("recs"))
+    shown = F.col("recs") if limit is None else F.slice("recs", 1, limit)
     return (
-        ordered.select(F.posexplode(F.slice("recs", 1, limit)).alias("at", "rec"))
+        ordered.select(F.posexplode(shown).alias("at", "rec"))
         .select((F.col("at") + 1).alias("priority"), "rec.*")
         .select(*RECOMMENDATION)
     )
@@ -92,12 +93,12 @@ def cleaner_recommendations(
     df: DataFrame,
     meta: dict | None = None,
     dataset: str = "dataset",
-    limit: int = K.MAX_RECOMMENDATIONS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Impossible zeros, nulls, skewed columns and redundant columns, in this order.
 
-    The list is cut after ``limit`` entries in section order, so many null columns hide
-    later sections. Text columns take no fill value and are left out of the null section.
+    ``limit`` cuts the list in section order. Text columns take no fill value and are left out of
+    the null section.
     """
     rules = rules_of(meta)
     domain = (meta or {}).get("domain", "this domain")
@@ -213,21 +214,17 @@ def augmenter_recommendation(
     df: DataFrame,
     target_class: int | None = None,
     dataset: str = "dataset",
-    cap: int | None = K.AUGMENT_CAP,
+    cap: int | None = None,
     label: str = K.LABEL,
 ) -> DataFrame:
-    """Grow one class (the minority by default) towards 85% of the majority class."""
-    clean = label_summary(df, label, clean=True)
-    cls = F.col("minority") if target_class is None else F.lit(target_class)
-    if target_class is None:
-        current = clean.withColumn("current", F.col("minority_count"))
-    else:
-        rows = df.filter(S.all_present(S.data_columns(df)) & (F.col(label) == target_class))
-        current = one_row(clean, rows.agg(F.count(F.lit(1)).alias("current")))
-    goal = F.floor(F.col("majority_count") * K.AUGMENT_SHARE)
-    needed = F.greatest(F.lit(0).cast("bigint"), goal - F.col("current"))
+    """Grow one class (the minority by default) towards 85% of the majority class.
+
+    ``cap`` limits the rows to add. A class that would grow by more than its own size is warned of.
+    """
+    current = _augment_facts(df, target_class, label)
+    cls, needed = F.col("cls"), F.col("needed")
     to_add = F.least(needed, F.lit(cap)) if cap is not None else needed
-    warning = F.when(needed > K.AUGMENT_WARNING, K.TEXT_AUGMENT_WARNING).otherwise("")
+    warning = F.when(needed > F.col("current") * K.AUGMENT_WARNING_SHARE, K.TEXT_AUGMENT_WARNING).otherwise("")
     applies = (
         (F.col("n_labelled") >= K.MIN_ROWS_TO_AUGMENT) & (F.col("n_classes") >= 2) & (needed > 0)
     )
@@ -245,10 +242,65 @@ def augmenter_recommendation(
         domain_informed=F.lit(False),
         target_class=cls,
         current_count=F.col("current"),
-        target_count=goal,
+        target_count=F.col("goal"),
         n_to_add=to_add,
     )
-    return _ranked(current, [candidate], 1)
+    return _ranked(current, [candidate])
+
+
+def _augment_facts(df: DataFrame, target_class: int | None, label: str) -> DataFrame:
+    """One row: class counts, the class to grow, its rows, the rows it should have and lacks."""
+    clean = label_summary(df, label, clean=True)
+    if target_class is None:
+        facts = clean.withColumns({"cls": F.col("minority"), "current": F.col("minority_count")})
+    else:
+        rows = df.filter(S.all_present(S.data_columns(df)) & (F.col(label) == target_class))
+        facts = one_row(clean, rows.agg(F.count(F.lit(1)).alias("current"))).withColumn("cls", F.lit(target_class))
+    goal = F.floor(F.col("majority_count") * K.AUGMENT_SHARE)
+    return facts.withColumn("goal", goal).withColumn(
+        "needed", F.greatest(F.lit(0).cast("bigint"), F.col("goal") - F.col("current"))
+    )
+
+
+def augmenter_report(df: DataFrame, target_class: int | None = None, label: str = K.LABEL) -> DataFrame:
+    """One row: number of recommendations, diagnosis and summary, also when there is nothing to do."""
+    few, one = F.col("n_labelled") < K.MIN_ROWS_TO_AUGMENT, F.col("n_classes") < 2
+    fine = F.col("needed") == 0
+    return _augment_facts(df, target_class, label).select(
+        F.lit("augmenter").alias("agent"),
+        F.when(few | one | fine, 0).otherwise(1).alias("n_recommendations"),
+        F.when(few, K.TEXT_AUGMENT_FEW)
+        .when(one, K.TEXT_AUGMENT_ONE_CLASS)
+        .when(fine, F.format_string(K.TEXT_AUGMENT_FINE, F.col("cls").cast("string"), F.col("ratio_minmax")))
+        .otherwise(
+            F.format_string(
+                K.TEXT_AUGMENT_FOUND, F.col("minority").cast("string"), F.col("minority_count"), F.col("ratio_minmax")
+            )
+        )
+        .alias("diagnosis"),
+        F.when(few | one, K.SUMMARY_AUGMENT_NONE)
+        .when(fine, K.SUMMARY_AUGMENT_FINE)
+        .otherwise(K.SUMMARY_AUGMENT_FOUND)
+        .alias("summary"),
+    )
+
+
+def balancer_report(df: DataFrame, label: str = K.LABEL) -> DataFrame:
+    """One row: number of strategies, diagnosis and summary, also when there is nothing to do."""
+    one, fine = F.col("n_classes") < 2, F.col("ratio_minmax") >= K.BALANCED_RATIO
+    names = [F.col("minority").cast("string"), F.col("minority_count"), F.col("majority").cast("string"), F.col("majority_count")]
+    return label_summary(df, label, clean=True).select(
+        F.lit("balancer").alias("agent"),
+        F.when(one | fine, 0).otherwise(2).alias("n_recommendations"),
+        F.when(one, K.TEXT_BALANCE_ONE_CLASS)
+        .when(fine, F.format_string(K.TEXT_BALANCE_FINE, F.col("ratio_minmax")))
+        .otherwise(F.format_string(K.TEXT_BALANCE_FOUND, F.col("ratio_minmax"), *names))
+        .alias("diagnosis"),
+        F.when(one, K.SUMMARY_BALANCE_NONE)
+        .when(fine, K.SUMMARY_BALANCE_FINE)
+        .otherwise(K.SUMMARY_BALANCE_FOUND)
+        .alias("summary"),
+    )
 
 
 def balancer_recommendations(
@@ -286,7 +338,7 @@ def balancer_recommendations(
             K.TRADEOFF_UNDERSAMPLE, majority, minority,
         ),
     ]
-    return _ranked(counts, offers, len(offers))
+    return _ranked(counts, offers)
 
 
 def _domain_multiplier(meta: dict | None) -> float:
@@ -313,7 +365,7 @@ def validator_recommendations(
     df: DataFrame,
     meta: dict | None = None,
     dataset: str = "dataset",
-    limit: int = K.MAX_RECOMMENDATIONS,
+    limit: int | None = None,
     **options,
 ) -> DataFrame:
     """Remove duplicates and clip columns with extreme values."""
@@ -344,7 +396,7 @@ def validator_recommendations(
 
 
 def validator_report(df: DataFrame, meta: dict | None = None, **options) -> DataFrame:
-    """One row with the full list of violations, before the cut to four recommendations."""
+    """One row with the full list of violations."""
     text = F.when(
         F.col("column").isNull(), F.format_string("duplicate_rows: %d", "found")
     ).otherwise(F.format_string("outliers_%s: %d", "column", "found"))
@@ -362,6 +414,7 @@ def validator_report(df: DataFrame, meta: dict | None = None, **options) -> Data
         .alias("diagnosis"),
         F.lit(f"IQR threshold: {multiplier}× (domain={domain})").alias("domain_note"),
         F.lit(K.QUERY_COSTS["query_validator"]).alias("budget_cost"),
+        F.format_string(K.SUMMARY_VALIDATOR, n, F.lit(K.QUERY_COSTS["query_validator"])).alias("summary"),
     )
 
 

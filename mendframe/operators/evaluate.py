@@ -155,13 +155,15 @@ def regression_explanation(
     train: DataFrame,
     previous: float,
     accuracy: float,
-    rows_high: int = K.REGRESSION_ROWS_HIGH,
-    rows_low: int = K.REGRESSION_ROWS_LOW,
+    start_rows: int,
+    growth: float = K.REGRESSION_GROWTH,
+    loss: float = K.REGRESSION_LOSS,
     label: str = K.LABEL,
 ) -> DataFrame:
     """Likely cause of a drop in accuracy; no row unless it fell by more than 0.005.
 
-    The row limits suit small tables and are parameters.
+    A table counts as heavily augmented or thinned out by the share of rows it has gained or lost
+    since the start of the session (``start_rows``), so the answer does not depend on its size.
     """
     columns = S.data_columns(train)
     facts = one_row(
@@ -174,10 +176,10 @@ def regression_explanation(
     rows = F.col("n_rows")
     share = F.col("n_missing_cells") / F.greatest(rows * len(columns), F.lit(1))
     cause = (
-        F.when(rows > rows_high, "large_augmentation_overfitting")
+        F.when(rows > start_rows * (1 + growth), "large_augmentation_overfitting")
         .when(share > K.REGRESSION_MISSING, "high_residual_missing")
         .when(F.col("balance_ratio") < K.REGRESSION_BALANCE, "worsened_class_imbalance")
-        .when(rows < rows_low, "too_few_training_rows")
+        .when(rows < start_rows * (1 - loss), "too_few_training_rows")
         .otherwise("unknown")
     )
     advice = F.create_map(*[F.lit(x) for pair in K.REGRESSION_CAUSES.items() for x in pair])

@@ -1,10 +1,11 @@
-"""Exact k nearest neighbours without comparing all rows.
-
-Rows are assigned to the nearest of a few pivots and cut into blocks of bounded size. A first
-pass inside each block gives every row an upper bound on its k-th distance; the triangle
-inequality then rules out all cells that cannot hold a closer row, and only the rest is
-compared, block against block, keeping k rows per query and block.
-(Lu et al., "Efficient Processing of k Nearest Neighbor Joins using MapReduce", VLDB 2012.)
+"""Exact k nearest neighbours, block against block.
+
+Rows are assigned to the nearest of a few pivots and cut into blocks of bounded size. Inside each
+block every row gets an upper bound on its k-th distance; the triangle inequality between pivots
+then rules out pairs of blocks that cannot hold a closer row, and each pair that is left is compared
+once, for both sides, by one matrix product. (After Lu et al., "Efficient Processing of k Nearest
+Neighbor Joins using MapReduce", VLDB 2012.) In many dimensions little can be ruled out and the
+work is that of all pairs; blocks keep it spread and its memory bounded.
 """
 
 from __future__ import annotations
@@ -13,29 +14,57 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mendframe.constants import SEED
 from mendframe.functions.hashing import hash_hex, hash_slot
 from mendframe.session import materialise
 
 BLOCK_BYTES = 4_000_000
-MAX_BLOCK_ROWS = 4_096
+MIN_BLOCK_ROWS, MAX_BLOCK_ROWS = 64, 4_096
+#: Blocks per core that a small table is cut into.
+BLOCKS_PER_CORE = 2
 MAX_PIVOTS = 256
 ROUNDING = 6
 SLACK = 1e-5
-CHUNK_BYTES = 64_000_000
 COPY_SALTS = 64
+BLOCK = ["by", "cell", "part"]
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, in chunks of bounded memory."""
-    step = max(1, CHUNK_BYTES // max(1, b.size * 8))
-    parts = [
-        np.sqrt(((a[i : i + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-        for i in range(0, len(a), step)
-    ]
-    return np.concatenate(parts) if parts else np.empty((0, len(b)))
+    """Euclidean distances by one product; off by rounding, so good for bounds and shortlists only."""
+    squares = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(squares, 0))
+
+
+def slack(a: np.ndarray, b: np.ndarray) -> float:
+    """More than the error of ``distances`` and of rounding together."""
+    largest = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
+    return SLACK + 1e-6 * largest * max(1, a.shape[1]) ** 0.5
+
+
+def closest(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, k: int) -> tuple:
+    """The k nearest rows of ``b`` for each row of ``a``: row numbers of both and rounded distances."""
+    rough = distances(a, b)
+    rough[a_ids[:, None] == b_ids[None, :]] = np.inf
+    if len(b) > k:
+        last = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
+        mine, other = np.nonzero((rough <= last + 2 * slack(a, b)) & np.isfinite(rough))
+    else:
+        mine, other = np.nonzero(np.isfinite(rough))
+    # Only the shortlist is measured exactly, then ranked with ties to the smaller id.
+    exact = np.concatenate(
+        [np.zeros(0), *(np.sqrt(((a[mine[s]] - b[other[s]]) ** 2).sum(axis=1)) for s in _slices(len(mine)))]
+    )
+    exact = np.round(exact, ROUNDING)
+    order = np.lexsort((b_ids[other], exact, mine))
+    mine, other, exact = mine[order], other[order], exact[order]
+    rank = np.arange(len(mine)) - np.searchsorted(mine, mine)
+    kept = rank < k
+    return mine[kept], other[kept], exact[kept]
+
+
+def _slices(n: int, size: int = 65_536):
+    return [slice(i, i + size) for i in range(0, n, size)]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -47,27 +76,29 @@ def nearest_neighbours(
     k: int,
     seed: int = SEED,
     block_rows: int | None = None,
+    by: str | None = None,
 ) -> DataFrame:
     """The k nearest other rows of each row: (id, rank, neighbour, distance).
 
-    ``points`` has ``id`` (unique) and ``vec`` (array<double>). Distances are rounded to six
-    places and ties go to the smaller id. Copies of one vector are collapsed first: only
-    their k + 1 smallest ids can be anyone's neighbours, so a large group of copies costs
-    no more than one row. The rows are read several times: pass a stored table.
+    ``points`` has ``id`` (unique) and ``vec`` (array<double>); with ``by`` only rows of one value
+    of that column are neighbours. Distances are rounded to six places and ties go to the smaller
+    id. Copies of one vector are collapsed first: only their k + 1 smallest ids can be anyone's
+    neighbours, so a large group of copies costs no more than one row. The rows are read several
+    times: pass a stored table.
     """
-    points = points.select("id", "vec")
-    salted = Window.partitionBy("vec", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS))).orderBy("id")
+    points = points.select("id", "vec", (F.col(by) if by else F.lit(0)).alias("by"))
+    salted = Window.partitionBy("by", "vec", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS))).orderBy("id")
     firsts = points.withColumn("_r", F.row_number().over(salted)).filter(F.col("_r") <= k + 1)
-    merged = Window.partitionBy("vec").orderBy("id")
+    merged = Window.partitionBy("by", "vec").orderBy("id")
     copies = (
         firsts.withColumn("_r", F.row_number().over(merged))
         .filter(F.col("_r") <= k + 1)
-        .groupBy("vec")
+        .groupBy("by", "vec")
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        .select(F.col("ids")[0].alias("id"), "vec", "ids")
+        .select(F.col("ids")[0].alias("id"), "by", "vec", "ids")
     )
     copies = materialise(copies, "copies")
-    near = _nearest_distinct(copies.select("id", "vec"), k, seed, block_rows)
+    near = _nearest_distinct(copies.select("id", "by", "vec"), k, seed, block_rows)
     members = copies.select(F.col("id").alias("neighbour"), F.col("ids").alias("_ids"))
     others = near.join(members, "neighbour").select("id", "distance", F.explode("_ids").alias("near"))
     own = copies.select("id", F.lit(0.0).alias("distance"), F.explode("ids").alias("near"))
@@ -77,9 +108,9 @@ def nearest_neighbours(
         .groupBy("id")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "near"))), 1, k + 1).alias("l"))
     )
-    per_vector = copies.select("id", "vec").join(lists, "id").select("vec", "l")
+    per_vector = copies.select("id", "by", "vec").join(lists, "id").select("by", "vec", "l")
     return (
-        points.join(per_vector, "vec")
+        points.join(per_vector, ["by", "vec"])
         .select(
             "id",
             F.posexplode(F.slice(F.filter("l", lambda x: x["near"] != F.col("id")), 1, k)).alias(
@@ -99,12 +130,15 @@ def _nearest_distinct(
     points: DataFrame, k: int, seed: int, block_rows: int | None
 ) -> DataFrame:
     """Nearest neighbours among distinct vectors: (id, neighbour, distance)."""
+    spark = points.sparkSession
     size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     id_type = points.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, neighbour {id_type}, distance double"
     if size["n"] < 2:
-        return points.sparkSession.createDataFrame([], schema)
-    rows = block_rows or min(MAX_BLOCK_ROWS, max(64, BLOCK_BYTES // (8 * size["d"])))
+        return spark.createDataFrame([], schema)
+    most = min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, BLOCK_BYTES // (8 * size["d"])))
+    even = -(-size["n"] // (BLOCKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    rows = block_rows or min(most, max(MIN_BLOCK_ROWS, even))
     n_pivots = int(min(MAX_PIVOTS, max(1, size["n"] // rows)))
     # At most 256 rows.
     picked = points.orderBy(hash_hex(seed, "pivots", "id")).limit(n_pivots)
@@ -118,84 +152,68 @@ def _nearest_distinct(
         cell = d.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "away": d[np.arange(len(d)), cell]})
 
-    celled = points.withColumn("_a", assign("vec")).select("id", "vec", "_a.cell", "_a.away")
-    # One row per pivot.
-    cells = {
-        r["cell"]: (r["n"], r["near"], r["far"])
-        for r in celled.groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("near"), F.max("away").alias("far"))
-        .collect()
-    }
-    parts = {c: int(-(-n // rows)) for c, (n, _, _) in cells.items()}
-    base = {}
-    for c in sorted(parts):
-        base[c] = sum(parts[x] for x in base)
-    start = F.create_map(*[F.lit(x) for c in sorted(parts) for x in (c, base[c])])
-    width = F.create_map(*[F.lit(x) for c in sorted(parts) for x in (c, parts[c])])
+    celled = materialise(
+        points.withColumn("_a", assign("vec")).select("id", "by", "vec", "_a.cell", "_a.away"), "cells"
+    )
+    parts = celled.groupBy("by", "cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
     slot = hash_slot(hash_hex(seed, "blocks", "id"))
-    blocked = celled.withColumn(
-        "block", (start[F.col("cell")] + F.pmod(slot, width[F.col("cell")])).cast("int")
-    ).drop("away", "cell")
-
-    order = sorted(cells)
-    centre = pivots[order]
-    near = np.array([cells[c][1] for c in order])
-    far = np.array([cells[c][2] for c in order])
-    ranges = [np.arange(base[c], base[c] + parts[c], dtype="int32") for c in order]
+    blocked = materialise(
+        celled.join(parts, ["by", "cell"])
+        .withColumn("part", F.pmod(slot, F.col("parts")))
+        .select(*BLOCK, "id", "vec", "away"),
+        "blocks",
+    )
 
-    def route(block: pd.DataFrame) -> pd.DataFrame:
+    def reach(block: pd.DataFrame) -> pd.DataFrame:
+        """How far the k-th neighbour within the block can be, and how far its rows are from the pivot."""
         vecs = _matrix(block["vec"])
-        if len(vecs) > k:
-            # The k-th distance within the block, counted without the row itself.
-            bound = np.partition(distances(vecs, vecs), k, axis=1)[:, k] + SLACK
-        else:
-            bound = np.full(len(vecs), np.inf)
-        d = distances(vecs, centre)
-        closest = np.maximum(d - far, near - d)
-        reach = closest <= bound[:, None]
-        block["targets"] = [np.concatenate([ranges[i] for i in np.flatnonzero(r)]) for r in reach]
-        return block[["id", "vec", "block", "targets"]]
-
-    routed_schema = T.StructType(
-        [*blocked.schema.fields, T.StructField("targets", T.ArrayType(T.IntegerType()))]
+        bound = np.partition(distances(vecs, vecs), k, axis=1)[:, k].max() if len(vecs) > k else np.inf
+        first = block.iloc[:1][BLOCK]
+        return first.assign(bound=bound, far=block["away"].max(), slack=slack(vecs, pivots))
+
+    by_type = points.schema["by"].dataType.simpleString()
+    summary = f"by {by_type}, cell int, part int, bound double, far double, slack double"
+    stats = materialise(blocked.groupBy(*BLOCK).applyInPandas(reach, summary), "reach")
+    apart = distances(pivots, pivots)
+    between = spark.createDataFrame(
+        pd.DataFrame(
+            {"cell": np.repeat(np.arange(n_pivots), n_pivots), "cell_b": np.tile(np.arange(n_pivots), n_pivots), "apart": apart.ravel()}
+        ),
+        "cell int, cell_b int, apart double",
     )
-    routed = materialise(
-        blocked.groupBy("block").applyInPandas(route, routed_schema.simpleString()[7:-1]), "routed"
+    # One row per block on either side; a block meets those of its own group only.
+    second = stats.select("by", *[F.col(c).alias(f"{c}_b") for c in ("cell", "part", "bound", "far", "slack")])
+    once = F.struct("cell", "part") <= F.struct("cell_b", "part_b")
+    near_enough = F.col("apart") - F.col("far") - F.col("far_b") <= F.greatest("bound", "bound_b") + F.col("slack") + F.col("slack_b")
+    pairs = materialise(
+        stats.join(second, "by")
+        .filter(once)
+        .join(F.broadcast(between), ["cell", "cell_b"])
+        .filter(near_enough)
+        .select("by", "cell", "part", "cell_b", "part_b"),
+        "block-pairs",
     )
-    queries = routed.select("id", "vec", F.col("block").alias("from"), F.explode("targets").alias("to"))
-    pairs = queries.select(F.col("from").alias("asked_by"), F.col("to").alias("holder")).distinct()
-    others = routed.select(
-        F.col("id").alias("other"), F.col("vec").alias("other_vec"), F.col("block").alias("holder")
-    ).join(pairs, "holder")
-
-    def closest_rows(query: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if query.empty or other.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        ids, found = query["id"].to_numpy(), other["other"].to_numpy()
-        d = np.round(distances(_matrix(query["vec"]), _matrix(other["other_vec"])), ROUNDING)
-        d[ids[:, None] == found[None, :]] = np.inf
-        kept = []
-        for row in d:
-            # All rows up to the k-th distance, ties included, then the exact order.
-            last = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            near = np.flatnonzero((row <= last) & np.isfinite(row))
-            kept.append(near[np.lexsort((found[near], row[near]))][:k])
-        sizes = [len(x) for x in kept]
-        columns = np.concatenate(kept)
-        return pd.DataFrame(
-            {
-                "id": np.repeat(ids, sizes),
-                "neighbour": found[columns],
-                "distance": d[np.repeat(np.arange(len(ids)), sizes), columns],
-            }
-        )
-
-    near_rows = (
-        queries.groupBy("from", "to")
-        .cogroup(others.groupBy("asked_by", "holder"))
-        .applyInPandas(closest_rows, schema)
+    key = [*BLOCK, "cell_b", "part_b"]
+    left = blocked.drop("away").join(pairs, BLOCK).select(*key, "id", "vec")
+    mirrored = blocked.toDF(*[f"{c}_b" for c in BLOCK], "id", "vec", "away").withColumnRenamed("by_b", "by")
+    right = mirrored.drop("away").join(pairs, ["by", "cell_b", "part_b"]).select(
+        *[F.col(c).alias(f"_{c}") for c in key], "id", "vec"
     )
-    # At most k rows per query and block reach this window.
+
+    def compare(block: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if block.empty or other.empty:
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+        a, b = _matrix(block["vec"]), _matrix(other["vec"])
+        a_ids, b_ids = block["id"].to_numpy(), other["id"].to_numpy()
+        same = (block["cell"].iloc[0], block["part"].iloc[0]) == (block["cell_b"].iloc[0], block["part_b"].iloc[0])
+        found = []
+        for x, y, x_ids, y_ids in ((a, b, a_ids, b_ids),) if same else ((a, b, a_ids, b_ids), (b, a, b_ids, a_ids)):
+            mine, theirs, d = closest(x, y, x_ids, y_ids, k)
+            found.append(pd.DataFrame({"id": x_ids[mine], "neighbour": y_ids[theirs], "distance": d}))
+        return pd.concat(found)
+
+    near_rows = left.groupBy(*key).cogroup(right.groupBy(*[f"_{c}" for c in key])).applyInPandas(compare, schema)
+    # At most k rows per row and pair of blocks reach this window.
     best = Window.partitionBy("id").orderBy("distance", "neighbour")
     return (
         near_rows.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
@@ -204,5 +222,3 @@ def _nearest_distinct(
 
 def vector_of(columns: list[str]):
     return F.array(*[F.col(c).cast("double") for c in columns])
-
-

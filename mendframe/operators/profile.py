@@ -110,17 +110,32 @@ def outlier_profile(
     df: DataFrame, multiplier: float = IQR_MULTIPLIER, columns: list[str] | None = None, **options
 ) -> DataFrame:
     """Outlier count and fences per numeric column."""
+    return outlier_profiles(df, [multiplier], columns, **options).drop("multiplier")
+
+
+def outlier_profiles(
+    df: DataFrame, multipliers: list[float], columns: list[str] | None = None, **options
+) -> DataFrame:
+    """The same for several multipliers: quartiles are fitted once, and one scan counts for all."""
     columns = columns or S.numeric_features(df)
-    bounds = iqr_bounds(fit_quantiles(df, columns, [0.25, 0.75], **options), multiplier)
-    exprs = []
-    for i, c in enumerate(columns):
-        low, high = bounds.get(c, (None, None))
-        exprs += [
-            _outliers(c, bounds).alias(f"n_outliers__{i}"),
-            F.lit(low).cast("double").alias(f"lower__{i}"),
-            F.lit(high).cast("double").alias(f"upper__{i}"),
-        ]
-    return unpivot_row(df.agg(*exprs), columns, ["n_outliers", "lower", "upper"])
+    quartiles = fit_quantiles(df, columns, [0.25, 0.75], **options)
+    exprs, cells = [], []
+    for m, multiplier in enumerate(multipliers):
+        bounds = iqr_bounds(quartiles, multiplier)
+        for i, c in enumerate(columns):
+            low, high = bounds.get(c, (None, None))
+            exprs.append(_outliers(c, bounds).alias(f"o__{m}_{i}"))
+            cells.append(
+                F.struct(
+                    F.lit(i).alias("ord"), F.lit(c).alias("column"), F.lit(multiplier).alias("multiplier"),
+                    F.col(f"o__{m}_{i}").alias("n_outliers"),
+                    F.lit(low).cast("double").alias("lower"), F.lit(high).cast("double").alias("upper"),
+                )
+            )
+    if not columns:
+        kinds = "ord int, column string, multiplier double, n_outliers bigint, lower double, upper double"
+        return df.sparkSession.createDataFrame([], kinds)
+    return df.agg(*exprs).select(F.inline(F.array(*cells)))
 
 
 def missing_summary(df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -1,10 +1,9 @@
-"""Exact quantiles with linear interpolation, at any size.
+"""Exact quantiles with linear interpolation, at any size and by one path.
 
-Up to ``BUFFER_VALUES`` values the built-in ``percentile`` is used: one pass, one buffer of
-distinct values. Beyond it that buffer would grow with the data, so values are first
-collapsed to (value, count), and the order statistic is found by narrowing histograms:
-every level keeps a bounded number of buckets and looks only into the one bucket that
-holds the wanted rank.
+The first scan counts values per sixty-fourth of an octave; the counts combine in each task, so
+neither a hot value nor the number of rows matters, and they tell which bucket holds each wanted
+rank. While such a bucket holds more than ``FINAL_ROWS`` different places, one more scan counts
+its sub-buckets. The last scan collects the values of the buckets that are left, by value.
 """
 
 from __future__ import annotations
@@ -14,135 +13,129 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUFFER_VALUES = 4_000_000
 STEPS_PER_OCTAVE = 64
 SUB_BUCKETS = 65_536
-NARROWING_LEVELS = 3
+FINAL_ROWS = 200_000
 RANK_BUCKETS = 4_096
 
 
 def fit_quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probs: list[float],
-    buffer_values: int = BUFFER_VALUES,
+    df: DataFrame, columns: list[str], probs: list[float], final_rows: int = FINAL_ROWS
 ) -> dict[str, list[float | None]]:
     """Exact quantiles per column, nulls ignored; None for a column without values."""
     if not columns:
         return {}
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if values.count() * len(columns) <= buffer_values:
-        row = values.agg(
-            *[F.percentile(c, probs).alias(f"q{i}") for i, c in enumerate(columns)]
-        ).first()
-        found = {c: row[f"q{i}"] for i, c in enumerate(columns)}
-        return {c: list(q) if q is not None else [None] * len(probs) for c, q in found.items()}
-    return _select_ranks(values, columns, probs)
-
-
-def fit_medians(df: DataFrame, columns: list[str], **options) -> dict[str, float | None]:
-    return {c: q[0] for c, q in fit_quantiles(df, columns, [0.5], **options).items()}
-
-
-def _octave(v: Column) -> Column:
-    """Monotone bucket number of a double: sign and a 64th of an octave of the magnitude."""
-    size = F.floor(
-        F.least(F.log2(F.abs(v)), F.lit(1025.0)) * STEPS_PER_OCTAVE
-    ) + F.lit(1080 * STEPS_PER_OCTAVE)
-    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("bigint")
-
-
-def _select_ranks(
-    values: DataFrame, columns: list[str], probs: list[float]
-) -> dict[str, list[float | None]]:
-    spark = values.sparkSession
-    stacked = values.select(
+    values = df.select(
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(i).alias("ci"), (F.col(c) + F.lit(0.0)).alias("v"))
+                    F.struct(F.lit(i).alias("ci"), (F.col(c).cast("double") + F.lit(0.0)).alias("v"))
                     for i, c in enumerate(columns)
                 ]
             )
         )
     ).filter(F.col("v").isNotNull())
-    # Hot values collapse map-side here; everything below works on distinct values.
-    distinct = stacked.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("n")).persist()
-    try:
-        sizes = {r["ci"]: r["n"] for r in distinct.groupBy("ci").agg(F.sum("n").alias("n")).collect()}
-        wanted = {}
-        for i in range(len(columns)):
-            for p in probs:
-                position = p * (sizes.get(i, 0) - 1)
-                wanted[i, p] = (math.floor(position), math.ceil(position), position % 1)
-        ranks = sorted(
-            {(i, r) for (i, _), (a, b, _) in wanted.items() if i in sizes for r in (a, b)}
-        )
-        if not ranks:
-            return {c: [None] * len(probs) for c in columns}
-        # One row per wanted order statistic: bounded by columns x quantiles.
-        targets = spark.createDataFrame(ranks, "ci int, rank bigint").withColumn(
-            "left", F.col("rank")
-        )
-        tagged = distinct.withColumn("b0", _octave(F.col("v"))).join(
-            F.broadcast(targets), "ci"
-        )
-        targets = _narrow(tagged, "b0")
-        for level in range(1, NARROWING_LEVELS + 1):
-            inside = _inside(distinct, targets, level)
-            targets = _narrow(inside, f"b{level}")
-        last = Window.partitionBy("ci", "rank").orderBy("v")
-        hits = (
-            _inside(distinct, targets, None)
-            .withColumn("upto", F.sum("n").over(last))
-            .filter((F.col("upto") - F.col("n") <= F.col("left")) & (F.col("left") < F.col("upto")))
-            .select("ci", "rank", "v")
-        )
-        found = {(r["ci"], r["rank"]): r["v"] for r in hits.collect()}
-    finally:
-        distinct.unpersist()
+    # One row per wanted order statistic, as everywhere below: columns x quantiles x 2.
+    found = _first_buckets(values, probs).collect()
+    wanted = {(r["ci"], r["p"], r["end"]): r for r in found}
+    at = {k: (r["ci"], r["left"], r["lo"], r["hi"], r["n"]) for k, r in wanted.items()}
+    while wide := {b for b in at.values() if b[2] < b[3] and b[4] > final_rows}:
+        narrowed = _narrow(values, wide)
+        at = {k: narrowed.get(b, b) for k, b in at.items()}
+    last = _settle(values, {b for b in at.values() if b[2] < b[3]})
+    exact = {k: b[2] if b[2] == b[3] else last[b] for k, b in at.items()}
     result: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
         result[c] = []
-        for p in probs:
-            low, high, part = wanted[i, p]
-            if i not in sizes:
+        for j in range(len(probs)):
+            if (i, j, 0) not in wanted:
                 result[c].append(None)
                 continue
-            a, b = found[i, low], found[i, high]
-            result[c].append(a if part == 0 else (1.0 - part) * a + part * b)
+            part, low, high = wanted[i, j, 0]["part"], exact[i, j, 0], exact[i, j, 1]
+            result[c].append(low if part == 0 else (1.0 - part) * low + part * high)
     return result
 
 
-def _narrow(tagged: DataFrame, bucket: str) -> DataFrame:
-    """The bucket that holds each wanted rank, its bounds and the rank left inside it."""
-    histogram = tagged.groupBy("ci", "rank", "left", bucket).agg(
-        F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+def fit_medians(df: DataFrame, columns: list[str], **options) -> dict[str, float | None]:
+    return {c: q[0] for c, q in fit_quantiles(df, columns, [0.5], **options).items()}
+
+
+def _octave(v: Column) -> Column:
+    """Monotone bucket number of a double: sign and a 64th of an octave of the magnitude."""
+    size = F.floor(
+        F.least(F.log2(F.abs(v)), F.lit(1025.0)) * STEPS_PER_OCTAVE
+    ) + F.lit(1080 * STEPS_PER_OCTAVE)
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("bigint")
+
+
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+
+def _first_buckets(values: DataFrame, probs: list[float]) -> DataFrame:
+    """The bucket of the ranks below and above each quantile, and the rank within it."""
+    histogram = _counted(values.withColumn("b", _octave(F.col("v"))), ["ci", "b"])
+    whole, running = Window.partitionBy("ci"), Window.partitionBy("ci").orderBy("b")
+    sized = histogram.withColumns({"total": F.sum("n").over(whole), "upto": F.sum("n").over(running)})
+    position = F.col("prob") * (F.col("total") - 1)
+    asked = F.array(*[F.struct(F.lit(j).alias("p"), F.lit(float(q)).alias("prob")) for j, q in enumerate(probs)])
+    ends = F.array(
+        F.struct(F.lit(0).alias("end"), F.floor(position).alias("rank")),
+        F.struct(F.lit(1).alias("end"), F.ceil(position).alias("rank")),
     )
-    running = Window.partitionBy("ci", "rank").orderBy(bucket)
-    rows = (
-        histogram.withColumn("upto", F.sum("n").over(running))
-        .filter((F.col("upto") - F.col("n") <= F.col("left")) & (F.col("left") < F.col("upto")))
-        .select(
-            "ci", "rank", (F.col("left") - F.col("upto") + F.col("n")).alias("left"), "lo", "hi"
-        )
-        .collect()
+    return (
+        sized.select("*", F.inline(asked))
+        .withColumn("part", position - F.floor(position))
+        .select("*", F.inline(ends))
+        .filter((F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+        .withColumn("left", F.col("rank") - F.col("upto") + F.col("n"))
     )
-    schema = "ci int, rank bigint, left bigint, lo double, hi double"
-    return tagged.sparkSession.createDataFrame(rows, schema)
 
 
-def _inside(distinct: DataFrame, targets: DataFrame, level: int | None) -> DataFrame:
-    """Distinct values within the bounds of each target, with the bucket of the next level."""
-    joined = distinct.join(F.broadcast(targets), "ci").filter(
-        F.col("v").between(F.col("lo"), F.col("hi"))
+Bucket = tuple[int, int, float, float, int]
+
+
+def _inside(values: DataFrame, buckets: set[Bucket]) -> tuple[DataFrame, DataFrame]:
+    """The values within the bounds of each bucket, and the ranks that are wanted of it."""
+    spark = values.sparkSession
+    number = {key: i for i, key in enumerate(sorted({(c, lo, hi) for c, _, lo, hi, _ in buckets}))}
+    bounds = spark.createDataFrame([(i, *key) for key, i in number.items()], "bid int, ci int, low double, high double")
+    ranks = spark.createDataFrame(
+        [(number[c, lo, hi], left) for c, left, lo, hi in sorted({b[:4] for b in buckets})], "bid int, left bigint"
     )
-    if level is None:
-        return joined
+    held = values.join(F.broadcast(bounds), "ci").filter(F.col("v").between(F.col("low"), F.col("high")))
+    return held, F.broadcast(ranks)
+
+
+def _picked(histogram: DataFrame, ranks: DataFrame, order: str) -> list:
+    """The row of a histogram that holds each wanted rank, and the rank within it."""
+    running = Window.partitionBy("bid").orderBy(order)
+    hit = (F.col("upto") - F.col("n") <= F.col("left")) & (F.col("left") < F.col("upto"))
+    counted = histogram.withColumn("upto", F.sum("n").over(running)).join(ranks, "bid").filter(hit)
+    return counted.withColumn("inside", F.col("left") - F.col("upto") + F.col("n")).collect()
+
+
+def _narrow(values: DataFrame, buckets: set[Bucket]) -> dict[Bucket, Bucket]:
+    """Where each wide bucket's rank lies among equal parts of it."""
+    held, ranks = _inside(values, buckets)
     # Halved operands keep the width finite even for bounds of opposite sign.
-    width = F.col("hi") / 2 - F.col("lo") / 2
-    share = F.coalesce(F.try_divide(F.col("v") / 2 - F.col("lo") / 2, width), F.lit(0.0))
-    return joined.withColumn(f"b{level}", F.floor(share * SUB_BUCKETS).cast("bigint"))
+    width = F.col("high") / 2 - F.col("low") / 2
+    share = F.coalesce(F.try_divide(F.col("v") / 2 - F.col("low") / 2, width), F.lit(0.0))
+    rows = held.withColumn("b", F.floor(share * SUB_BUCKETS).cast("bigint"))
+    found = _picked(_counted(rows, ["bid", "ci", "low", "high", "b"]), ranks, "b")
+    at = {(r["ci"], r["left"], r["low"], r["high"]): (r["ci"], r["inside"], r["lo"], r["hi"], r["n"]) for r in found}
+    # Bounds that no part can tell apart hold neighbouring doubles: they are settled by value.
+    return {b: at[b[:4]] if at[b[:4]][4] < b[4] else (*b[:4], 0) for b in buckets}
+
+
+def _settle(values: DataFrame, buckets: set[Bucket]) -> dict[Bucket, float]:
+    """The value at the rank of each bucket, from its values and their counts."""
+    if not buckets:
+        return {}
+    held, ranks = _inside(values, buckets)
+    found = _picked(_counted(held, ["bid", "ci", "low", "high", "v"]), ranks, "v")
+    at = {(r["ci"], r["left"], r["low"], r["high"]): r["v"] for r in found}
+    return {b: at[b[:4]] for b in buckets}
 
 
 def fit_order_statistic(df: DataFrame, column: str, rank: int) -> int | None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mendframe.constants import ROW_ID
 from mendframe.functions.hashing import hash_bucket, hash_hex
-from mendframe.operators.sizing import BROADCAST_ROWS, null_safe_join, small_side
+from mendframe.operators.sizing import null_safe_join, small_side
 from mendframe.session import materialise
 
 PICKED = "_picked"
@@ -84,38 +84,40 @@ def pick_smallest(
 
 
 def dense_index(
-    df: DataFrame, seed: int, stream: str, row_id: str = ROW_ID, name: str = "_idx"
+    df: DataFrame, seed: int, stream: str, row_id: str = ROW_ID, name: str = "_idx", by: str | None = None
 ) -> DataFrame:
-    """Number rows 0..n-1 in digest order: sort within 65,536 buckets plus a running offset."""
-    hashed = df.withColumn("_h", hash_hex(seed, stream, row_id)).withColumn(
-        "_b", hash_bucket(F.col("_h"))
-    )
+    """Number rows 0..n-1 in digest order: sort within 65,536 buckets plus a running offset.
+
+    With ``by`` every group is numbered by itself, in the order of the stream ``stream/group``.
+    """
+    if by is None:
+        digest, keys = hash_hex(seed, stream, row_id), ["_b"]
+        ordered = Window.orderBy("_b")
+    else:
+        digest = F.md5(F.concat(F.lit(f"{seed}|{stream}/"), F.col(by).cast("string"), F.lit("|"), F.col(row_id).cast("string")))
+        keys, ordered = [by, "_b"], Window.partitionBy(by).orderBy("_b")
+    hashed = df.withColumn("_h", digest).withColumn("_b", hash_bucket(F.col("_h")))
     offsets = (
-        hashed.groupBy("_b")
+        hashed.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(Window.orderBy("_b")))
-        .select("_b", (F.col("_upto") - F.col("_n")).alias("_offset"))
+        .withColumn("_upto", F.sum("_n").over(ordered))
+        .select(*keys, (F.col("_upto") - F.col("_n")).alias("_offset"))
     )
-    # At most 65,536 rows by construction of the bucket number.
-    placed = hashed.join(F.broadcast(offsets), "_b")
-    position = F.row_number().over(Window.partitionBy("_b").orderBy("_h", row_id))
+    # At most 65,536 rows per group by construction of the bucket number.
+    placed = hashed.join(F.broadcast(offsets) if by is None else offsets, keys)
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", row_id))
     return placed.withColumn(name, (position - 1 + F.col("_offset")).cast("bigint")).drop(
         "_h", "_b", "_offset"
     )
 
 
-def value_codes(
-    values: DataFrame, column: str, name: str = "_code", sort_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def value_codes(values: DataFrame, column: str, name: str = "_code") -> DataFrame:
     """Number distinct values 0..k-1 in sorted order.
 
-    Few values are sorted by one task. Many are range-partitioned and stored, so that the
-    partition numbers stay fixed, and numbered within their partition plus an offset.
+    They are range-partitioned and stored, so that the partition numbers stay fixed, and numbered
+    within their partition plus an offset.
     """
     distinct = values.select(column).filter(F.col(column).isNotNull()).distinct()
-    if distinct.limit(sort_rows + 1).count() <= sort_rows:
-        order = F.row_number().over(Window.orderBy(column))
-        return distinct.withColumn(name, (order - 1).cast("int"))
     ranged = distinct.repartitionByRange(column).withColumn("_p", F.spark_partition_id())
     stored = materialise(ranged, "values")
     # One row per partition.

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from mendframe import constants as K
 from mendframe.functions import scalar as S
 from mendframe.operators import sampling, synth
-from mendframe.operators.profile import one_row
+from mendframe.operators.profile import class_counts, one_row, row_key
 from mendframe.operators.quantiles import fit_medians
 from mendframe.operators.ranking import value_codes
-from mendframe.operators.sizing import BROADCAST_ROWS, small_side
+from mendframe.operators.sizing import small_side
 
 ALL = "all"
 
@@ -72,12 +72,15 @@ def drop_null_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def remove_duplicates(df: DataFrame, row_id: str = K.ROW_ID) -> DataFrame:
-    """Keep one row per group of equal rows: the one with the smallest key, if there is a key."""
+    """Keep one row per group of equal rows: the one with the smallest key, if there is a key.
+
+    Groups are found by digests of long columns, so whole texts are not shuffled to find them.
+    """
     data = S.data_columns(df)
     if row_id not in df.columns:
         return df.dropDuplicates(data)
-    kept = df.groupBy(*data).agg(F.min(row_id).alias(row_id))
-    return kept.select(*[c for c in df.columns if c in data or c == row_id])
+    firsts = df.groupBy(*row_key(df, data)).agg(F.min(row_id).alias("_first")).select("_first")
+    return df.join(firsts, df[row_id] == firsts["_first"], "left_semi").dropDuplicates([row_id])
 
 
 def clip_column(df: DataFrame, column: str, lower: float, upper: float) -> DataFrame:
@@ -88,7 +91,6 @@ def encode_categories(
     df: DataFrame,
     columns: list[str] | None = None,
     null_as_category: bool = False,
-    sort_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Replace text columns by 0..k-1 in order of the sorted distinct values.
 
@@ -101,8 +103,11 @@ def encode_categories(
     for c in columns:
         value = F.coalesce(F.col(c), F.lit("nan")) if null_as_category else F.col(c)
         df = df.withColumn("_value", value)
-        codes = small_side(value_codes(df, "_value", "_code", sort_rows), sort_rows)
-        df = df.join(codes, "_value", "left").withColumn(c, F.col("_code")).drop("_value", "_code")
+        codes = small_side(value_codes(df, "_value", "_code"))
+        # Rows without a value would all meet on one key: they stay out of the join.
+        some, none = df.filter(F.col("_value").isNotNull()), df.filter(F.col("_value").isNull())
+        coded = some.join(codes, "_value").unionByName(none.withColumn("_code", F.lit(None).cast("int")))
+        df = coded.withColumn(c, F.col("_code")).drop("_value", "_code")
     return df
 
 
@@ -174,21 +179,60 @@ def guarded(df: DataFrame, rec: dict, limit: float = K.DELETION_LIMIT) -> tuple[
     return (after, True) if accepted else (df, False)
 
 
-def repair_report(before: DataFrame, after: DataFrame, message: str) -> DataFrame:
-    """One row: rows and missing cells before and after a repair."""
+def repair_report(before: DataFrame, rec: dict, label: str = K.LABEL) -> DataFrame:
+    """One row on a repair that is carried out: what it did, rows and missing cells before and after."""
+    after = apply_recommendation(before, rec)
+    column = rec.get("column")
+    here = column in before.columns
 
-    def facts(df: DataFrame, when: str) -> DataFrame:
+    def facts(df: DataFrame, when: str, *more: Column) -> DataFrame:
         return df.agg(
             F.count(F.lit(1)).alias(f"rows_{when}"),
             S.missing_cells(S.data_columns(df)).alias(f"missing_{when}"),
+            *more,
         )
 
-    return one_row(facts(before, "before"), facts(after, "after")).select(
-        F.lit(message).alias("repair"),
+    zeros = F.count_if(F.col(column) == 0) if here and column in S.numeric_features(before, label) else F.lit(0)
+    nulls = S.null_count(column) if here else F.lit(0)
+    parts = [facts(before, "before", zeros.alias("_zeros"), nulls.alias("_nulls")), facts(after, "after")]
+    if rec["type"] == "balance":
+        parts.append(class_counts(after, label).agg(F.min("n").alias("_smallest")))
+        own = F.count_if(F.col(label) == rec["target_class"])
+        parts.append(before.filter(S.all_present(S.data_columns(before))).agg(own.alias("_own")))
+        parts.append(after.agg(own.alias("_grown")))
+    rows = one_row(*parts)
+    removed = F.col("rows_before") - F.col("rows_after")
+    return rows.select(
+        F.lit(rec["type"]).alias("repair"),
+        _done(rec, removed).alias("message"),
         "rows_before",
         "rows_after",
-        (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"),
+        removed.alias("rows_removed"),
         "missing_before",
         "missing_after",
         (F.col("missing_before") - F.col("missing_after")).alias("missing_fixed"),
     )
+
+
+def _done(rec: dict, removed: Column) -> Column:
+    """What a repair did, in words; the counts are columns of the report."""
+    column, strategy = F.lit(rec.get("column")), rec.get("strategy")
+    target = F.lit(str(rec.get("target_class")))
+    if strategy == "drop_rows":
+        return F.format_string(K.DONE_DROP_ROWS, removed)
+    if strategy == "undersample_majority":
+        return F.format_string(K.DONE_UNDERSAMPLE, F.col("_smallest"))
+    if strategy == "oversample_minority":
+        return F.format_string(K.DONE_OVERSAMPLE, target, F.col("_grown") - F.col("_own"))
+    told = {
+        "zero_to_nan_impute": lambda: F.format_string(K.DONE_ZEROS, F.col("_zeros")),
+        "impute": lambda: F.format_string(K.DONE_IMPUTE, F.lit(strategy), column, F.col("_nulls")),
+        "log_transform": lambda: F.format_string(K.DONE_LOG, column),
+        "drop_redundant": lambda: F.format_string(K.DONE_DROP_COLUMN, column),
+        "augment": lambda: F.format_string(K.DONE_AUGMENT, -removed, target),
+        "remove_duplicates": lambda: F.format_string(K.DONE_DUPLICATES, removed),
+        "clip_outliers": lambda: F.format_string(
+            K.DONE_CLIP, column, F.lit(str(rec["lower"])), F.lit(str(rec["upper"]))
+        ),
+    }
+    return told[rec["type"]]() if rec["type"] in told else F.lit(None).cast("string")

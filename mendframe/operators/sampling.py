@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mendframe import constants as K
 from mendframe.functions import scalar as S
@@ -14,7 +15,8 @@ from mendframe.functions.hashing import hash_hex, pick_index, unit
 from mendframe.operators.profile import class_counts
 from mendframe.operators.quantiles import fit_order_statistic
 from mendframe.operators.ranking import PICKED, dense_index, mark_smallest, pick_smallest
-from mendframe.operators.sizing import BROADCAST_ROWS, fits_broadcast, size_of
+from mendframe.session import materialise
+from mendframe.operators.sizing import BROADCAST_ROWS, fits_broadcast, size_of, small_side
 
 
 def complete_rows(df: DataFrame) -> DataFrame:
@@ -116,10 +118,18 @@ def oversample(
 
 
 def with_new_keys(added: DataFrame, df: DataFrame, row_id: str) -> DataFrame:
-    """Number added rows downwards from below the smallest key, by their draw number."""
+    """Key added rows by their draw number.
+
+    Whole-number keys go on downwards from below the smallest, text keys become ``new-<number>``
+    behind the largest key, so that they meet no key there is.
+    """
+    kind = df.schema[row_id].dataType
+    if isinstance(kind, T.StringType):
+        largest = df.agg(F.max(row_id).alias("hi")).first()["hi"] or ""
+        return added.withColumn(row_id, F.concat(F.lit(f"{largest}-new-"), F.col("_draw").cast("string")))
     lowest = df.agg(F.min(row_id).alias("lo")).first()["lo"] or 0
     key = F.lit(min(0, lowest) - 1) - F.col("_draw")
-    return added.withColumn(row_id, key.cast(df.schema[row_id].dataType))
+    return added.withColumn(row_id, key.cast(kind))
 
 
 def mark_golden(
@@ -141,7 +151,10 @@ def mark_golden(
 def golden_check(golden: DataFrame, current: DataFrame, row_id: str = K.ROW_ID) -> DataFrame:
     """State of each reference row in the current table: intact, changed or missing."""
     data = [c for c in S.data_columns(golden) if c in current.columns]
-    now = current.select(row_id, *[F.col(c).alias(f"_now_{c}") for c in data], F.lit(True).alias("_here"))
+    golden = small_side(golden)
+    # The few reference keys go to the current table, which is scanned and not shuffled.
+    here = current.join(golden.select(row_id), row_id, "left_semi")
+    now = here.select(row_id, *[F.col(c).alias(f"_now_{c}") for c in data], F.lit(True).alias("_here"))
     # A changed table may have several copies of a row: any intact copy counts.
     same = F.lit(True)
     for c in data:
@@ -257,7 +270,8 @@ def corrupt(
 ) -> DataFrame:
     """Spare some rows, then add nulls, label noise and class imbalance of a difficulty level."""
     recipe = K.CORRUPTION[difficulty]
-    marked = mark_golden(df, golden, seed, **options)
+    # Each step below reads its input several times: the flagged table is stored once.
+    marked = materialise(mark_golden(df, golden, seed, **options), "golden")
     holes = inject_missing(marked, recipe["missing"], seed=seed, **options)
-    noisy = flip_labels(holes, recipe["noise"], seed=seed, **options)
+    noisy = materialise(flip_labels(holes, recipe["noise"], seed=seed, **options), "noisy")
     return thin_class(noisy, recipe["keep"], seed=seed, **options)

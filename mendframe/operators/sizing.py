@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendframe.session import materialise
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64_000_000
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Evaluate a summary once and mark it for broadcast if it has at most ``max_rows`` rows.
+    """Evaluate a summary once, and mark it for broadcast if its rows and bytes are within bounds.
 
-    Meant for narrow summaries (per class, per bucket). At most ``max_rows + 1`` rows reach
-    the driver. A larger table comes back as it was, so that the join shuffles both sides.
+    The summary is written and read again, so it is counted and joined without being computed twice
+    and never passes through the driver before its size is known. A larger one is joined by shuffle.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
+    stored = materialise(df, "summary")
+    size = stored.agg(*size_of(stored, F.lit(True))).first()
+    return F.broadcast(stored) if fits_broadcast(size["rows"], size["bytes"], max_rows) else stored
 
 
 def null_safe_join(

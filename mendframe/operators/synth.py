@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendframe import constants as K
 from mendframe.functions import scalar as S
-from mendframe.functions.hashing import normal, pick_index, unit
+from mendframe.functions.hashing import hex_to_unit, normal, pick_index, unit
 from mendframe.operators import sampling
 from mendframe.operators.neighbours import nearest_neighbours, vector_of
 from mendframe.operators.profile import class_counts
@@ -82,50 +82,75 @@ def smote(
     """Complete rows, with every smaller class grown to the largest by mixing each drawn row
     with one of its k nearest rows of the same class.
 
-    The table comes back unchanged with fewer than 20 complete rows, a single class, or a
-    class too small to have k neighbours.
+    Classes without k neighbours stay as they are (``smote_plan`` names them), and so does the
+    whole table with fewer than 20 complete rows. All classes are grown by the same few jobs.
     """
     clean = sampling.complete_rows(df)
-    # One row per class.
-    sizes = {r[label]: r["n"] for r in class_counts(clean, label).collect()}
-    largest = max(sizes.values(), default=0)
-    grown = {c: n for c, n in sorted(sizes.items()) if n < largest}
-    too_small = any(n <= k for n in grown.values())
-    if sum(sizes.values()) < K.MIN_TRAIN_ROWS or len(sizes) < 2 or too_small:
+    plan = materialise(smote_plan(clean, k, label), "smote-plan")
+    total = plan.agg(F.sum("n").alias("n"), F.sum("n_to_add").alias("more")).first()
+    if (total["n"] or 0) < K.MIN_TRAIN_ROWS or not total["more"]:
         return df
     features = S.numeric_features(df, label)
-    result = clean
-    for cls, n in grown.items():
-        own = materialise(
-            clean.filter(F.col(label) == cls).select(
-                F.col(row_id).alias("id"), vector_of(features).alias("vec")
-            ),
-            "class",
-        )
-        near = nearest_neighbours(own, k, seed, **options).select("id", "rank", "neighbour")
-        stream = f"smote/{cls}"
-        indexed = dense_index(own, seed, stream, "id")
-        draws = df.sparkSession.range(largest - n).select(
-            F.col("id").alias("_draw"),
-            pick_index(unit(seed, f"{stream}/row", "id"), n).alias("_idx"),
-            (pick_index(unit(seed, f"{stream}/near", "id"), k) + 1).cast("int").alias("rank"),
-            unit(seed, f"{stream}/gap", "id").alias("_gap"),
-        )
-        other = own.select(F.col("id").alias("neighbour"), F.col("vec").alias("_b"))
-        mixed = draws.join(indexed, "_idx").join(near, ["id", "rank"]).join(other, "neighbour")
-        rows = mixed.select(
-            "_draw",
-            *[
-                (
-                    F.col("vec")[i] + F.col("_gap") * (F.col("_b")[i] - F.col("vec")[i])
-                ).alias(c)
-                for i, c in enumerate(features)
-            ],
-            F.lit(cls).cast(df.schema[label].dataType).alias(label),
-        )
-        rows = sampling.with_new_keys(rows, result, row_id).drop("_draw")
-        result = result.unionByName(rows, allowMissingColumns=True)
-    return result
+    grown = plan.filter(F.col("n_to_add") > 0)
+    own = clean.join(grown.select(label), label, "left_semi").select(
+        F.col(row_id).alias("id"), F.col(label).alias("_class"), vector_of(features).alias("vec")
+    )
+    own = materialise(own, "smote-rows")
+    near = nearest_neighbours(own, k, seed, by="_class", **options).select("id", "rank", "neighbour")
+    indexed = dense_index(own, seed, "smote", "id", by="_class")
+    # Draws 0, 1, ... of each class: spread by thousands, then one by one.
+    thousands = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_to_add") - 1) / DRAWS)))
+    ones = F.explode(F.sequence(F.col("_t") * DRAWS, (F.col("_t") + 1) * DRAWS - 1))
+    before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    draws = (
+        grown.withColumn("_offset", F.coalesce(F.sum("n_to_add").over(before), F.lit(0)))
+        .withColumn("_t", thousands)
+        .repartition(F.col(label), F.col("_t"))
+        .withColumn("_i", ones)
+        .filter(F.col("_i") < F.col("n_to_add"))
+    )
+
+    def drawn(what: str):
+        name = F.concat(F.lit(f"{seed}|smote/"), F.col(label).cast("string"), F.lit(f"/{what}|"), F.col("_i").cast("string"))
+        return hex_to_unit(F.md5(name))
+
+    draws = draws.select(
+        F.col(label).alias("_class"),
+        (F.col("_offset") + F.col("_i")).alias("_draw"),
+        pick_index(drawn("row"), F.col("n")).alias("_idx"),
+        (pick_index(drawn("near"), k) + 1).cast("int").alias("rank"),
+        drawn("gap").alias("_gap"),
+    )
+    other = own.select(F.col("id").alias("neighbour"), F.col("vec").alias("_b"))
+    mixed = draws.join(indexed, ["_class", "_idx"]).join(near, ["id", "rank"]).join(other, "neighbour")
+    rows = mixed.select(
+        "_draw",
+        *[
+            (F.col("vec")[i] + F.col("_gap") * (F.col("_b")[i] - F.col("vec")[i])).alias(c)
+            for i, c in enumerate(features)
+        ],
+        F.col("_class").cast(df.schema[label].dataType).alias(label),
+    )
+    rows = sampling.with_new_keys(rows, clean, row_id).drop("_draw")
+    return clean.unionByName(rows, allowMissingColumns=True)
+
+
+#: Draws one task makes at a time.
+DRAWS = 10_000
+
+
+def smote_plan(df: DataFrame, k: int = K.SMOTE_NEIGHBOURS, label: str = K.LABEL) -> DataFrame:
+    """One row per class: its rows, how many to add, and why a smaller class gets none."""
+    counts = class_counts(sampling.complete_rows(df), label)
+    largest = F.max("n").over(Window.partitionBy(F.lit(0)))
+    short = largest - F.col("n")
+    few = (short > 0) & (F.col("n") <= k)
+    return counts.select(
+        label,
+        "n",
+        F.when(few, F.lit(0).cast("bigint")).otherwise(short).alias("n_to_add"),
+        F.when(few, F.format_string("%d rows: too few for %d neighbours", F.col("n"), F.lit(k))).alias("skipped"),
+    )
 
 
 # Generated tables.

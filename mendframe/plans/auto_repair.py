@@ -26,13 +26,13 @@ def auto_repair(
     target: float,
     budget: int = K.BUDGET,
     session_id: str = "session",
-    cap: int | None = K.AUGMENT_CAP,
+    cap: int | None = None,
     label: str = K.LABEL,
 ) -> tuple[DataFrame, DataFrame]:
     """Follow the plan until the target is met or the budget is spent.
 
     Returns the repaired table and the scored trace. The number of steps is bounded by the
-    budget and by four recommendations per query; every accepted repair is written as a version.
+    budget and by the recommendations of each query; every accepted repair is written as a version.
     """
     spark = train.sparkSession
     store = Versions.start(train)
@@ -78,7 +78,7 @@ def auto_repair(
             break
         if action != "apply":
             cost = K.QUERY_COSTS[action]
-            # At most four recommendations per query.
+            # One recommendation per column or class at most.
             found = [r.asDict() for r in agents[action]().collect()] if action in agents else []
             pending.update({r["rec_id"]: r for r in found})
             asked.add(action)

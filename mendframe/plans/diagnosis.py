@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from mendframe import constants as K
@@ -213,11 +215,9 @@ def _outlier_sql(source, c, name, k):
 def iqr_outliers(spark, sf):
     parts = []
     for name, c in (("events", "value"), ("documents", "n_chars")):
-        df = table(spark, sf, name).select(c)
-        for k in (3.0, 5.0):
-            found = profile.outlier_profile(df, k).drop("ord")
-            parts.append(rounded(found).withColumn("multiplier", F.lit(k)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+        found = profile.outlier_profiles(table(spark, sf, name).select(c), [3.0, 5.0])
+        parts.append(rounded(found.drop("ord")))
+    return parts[0].unionByName(parts[1])
 
 
 # Recommendations. The SQL builds the same rows from the fixed formats.
@@ -242,12 +242,12 @@ def _quoted(text):
     return "'" + text.replace("'", "''") + "'"
 
 
-def _ranked_sql(head, parts, limit):
-    """Number the candidates in section order and keep the first ones."""
+def _ranked_sql(head, parts, limit=None):
+    """Number the candidates in section order, and keep the first ones if there is a limit."""
     return (
         f"WITH {head}, recs AS ({' UNION ALL '.join(parts)}) SELECT * EXCLUDE (section, pos) FROM"
         f" (SELECT *, CAST(row_number() OVER (ORDER BY section, pos) AS INTEGER) AS priority"
-        f" FROM recs) WHERE priority <= {limit}"
+        f" FROM recs)" + (f" WHERE priority <= {limit}" if limit else "")
     )
 
 
@@ -265,7 +265,7 @@ def _cleaner_profile_sql(columns):
     return f"{DIRTY_EVENTS_SQL}, facts AS ({' UNION ALL '.join(rows)})"
 
 
-def _cleaner_sql(columns, dataset):
+def _cleaner_sql(columns, dataset, limit=None):
     share = "n_zero::DOUBLE / n"
     filled = "n - n_null"
     null_strategy = (
@@ -306,7 +306,7 @@ def _cleaner_sql(columns, dataset):
             reason=f"printf({_quoted(K.TEXT_REDUNDANT)}, col)", domain_informed="TRUE",
         ),
     ]
-    return _ranked_sql(_cleaner_profile_sql(columns), parts, K.MAX_RECOMMENDATIONS)
+    return _ranked_sql(_cleaner_profile_sql(columns), parts, limit)
 
 
 @query("cleaner_recommendations", _cleaner_sql(EVENT_FEATURES, "events"))
@@ -314,10 +314,20 @@ def cleaner_recommendations(spark, sf):
     return diagnose.cleaner_recommendations(dirty_events(spark, sf), EVENT_META, "events")
 
 
-@query("cleaner_domain_recommendations", _cleaner_sql(["k", "value_s", "etype"], "events"))
+@query("cleaner_top", _cleaner_sql(EVENT_FEATURES, "events", K.TOP_RECOMMENDATIONS))
+def cleaner_top(spark, sf):
+    """The first recommendations only, as shown to a user."""
+    return diagnose.cleaner_recommendations(
+        dirty_events(spark, sf), EVENT_META, "events", limit=K.TOP_RECOMMENDATIONS
+    )
+
+
+@query(
+    "cleaner_domain_recommendations",
+    f"SELECT * FROM ({_cleaner_sql(EVENT_FEATURES, 'events')}) WHERE domain_informed",
+)
 def cleaner_domain_recommendations(spark, sf):
-    df = dirty_events(spark, sf).select("_row_id", "k", "value_s", "etype", "label")
-    return diagnose.cleaner_recommendations(df, EVENT_META, "events")
+    return diagnose.cleaner_recommendations(dirty_events(spark, sf), EVENT_META, "events").filter("domain_informed")
 
 
 @query(
@@ -357,13 +367,12 @@ def _augment_sql(cls, current):
                 rec_id=_rec_id_sql("aug", "documents", "augment", cls), agent="'augmenter'",
                 type="'augment'", strategy="'interpolation'",
                 reason=f"printf({_quoted(K.TEXT_AUGMENT)}, CAST({cls} AS VARCHAR), {current}, ratio,"
-                f" least({need}, 300), CASE WHEN {need} > 200 THEN"
+                f" {need}, CASE WHEN {need} > {current} THEN"
                 f" {_quoted(K.TEXT_AUGMENT_WARNING)} ELSE '' END)",
                 domain_informed="FALSE", target_class=cls, current_count=current,
-                target_count=goal, n_to_add=f"least({need}, 300)",
+                target_count=goal, n_to_add=need,
             )
         ],
-        1,
     )
 
 
@@ -380,6 +389,64 @@ def augmenter_target_class(spark, sf):
     return diagnose.augmenter_recommendation(docs_labelled(spark, sf), 0, "documents")
 
 
+# The same rows under labels that leave an agent something to do, or nothing.
+_CASES = {
+    "minority": ("TRUE", "label"),
+    "one_class": ("TRUE", "1"),
+    "even": ("TRUE", "CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END"),
+    "few": ("n_chars > 1000000000", "label"),
+}
+
+
+def _case_counts(rows, label):
+    return f"""(SELECT count(*) AS k, coalesce(sum(n), 0)::BIGINT AS total, arg_min(label, (n, label)) AS minority,
+      arg_max(label, (n, label)) AS majority, min(n) AS lo, max(n) AS hi, min(n)::DOUBLE / (min(n) + max(n)) AS ratio,
+      greatest(0, CAST(floor(max(n) * 0.85::DOUBLE) AS BIGINT) - min(n)) AS needed
+      FROM (SELECT {label} AS label, count(*) AS n FROM docs WHERE {rows} AND n_chars IS NOT NULL
+      AND text_len IS NOT NULL GROUP BY 1))"""
+
+
+def _cases(spark, sf, report):
+    docs = docs_labelled(spark, sf)
+    rows = [
+        report(docs.filter(rows).withColumn("label", F.expr(label).cast("int"))).select(F.lit(name).alias("source"), "*")
+        for name, (rows, label) in _CASES.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query(
+    "augmenter_report",
+    f"WITH {DOCS_SQL} " + " UNION ALL ".join(
+        f"""SELECT '{name}' AS source, 'augmenter' AS agent, CASE WHEN total < 10 OR k < 2 OR needed = 0 THEN 0 ELSE 1 END
+          AS n_recommendations, CASE WHEN total < 10 THEN '{K.TEXT_AUGMENT_FEW}' WHEN k < 2 THEN '{K.TEXT_AUGMENT_ONE_CLASS}'
+          WHEN needed = 0 THEN printf('{K.TEXT_AUGMENT_FINE}', CAST(minority AS VARCHAR), ratio)
+          ELSE printf('{K.TEXT_AUGMENT_FOUND}', CAST(minority AS VARCHAR), lo, ratio) END AS diagnosis,
+          CASE WHEN total < 10 OR k < 2 THEN '{K.SUMMARY_AUGMENT_NONE}' WHEN needed = 0 THEN '{K.SUMMARY_AUGMENT_FINE}'
+          ELSE '{K.SUMMARY_AUGMENT_FOUND}' END AS summary FROM {_case_counts(*case)}"""
+        for name, case in _CASES.items()
+    ),
+)
+def augmenter_report(spark, sf):
+    return _cases(spark, sf, diagnose.augmenter_report)
+
+
+@query(
+    "balancer_report",
+    f"WITH {DOCS_SQL} " + " UNION ALL ".join(
+        f"""SELECT '{name}' AS source, 'balancer' AS agent, CASE WHEN k < 2 OR ratio >= 0.45 THEN 0 ELSE 2 END
+          AS n_recommendations, CASE WHEN k < 2 THEN '{K.TEXT_BALANCE_ONE_CLASS}'
+          WHEN ratio >= 0.45 THEN printf('{K.TEXT_BALANCE_FINE}', ratio)
+          ELSE printf('{K.TEXT_BALANCE_FOUND}', ratio, CAST(minority AS VARCHAR), lo, CAST(majority AS VARCHAR), hi) END
+          AS diagnosis, CASE WHEN k < 2 THEN '{K.SUMMARY_BALANCE_NONE}' WHEN ratio >= 0.45 THEN '{K.SUMMARY_BALANCE_FINE}'
+          ELSE '{K.SUMMARY_BALANCE_FOUND}' END AS summary FROM {_case_counts(*case)}"""
+        for name, case in _CASES.items()
+    ),
+)
+def balancer_report(spark, sf):
+    return _cases(spark, sf, diagnose.balancer_report)
+
+
 def _offer_sql(pos, strategy, cls, text, tradeoff, now, goal):
     return _rec_sql(
         "ratio < 0.45", 1, pos, "pair",
@@ -401,7 +468,6 @@ def _offer_sql(pos, strategy, cls, text, tradeoff, now, goal):
             _offer_sql(2, "undersample_majority", "majority", K.TEXT_UNDERSAMPLE,
                        K.TRADEOFF_UNDERSAMPLE, "hi", "lo"),
         ],
-        2,
     ),
 )
 def balancer_recommendations(spark, sf):
@@ -438,7 +504,6 @@ def _validator_sql(dataset, k, note):
                 upper="round_even(upper, 4)",
             )
         ],
-        K.MAX_RECOMMENDATIONS,
     )
 
 
@@ -459,7 +524,8 @@ def validator_medical_recommendations(spark, sf):
       CASE WHEN count(*) = 0 THEN 'No violations found.' ELSE printf('%d violation(s): %s.', count(*),
         string_agg(CASE WHEN col IS NULL THEN printf('duplicate_rows: %d', found)
           ELSE printf('outliers_%s: %d', col, found) END, '; ' ORDER BY ord)) END AS diagnosis,
-      'IQR threshold: 3.0× (domain=web_activity)' AS domain_note, 2 AS budget_cost
+      'IQR threshold: 3.0× (domain=web_activity)' AS domain_note, 2 AS budget_cost,
+      printf('%d recs. Budget cost: 2.', count(*)) AS summary
     FROM violations""",
 )
 def validator_report(spark, sf):

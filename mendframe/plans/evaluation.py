@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from mendframe import constants as K
@@ -87,26 +89,46 @@ def feature_importance(spark, sf):
     return E.feature_importance(spark, E.evaluate(train, holdout).coefficients)
 
 
-_NULLS = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in (*EVENT_FEATURES, "label"))
-_WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in (*EVENT_FEATURES, "label"))
+# Tables of one origin that lost accuracy for different reasons: columns, label, rows at the start.
+_DROPS = {
+    "grown": (["k"], "label", 0.5),
+    "holes": (EVENT_FEATURES, "label", 0.0005),
+    "skewed": (["k"], "label", 1.0),
+    "thinned": (["k"], "CASE WHEN _row_id % 2 = 0 THEN 1 ELSE 0 END", 2.0),
+    "unclear": (["k"], "CASE WHEN _row_id % 2 = 0 THEN 1 ELSE 0 END", 1.0),
+}
+
+
+def _drop_sql(name, columns, label, factor):
+    everything = [*columns, "label"]
+    nulls = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in everything)
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in everything)
+    return f"""SELECT '{name}' AS source, count(*) FILTER ({whole}) AS n_rows, sum({nulls})::BIGINT AS n_missing_cells,
+      least(sum(label), count(*) - sum(label))::DOUBLE / count(*) AS balance, {len(everything)} AS width,
+      floor((SELECT count(*) FROM events) * {factor})::BIGINT AS start_rows
+      FROM (SELECT {", ".join(columns)}, {label} AS label FROM dirty)"""
 
 
 @query(
     "regression_explanation",
-    f"""WITH {DIRTY_EVENTS_SQL}, f AS (SELECT count(*) FILTER ({_WHOLE}) AS n_rows,
-      sum({_NULLS})::BIGINT AS n_missing_cells FROM dirty),
-    b AS (SELECT min(n)::DOUBLE / sum(n) AS balance FROM
-      (SELECT count(*) AS n FROM dirty GROUP BY label)),
-    c AS (SELECT *, CASE WHEN n_rows > 800 THEN 'large_augmentation_overfitting'
-      WHEN n_missing_cells::DOUBLE / greatest(n_rows * {len(EVENT_FEATURES) + 1}, 1) > 0.15
+    f"""WITH {DIRTY_EVENTS_SQL}, f AS ({" UNION ALL ".join(_drop_sql(n, *d) for n, d in _DROPS.items())}),
+    c AS (SELECT *, CASE WHEN n_rows > start_rows * 1.3 THEN 'large_augmentation_overfitting'
+      WHEN n_missing_cells::DOUBLE / greatest(n_rows * width, 1) > 0.15
         THEN 'high_residual_missing' WHEN balance < 0.25 THEN 'worsened_class_imbalance'
-      WHEN n_rows < 200 THEN 'too_few_training_rows' ELSE 'unknown' END AS likely_cause FROM f, b)
-    SELECT -0.05::DOUBLE AS accuracy_delta, likely_cause, CASE likely_cause
+      WHEN n_rows < start_rows * 0.7 THEN 'too_few_training_rows' ELSE 'unknown' END AS likely_cause FROM f)
+    SELECT source, -0.05::DOUBLE AS accuracy_delta, likely_cause, CASE likely_cause
       {" ".join(f"WHEN '{k}' THEN '" + v.replace("'", "''") + "'" for k, v in K.REGRESSION_CAUSES.items())}
       END AS suggestion, n_rows, n_missing_cells, round_even(balance, 4) AS class_balance FROM c""",
 )
 def regression_explanation(spark, sf):
-    return E.regression_explanation(dirty_events(spark, sf), 0.80, 0.75)
+    events = table(spark, sf, "events").count()
+    parts = [
+        E.regression_explanation(
+            dirty_events(spark, sf).select(*columns, F.expr(label).alias("label")), 0.80, 0.75, int(events * factor)
+        ).select(F.lit(name).alias("source"), "*")
+        for name, (columns, label, factor) in _DROPS.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def _meta_sql(field):
@@ -256,12 +278,12 @@ def prompt_json(spark, sf):
 # Streams. Each reads a folder of files to its end.
 
 
-_WINDOW_FEATURES = ["value_n", "k_n", "rare"]
+_WINDOW_FEATURES = EVENT_FEATURES
+_WINDOW_NULLS = " + ".join(f"sum(({c} IS NULL)::INTEGER)" for c in _WINDOW_FEATURES)
 _WINDOW_SQL = f"""WITH d AS (SELECT ts, {", ".join(f"{DIRTY_EVENTS[c]} AS {c}" for c in (*_WINDOW_FEATURES, "label"))}
       FROM events)
     SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n_rows,
-      round((sum((value_n IS NULL)::INTEGER) + sum((k_n IS NULL)::INTEGER)
-        + sum((rare IS NULL)::INTEGER))::DOUBLE / count(*) / 3, 6) AS missing_pct,
+      round(({_WINDOW_NULLS})::DOUBLE / count(*) / {len(_WINDOW_FEATURES)}, 6) AS missing_pct,
       round(least(sum(label), count(*) - sum(label))::DOUBLE / count(*), 6) AS balance_ratio
     FROM d GROUP BY ALL"""
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from mendframe import constants as K
 from mendframe.functions import scalar as S
 from mendframe.operators import repair, sampling, synth
-from mendframe.plans.diagnosis import KEYS, _fences, rounded
+from mendframe.plans.diagnosis import KEYS, _fences, _quoted, rounded
 from mendframe.plans.inputs import (
     DIRTY_EVENTS_SQL,
     DOCS_SQL,
     EMBEDDING_COLUMNS,
+    EVENT_FEATURES,
     ORDERS_SQL,
     dirty_events,
     docs_labelled,
@@ -98,24 +101,21 @@ def log1p_transform(spark, sf):
     return rounded(repair.log_transform(df, "n_chars"))
 
 
-_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in ("value_n", "k_n", "label"))
-
-
 @query(
     "drop_null_rows",
-    f"""WITH {DIRTY_EVENTS_SQL} SELECT _row_id, value_n, k_n, label FROM dirty WHERE {_COMPLETE}""",
+    f"""WITH {DIRTY_EVENTS_SQL} SELECT * FROM dirty
+      WHERE {" AND ".join(f"{c} IS NOT NULL" for c in (*EVENT_FEATURES, "label"))}""",
 )
 def drop_null_rows(spark, sf):
-    return repair.drop_null_rows(dirty_events(spark, sf).select("_row_id", "value_n", "k_n", "label"))
+    return repair.drop_null_rows(dirty_events(spark, sf))
 
 
 @query(
     "drop_null_rows_subset",
-    f"WITH {DIRTY_EVENTS_SQL} SELECT _row_id, value_n, k_n FROM dirty WHERE k_n IS NOT NULL",
+    f"WITH {DIRTY_EVENTS_SQL} SELECT * FROM dirty WHERE k_n IS NOT NULL",
 )
 def drop_null_rows_subset(spark, sf):
-    df = dirty_events(spark, sf).select("_row_id", "value_n", "k_n")
-    return repair.drop_null_rows(df, ["k_n"])
+    return repair.drop_null_rows(dirty_events(spark, sf), ["k_n"])
 
 
 @query("drop_redundant", f"WITH {DIRTY_EVENTS_SQL} SELECT * EXCLUDE (etype) FROM dirty")
@@ -159,31 +159,68 @@ def clip_outliers(spark, sf):
     return repair.clip_column(df, "value", fences["lower"], fences["upper"])
 
 
-_BEFORE_AFTER = """SELECT {name} AS repair, b.n AS rows_before, a.n AS rows_after,
-      b.n - a.n AS rows_removed, b.m AS missing_before, a.m AS missing_after,
-      b.m - a.m AS missing_fixed
-    FROM (SELECT count(*) AS n, (3 * count(*) - count(value_n) - count(k_n) - count(label)) AS m
-      FROM {before}) b,
-      (SELECT count(*) AS n, (3 * count(*) - count(value_n) - count(k_n) - count(label)) AS m
-      FROM {after}) a"""
+# Every kind of repair, with what it does to the rows and the holes of the table in SQL.
+_FULL = [*EVENT_FEATURES, "label"]
+_WHOLE = [c for c in _FULL if c != "rare"]
+
+
+def _holes(columns, where="TRUE"):
+    cells = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in columns)
+    return f"(SELECT coalesce(sum({cells}), 0)::BIGINT FROM dirty WHERE {where})"
+
+
+def _present(columns):
+    return " AND ".join(f"{c} IS NOT NULL" for c in columns)
+
+
+_N = "(SELECT count(*) FROM dirty)"
+_CLASSES = f"(SELECT label, count(*) AS n FROM dirty WHERE {_present(_WHOLE)} GROUP BY label)"
+_LO, _HI = f"(SELECT min(n) FROM {_CLASSES})", f"(SELECT max(n) FROM {_CLASSES})"
+_OWN = f"(SELECT n FROM {_CLASSES} WHERE label = 1)"
+_DISTINCT = f"(SELECT DISTINCT {', '.join(_FULL)} FROM dirty)"
+# Columns, recommendation, message, rows after, missing cells after.
+_REPAIRS = [
+    (_FULL, {"type": "zero_to_nan_impute", "column": "value_z", "strategy": "zero_to_nan_then_median"},
+     f"printf('{K.DONE_ZEROS}', (SELECT count(*) FROM dirty WHERE value_z = 0))", _N, _holes(_FULL)),
+    (_FULL, {"type": "impute", "column": "value_n", "strategy": "median_impute"},
+     f"printf({_quoted(K.DONE_IMPUTE)}, 'median_impute', 'value_n', {_holes(['value_n'])})", _N,
+     _holes([c for c in _FULL if c != "value_n"])),
+    (_FULL, {"type": "impute", "column": "k_n", "strategy": "mean_impute"},
+     f"printf({_quoted(K.DONE_IMPUTE)}, 'mean_impute', 'k_n', {_holes(['k_n'])})", _N,
+     _holes([c for c in _FULL if c != "k_n"])),
+    (_FULL, {"type": "impute", "column": "rare", "strategy": "drop_rows"},
+     f"printf('{K.DONE_DROP_ROWS}', (SELECT count(*) FROM dirty WHERE NOT ({_present(_FULL)})))",
+     f"(SELECT count(*) FROM dirty WHERE {_present(_FULL)})", "0"),
+    (_FULL, {"type": "log_transform", "column": "value_s", "strategy": "log1p"},
+     f"printf({_quoted(K.DONE_LOG)}, 'value_s')", _N, _holes(_FULL)),
+    (_FULL, {"type": "drop_redundant", "column": "etype", "strategy": "drop_column"},
+     f"printf({_quoted(K.DONE_DROP_COLUMN)}, 'etype')", _N, _holes([c for c in _FULL if c != "etype"])),
+    (_WHOLE, {"type": "augment", "target_class": 1, "n_to_add": 150, "strategy": "interpolation"},
+     f"printf('{K.DONE_AUGMENT}', 150, '1')", f"{_N} + 150", _holes(_WHOLE)),
+    (_WHOLE, {"type": "balance", "target_class": 0, "strategy": "undersample_majority"},
+     f"printf('{K.DONE_UNDERSAMPLE}', {_LO})", f"2 * {_LO}", "0"),
+    (_WHOLE, {"type": "balance", "target_class": 1, "strategy": "oversample_minority"},
+     f"printf('{K.DONE_OVERSAMPLE}', '1', {_HI} - {_OWN})", f"2 * {_HI}", "0"),
+    (_FULL, {"type": "remove_duplicates", "strategy": "drop_duplicates"},
+     f"printf('{K.DONE_DUPLICATES}', {_N} - (SELECT count(*) FROM {_DISTINCT}))",
+     f"(SELECT count(*) FROM {_DISTINCT})", _holes(_FULL).replace("FROM dirty", f"FROM {_DISTINCT}")),
+    (_FULL, {"type": "clip_outliers", "column": "k", "strategy": "clip_iqr", "lower": 1.5, "upper": 60.25},
+     f"printf({_quoted(K.DONE_CLIP)}, 'k', '1.5', '60.25')", _N, _holes(_FULL)),
+]
 
 
 @query(
     "repair_report",
-    f"""WITH {DIRTY_EVENTS_SQL}, imputed AS (SELECT coalesce(value_n, 0) AS value_n, k_n, label
-      FROM dirty), dropped AS (SELECT * FROM dirty WHERE {_COMPLETE})
-    {_BEFORE_AFTER.format(name="'median_impute value_n'", before='dirty', after='imputed')}
-    UNION ALL {_BEFORE_AFTER.format(name="'drop_rows'", before='dirty', after='dropped')}""",
+    f"WITH {DIRTY_EVENTS_SQL}, r AS (" + " UNION ALL ".join(
+        f"""SELECT '{rec["type"]}' AS repair, {message} AS message, {_N}::BIGINT AS rows_before,
+        ({rows})::BIGINT AS rows_after, {_holes(columns)} AS missing_before, ({holes})::BIGINT AS missing_after"""
+        for columns, rec, message, rows, holes in _REPAIRS
+    ) + ") SELECT *, rows_before - rows_after AS rows_removed, missing_before - missing_after AS missing_fixed FROM r",
 )
 def repair_report(spark, sf):
-    df = dirty_events(spark, sf).select("_row_id", "value_n", "k_n", "label")
-    imputed = repair.apply_recommendation(
-        df, {"type": "impute", "column": "value_n", "strategy": "median_impute"}
-    )
-    dropped = repair.apply_recommendation(df, {"type": "impute", "strategy": "drop_rows"})
-    return repair.repair_report(df, imputed, "median_impute value_n").unionByName(
-        repair.repair_report(df, dropped, "drop_rows")
-    )
+    df = dirty_events(spark, sf)
+    rows = [repair.repair_report(df.select("_row_id", *columns), rec) for columns, rec, *_ in _REPAIRS]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 @query(

@@ -91,8 +91,8 @@ def test_explanations_take_the_first_match(spark):
             [(None if i < nulls else 1.0, 1 if i % 100 < ones else 0) for i in range(n)], "a double, label int"
         )
 
-    def cause(df, now=0.7):
-        row = E.regression_explanation(df, 0.8, now).first()
+    def cause(df, now=0.7, start=300):
+        row = E.regression_explanation(df, 0.8, now, start).first()
         return row and row["likely_cause"]
 
     assert cause(frame(900, ones=50)) == "large_augmentation_overfitting"
@@ -100,6 +100,10 @@ def test_explanations_take_the_first_match(spark):
     assert cause(frame(300, ones=10)) == "worsened_class_imbalance"
     assert cause(frame(100, ones=50)) == "too_few_training_rows"
     assert cause(frame(300, ones=50)) == "unknown"
+    # The same shares give the same answers at any size.
+    assert cause(frame(90, ones=50), start=30) == "large_augmentation_overfitting"
+    assert cause(frame(2000, ones=50), start=6000) == "too_few_training_rows"
+    assert cause(frame(2000, ones=50), start=2000) == "unknown"
     assert cause(frame(100, ones=50), now=0.799) is None
 
 

@@ -26,7 +26,7 @@ def frame(spark, values, kind="double"):
 def test_both_quantile_paths_agree(spark, values, probs):
     df = frame(spark, values).select("v")
     built_in = fit_quantiles(df, ["v"], probs)["v"]
-    narrowed = fit_quantiles(df, ["v"], probs, buffer_values=0)["v"]
+    narrowed = fit_quantiles(df, ["v"], probs, final_rows=3)["v"]
     want = np.quantile([v for v in values if v is not None], probs)
     assert narrowed == pytest.approx(built_in, rel=1e-12)
     assert narrowed == pytest.approx(list(want), rel=1e-9)
@@ -39,7 +39,7 @@ def test_quantiles_of_many_columns_with_close_values(spark):
         F.lit(None).cast("double").alias("c"),
     )
     built_in = fit_quantiles(df, ["a", "b", "c"], [0.25, 0.5])
-    assert fit_quantiles(df, ["a", "b", "c"], [0.25, 0.5], buffer_values=0) == built_in
+    assert fit_quantiles(df, ["a", "b", "c"], [0.25, 0.5], final_rows=3) == built_in
     assert built_in["c"] == [None, None]
 
 

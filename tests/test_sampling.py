@@ -142,7 +142,7 @@ def brute_force(ids, vectors, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_rows", [None, 16])
+@pytest.mark.parametrize("block_rows", [None, 16, 1000])
 @pytest.mark.parametrize("copies", [0, 150])
 def test_neighbours_match_brute_force(spark, block_rows, copies):
     """With a group of copies larger than any block as well."""
@@ -169,7 +169,14 @@ def test_smote_balances_and_guards(spark, skewed):
     grown = synth.smote(two)
     sizes = {r["label"]: r["count"] for r in grown.groupBy("label").count().collect()}
     assert sizes[0] == sizes[1]
-    assert synth.smote(skewed) is skewed  # a class of one row has no neighbours
+    # A class of one row has no neighbours: it stays as it is, and the others are grown all the same.
+    plan = {r["label"]: (r["n_to_add"], r["skipped"]) for r in synth.smote_plan(skewed).collect()}
+    some = {r["label"]: r["count"] for r in synth.smote(skewed).groupBy("label").count().collect()}
+    lone = [c for c, (_, why) in plan.items() if why]
+    assert lone and all(some[c] == 1 and "too few" in plan[c][1] for c in lone)
+    assert len({n for c, n in some.items() if c not in lone}) == 1
+    keys = synth.smote(skewed).select("_row_id")
+    assert keys.count() == keys.distinct().count()
     assert synth.smote(two.limit(10)).count() == 10
 
 
