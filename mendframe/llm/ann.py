@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendframe.llm.common import hash_sample
@@ -46,17 +46,32 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(embedding, lambda x: x != 0)
 
 
-def neighbour_graph(vectors: np.ndarray, k: int) -> np.ndarray:
-    """Each row's ``k`` nearest others by inner product of unit vectors, in blocks."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    k, found = min(k, len(unit) - 1), []
-    for start in range(0, len(unit), 1024):
-        near = unit[start : start + 1024] @ unit.T
-        near[np.arange(len(near)), np.arange(start, start + len(near))] = -np.inf
-        found.append(np.argpartition(-near, k - 1, axis=1)[:, :k] if k else np.zeros((len(near), 0), int))
+def neighbours_of(unit: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` nearest others of some rows by inner product, a few rows at a time."""
+    found = [np.zeros((0, k), np.int64)]
+    for start in range(0, len(rows), 128):
+        part = rows[start : start + 128]
+        near = unit[part] @ unit.T
+        near[np.arange(len(part)), part] = -np.inf
+        found.append(np.argpartition(near, -k, axis=1)[:, -k:] if k else np.zeros((len(part), 0), np.int64))
     return np.concatenate(found)
 
 
+def neighbour_graph(spark: SparkSession, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Each sample row's ``k`` nearest others among unit vectors; tasks share the sample, each does some rows."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    k, shared = min(k, len(unit) - 1), spark.sparkContext.broadcast(unit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = neighbours_of(shared.value, batch.column("id").to_numpy(), k)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(near.tolist(), pa.list_(pa.int64()))], ["id", "near"])
+
+    found = spark.range(len(unit)).mapInArrow(run, "id long, near array<long>").toArrow().sort_by("id")
+    shared.unpersist()
+    return found.column("near").combine_chunks().flatten().to_numpy().reshape(len(unit), k)
+
+
 def bisect(graph: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Halves of a subgraph of equal size that cut few edges; True for the second half."""
     place = np.full(len(graph), -1)
@@ -139,13 +154,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(distinct: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Router:
     """Fits on about ``sample_rows`` distinct vectors chosen by hash; only they reach the driver."""
-    sample = hash_sample(distinct.select(*NAME, "vec"), sample_rows, *NAME, seed=3).orderBy(*NAME).collect()
-    vectors = np.array([r["vec"] for r in sample], float)
-    if len(vectors) < 2:
-        dims = vectors.shape[1] if len(vectors) else 1
+    sample = hash_sample(distinct.select(*NAME, "vec"), sample_rows, *NAME, seed=3).toArrow()
+    sample = sample.sort_by([(name, "ascending") for name in NAME])
+    if len(sample) < 2:
+        dims = len(sample.column("vec")[0]) if len(sample) else 1
         return Router(np.zeros((dims, 1)), np.zeros(1))
+    vectors = matrix(sample.column("vec").combine_chunks())
     levels = max(0, (len(vectors) // PARTITION_SAMPLE).bit_length() - 1)
-    label = balanced_partitions(neighbour_graph(vectors, GRAPH_NEIGHBOURS), levels)
+    label = balanced_partitions(neighbour_graph(distinct.sparkSession, vectors, GRAPH_NEIGHBOURS), levels)
     return Router.fit(vectors, label)
 
 

@@ -82,8 +82,13 @@ def test_search_of_few(spark, rows):
     }
 
 
-def test_partitions_are_balanced():
-    graph = ann.neighbour_graph(clustered(1000, seed=5), 8)
+def test_partitions_are_balanced(spark):
+    x = clustered(1000, seed=5)
+    graph = ann.neighbour_graph(spark, x, 8)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T
+    np.fill_diagonal(near, -np.inf)
+    assert (np.sort(graph, axis=1) == np.sort(np.argsort(-near, axis=1)[:, :8], axis=1)).all()
     label = ann.balanced_partitions(graph, 3)
     sizes = np.bincount(label)
     assert len(sizes) == 8 and sizes.max() - sizes.min() <= 3
