@@ -39,8 +39,10 @@ from mendframe.session import materialise, scratch_path
 
 #: Documents of a shard (about), and queries that are searched together.
 SHARD_DOCS, QUERY_BLOCK = 16_384, 4096
-#: Documents of a block.
-BLOCK_DOCS = 64
+#: Documents of a block: small, as long queries have many frequent terms and loose bounds.
+BLOCK_DOCS = 8
+#: Relative error allowed for bounds and first scores, which are single precision.
+MARGIN = 1e-4
 #: Terms in more than this share of a shard's documents have block maxima instead of being summed first.
 FREQUENT = 1 / 16
 K1, B = 1.2, 0.75
@@ -62,8 +64,9 @@ def bags(docs: DataFrame) -> DataFrame:
                     found = Counter(words_of((text.as_py() or "").lower()))
                     if len(memo) > MEMO_WORDS:
                         memo.clear()
-                    for word in found.keys() - memo.keys():
-                        memo[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
+                    for word in found:
+                        if word not in memo:
+                            memo[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
                     hashes = np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
                     order = np.argsort(hashes, kind="stable")
                     terms.append(hashes[order])
@@ -91,16 +94,18 @@ class Shard:
         self.doc_ids, self.terms, self.starts = arrays["doc_ids"], arrays["terms"], arrays["starts"]
         self.docs, self.weights = arrays["docs"], arrays["weights"]
         n = len(self.doc_ids)
-        size = np.diff(self.starts)
-        self.frequent = size > FREQUENT * n
+        self.sizes = np.diff(self.starts)
+        self.frequent = self.sizes > FREQUENT * n
         self.blocks = -(-n // BLOCK_DOCS)
         self.dense_row = np.cumsum(self.frequent) - 1
         # The weights of frequent terms by document, and the largest of each block.
         self.dense = np.zeros((int(self.frequent.sum()), self.blocks * BLOCK_DOCS))
+        # Documents are numbered by ascending id.
         for row, t in enumerate(np.flatnonzero(self.frequent)):
             at = slice(self.starts[t], self.starts[t + 1])
             self.dense[row, self.docs[at]] = self.weights[at]
-        self.block_max = self.dense.reshape(len(self.dense), self.blocks, BLOCK_DOCS).max(axis=2)
+        self.rough = self.dense.astype(np.float32)
+        self.block_max = self.rough.reshape(len(self.dense), self.blocks, BLOCK_DOCS).max(axis=2)
 
     @staticmethod
     def build(doc_ids, lengths, offsets, terms, counts, mean_length: float) -> dict[str, np.ndarray]:
@@ -126,47 +131,50 @@ class Shard:
     def search(self, terms: np.ndarray, idf: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the ``k`` best documents for a query's words, its own id left out."""
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
-        here = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, idf = at[here], idf[here]
-        rare, frequent = ~self.frequent[at], self.frequent[at]
-        n = len(self.doc_ids)
-        spans = [slice(a, b) for a, b in zip(self.starts[at[rare]], self.starts[at[rare] + 1], strict=True)]
-        found = np.concatenate([np.zeros(0, np.int32), *(self.docs[s] for s in spans)])
-        gains = np.concatenate([np.zeros(0), *(self.weights[s] * i for s, i in zip(spans, idf[rare], strict=True))])
+        here = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, np.int64)
+        at, idf, n = at[here], idf[here], len(self.doc_ids)
+        frequent = self.frequent[at]
+        rare = np.flatnonzero(~frequent)
+        # The postings of all rare terms, one behind the other.
+        first, size = self.starts[at[rare]], self.sizes[at[rare]]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
+        found, gains = self.docs[place], self.weights[place] * np.repeat(idf[rare], size)
         partial = np.bincount(found, gains, minlength=self.blocks * BLOCK_DOCS)
         rows, boost = self.dense_row[at[frequent]], idf[frequent]
-        bound = partial + np.repeat(boost @ self.block_max[rows], BLOCK_DOCS)
-        bound[:n][self.doc_ids == own] = -1
+        light = boost.astype(np.float32)
+        bound = partial + np.repeat(light @ self.block_max[rows], BLOCK_DOCS)
+        left, right = np.searchsorted(self.doc_ids, [own, own + 1])
+        bound[left:right] = -1
         bound[n:] = -1
+        candidates = np.arange(n)
         if k < n:
             # The documents of largest bound give a first threshold; only bounds above it are scored.
-            first = np.argpartition(-bound, k)[: k + 1]
-            scored = partial[first] + boost @ self.dense[np.ix_(rows, first)]
-            threshold = np.sort(scored[bound[first] >= 0])[-k] if (bound[first] >= 0).sum() >= k else 0.0
-            candidates = np.flatnonzero(bound >= threshold * (1 - 1e-12))
-            scores = partial[candidates] + boost @ self.dense[np.ix_(rows, candidates)]
+            ahead = np.argpartition(bound, -k - 1)[-k - 1 :]
+            ahead = ahead[bound[ahead] >= 0]
+            scored = partial[ahead] + light @ self.rough[np.ix_(rows, ahead)]
+            threshold = np.sort(scored)[-k] if len(scored) >= k else 0.0
+            candidates = np.flatnonzero(bound >= threshold * (1 - MARGIN))
+            scores = partial[candidates] + light @ self.rough[np.ix_(rows, candidates)]
             if len(scores) > k:
-                threshold = np.partition(scores, len(scores) - k)[len(scores) - k]
-                candidates = candidates[scores >= threshold * (1 - 1e-12)]
-        else:
-            candidates = np.arange(n)
+                threshold = np.partition(scores, -k)[-k]
+                candidates = candidates[scores >= threshold * (1 - MARGIN)]
         candidates = candidates[bound[candidates] >= 0]
-        scores = self.full(at, idf, candidates)
+        # The few that are left: a column each, summed in the order of the terms in every shard.
+        column = np.full(self.blocks * BLOCK_DOCS, -1)
+        column[candidates] = np.arange(len(candidates))
+        hit = np.flatnonzero(column[found] >= 0)
+        parts = np.zeros((len(at), len(candidates)))
+        parts[rare[np.searchsorted(ends, hit, side="right")], column[found[hit]]] = gains[hit]
+        parts[np.flatnonzero(frequent)] = self.dense[np.ix_(rows, candidates)] * boost[:, None]
+        scores = np.zeros(len(candidates))
+        for part in parts:
+            scores += part
         hits = scores > 0
         candidates, scores = candidates[hits], scores[hits]
         best = np.lexsort((self.doc_ids[candidates], -scores))[:k]
         return self.doc_ids[candidates[best]], scores[best]
 
-    def full(self, at: np.ndarray, idf: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Scores summed in the order of the terms, so that they are the same in every shard."""
-        total = np.zeros(len(docs))
-        for t, i in zip(at.tolist(), idf.tolist(), strict=True):
-            span = slice(self.starts[t], self.starts[t + 1])
-            place = np.searchsorted(self.docs[span], docs)
-            held = np.append(self.docs[span], -1)[place] == docs
-            total += np.where(held, np.append(self.weights[span], 0.0)[place] * i, 0.0)
-        return total
-
 
 def write_index(rows: DataFrame, mean_length: float, shards: int) -> DataFrame:
     """Builds and writes every shard; the manifest has ``shard, path``."""
