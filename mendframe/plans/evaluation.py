@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -17,11 +18,14 @@ from mendframe.plans.inputs import (
     DIRTY_EVENTS_SQL,
     DOCS_SQL,
     EVENT_FEATURES,
+    ORDERS_SQL,
     docs_labelled,
     dirty_events,
     embedding_features,
+    labelled_orders,
     table,
 )
+from mendframe.plans.diagnosis import _quoted
 from mendframe.plans.registry import query
 from mendframe.plans.repairs import _CODES, _split_sql
 from mendframe.plans.step_log import (
@@ -143,21 +147,29 @@ _NAMES = list(CATALOGUE)
 _DATASET = "CASE session_id % 5 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END"
 
 
+_ISSUES = "CASE dataset " + " ".join(
+    f"WHEN '{n}' THEN [{', '.join(_quoted(i) for i in e['known_issues'])}]" for n, e in CATALOGUE.items()
+) + " END"
+_MAJORITY = f"(SELECT round_even(max(n)::DOUBLE / sum(n), 4) FROM (SELECT count(*) AS n FROM docs GROUP BY label))"
+
+
 @query(
     "comparison",
-    f"""WITH {LOG_SQL}, s AS (SELECT session_id, {_DATASET} AS dataset,
+    f"""WITH {LOG_SQL}, {DOCS_SQL}, s AS (SELECT session_id, {_DATASET} AS dataset,
       arg_max(accuracy_after, step) AS accuracy, arg_min(accuracy_before, step) AS start_accuracy,
-      0.65::DOUBLE AS majority_baseline FROM log GROUP BY session_id),
+      {_MAJORITY} AS majority_baseline FROM log GROUP BY session_id),
     m AS (SELECT *, {_meta_sql('published_baseline')}::DOUBLE AS published_baseline,
-      {_meta_sql('domain')} AS domain, CASE
+      {_meta_sql('domain')} AS domain, {_ISSUES} AS issues, CASE
       {" ".join(f"WHEN dataset IN ({', '.join(repr(n) for n in names)}) THEN '{level}'"
                 for level, names in DIFFICULTY_DATASETS.items())} END AS difficulty FROM s),
     t AS (SELECT *, round_even(published_baseline * 0.97::DOUBLE, 4) AS target_accuracy FROM m)
-    SELECT session_id, dataset, domain, difficulty, accuracy, published_baseline, target_accuracy,
+    SELECT session_id, dataset, domain, difficulty, accuracy, majority_baseline, published_baseline, target_accuracy,
       round_even(greatest(0, target_accuracy - accuracy), 4) AS accuracy_gap,
       round_even(accuracy - start_accuracy, 4) AS improvement_over_start,
       round_even(accuracy - majority_baseline, 4) AS improvement_over_majority,
-      accuracy >= target_accuracy AS success FROM t""",
+      accuracy >= target_accuracy AS success, CASE WHEN domain LIKE '%medical%' THEN 5.0 ELSE 3.0 END::DOUBLE
+        AS iqr_multiplier, array_to_string(issues[1:2], ' | ') AS first_issues,
+      lower(array_to_string(issues, ' ')) LIKE '%imbalance%' AS names_imbalance FROM t""",
 )
 def comparison(spark, sf):
     """Sessions of the log spread over the catalogued datasets, joined to their entries."""
@@ -168,12 +180,18 @@ def comparison(spark, sf):
             F.max_by("accuracy_after", "step").alias("accuracy"),
             F.min_by("accuracy_before", "step").alias("start_accuracy"),
         )
-        .withColumns({"dataset": F.expr(_DATASET), "majority_baseline": F.lit(0.65)})
+        .withColumn("dataset", F.expr(_DATASET))
     )
-    return E.comparison(with_metadata(sessions)).select(
-        "session_id", "dataset", "domain", "difficulty", "accuracy", "published_baseline",
+    baseline = E.majority_baseline(docs_labelled(spark, sf))
+    known = with_metadata(sessions).withColumn("_one", F.lit(1))
+    joined = known.join(F.broadcast(baseline.withColumn("_one", F.lit(1))), "_one")
+    return E.comparison(joined).select(
+        "session_id", "dataset", "domain", "difficulty", "accuracy", "majority_baseline", "published_baseline",
         "target_accuracy", "accuracy_gap", "improvement_over_start", "improvement_over_majority",
         "success",
+        S.iqr_multiplier("domain").alias("iqr_multiplier"),
+        F.array_join(samples.first_issues("known_issues"), " | ").alias("first_issues"),
+        S.mentions("known_issues", "imbalance").alias("names_imbalance"),
     )
 
 
@@ -194,18 +212,41 @@ def auto_repair_trace(spark, sf):
 # Sources and sinks.
 
 
+# Orders as they might land: a sentinel in a text column, some labels missing.
+_PRIORITY = "CASE WHEN o_orderkey % 13 = 0 THEN '?' ELSE o_orderpriority END"
+_STATUS = "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderstatus END"
+
+
 @query(
     "normalise_landing",
-    f"""SELECT o_orderkey AS _row_id, o_totalprice, {_CODES.format(c='o_orderpriority')}
-      AS o_orderpriority, {_CODES.format(c='o_orderstatus')} AS label FROM orders""",
+    f"""WITH l AS (SELECT o_orderkey AS _row_id, o_totalprice, nullif({_PRIORITY}, '?') AS p, {_STATUS} AS s
+      FROM orders WHERE o_orderkey % 17 <> 0),
+    p AS (SELECT p, {_CODES.format(c='p')} AS code FROM (SELECT DISTINCT p FROM l WHERE p IS NOT NULL)),
+    s AS (SELECT s, {_CODES.format(c='s')} AS code FROM (SELECT DISTINCT s FROM l))
+    SELECT _row_id, o_totalprice, p.code AS o_orderpriority, s.code AS label
+    FROM l LEFT JOIN p USING (p) JOIN s USING (s)""",
 )
 def normalise_landing(spark, sf):
     df = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("_row_id"), "o_totalprice", "o_orderpriority", "o_orderstatus"
+        F.col("o_orderkey").alias("_row_id"), "o_totalprice",
+        F.expr(_PRIORITY).alias("o_orderpriority"), F.expr(_STATUS).alias("o_orderstatus"),
     )
     return tables.normalise_landing(df, "o_orderstatus")
 
 
+@query("read_table", "SELECT * RENAME (o_orderstatus AS label) FROM orders")
+def read_table(spark, sf):
+    return tables.read_table(spark, f"{sf}/orders.parquet", "o_orderstatus")
+
+
+@query(
+    "without_metadata",
+    f"WITH {ORDERS_SQL} SELECT price, custkey, label FROM ords",
+)
+def without_metadata(spark, sf):
+    return S.drop_metadata(sampling.mark_golden(labelled_orders(spark, sf)))
+
+
 @query("csv_roundtrip", f"WITH {DIRTY_EVENTS_SQL} SELECT * FROM dirty")
 def csv_roundtrip(spark, sf):
     df = dirty_events(spark, sf)
@@ -250,31 +291,103 @@ def training_samples(spark, sf):
     return samples.training_samples(rows)
 
 
-@query(
-    "prompt_json",
-    f"""WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}, {_STATE_SQL}
-    SELECT session_id, '<|system|>' || chr(10) || '{samples.SYSTEM_TEXT}' || chr(10) || '<|user|>'
-      || chr(10) || 'Current environment state:' || chr(10) || '{{"session_id":' || session_id
-      || ',"current_accuracy":' || round_even(accuracy, 4) || ',"target_accuracy":0.9,"budget_remaining":'
-      || budget_remaining || ',"best_pending":'
-      || coalesce('{{"rec_id":"' || rec_id || '","priority":' || priority || '}}', '{{}}')
-      || ',"available_actions":"{samples.AVAILABLE_ACTIONS}"}}' || chr(10) || '<|assistant|>' || chr(10)
-      AS prompt FROM state LEFT JOIN best USING (session_id)""",
+def _json(**fields):
+    """A JSON object as SQL text; values are SQL expressions of JSON text."""
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields.items()) + " || '}'"
+
+
+def _text(value):
+    return f"'\"' || {value} || '\"'"
+
+
+_ISSUES_JSON = "CASE dataset " + " ".join(
+    f"WHEN '{n}' THEN {_quoted(json.dumps(e['known_issues'][:2], ensure_ascii=False, separators=(',', ':')))}"
+    for n, e in CATALOGUE.items()
+) + " END"
+_SHOWN = _json(
+    dataset=_text(_meta_sql("display_name")),
+    domain=_text(_meta_sql("domain")),
+    known_issues=_ISSUES_JSON,
+    current_accuracy="round_even(accuracy, 4)",
+    target_accuracy="0.9",
+    accuracy_gap="round_even(greatest(0, 0.9::DOUBLE - accuracy), 4)",
+    benchmarks=_json(
+        starting_accuracy="round_even(start, 4)",
+        improvement_over_start="round_even(accuracy - start, 4)",
+        published_baseline=f"{_meta_sql('published_baseline')}::DOUBLE",
+    ),
+    budget_remaining="budget_remaining",
+    dataset_stats=_json(missing_pct="round_even(missing, 4)", balance_ratio="round_even(balance, 4)"),
+    pending_recommendations="'[' || coalesce(listed, '') || ']'",
+    episode_trace="'[' || coalesce(trace, '') || ']'",
+    available_actions=_text(f"'{samples.AVAILABLE_ACTIONS}'"),
 )
-def prompt_json(spark, sf):
+_REASON = "repeat(concat(agent, ' recommends ', rec_id, '; '), 8)"
+_PROMPTS_SQL = f"""WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}, {_STATE_SQL},
+    listed AS (SELECT session_id, string_agg({_json(rec_id=_text('rec_id'), agent=_text('agent'), reason=_text(f'substr({_REASON}, 1, 120)'))},
+      ',' ORDER BY priority, rec_id) AS listed FROM pending GROUP BY session_id),
+    told AS (SELECT session_id, string_agg({_json(step='step', action=_text('action'), outcome=_text('outcome'))}, ',' ORDER BY step)
+      AS trace FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step DESC) AS r FROM audit
+      WHERE outcome IN ('executed', 'blocked', 'undone')) WHERE r <= {samples.TRACE_SHOWN} GROUP BY session_id),
+    shown AS (SELECT session_id, difficulty, {_SHOWN} AS obs FROM (SELECT *, {_DATASET} AS dataset, CASE
+      {" ".join(f"WHEN {_DATASET} IN ({', '.join(repr(n) for n in names)}) THEN '{level}'" for level, names in DIFFICULTY_DATASETS.items())}
+      END AS difficulty FROM state) LEFT JOIN listed USING (session_id) LEFT JOIN told USING (session_id)),
+    prompts AS (SELECT *, '<|system|>' || chr(10) || '{samples.SYSTEM_TEXT}' || chr(10) || '<|user|>' || chr(10)
+      || 'Current environment state:' || chr(10) || obs || chr(10) || '<|assistant|>' || chr(10) AS prompt FROM shown)"""
+
+
+def _prompt_state(spark, sf):
+    """One row per session with the fields a prompt shows."""
     steps = audited(spark, sf)
-    state = L.session_state(steps).join(L.best_pending(steps, issued_recs(steps)), "session_id", "left")
-    shown = F.struct(
+    recs = issued_recs(steps)
+    seen = L.observations(steps, recs)
+    listed = (
+        L.pending_recs(steps, recs)
+        .withColumn("reason", samples.compact_reason(F.expr(_REASON)))
+        .groupBy("session_id")
+        .agg(F.array_sort(F.collect_list(F.struct("priority", "rec_id", "agent", "reason"))).alias("l"))
+        .select("session_id", F.transform("l", lambda r: F.struct(r["rec_id"].alias("rec_id"), r["agent"].alias("agent"), r["reason"].alias("reason"))).alias("pending"))
+    )
+    trace = (
+        L.recent_trace(L.effective(steps), samples.TRACE_SHOWN)
+        .groupBy("session_id")
+        .agg(F.array_sort(F.collect_list(F.struct("step", "action", "outcome"))).alias("told"))
+    )
+    joined = seen.join(listed, "session_id", "left").join(trace, "session_id", "left")
+    known = with_metadata(joined.drop("target_accuracy").withColumn("dataset", F.expr(_DATASET)))
+    return known.select(
         "session_id",
-        S.round_even("accuracy_after", 4).alias("current_accuracy"),
-        "target_accuracy",
+        "difficulty",
+        F.col("display_name").alias("dataset"),
+        "domain",
+        samples.first_issues("known_issues").alias("known_issues"),
+        "current_accuracy",
+        F.lit(0.9).alias("target_accuracy"),
+        "accuracy_gap",
+        F.struct(
+            "benchmarks.starting_accuracy", "benchmarks.improvement_over_start", "published_baseline"
+        ).alias("benchmarks"),
         "budget_remaining",
-        F.struct("rec_id", "priority").alias("best_pending"),
+        "dataset_stats",
+        F.coalesce("pending", F.array().cast("array<struct<rec_id:string,agent:string,reason:string>>")).alias("pending_recommendations"),
+        F.coalesce("told", F.array().cast("array<struct<step:bigint,action:string,outcome:string>>")).alias("episode_trace"),
         F.lit(samples.AVAILABLE_ACTIONS).alias("available_actions"),
     )
+
+
+@query("prompt_json", f"{_PROMPTS_SQL} SELECT session_id, prompt FROM prompts")
+def prompt_json(spark, sf):
+    state = _prompt_state(spark, sf)
+    shown = F.struct(*[c for c in state.columns if c not in ("session_id", "difficulty")])
     return state.select("session_id", samples.prompt_text(shown).alias("prompt"))
 
 
+@query("prompt_dataset", f"{_PROMPTS_SQL} SELECT prompt, difficulty, obs AS initial_obs FROM prompts")
+def prompt_dataset(spark, sf):
+    state = _prompt_state(spark, sf)
+    return samples.prompt_dataset(state, [c for c in state.columns if c not in ("session_id", "difficulty")])
+
+
 # Streams. Each reads a folder of files to its end.
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is used only on a local master where none is set.
+    Only on a local master, as in tests, a temporary folder stands in for a missing setting. Tables
+    written below it are read by lazy results, so they stay until the caller's results are stored;
+    give the folder a retention rule, or call ``clear_scratch`` then.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
@@ -24,9 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths handed out in this process, by application: what ``clear_scratch`` may remove.
+_handed: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _handed.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Removes the tables this application has written below the shared folder; how many.
+
+    Call it when all results that read them are stored. ``since`` keeps the first ones
+    (``scratch_mark`` tells how many there are at a moment).
+    """
+    paths = _handed.get(spark.sparkContext.applicationId, [])
+    gone, kept = paths[since:], paths[:since]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    _handed[spark.sparkContext.applicationId] = kept
+    return len(gone)
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    return len(_handed.get(spark.sparkContext.applicationId, []))
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import pytest
 
@@ -79,9 +80,10 @@ def test_augmenter_guards_and_cap(spark):
     assert diagnose.augmenter_recommendation(frame(5, 4)).count() == 0  # fewer than ten rows
     assert diagnose.augmenter_recommendation(frame(20, 0)).count() == 0  # one class
     rec = diagnose.augmenter_recommendation(frame(400, 10)).first()
-    assert (rec["target_class"], rec["target_count"], rec["n_to_add"]) == (1, 340, 300)
+    assert (rec["target_class"], rec["target_count"], rec["n_to_add"]) == (1, 340, 330)
     assert "WARNING" in rec["reason"]
-    assert diagnose.augmenter_recommendation(frame(400, 10), cap=None).first()["n_to_add"] == 330
+    assert "WARNING" not in diagnose.augmenter_recommendation(frame(400, 250)).first()["reason"]
+    assert diagnose.augmenter_recommendation(frame(400, 10), cap=300).first()["n_to_add"] == 300
     other = diagnose.augmenter_recommendation(frame(400, 10), target_class=0)
     assert other.count() == 0
 
@@ -183,3 +185,15 @@ def test_codes_of_many_values(spark):
     assert sorted(map(tuple, value_codes(df, "w").collect())) == want
     coded = repair.encode_categories(df, ["w"])
     assert coded.count() == 901 and coded.filter("w is null").count() == 1
+
+
+def test_scratch_is_removed_on_request(spark):
+    from mendframe.session import clear_scratch, materialise, scratch_mark
+
+    mark = scratch_mark(spark)
+    kept = materialise(spark.range(3), "kept")
+    after = scratch_mark(spark)
+    gone = materialise(spark.range(4), "gone")
+    path = gone.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert clear_scratch(spark, after) == scratch_mark(spark) - after + 1
+    assert not Path(path).exists() and kept.count() == 3 and scratch_mark(spark) == mark + 1
