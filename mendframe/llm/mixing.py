@@ -20,6 +20,7 @@ from mendframe.session import materialise
 
 #: Ranges of the key space; documents are sorted only within (source, range).
 RANGES = 4096
+KEY_BITS = 60
 #: A source is repeated at most this many times.
 MAX_EPOCHS = 3
 
@@ -28,6 +29,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def mix_key(doc_id: Column, seed: int) -> Column:
+    """A random whole number of ``KEY_BITS`` bits that depends on the id alone."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: list[int], max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Share all words among sources by weight, none above ``max_epochs`` times its size.
 
@@ -69,8 +76,8 @@ def mix(docs: DataFrame, weights: list[int], seed: int = 0, max_epochs: int = MA
             "doc_id",
             F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("source_key"),
             word_count(F.col("text")).alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("key"),
-        ).withColumn("range", F.shiftrightunsigned("key", 64 - (RANGES - 1).bit_length()).cast("int")),
+            mix_key(F.col("doc_id"), seed).alias("key"),
+        ).withColumn("range", F.shiftright("key", KEY_BITS - (RANGES - 1).bit_length()).cast("int")),
         "mix-sizes",
     )
     ranges = materialise(

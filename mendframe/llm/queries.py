@@ -59,6 +59,22 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op3_source_mix"] = f"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('{MIX_SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS k FROM documents),
+  s AS (SELECT s, sum(size)::BIGINT AS source_size, 1.0::DOUBLE + (row_number() OVER (ORDER BY s) - 1) % 3 AS w FROM d GROUP BY s),
+  l AS (SELECT *, source_size * 3.0::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE AS total FROM s),
+  c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed,
+    sum(w) OVER (ORDER BY cap / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM l),
+  t AS (SELECT s, source_size, least(cap, max((total - closed) / open_w) OVER () * w) AS target FROM c),
+  b AS (SELECT d.*, source_size, target, round(target)::BIGINT AS budget, coalesce(sum(size) OVER (PARTITION BY s ORDER BY k, doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN t USING (s)),
+  e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM b)
+SELECT doc_id, size, source_size, target,
+  (epochs * size + least(size, greatest(0, budget - epochs * source_size - before)))::BIGINT AS taken FROM e"""
+
+
 @query("op4_wavelet_shards")
 def wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as wavelet-matrix files and read back from them."""
@@ -99,7 +115,21 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents nearest to every document whose id is divisible by 100, by BM25."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bm25.search(docs, F.col("doc_id") % 100 == 0, k=10)
+    found = bm25.search(docs, F.col("doc_id") % 100 == 0, k=10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+ORACLES["op8_bm25_top10"] = """
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents),
+  tf AS (SELECT doc_id, w, count(*) AS tf FROM words GROUP BY ALL),
+  dl AS (SELECT doc_id, sum(tf)::DOUBLE AS len FROM tf GROUP BY doc_id),
+  st AS (SELECT count(*) AS n, avg(len) AS mean FROM dl),
+  df AS (SELECT w, ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY w),
+  hits AS (SELECT q.doc_id AS query_id, d.doc_id, sum(idf * (d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len / mean)))) AS score
+    FROM tf q JOIN tf d USING (w) JOIN df USING (w) JOIN dl ON dl.doc_id = d.doc_id, st
+    WHERE q.doc_id % 100 = 0 AND q.doc_id <> d.doc_id GROUP BY ALL)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER
+  (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits) WHERE rank <= 10"""
 
 
 @query("op9_url_filter")
