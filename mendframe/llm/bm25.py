@@ -1,10 +1,11 @@
 """Exact top-k search by BM25 over an inverted index with block maxima, built and searched per shard.
 
-Documents are dealt to shards of bounded size by the hash of their id. A task builds each shard's
-index (postings by term, their length-normalised weights, the largest weight of every block of
-documents for frequent terms) and writes it as one file to the shared folder; the manifest, which
-Spark commits, names the files that count. Document frequencies, the number of documents and the
-mean length are taken over all shards, so scores do not depend on the sharding.
+Every task cuts its documents into shards of bounded size and writes each shard's index (postings
+by term with counts, lengths) as one file to the shared folder; documents are not shuffled. The
+manifest, which Spark commits, names the files that count, and the terms of each. Document
+frequencies, the number of documents and the mean length are taken over all shards, so scores do
+not depend on the sharding. A shard that is searched gets its weights, and the largest weight of
+every block of documents for its frequent terms.
 
 Queries meet each shard in blocks. The pruning is that of block-max WAND: terms are ordered by
 frequency, the postings of the rare ones are summed, and a document is scored in full only if that
@@ -32,12 +33,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendframe.session import materialise, scratch_path
 
-#: Documents of a shard (about), and queries that are searched together.
+#: Documents of a shard at most, and queries (about) that are searched together.
 SHARD_DOCS, QUERY_BLOCK = 16_384, 4096
 #: Documents of a block: small, as long queries have many frequent terms and loose bounds.
 BLOCK_DOCS = 8
@@ -50,49 +52,32 @@ MEMO_WORDS = 600_000
 words_of = re.compile(r"[^\W_]+").findall
 
 
-def bags(docs: DataFrame) -> DataFrame:
-    """``doc_id, length, terms, counts``: the distinct words of each text as hashes, ascending."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+class Bagger:
+    """Texts as distinct words (as hashes, ascending) with their counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                starts, terms, counts, lengths = [0], [], [], []
-                for text in part.column("text"):
-                    found = Counter(words_of((text.as_py() or "").lower()))
-                    if len(memo) > MEMO_WORDS:
-                        memo.clear()
-                    for word in found:
-                        if word not in memo:
-                            memo[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
-                    hashes = np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
-                    order = np.argsort(hashes, kind="stable")
-                    terms.append(hashes[order])
-                    counts.append(np.fromiter(found.values(), np.int32, len(found))[order])
-                    starts.append(starts[-1] + len(found))
-                    lengths.append(int(counts[-1].sum()))
-                offsets = pa.array(starts, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(lengths, pa.int64()),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *terms]))),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *counts]))),
-                    ],
-                    ["doc_id", "length", "terms", "counts"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, length long, terms array<long>, counts array<int>")
+    def __init__(self):
+        self.memo: dict[str, int] = {}
+
+    def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        memo, found = self.memo, Counter(words_of((text or "").lower()))
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        for word in found:
+            if word not in memo:
+                memo[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
+        hashes = np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], np.fromiter(found.values(), np.int32, len(found))[order]
 
 
 class Shard:
-    """One shard's index in memory."""
+    """One shard's index in memory: weights, and bounds by block for its frequent terms."""
 
-    def __init__(self, arrays: dict[str, np.ndarray]):
+    def __init__(self, arrays: dict[str, np.ndarray], mean_length: float):
         self.doc_ids, self.terms, self.starts = arrays["doc_ids"], arrays["terms"], arrays["starts"]
-        self.docs, self.weights = arrays["docs"], arrays["weights"]
+        self.docs = arrays["docs"].astype(np.int32)
+        tf, length = arrays["counts"].astype(float), arrays["lengths"].astype(float)
+        self.weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / mean_length))
         n = len(self.doc_ids)
         self.sizes = np.diff(self.starts)
         self.frequent = self.sizes > FREQUENT * n
@@ -100,7 +85,6 @@ class Shard:
         self.dense_row = np.cumsum(self.frequent) - 1
         # The weights of frequent terms by document, and the largest of each block.
         self.dense = np.zeros((int(self.frequent.sum()), self.blocks * BLOCK_DOCS))
-        # Documents are numbered by ascending id.
         for row, t in enumerate(np.flatnonzero(self.frequent)):
             at = slice(self.starts[t], self.starts[t + 1])
             self.dense[row, self.docs[at]] = self.weights[at]
@@ -108,24 +92,25 @@ class Shard:
         self.block_max = self.rough.reshape(len(self.dense), self.blocks, BLOCK_DOCS).max(axis=2)
 
     @staticmethod
-    def build(doc_ids, lengths, offsets, terms, counts, mean_length: float) -> dict[str, np.ndarray]:
+    def build(doc_ids: list[int], bags: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
         """Postings sorted by term, then by document; documents are numbered by ascending id."""
-        order = np.argsort(doc_ids, kind="stable")
+        order = np.argsort(np.array(doc_ids, np.int64), kind="stable")
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
-        doc = np.repeat(number, np.diff(offsets))
-        tf = counts.astype(float)
-        length = np.repeat(lengths.astype(float), np.diff(offsets))
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+        lengths = np.array([c.sum() for _, c in bags], np.int64)
+        doc = np.repeat(number, [len(t) for t, _ in bags])
+        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in bags)])
+        counts = np.concatenate([np.zeros(0, np.int32), *(c for _, c in bags)])
         by_term = np.lexsort((doc, terms))
-        terms = terms[by_term]
-        first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, int)
+        terms, doc, counts = terms[by_term], doc[by_term], counts[by_term]
+        first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
         return {
-            "doc_ids": doc_ids[order],
+            "doc_ids": np.array(doc_ids, np.int64)[order],
+            "lengths": lengths[order],
             "terms": terms[first],
             "starts": np.append(first, len(terms)),
-            "docs": doc[by_term].astype(np.int32),
-            "weights": weight[by_term],
+            "docs": doc.astype(np.min_scalar_type(len(order))),
+            "counts": counts.astype(np.min_scalar_type(int(counts.max(initial=0)))),
         }
 
     def search(self, terms: np.ndarray, idf: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,48 +161,89 @@ class Shard:
         return self.doc_ids[candidates[best]], scores[best]
 
 
-def write_index(rows: DataFrame, mean_length: float, shards: int) -> DataFrame:
-    """Builds and writes every shard; the manifest has ``shard, path``."""
-    folder = scratch_path(rows.sparkSession, "bm25-index")
+def write_index(docs: DataFrame, shard_docs: int) -> DataFrame:
+    """Builds and writes a shard for every ``shard_docs`` documents of a task.
+
+    The manifest has ``shard, path, documents, words`` and the shard's ``terms`` with their ``dfs``.
+    Wordless texts are left out.
+    """
+    folder = scratch_path(docs.sparkSession, "bm25-index")
     folder = folder if urlparse(folder).scheme else f"file://{folder}"
     store, name = fs.FileSystem.from_uri(folder)
     store.create_dir(name, recursive=True)
+    kinds = pa.schema(
+        [
+            ("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("words", pa.int64()),
+            ("terms", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32())),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bagger, held, ids, shard = Bagger(), [], [], 0
+        part, (target, top) = TaskContext.get().partitionId(), fs.FileSystem.from_uri(folder)
+
+        def close() -> pa.RecordBatch:
+            arrays, data = Shard.build(ids, held), io.BytesIO()
+            np.savez(data, **arrays)
+            path = f"part-{part:06d}-{shard:06d}-{uuid4().hex}.npz"  # a repeated task writes another file
+            with target.open_output_stream(f"{top}/{path}") as out:
+                out.write(data.getbuffer())
+            return pa.RecordBatch.from_pydict(
+                {
+                    "shard": [(part << 32) + shard], "path": [f"{folder}/{path}"], "documents": [len(ids)],
+                    "words": [int(arrays["lengths"].sum())], "terms": [arrays["terms"]], "dfs": [np.diff(arrays["starts"])],
+                },
+                schema=kinds,
+            )
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                found = bagger.bag(text.as_py())
+                if len(found[0]):
+                    ids.append(doc_id)
+                    held.append(found)
+                if len(ids) >= shard_docs:
+                    yield close()
+                    held, ids, shard = [], [], shard + 1
+        if ids:
+            yield close()
 
-    def build(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        terms, counts = (table.column(c).combine_chunks() for c in ("terms", "counts"))
-        offsets = terms.offsets.to_numpy()
-        arrays = Shard.build(
-            table.column("doc_id").to_numpy(), table.column("length").to_numpy(), offsets - offsets[0],
-            terms.flatten().to_numpy(), counts.flatten().to_numpy(), mean_length,
-        )
-        shard, data = table.column("shard")[0].as_py(), io.BytesIO()
-        np.savez(data, **arrays)
-        target, top = fs.FileSystem.from_uri(folder)
-        path = f"shard-{shard:08d}-{uuid4().hex}.npz"  # a repeated task writes another file
-        with target.open_output_stream(f"{top}/{path}") as out:
-            out.write(data.getbuffer())
-        return pa.table({"shard": pa.array([shard], pa.int64()), "path": [f"{folder}/{path}"]})
-
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long"))
-    return materialise(dealt.groupBy("shard").applyInArrow(build, "shard long, path string"), "bm25-manifest")
+    schema = "shard long, path string, documents long, words long, terms array<long>, dfs array<int>"
+    return materialise(docs.select("doc_id", "text").mapInArrow(run, schema), "bm25-manifest")
+
+
+def query_words(docs: DataFrame) -> DataFrame:
+    """``query, query_id, terms``: the distinct words of the asking documents, numbered by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bagger = Bagger()
+        for batch in batches:
+            terms = [bagger.bag(t.as_py())[0] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_id"), pa.array(terms, pa.list_(pa.int64()))], ["query_id", "terms"]
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("query_id"), "text").mapInArrow(run, "query_id long, terms array<long>")
+    numbered = rows.where(F.size("terms") > 0).withColumn("query", F.monotonically_increasing_id())
+    return materialise(numbered, "bm25-queries")
 
 
 def search(docs: DataFrame, is_query: Column, k: int = 10, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """``query_id, rank, doc_id, score`` for the rows with ``is_query`` (on ``doc_id``) against all others."""
-    rows = materialise(bags(docs.where("doc_id is not null")), "bm25-bags").where("length > 0")
-    total = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean_length = total["n"], total["mean"] or 1.0
-    shards = max(1, -(-n // shard_docs))
-    manifest = write_index(rows, mean_length, shards)
-
-    asked = rows.where(is_query).withColumn("query", F.monotonically_increasing_id())
-    asked = materialise(asked.select("query", F.col("doc_id").alias("query_id"), "terms"), "bm25-queries")
+    docs = docs.where("doc_id is not null")
+    manifest = write_index(docs, shard_docs)
+    total = manifest.agg(F.sum("documents").alias("n"), F.sum("words").alias("words")).first()
+    n = total["n"] or 0
+    mean_length = total["words"] / n if n else 1.0
+
+    asked = query_words(docs.where(is_query))
     asks = asked.select("query", "query_id", F.explode("terms").alias("term"))
-    wanted = asks.select("term").distinct()
-    seen = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    each = manifest.select(F.explode(F.arrays_zip("terms", "dfs")).alias("z"))
+    seen = each.groupBy(F.col("z.terms").alias("term")).agg(F.sum("z.dfs").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = materialise(seen.join(wanted, "term").select("term", idf.alias("idf")), "bm25-idf")
+    weighed = materialise(
+        seen.join(asks.select("term").distinct(), "term").select("term", idf.alias("idf")), "bm25-idf"
+    )
     queries = materialise(
         asks.join(weighed, "term")
         .groupBy("query", "query_id")
@@ -231,24 +257,23 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard_docs: int = SHA
         path = table.column("path")[0].as_py()
         store, name = fs.FileSystem.from_uri(path)
         with store.open_input_file(name) as file, np.load(io.BytesIO(file.read())) as arrays:
-            shard = Shard({key: arrays[key] for key in arrays.files})
-        out = {"query": [], "query_id": [], "doc_id": [], "score": []}
-        for query, query_id, terms, idfs in zip(*(table.column(c) for c in ("query", "query_id", "terms", "idfs")), strict=True):
-            ids, scores = shard.search(
-                terms.values.to_numpy(), idfs.values.to_numpy(), query_id.as_py(), k
-            )
-            out["query"] += [query.as_py()] * len(ids)
+            shard = Shard({key: arrays[key] for key in arrays.files}, mean_length)
+        out = {"query_id": [], "doc_id": [], "score": []}
+        for query_id, terms, idfs in zip(*(table.column(c) for c in ("query_id", "terms", "idfs")), strict=True):
+            ids, scores = shard.search(terms.values.to_numpy(), idfs.values.to_numpy(), query_id.as_py(), k)
             out["query_id"] += [query_id.as_py()] * len(ids)
             out["doc_id"] += ids.tolist()
             out["score"] += scores.tolist()
-        kinds = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-        return pa.table(out, schema=kinds)
+        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]))
 
     # Every query goes to every shard; a group is one shard and at most about QUERY_BLOCK queries.
     block = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
-    pairs = queries.select("*", block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    found = pairs.join(manifest, "shard").groupBy("shard", "block").applyInArrow(
-        run, "query long, query_id long, doc_id long, score double"
+    places = manifest.select("shard", "path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    found = (
+        queries.select("*", block)
+        .join(places, "block")
+        .groupBy("shard", "block")
+        .applyInArrow(run, "query_id long, doc_id long, score double")
     )
     found = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
