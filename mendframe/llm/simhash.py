@@ -248,7 +248,7 @@ def confirmed(edges: DataFrame, texts: DataFrame, width: int, similar: float, at
         pairs = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
         pairs = pairs.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
-        jaccard = F.coalesce(both / (F.size("x") + F.size("y") - both), F.lit(1.0))
+        jaccard = F.coalesce(F.try_divide(both, F.size("x") + F.size("y") - both), F.lit(1.0))
         now = pairs.where(jaccard >= similar).select("a", "b")
         good = materialise(now if good is None else good.union(now), "simhash-confirmed")
         roots = materialise(components(good), "simhash-roots")
