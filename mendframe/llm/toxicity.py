@@ -167,9 +167,10 @@ def fit_label_model(fired: Firings, voters: int, labels: np.ndarray, start: Labe
         p[known] = labels[known]
         toxic, n_toxic = fired.sums(p, voters), p.sum()
         clean, n_clean = fired.sums(1 - p, voters), (1 - p).sum()
-        # Half a firing of smoothing; a voter may be silent but never says more than it has shown.
+        # Smoothed towards the rate of all texts, so a voter that never fires says nothing either way.
+        rate = (toxic + clean + 0.5) / (fired.n + 1)
         model = LabelModel(
-            (toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1), model.share, (n_toxic + 1) / (fired.n + 2)
+            (toxic + rate) / (n_toxic + 1), (clean + rate) / (n_clean + 1), model.share, (n_toxic + 1) / (fired.n + 2)
         )
     return model
 

@@ -82,7 +82,9 @@ def test_language_sample_does_not_depend_on_partitions(spark):
     docs = table(spark, SF, "documents")
     a, b = (langid.fit(d, per_language=20, landmarks=5) for d in (docs, docs.repartition(9)))
     assert a.languages == b.languages and (a.landmarks.keys == b.landmarks.keys).all()
-    assert a.weights == pytest.approx(b.weights, abs=1e-6)
+    texts = [r["text"] for r in docs.select("text").limit(200).collect()]
+    for (names, scores), (others, values) in zip(a.predict(texts), b.predict(texts), strict=True):
+        assert names == others and scores == pytest.approx(values, abs=1e-3)
 
 
 def made(n: int, seed: int):
