@@ -233,14 +233,15 @@ def candidates(texts: DataFrame, families: int, radius: int) -> DataFrame:
 def confirmed(edges: DataFrame, texts: DataFrame, width: int, similar: float, at_once: int = 2) -> DataFrame:
     """``node, root``: components of the candidate links whose shingle sets have that Jaccard similarity.
 
-    In each round every text confirms its next ``at_once`` links that are not within one component yet;
-    links within a component need no confirmation, so large groups cost about one comparison a text.
+    In each round every text confirms its next links that are not within one component yet: first
+    ``at_once``, then four times as many every round. Links within a component need no confirmation,
+    so large groups cost a few comparisons a text, and the number of rounds is logarithmic.
     """
     ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     grams = materialise(
         per_text(texts.join(ends, "node", "left_semi"), "grams", lambda t: shingles(t, width)), "simhash-grams"
     )
-    good, roots = None, None
+    roots = materialise(ends.withColumn("root", F.col("node")), "simhash-roots")
     while edges.head(1):
         order = Window.partitionBy("b").orderBy("a")
         ranked = materialise(edges.withColumn("r", F.row_number().over(order)), "simhash-open")
@@ -249,15 +250,23 @@ def confirmed(edges: DataFrame, texts: DataFrame, width: int, similar: float, at
         pairs = pairs.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         jaccard = F.coalesce(F.try_divide(both, F.size("x") + F.size("y") - both), F.lit(1.0))
-        now = pairs.where(jaccard >= similar).select("a", "b")
-        good = materialise(now if good is None else good.union(now), "simhash-confirmed")
-        roots = materialise(components(good), "simhash-roots")
-        rest = ranked.where(F.col("r") > at_once).select("a", "b")
-        for end in ("a", "b"):
-            named = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-            rest = rest.join(named, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-        edges = materialise(rest.where("root_a <> root_b").select("a", "b"), "simhash-rest")
-    return roots if roots is not None else edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        near = materialise(pairs.where(jaccard >= similar).select("a", "b"), "simhash-confirmed")
+        # Only the roots that this round has joined are connected anew.
+        joined = between_roots(near, roots).select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+        moved = components(joined.distinct()).select(F.col("node").alias("root"), F.col("root").alias("up"))
+        up = F.coalesce("up", "root").alias("root")
+        roots = materialise(roots.join(moved, "root", "left").select("node", up), "simhash-roots")
+        rest = between_roots(ranked.where(F.col("r") > at_once), roots).select("a", "b")
+        edges = materialise(rest, "simhash-rest")
+        at_once *= 4
+    return roots
+
+
+def between_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links whose ends have different roots, with them."""
+    for end in ("a", "b"):
+        edges = edges.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
+    return edges.where("root_a <> root_b")
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 2, similar: float = 0.8, families: int = FAMILIES) -> DataFrame:
