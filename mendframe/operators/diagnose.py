@@ -13,6 +13,7 @@ from mendframe import constants as K
 from mendframe.functions import scalar as S
 from mendframe.operators.profile import (
     duplicate_summary,
+    fused_profile,
     label_summary,
     missing_summary,
     null_profile,
@@ -424,10 +425,8 @@ def analyst_report(
     """One row: missing share, duplicates, imbalance, outliers, domain issues, action plan."""
     meta = meta or {}
     rules = rules_of(meta)
-    outliers = outlier_profile(df, K.IQR_MULTIPLIER, **options).agg(
-        F.coalesce(F.sum("n_outliers"), F.lit(0).cast("bigint")).alias("total_outliers")
-    )
-    issue_rows = null_profile(df).select(
+    columns, totals = fused_profile(df, K.IQR_MULTIPLIER, label, **options)
+    issue_rows = columns.select(
         F.inline(
             F.filter(
                 F.array(
@@ -453,13 +452,7 @@ def analyst_report(
             F.array_sort(F.collect_list(F.struct("section", "pos", "text"))), lambda x: x["text"]
         ).alias("domain_issues")
     )
-    facts = one_row(
-        missing_summary(df, label),
-        duplicate_summary(df),
-        label_summary(df, label),
-        outliers,
-        issues,
-    )
+    facts = one_row(totals, duplicate_summary(df), label_summary(df, label), issues)
     missing, ratio = F.col("missing_pct_all"), F.col("balance_ratio")
     duplicates, found = F.col("n_duplicates"), F.col("domain_issues")
     has_issue = F.size(found) > 0

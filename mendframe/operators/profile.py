@@ -14,6 +14,7 @@ from mendframe.constants import (
 )
 from mendframe.functions import scalar as S
 from mendframe.operators.quantiles import fit_quantiles
+from mendframe.session import materialise
 
 
 def unpivot_row(row: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
@@ -52,24 +53,43 @@ def _outliers(c: str, bounds: dict[str, tuple[float, float]]) -> Column:
     return F.when(F.count(c) >= MIN_VALUES_FOR_OUTLIERS, found).otherwise(F.lit(0).cast("bigint"))
 
 
+NULL_FIELDS = ["n", "n_null", "numeric", "n_zero", "skew"]
+
+
+def _null_facts(df: DataFrame, columns: list[str]) -> list[Column]:
+    numeric = set(S.numeric_features(df, label=""))
+    return [
+        e
+        for i, c in enumerate(columns)
+        for e in (
+            F.count(F.lit(1)).alias(f"n__{i}"),
+            S.null_count(c).alias(f"n_null__{i}"),
+            F.lit(c in numeric).alias(f"numeric__{i}"),
+            (S.zero_count(c) if c in numeric else F.lit(0).cast("bigint")).alias(f"n_zero__{i}"),
+            (S.skew_corrected(c) if c in numeric else F.lit(0.0)).alias(f"skew__{i}"),
+        )
+    ]
+
+
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Nulls, zeros, skew and spread per column: one scan, one narrow aggregate."""
     columns = columns or S.feature_columns(df)
-    numeric = set(S.numeric_features(df, label=""))
-    row = df.agg(
-        *[
-            e
-            for i, c in enumerate(columns)
-            for e in (
-                F.count(F.lit(1)).alias(f"n__{i}"),
-                S.null_count(c).alias(f"n_null__{i}"),
-                F.lit(c in numeric).alias(f"numeric__{i}"),
-                (S.zero_count(c) if c in numeric else F.lit(0).cast("bigint")).alias(f"n_zero__{i}"),
-                (S.skew_corrected(c) if c in numeric else F.lit(0.0)).alias(f"skew__{i}"),
-            )
-        ]
-    )
-    return unpivot_row(row, columns, ["n", "n_null", "numeric", "n_zero", "skew"])
+    return unpivot_row(df.agg(*_null_facts(df, columns)), columns, NULL_FIELDS)
+
+
+def fused_profile(
+    df: DataFrame, multiplier: float = IQR_MULTIPLIER, label: str = LABEL, **options
+) -> tuple[DataFrame, DataFrame]:
+    """The null profile of the features, and one row with missing shares and all outliers.
+
+    Quartiles are fitted first; everything else comes from one more scan, whose row is stored.
+    """
+    features, numeric = S.feature_columns(df, label), S.numeric_features(df, label)
+    bounds = iqr_bounds(fit_quantiles(df, numeric, [0.25, 0.75], **options), multiplier)
+    outliers = sum((_outliers(c, bounds) for c in numeric), F.lit(0).cast("bigint"))
+    row = df.agg(*_null_facts(df, features), *_missing_facts(df, label), outliers.alias("total_outliers"))
+    row = materialise(row, "profile")
+    return unpivot_row(row, features, NULL_FIELDS), row.select(*MISSING_FIELDS, "total_outliers")
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None, **options) -> DataFrame:
@@ -138,17 +158,23 @@ def outlier_profiles(
     return df.agg(*exprs).select(F.inline(F.array(*cells)))
 
 
+MISSING_FIELDS = ["missing_pct_features", "missing_pct_all", "missing_cells", "columns_with_missing"]
+
+
+def _missing_facts(df: DataFrame, label: str) -> list[Column]:
+    features, everything = S.feature_columns(df, label), S.data_columns(df)
+    facts = [
+        S.missing_share(features),
+        S.missing_share(everything),
+        S.missing_cells(everything),
+        sum([(S.null_count(c) > 0).cast("int") for c in features], F.lit(0)),
+    ]
+    return [f.alias(name) for name, f in zip(MISSING_FIELDS, facts, strict=True)]
+
+
 def missing_summary(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Missing share over features and over all columns, missing cells, columns with nulls."""
-    features, everything = S.feature_columns(df, label), S.data_columns(df)
-    return df.agg(
-        S.missing_share(features).alias("missing_pct_features"),
-        S.missing_share(everything).alias("missing_pct_all"),
-        S.missing_cells(everything).alias("missing_cells"),
-        sum([(S.null_count(c) > 0).cast("int") for c in features], F.lit(0)).alias(
-            "columns_with_missing"
-        ),
-    )
+    return df.agg(*_missing_facts(df, label))
 
 
 def class_counts(df: DataFrame, label: str = LABEL, clean: bool = False) -> DataFrame:

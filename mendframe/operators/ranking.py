@@ -111,15 +111,14 @@ def dense_index(
     )
 
 
-def value_codes(values: DataFrame, column: str, name: str = "_code") -> DataFrame:
-    """Number distinct values 0..k-1 in sorted order.
+def ordered_index(df: DataFrame, order: list[str], name: str = "_idx") -> DataFrame:
+    """Number rows 0..n-1 in the order of some columns, which are unique together.
 
-    They are range-partitioned and stored, so that the partition numbers stay fixed, and numbered
+    Rows are range-partitioned and stored, so that the partition numbers stay fixed, and numbered
     within their partition plus an offset.
     """
-    distinct = values.select(column).filter(F.col(column).isNotNull()).distinct()
-    ranged = distinct.repartitionByRange(column).withColumn("_p", F.spark_partition_id())
-    stored = materialise(ranged, "values")
+    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    stored = materialise(ranged, "ordered")
     # One row per partition.
     offsets = (
         stored.groupBy("_p")
@@ -127,7 +126,12 @@ def value_codes(values: DataFrame, column: str, name: str = "_code") -> DataFram
         .withColumn("_offset", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
         .drop("_n")
     )
-    order = F.row_number().over(Window.partitionBy("_p").orderBy(column))
-    return stored.join(offsets, "_p").select(
-        column, (order - 1 + F.col("_offset")).cast("int").alias(name)
-    )
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    numbered = stored.join(offsets, "_p").withColumn(name, (place - 1 + F.col("_offset")).cast("bigint"))
+    return numbered.drop("_p", "_offset")
+
+
+def value_codes(values: DataFrame, column: str, name: str = "_code") -> DataFrame:
+    """Number distinct values 0..k-1 in sorted order."""
+    distinct = values.select(column).filter(F.col(column).isNotNull()).distinct()
+    return ordered_index(distinct, [column], name).withColumn(name, F.col(name).cast("int"))

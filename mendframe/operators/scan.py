@@ -13,7 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mendframe.operators.ranking import ordered_index
+from mendframe.session import materialise
+
 CHUNK_ROWS = 100_000
+#: A range is not cut further to occupy idle cores below twice this size.
+SMALL_RANGE = 4_096
 
 
 @dataclass(frozen=True)
@@ -77,6 +82,20 @@ def step_chunk(step: str = "step", rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(step) / rows)
 
 
+def range_chunks(
+    df: DataFrame, order: list[str], rows: int = CHUNK_ROWS, name: str = "_part"
+) -> DataFrame:
+    """Rows in ranges of about ``rows`` at most along ``order``, numbered and stored; one per core at least.
+
+    A range never falls along the order and knows no keys, so a key with most of the rows, all of
+    them in one day, is cut like any other. The column serves ``scan`` as its chunk.
+    """
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // rows), min(cores, n // SMALL_RANGE))
+    ranged = df.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id())
+    return materialise(ranged, "ranges")
+
+
 def scan(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, **running: Running
 ) -> DataFrame:
@@ -188,17 +207,18 @@ def top_rows(
 def moving_average(
     df: DataFrame, position: str, value: str, width: int, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Mean of ``value`` over ``width`` consecutive positions, full windows only.
+    """Mean of ``value`` over ``width`` rows that follow each other by ``position``, full windows only.
 
-    ``position`` counts 0, 1, 2, ... . Each chunk also receives the last ``width - 1`` rows
-    before it, so no task sees the whole sequence.
+    Positions are unique but may have gaps: rows are numbered first. Each chunk also receives the
+    last ``width - 1`` rows before it, so no task sees the whole sequence.
     """
-    here = F.floor(F.col(position) / chunk_rows)
-    ahead = F.floor((F.col(position) + width - 1) / chunk_rows)
-    spread = df.withColumn("_home", here).withColumn("_chunk", F.explode(F.sequence(here, ahead)))
-    frame = Window.partitionBy("_chunk").orderBy(position).rowsBetween(1 - width, 0)
+    numbered = ordered_index(df, [position], "_at")
+    here = F.floor(F.col("_at") / chunk_rows)
+    ahead = F.floor((F.col("_at") + width - 1) / chunk_rows)
+    spread = numbered.withColumn("_home", here).withColumn("_chunk", F.explode(F.sequence(here, ahead)))
+    frame = Window.partitionBy("_chunk").orderBy("_at").rowsBetween(1 - width, 0)
     return (
         spread.withColumn("moving_avg", F.avg(value).over(frame))
-        .filter((F.col("_home") == F.col("_chunk")) & (F.col(position) >= width - 1))
-        .drop("_home", "_chunk")
+        .filter((F.col("_home") == F.col("_chunk")) & (F.col("_at") >= width - 1))
+        .drop("_home", "_chunk", "_at")
     )

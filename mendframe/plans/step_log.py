@@ -8,7 +8,7 @@ from mendframe import constants as K
 from mendframe.functions import parsing as P
 from mendframe.functions import scalar as S
 from mendframe.operators import steps as L
-from mendframe.operators.scan import Running, count, moving_average, scan
+from mendframe.operators.scan import Running, count, moving_average, range_chunks, scan
 from mendframe.plans.inputs import table
 from mendframe.plans.registry import query
 from mendframe.session import materialise
@@ -30,9 +30,6 @@ MEASURES = {
 }
 TARGET = 0.9
 DAY = 86_400
-# Part of a session scanned by one task. Choose it so that the busiest session's rows within
-# it fit a task, and not much smaller: every part costs one summary row.
-CHUNK_SECONDS = 10 * DAY
 
 
 def action_log(spark, sf):
@@ -51,8 +48,8 @@ def action_log(spark, sf):
         now = F.when(applied, F.expr(value))
         running[f"{name}_before"] = Running("last", now, through=False)
         running[f"{name}_after"] = Running("last", now)
-    part = F.floor(F.unix_timestamp("ts") / CHUNK_SECONDS)
-    log = scan(events, ["session_id"], ["ts", "event_id"], part, **running)
+    ranged = range_chunks(events, ["session_id", "ts", "event_id"])
+    log = scan(ranged, ["session_id"], ["ts", "event_id"], F.col("_part"), **running).drop("_part")
     filled = {
         f"{name}_{when}": F.coalesce(F.col(f"{name}_{when}"), F.lit(start))
         for name, (_, start) in MEASURES.items()
@@ -210,8 +207,8 @@ def type_streaks(spark, sf):
         F.when(F.col("event_type") == "click", "apply").otherwise(F.col("event_type")).alias("action"),
         F.col("ts").cast("timestamp").alias("ts"), F.lit(0).alias("cost"),
     )
-    part = F.floor(F.unix_timestamp("ts") / CHUNK_SECONDS)
-    steps = scan(events, ["session_id"], ["ts", "event_id"], part, step=count())
+    ranged = range_chunks(events, ["session_id", "ts", "event_id"])
+    steps = scan(ranged, ["session_id"], ["ts", "event_id"], F.col("_part"), step=count()).drop("_part")
     return L.action_streaks(steps).select(
         F.col("session_id").alias("user_id"), "event_id", "event_type"
     )
@@ -543,7 +540,6 @@ def session_metrics(spark, sf):
       WINDOW w AS (ORDER BY session_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE n = 5""",
 )
 def reward_moving_avg(spark, sf):
-    """Sessions of the events table are numbered 0, 1, 2, ... without gaps."""
     episodes = L.episode_summary(scored_steps(spark, sf))
     return moving_average(episodes, "session_id", "mean_reward", 5).select(
         "session_id", S.round_even("moving_avg", 6).alias("moving_avg")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mendframe import constants as K
 from mendframe.functions import parsing as P
 from mendframe.operators import steps as L
-from mendframe.operators.scan import Running, moving_average, scan, step_chunk, top_rows
+from mendframe.operators.scan import Running, count, moving_average, range_chunks, scan, step_chunk, top_rows
 
 ACTIONS = ["query_cleaner", "query_analyst", "apply", "rollback", "apply"]
 
@@ -331,6 +331,15 @@ def test_top_rows_and_moving_average(spark):
     assert all(got[i] == pytest.approx(sum((j % 7) for j in range(i - 4, i + 1)) / 5) for i in got)
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 100])
+def test_moving_average_over_gaps(spark, chunk):
+    places = [2, 3, 4, 5, 6, 7, 9, 30, -4]
+    df = spark.createDataFrame([(p, float(p)) for p in places], "at bigint, v double").repartition(3)
+    got = {r["at"]: r["moving_avg"] for r in moving_average(df, "at", "v", 5, chunk_rows=chunk).collect()}
+    ordered = sorted(places)
+    assert got == {p: pytest.approx(sum(ordered[i - 4 : i + 1]) / 5) for i, p in enumerate(ordered) if i >= 4}
+
+
 def test_rejects(spark):
     df = spark.createDataFrame(
         [("apply", 1, "easy"), ("fly", None, None), (None, None, None), ("rollback", 4, None), ("apply", 0, "odd")],
@@ -356,3 +365,19 @@ def test_parsing_of_responses(spark):
     assert [r["l"] for r in rows] == [
         "__invalid__", "__invalid__", "__invalid__", "cleaner", "balancer", "__invalid__", "__invalid__", "__invalid__",
     ]
+
+
+@pytest.mark.parametrize("rows", [7, 50, 10_000])
+def test_ranges_cut_a_busy_session(spark, rows):
+    """One session with nine rows of ten, all in one day, in ranges of bounded size."""
+    made = [(0 if i % 10 else i, i // 3, i) for i in range(600)]  # several events at one time
+    df = spark.createDataFrame(made, "session_id bigint, ts bigint, event_id bigint").repartition(4)
+    ranged = range_chunks(df, ["session_id", "ts", "event_id"], rows)
+    sizes = [r["count"] for r in ranged.groupBy("_part").count().collect()]
+    assert len(sizes) == -(-600 // rows) or max(sizes) <= 3 * rows
+    steps = scan(ranged, ["session_id"], ["ts", "event_id"], F.col("_part"), step=count())
+    got = {r["event_id"]: r["step"] for r in steps.collect()}
+    want, seen = {}, {}
+    for s, _, e in sorted(made):
+        want[e] = seen[s] = seen.get(s, 0) + 1
+    assert got == want
