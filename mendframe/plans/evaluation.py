@@ -93,6 +93,57 @@ def feature_importance(spark, sf):
     return E.feature_importance(spark, E.evaluate(train, holdout).coefficients)
 
 
+# A fit on two features, whose Newton steps SQL can write out.
+_RULE = "CASE WHEN k / 50.0 + value_z / 60.0 + (_row_id * 37 % 100) / 100.0 > 2.2 THEN 1 ELSE 0 END"
+_DET = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+_NEWTON_SQL = f"""WITH RECURSIVE {DIRTY_EVENTS_SQL}, src AS (SELECT _row_id, k::DOUBLE AS a, value_z AS b, {_RULE} AS label FROM dirty),
+    split AS ({_split_sql(f"{DIRTY_EVENTS_SQL}, src AS (SELECT _row_id, k::DOUBLE AS a, value_z AS b, {_RULE} AS label FROM dirty)", "src")}),
+    parts AS (SELECT src.*, holdout FROM src JOIN split USING (_row_id)),
+    st AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM parts WHERE NOT holdout),
+    z AS (SELECT (a - ma) / sa AS x1, (b - mb) / sb AS x2, label AS y, holdout FROM parts, st),
+    newton AS (SELECT 0 AS i, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 UNION ALL SELECT i + 1,
+      w0 - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / {_DET},
+      w1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / {_DET},
+      w2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / {_DET}
+      FROM (SELECT i, w0, w1, w2, sum(p - y) AS g0, sum((p - y) * x1) + w1 AS g1, sum((p - y) * x2) + w2 AS g2,
+        sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x1) AS h01, sum(p * (1 - p) * x2) AS h02,
+        sum(p * (1 - p) * x1 * x1) + 1 AS h11, sum(p * (1 - p) * x1 * x2) AS h12, sum(p * (1 - p) * x2 * x2) + 1 AS h22
+        FROM (SELECT n.*, x1, x2, y, 1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2))) AS p FROM newton n, z
+          WHERE i < 15 AND NOT holdout) GROUP BY i, w0, w1, w2)),
+    w AS (SELECT * FROM newton WHERE i = 15)"""
+
+
+def _two_features(spark, sf):
+    df = dirty_events(spark, sf).select(
+        "_row_id", F.col("k").cast("double").alias("a"), F.col("value_z").alias("b"), F.expr(_RULE).alias("label")
+    )
+    return E.frozen_split(df)
+
+
+@query(
+    "fit_accuracy",
+    f"""{_NEWTON_SQL}, h AS (SELECT y, CASE WHEN w0 + w1 * x1 + w2 * x2 > 0 THEN 1 ELSE 0 END AS found FROM z, w WHERE holdout)
+    SELECT (SELECT count(*) FROM z WHERE NOT holdout) AS n_train, count(*) AS n_holdout,
+      round_even(avg((y = found)::INTEGER), 4) AS accuracy, NULL::VARCHAR AS reason,
+      round_even(greatest(sum(y), count(*) - sum(y))::DOUBLE / count(*), 4) AS majority_baseline FROM h""",
+)
+def fit_accuracy(spark, sf):
+    train, holdout = _two_features(spark, sf)
+    return E.evaluation_row(spark, E.evaluate(train, holdout), holdout)
+
+
+@query(
+    "fit_coefficients",
+    f"""{_NEWTON_SQL}, c AS (SELECT unnest(['a', 'b']) AS feature, unnest([w1, w2]) AS coef FROM w)
+    SELECT CASE WHEN coef > 0 THEN 'positive' ELSE 'negative' END AS sign, CAST(row_number() OVER (PARTITION BY coef > 0
+      ORDER BY abs(coef) DESC) AS INTEGER) AS rank, feature, round(coef, 2) AS coef FROM c""",
+)
+def fit_coefficients(spark, sf):
+    train, holdout = _two_features(spark, sf)
+    found = E.feature_importance(spark, E.evaluate(train, holdout).coefficients)
+    return found.withColumn("coef", F.round("coef", 2))
+
+
 # Tables of one origin that lost accuracy for different reasons: columns, label, rows at the start.
 _DROPS = {
     "grown": (["k"], "label", 0.5),
