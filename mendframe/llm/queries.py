@@ -46,7 +46,7 @@ def learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; learned from those outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = fold("doc_id", 4) == 2
+    out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     found = langid.predict(docs, langid.fit(docs.where(~out)))
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
@@ -86,7 +86,7 @@ def wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document; learned from those outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = fold("doc_id", 3) == 1
+    out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     found = toxicity.predict(docs, toxicity.fit(docs.where(~out), labels.where(~out)))
     predicted = F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0)
     return found.select("doc_id", out.alias("held_out"), "score", predicted.alias("predicted"))

@@ -18,7 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -48,7 +48,7 @@ STEMS = (4, 5, 6)
 CORRELATED = 0.7
 ROUNDS, STEPS, RIDGE = 25, 300, 1e-6
 PRESET_PRIOR, PRESET_TOXIC, PRESET_CLEAN = 0.1, 0.2, 0.002
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 WORDS = re.compile(r"[^\W\d_]+").findall
 PATTERNS = {
     "!shouts": re.compile(r"!!").search,
@@ -228,7 +228,20 @@ class Model:
 
     events: dict[str, float]
     intercept: float
-    memo: dict[str, tuple] = field(default_factory=dict)
+
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+    def score(self, text: str) -> float:
+        return self.scorer().score(text)
+
+
+class Scorer:
+    """Scores texts of one task; which events a word sets off is kept while the task lasts."""
+
+    def __init__(self, model: Model):
+        self.events, self.intercept = model.events, model.intercept
+        self.memo: dict[str, tuple] = {}
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         return np.array([self.score(t or "") for t in texts], float)
@@ -320,8 +333,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value.scorer()
         for batch in batches:
-            scores = shared.value.scores(t.as_py() for t in batch.column("text"))
+            scores = scorer.scores(t.as_py() for t in batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -332,8 +346,9 @@ def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value.scorer()
         for batch in batches:
-            scores = shared.value.scores(t.as_py() for t in batch.column("text"))
+            scores = scorer.scores(t.as_py() for t in batch.column("text"))
             yield batch.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(run, docs.schema)
