@@ -41,19 +41,27 @@ MAGIC = b"WMX1"
 SHARD_TOKENS = 1 << 21
 #: Bits of a block, the unit of compression and of stored ranks.
 BLOCK_BITS = 1 << 17
-#: Encoded words a worker keeps before it starts anew, and characters whose words are held at a time.
+#: Encoded words a worker keeps before it starts anew, and bytes of text whose words are held at a time.
 MEMO_WORDS = 1_000_000
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 1 << 20
 #: Letters that neither normalisation nor splitting treats specially; punctuation that is cut off words.
 PLAIN = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-SPLIT_OFF = (".", ",")
+#: Such letters and then ASCII symbols other than an apostrophe, which are never in one word.
+TAILED = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+SPLIT_OFF = (b".", b",")
+#: White space of ASCII as spaces, with and without its capitals as small letters.
+SPACED = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
+LOWERED = SPACED.lower()
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space and ends every word with its own token.
 
-    Words between spaces are encoded once and kept. Plain words go to the library many in one text
-    and are told apart by their end-of-word tokens; anything else goes to it by itself.
+    Works on UTF-8 bytes. Words between spaces are encoded once and kept. Plain words go to the
+    library many in one text and are told apart by their end-of-word tokens; anything else goes to
+    it by itself. A full stop or comma behind a word is cut off: it never belongs to the word of a
+    letter or digit before it. Words that end in anything else are kept apart in ``closing``, and a
+    text that has one is cut at its spaces alone.
     """
 
     def __init__(self, path: str):
@@ -63,66 +71,83 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.memo: dict[str, bytes] = {}
-        self.open_ended: set[str] = set()
+        self.memo: dict[bytes, bytes] = {}
+        self.closing: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def plain(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct lower-case plain words."""
+    def plain(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words."""
         if not words:
-            return {}
+            return []
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
         if len(ends) != len(words):
-            return dict(zip(words, self.whole(words), strict=True))
+            return self.whole(words)
         data = ids.tobytes()
-        return {w: data[4 * a : 4 * b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-            self.open_ended.clear()
-        plain, other = [], []
-        for word in words.difference(self.memo):
-            if word.isascii() and word.isalpha() or PLAIN(word):
-                plain.append(word)
+        return [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Adds the ids of new words."""
+        memo, plain, other, tailed = self.memo, set(), [], {}
+        for word in words:
+            if word.isalpha():
+                plain.add(word)
+                continue
+            text = word.decode()
+            if PLAIN(text):
+                plain.add(word)
+            elif found := TAILED(text):
+                tailed[word] = found[1].encode(), found[2]
+            else:
+                other.append(text)
+        plain.update(core for core, _ in tailed.values() if core not in memo)
+        cores = list(plain)
+        memo |= zip(cores, self.plain([w.decode() for w in cores]), strict=True)
+        tails = list({tail for _, tail in tailed.values()})
+        encoded = dict(zip(tails, self.whole(tails), strict=True))
+        for word, (core, tail) in tailed.items():
+            self.closing[word] = memo[core] + encoded[tail]
+        for text, ids in zip(other, self.whole(other), strict=True):
+            word = text.encode()
+            if word in SPLIT_OFF or not open_ended(text):
+                memo[word] = ids
             else:
-                other.append(word)
-                if word not in SPLIT_OFF and open_ended(word):
-                    self.open_ended.add(word)
-        self.memo |= self.plain([w for w in plain if w == w.lower()])
-        self.memo |= zip(other, self.whole(other), strict=True)
-        capital = [w for w in plain if w != w.lower()]
-        self.memo |= zip(capital, self.whole(capital), strict=True)
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+                self.closing[word] = ids
+
+    def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """The ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
         held, size = [], 0
         for text in texts:
-            text = text or ""
-            if held and size + len(text) > BATCH_CHARS:
+            text = text or b""
+            if held and size + len(text) > BATCH_BYTES:
                 yield from self._joined(held)
                 held, size = [], 0
-            held.append(lowered(text).replace("\n", " "))
+            held.append(text.translate(SPACED if b"<|" in text else LOWERED))
             size += len(text)
         yield from self._joined(held)
 
-    def _joined(self, texts: list[str]) -> Iterator[bytes]:
+    def _joined(self, texts: list[bytes]) -> Iterator[bytes]:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+            self.closing.clear()
         split = [punctuation_apart(t) for t in texts]
-        self.learn({w for words in split for w in words})
-        for text, words in zip(texts, split, strict=True):
-            if not self.open_ended.isdisjoint(words):
-                # Some word ends in a character that could belong to punctuation behind it.
-                words = text.split(" ")
-                new = list(set(words).difference(self.memo))
-                self.memo |= zip(new, self.whole(new), strict=True)
-                self.open_ended.update(filter(open_ended, new))
-                yield b"".join(map(self.memo.__getitem__, words))
-            else:
-                yield b"".join(map(self.memo.__getitem__, words))
+        known = [list(map(self.memo.get, words)) for words in split]
+        gaps = [[i for i, ids in enumerate(found) if ids is None] if None in found else [] for found in known]
+        new = {words[i] for words, at in zip(split, gaps, strict=True) for i in at}
+        self.learn(new.difference(self.closing))
+        for text, words, found, at in zip(texts, split, known, gaps, strict=True):
+            if at and not self.closing.keys().isdisjoint(words[i] for i in at):
+                # A word ends in a character that punctuation behind it may belong to.
+                words = text.split(b" ")
+                self.learn(w for w in set(words) if w not in self.memo and w not in self.closing)
+                yield b"".join([self.closing[w] if w in self.closing else self.memo[w] for w in words])
+                continue
+            for i in at:
+                found[i] = self.memo[words[i]]
+            yield b"".join(found)
 
 
 def open_ended(word: str) -> bool:
@@ -130,28 +155,18 @@ def open_ended(word: str) -> bool:
     return bool(word) and not normalize("NFC", word[-1]).lower()[-1].isalnum()
 
 
-def punctuation_apart(text: str) -> list[str]:
+def punctuation_apart(text: bytes) -> list[bytes]:
     """The text cut at spaces, and before a full stop or comma that ends a word.
 
-    A letter or digit and the punctuation behind it are never in one word. Where two such marks
-    follow each other the text is cut at spaces alone, as they may be one word.
+    Where two such marks follow each other the text is cut at spaces alone, as they may be one word.
     """
-    apart = (text + " ").replace(". ", " . ").replace(", ", " , ")
-    if any(pair in apart for pair in (". .", ", ,", ". ,", ", .")):
-        return text.split(" ")
-    return apart.split(" ")
-
-
-def lowered(text: str) -> str:
-    """The text in lower case where that is what the tokenizer does, else as it is: fewer words to learn."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text if "<|" in text else text.lower()
+    apart = (text + b" ").replace(b". ", b" . ").replace(b", ", b" , ")
+    if any(pair in apart for pair in (b". .", b", ,", b". ,", b", .")):
+        return text.split(b" ")
+    return apart.split(b" ")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     """One encoder per worker process, so later tasks find the words of earlier ones."""
     return WordEncoder(path)
@@ -215,12 +230,15 @@ class WaveletFile:
         self.file.seek(at)
         return self.file.read(size)
 
-    def _bits(self, plane: int, block: int) -> np.ndarray:
+    def _packed(self, plane: int, block: int) -> bytes:
         start, end = self.directory[plane, block, 0], self.directory[plane, block + 1, 0]
         stored = self._read(int(self.data + start), int(end - start))
+        size = (min(self.block, self.n - block * self.block) + 7) // 8
+        return stored[1:] if stored[:1] == b"\0" else self.codec.decompress(stored[1:], size, asbytes=True)
+
+    def _bits(self, plane: int, block: int) -> np.ndarray:
         count = min(self.block, self.n - block * self.block)
-        raw = stored[1:] if stored[:1] == b"\0" else self.codec.decompress(stored[1:], (count + 7) // 8, asbytes=True)
-        return np.unpackbits(np.frombuffer(raw, np.uint8), count=count)
+        return np.unpackbits(np.frombuffer(self._packed(plane, block), np.uint8), count=count)
 
     def _ones(self, plane: int, at: int) -> int:
         """Ones of a plane before a position."""
@@ -280,7 +298,8 @@ class WaveletFile:
         dtype = np.uint16 if self.planes <= 16 else np.uint32
         out = np.zeros(self.n, dtype)
         for plane in range(self.planes - 1, -1, -1):
-            bits = np.concatenate([np.zeros(0, np.uint8), *(self._bits(plane, b) for b in range(self.blocks))]).astype(bool)
+            packed = b"".join(self._packed(plane, b) for b in range(self.blocks))
+            bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n).view(bool)
             before = np.empty(self.n, dtype)
             before[np.flatnonzero(~bits)] = out[: self.zeros[plane]]
             before[np.flatnonzero(bits)] = out[self.zeros[plane] :] | dtype(1 << (self.planes - 1 - plane))
@@ -310,8 +329,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int, shar
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for doc_id, data in zip(ids, encoder.encode(t.as_py() for t in batch.column("text")), strict=True):
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())
+            for doc_id, data in zip(ids, encoder.encode(t.as_py() for t in texts), strict=True):
                 if size >= shard_tokens:
                     yield close()
                     held, doc_ids, starts, size, shard = [], [], [], 0, shard + 1
