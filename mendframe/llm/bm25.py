@@ -7,7 +7,7 @@ frequencies, the number of documents and the mean length are taken over all shar
 not depend on the sharding. A shard that is searched gets its weights, and the largest weight of
 every block of documents for its frequent terms.
 
-Queries meet each shard in blocks. The pruning is that of block-max WAND: terms are ordered by
+Queries are written in blocks and meet each shard; tasks get the names of the two files. The pruning is that of block-max WAND: terms are ordered by
 frequency, the postings of the rare ones are summed, and a document is scored in full only if that
 sum plus the block's bound for the frequent terms can still pass the k-th best score found so far.
 Shard lists are merged by score. Nothing is approximate: every document that can be in the result
@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendframe.session import materialise, scratch_path
@@ -48,6 +48,8 @@ MARGIN = 1e-4
 #: Terms in more than this share of a shard's documents have block maxima instead of being summed first.
 FREQUENT = 1 / 16
 K1, B = 1.2, 0.75
+#: Tasks that pairs of a shard and a block of queries are dealt to, at most.
+MAX_TASKS = 20_000
 MEMO_WORDS = 600_000
 words_of = re.compile(r"[^\W_]+").findall
 
@@ -161,16 +163,38 @@ class Shard:
         return self.doc_ids[candidates[best]], scores[best]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, as a URI."""
+    folder = scratch_path(spark, name)
+    folder = folder if urlparse(folder).scheme else f"file://{folder}"
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    return folder
+
+
+def stored(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
+    """Writes arrays under a name of their own, so a repeated task writes another file; its URI."""
+    data, (store, top) = io.BytesIO(), fs.FileSystem.from_uri(folder)
+    np.savez(data, **arrays)
+    name = f"{name}-{uuid4().hex}.npz"
+    with store.open_output_stream(f"{top}/{name}") as out:
+        out.write(data.getbuffer())
+    return f"{folder}/{name}"
+
+
+def loaded(path: str) -> dict[str, np.ndarray]:
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as file, np.load(io.BytesIO(file.read())) as arrays:
+        return {key: arrays[key] for key in arrays.files}
+
+
 def write_index(docs: DataFrame, shard_docs: int) -> DataFrame:
     """Builds and writes a shard for every ``shard_docs`` documents of a task.
 
     The manifest has ``shard, path, documents, words`` and the shard's ``terms`` with their ``dfs``.
     Wordless texts are left out.
     """
-    folder = scratch_path(docs.sparkSession, "bm25-index")
-    folder = folder if urlparse(folder).scheme else f"file://{folder}"
-    store, name = fs.FileSystem.from_uri(folder)
-    store.create_dir(name, recursive=True)
+    folder = new_folder(docs.sparkSession, "bm25-index")
     kinds = pa.schema(
         [
             ("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("words", pa.int64()),
@@ -180,17 +204,14 @@ def write_index(docs: DataFrame, shard_docs: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bagger, held, ids, shard = Bagger(), [], [], 0
-        part, (target, top) = TaskContext.get().partitionId(), fs.FileSystem.from_uri(folder)
+        part = TaskContext.get().partitionId()
 
         def close() -> pa.RecordBatch:
-            arrays, data = Shard.build(ids, held), io.BytesIO()
-            np.savez(data, **arrays)
-            path = f"part-{part:06d}-{shard:06d}-{uuid4().hex}.npz"  # a repeated task writes another file
-            with target.open_output_stream(f"{top}/{path}") as out:
-                out.write(data.getbuffer())
+            arrays = Shard.build(ids, held)
+            path = stored(folder, f"part-{part:06d}-{shard:06d}", arrays)
             return pa.RecordBatch.from_pydict(
                 {
-                    "shard": [(part << 32) + shard], "path": [f"{folder}/{path}"], "documents": [len(ids)],
+                    "shard": [(part << 32) + shard], "path": [path], "documents": [len(ids)],
                     "words": [int(arrays["lengths"].sum())], "terms": [arrays["terms"]], "dfs": [np.diff(arrays["starts"])],
                 },
                 schema=kinds,
@@ -244,37 +265,41 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard_docs: int = SHA
     weighed = materialise(
         seen.join(asks.select("term").distinct(), "term").select("term", idf.alias("idf")), "bm25-idf"
     )
-    queries = materialise(
-        asks.join(weighed, "term")
-        .groupBy("query", "query_id")
-        .agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("words"))
-        .select("query", "query_id", F.col("words.term").alias("terms"), F.col("words.idf").alias("idfs")),
-        "bm25-words",
-    )
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-
-    def run(table: pa.Table) -> pa.Table:
-        path = table.column("path")[0].as_py()
-        store, name = fs.FileSystem.from_uri(path)
-        with store.open_input_file(name) as file, np.load(io.BytesIO(file.read())) as arrays:
-            shard = Shard({key: arrays[key] for key in arrays.files}, mean_length)
-        out = {"query_id": [], "doc_id": [], "score": []}
-        for query_id, terms, idfs in zip(*(table.column(c) for c in ("query_id", "terms", "idfs")), strict=True):
-            ids, scores = shard.search(terms.values.to_numpy(), idfs.values.to_numpy(), query_id.as_py(), k)
-            out["query_id"] += [query_id.as_py()] * len(ids)
-            out["doc_id"] += ids.tolist()
-            out["score"] += scores.tolist()
-        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]))
-
-    # Every query goes to every shard; a group is one shard and at most about QUERY_BLOCK queries.
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    folder = new_folder(docs.sparkSession, "bm25-queries")
+
+    def write(table: pa.Table) -> pa.Table:
+        """One block of queries as a file: their words by query, ascending."""
+        table = table.sort_by([("query", "ascending"), ("term", "ascending")])
+        query, first = np.unique(table.column("query").to_numpy(), return_index=True)
+        arrays = {
+            "query_id": table.column("query_id").to_numpy()[first], "starts": np.append(first, len(table)),
+            "terms": table.column("term").to_numpy(), "idfs": table.column("idf").to_numpy(),
+        }
+        number = table.column("block")[0].as_py()
+        return pa.table({"block": [number], "asked": [stored(folder, f"block-{number:08d}", arrays)]})
+
     block = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
-    places = manifest.select("shard", "path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    found = (
-        queries.select("*", block)
-        .join(places, "block")
-        .groupBy("shard", "block")
-        .applyInArrow(run, "query_id long, doc_id long, score double")
-    )
+    asking = asks.join(weighed, "term").select("query", "query_id", "term", "idf", block)
+    files = materialise(asking.groupBy("block").applyInArrow(write, "block long, asked string"), "bm25-blocks")
+
+    # Every block of queries meets every shard; only the names of the two files are sent to a task.
+    places = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    pairs = materialise(places.join(files, "block"), "bm25-pairs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, asked in zip(batch.column("path").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                shard, queries = Shard(loaded(path), mean_length), loaded(asked)
+                for q, (first, last) in enumerate(zip(queries["starts"], queries["starts"][1:], strict=False)):
+                    own = int(queries["query_id"][q])
+                    ids, scores = shard.search(queries["terms"][first:last], queries["idfs"][first:last], own, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(ids), own)), pa.array(ids), pa.array(scores)], ["query_id", "doc_id", "score"]
+                    )
+
+    tasks = max(1, min(pairs.count(), MAX_TASKS))
+    found = pairs.repartition(tasks, "path", "block").mapInArrow(run, "query_id long, doc_id long, score double")
     found = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
