@@ -29,7 +29,8 @@ def auto_repair(
     cap: int | None = None,
     label: str = K.LABEL,
 ) -> tuple[DataFrame, DataFrame]:
-    """Follow the plan until the target is met or the budget is spent.
+    """Ask the analyst, follow its plan, then ask what the table still needs, until the target is met
+    or the budget is spent.
 
     Returns the repaired table and the scored trace. The number of steps is bounded by the
     budget and by the recommendations of each query; every accepted repair is written as a version.
@@ -39,6 +40,7 @@ def auto_repair(
     current = store.read()
     pending: dict[str, dict] = {}
     asked: set[str] = set()
+    planned: list[str] = []
     log: list[tuple] = []
     accuracy = evaluate(current, holdout, label).accuracy
     facts = quality_stats(current, label).first()
@@ -68,6 +70,8 @@ def auto_repair(
             action = "query_analyst"
         elif pending:
             action = "apply"
+        elif open_ := [a for a in planned if a not in asked]:
+            action = open_[0]
         elif facts["missing_pct"] > K.PLAN_MISSING_SHARE and "query_cleaner" not in asked:
             action = "query_cleaner"
         elif facts["balance_ratio"] < K.BALANCED_RATIO and "query_balancer" not in asked:
@@ -79,7 +83,11 @@ def auto_repair(
         if action != "apply":
             cost = K.QUERY_COSTS[action]
             # One recommendation per column or class at most.
-            found = [r.asDict() for r in agents[action]().collect()] if action in agents else []
+            if action == "query_analyst":
+                plan = diagnose.analyst_report(current, meta, label).first()["action_plan"]
+                planned, found = [step["action"] for step in plan], []
+            else:
+                found = [r.asDict() for r in agents[action]().collect()]
             pending.update({r["rec_id"]: r for r in found})
             asked.add(action)
             budget = max(0, budget - cost)
@@ -103,7 +111,7 @@ def auto_repair(
             note("rollback", {}, 1, 0, hurt, before, "undone")
     trace = spark.createDataFrame(log, TRACE_SCHEMA)
     told = F.when(F.col("action") == "rollback", "undone").when(
-        F.col("outcome").startswith("rejected"), "refused"
+        F.col("note").startswith("rejected"), "refused"
     )
     # The scores read what a step did; the trace keeps its own words for it.
     named = trace.withColumnRenamed("outcome", "note").withColumn("outcome", F.coalesce(told, F.lit("executed")))

@@ -249,8 +249,8 @@ def comparison(spark, sf):
 @query("auto_repair")
 def auto_repair_trace(spark, sf):
     """Embeddings with holes and a rare class, repaired step by step."""
-    df = embedding_features(spark, sf, _POSITIVE).select("_row_id", *[f"e{i}" for i in range(12)], "label")
-    dirty = sampling.thin_class(sampling.inject_missing(df, 0.08), 0.4)
+    df = embedding_features(spark, sf, _POSITIVE)
+    dirty = sampling.thin_class(sampling.inject_missing(df, 0.08, ["e0", "e1", "e2"]), 0.4)
     train, holdout = E.frozen_split(dirty)
     meta = {"display_name": "Embeddings", "domain": "vectors"}
     _, trace = auto_repair(train, holdout, meta, target=0.99)
