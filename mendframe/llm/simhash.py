@@ -35,6 +35,8 @@ PAIR_ROWS = 32
 CHUNK = 1 << 16
 #: Independent word fingerprints that near-duplicate texts are looked for with.
 FAMILIES = 14
+#: Families that are looked through before the others.
+FIRST_FAMILIES = 3
 
 
 def shingle_hashes(words: list[bytes], width: int) -> list[int]:
@@ -97,31 +99,38 @@ def flips(fp: Column, mask: Column, count: int) -> Column:
 def links(fps: DataFrame, radius: int, parts: tuple[str, ...] = ()) -> DataFrame:
     """``a < b``: links that join exactly the distinct ``fp`` values within ``radius`` bits.
 
-    ``parts`` are columns that set independent families of fingerprints apart. Pairs of small buckets
-    appear as they are; of a large one each variant's members are linked to their smallest, which
-    leaves the connected components unchanged.
+    ``parts`` are columns that set independent families of fingerprints apart. With a column ``root``
+    values of one root count as joined already, and only links between roots are looked for. Pairs of
+    small buckets appear as they are; of a large one each variant's members are linked to their
+    smallest, which leaves the connected components unchanged.
     """
     if radius % 2 or radius < 2:
         raise ValueError("radius must be even")
     bucket = [*parts, "table", "key"]
     tables = F.array(*[F.lit(m).cast("long") for m in masks(radius)])
-    rows = fps.select(*parts, "fp", F.posexplode(tables).alias("table", "mask")).withColumn(
+    fps = fps.select(*parts, "fp", (F.col("root") if "root" in fps.columns else F.col("fp")).alias("root"))
+    rows = fps.select("*", F.posexplode(tables).alias("table", "mask")).withColumn(
         "key", F.col("fp").bitwiseAND(F.col("mask"))
     )
-    shared = rows.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    counted = rows.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    shared = counted.where("n > 1 and lo <> hi").drop("lo", "hi")
     members = materialise(rows.join(shared, bucket), "simhash-buckets")
-    small = members.where(F.col("n") <= PAIR_ROWS).groupBy(*bucket).agg(F.collect_list("fp").alias("fps"))
+    small = members.where(F.col("n") <= PAIR_ROWS).groupBy(*bucket).agg(F.collect_list(F.struct("fp", "root")).alias("l"))
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
     pairs = (
-        small.select(*parts, "fps", F.explode("fps").alias("a"))
-        .select(*parts, "a", F.explode("fps").alias("b"))
-        .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+        small.select(*parts, "l", F.explode("l").alias("x"))
+        .select(*parts, "x", F.explode("l").alias("y"))
+        .where((F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & near)
+        .select(*parts, F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     )
-    # A variant has few members: all of them lie within radius / 2 bits of it.
+    # A variant has few members: all of them lie within radius / 2 bits of it. One of each root will do.
     variants = members.where(F.col("n") > PAIR_ROWS).select(
-        *bucket, "fp", F.explode(flips(F.col("fp"), F.col("mask"), radius // 2)).alias("variant")
+        *bucket, "fp", "root", F.explode(flips(F.col("fp"), F.col("mask"), radius // 2)).alias("variant")
     )
     stars = (
-        variants.groupBy(*bucket, "variant")
+        variants.groupBy(*bucket, "variant", "root")
+        .agg(F.min("fp").alias("fp"))
+        .groupBy(*bucket, "variant")
         .agg(F.sort_array(F.collect_set("fp")).alias("fps"))
         .where(F.size("fps") > 1)
         .select(*parts, F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 1 << 30)).alias("b"))
@@ -212,16 +221,22 @@ def per_text(texts: DataFrame, name: str, compute) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, f"node string, {name} array<long>")
 
 
-def candidates(texts: DataFrame, families: int, radius: int) -> DataFrame:
-    """``a < b``: texts that share a fingerprint, or have one within ``radius`` bits, in some family.
+def candidates(marks: DataFrame, families: list[int], radius: int, roots: DataFrame) -> DataFrame:
+    """``a < b``: texts of different roots that share a fingerprint, or have one within ``radius`` bits,
+    in one of the families.
 
-    ``texts`` has one ``node`` per distinct text. Texts with one fingerprint are tied to the smallest.
+    ``marks`` has ``node, fps``, ``roots`` the roots of texts that are joined already. Texts with
+    one fingerprint are tied to the smallest.
     """
-    marks = materialise(per_text(texts, "fps", lambda t: word_fingerprints(t, families)), "simhash-families")
-    rows = marks.select("node", F.posexplode("fps").alias("family", "fp"))
-    hubs = materialise(rows.groupBy("family", "fp").agg(F.min("node").alias("hub")), "simhash-hubs")
-    tied = rows.join(hubs, ["family", "fp"]).where("node <> hub").select(F.col("hub").alias("x"), F.col("node").alias("y"))
-    found = links(hubs.select("family", "fp"), radius, ("family",))
+    named = marks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chosen = F.array(*[F.struct(F.lit(f).alias("family"), F.col("fps")[f].alias("fp")) for f in families])
+    rows = named.select("node", "root", F.inline(chosen))
+    first = F.min(F.struct("node", "root"))
+    hubs = rows.groupBy("family", "fp").agg(first.alias("first"))
+    hubs = materialise(hubs.select("family", "fp", F.col("first.node").alias("hub"), F.col("first.root").alias("root")), "simhash-hubs")
+    tied = rows.join(hubs.withColumnRenamed("root", "hub_root"), ["family", "fp"]).where("root <> hub_root")
+    tied = tied.select(F.col("hub").alias("x"), F.col("node").alias("y"))
+    found = links(hubs.select("family", "fp", "root"), radius, ("family",))
     ends = [hubs.select("family", F.col("fp").alias(e), F.col("hub").alias(n)) for e, n in (("a", "x"), ("b", "y"))]
     linked = found.join(ends[0], ["family", "a"]).join(ends[1], ["family", "b"]).select("x", "y")
     pairs = tied.union(linked).where("x <> y")
@@ -230,8 +245,10 @@ def candidates(texts: DataFrame, families: int, radius: int) -> DataFrame:
     )
 
 
-def confirmed(edges: DataFrame, texts: DataFrame, width: int, similar: float, at_once: int = 2) -> DataFrame:
-    """``node, root``: components of the candidate links whose shingle sets have that Jaccard similarity.
+def confirmed(
+    edges: DataFrame, texts: DataFrame, width: int, similar: float, roots: DataFrame, at_once: int = 2
+) -> DataFrame:
+    """``node, root``: the given roots joined by candidate links whose shingle sets have that Jaccard similarity.
 
     In each round every text confirms its next links that are not within one component yet: first
     ``at_once``, then four times as many every round. Links within a component need no confirmation,
@@ -241,7 +258,8 @@ def confirmed(edges: DataFrame, texts: DataFrame, width: int, similar: float, at
     grams = materialise(
         per_text(texts.join(ends, "node", "left_semi"), "grams", lambda t: shingles(t, width)), "simhash-grams"
     )
-    roots = materialise(ends.withColumn("root", F.col("node")), "simhash-roots")
+    known = ends.join(roots, "node", "full").withColumn("root", F.coalesce("root", "node"))
+    roots = materialise(known.select("node", "root"), "simhash-roots")
     while edges.head(1):
         order = Window.partitionBy("b").orderBy("a")
         ranked = materialise(edges.withColumn("r", F.row_number().over(order)), "simhash-open")
@@ -269,6 +287,20 @@ def between_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return edges.where("root_a <> root_b")
 
 
+def near_groups(texts: DataFrame, width: int, radius: int, similar: float, families: int) -> DataFrame:
+    """``node, root`` of the texts (``node, text``, distinct) that have a near duplicate.
+
+    The first families join most of what belongs together; the others then look between roots only.
+    """
+    marks = materialise(per_text(texts, "fps", lambda t: word_fingerprints(t, families)), "simhash-families")
+    roots = marks.select("node", F.col("node").alias("root")).limit(0)
+    for start, end in ((0, FIRST_FAMILIES), (FIRST_FAMILIES, families)):
+        if start < min(end, families):
+            edges = candidates(marks, list(range(start, min(end, families))), radius, roots)
+            roots = confirmed(edges, texts, width, similar, roots)
+    return roots
+
+
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 2, similar: float = 0.8, families: int = FAMILIES) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id.
 
@@ -282,8 +314,7 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 2, similar: float =
     ids = materialise(docs.select("doc_id", node), "simhash-texts").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     texts = docs.select("doc_id", node, "text").join(ids, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "simhash-distinct-texts")
-    groups_ = confirmed(candidates(texts, families, radius), texts, width, similar)
-    named = ids.join(groups_, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = ids.join(near_groups(texts, width, radius, similar, families), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = Window.partitionBy("root").orderBy(F.col("first_id").asc_nulls_last(), "node")
     winners = named.withColumn("r", F.row_number().over(first)).where("r = 1").select(
         F.col("node").alias("_node"), F.col("first_id").alias("_first_id")
