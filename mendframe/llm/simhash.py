@@ -108,13 +108,20 @@ def links(fps: DataFrame, radius: int, parts: tuple[str, ...] = ()) -> DataFrame
         raise ValueError("radius must be even")
     bucket = [*parts, "table", "key"]
     tables = F.array(*[F.lit(m).cast("long") for m in masks(radius)])
-    fps = fps.select(*parts, "fp", (F.col("root") if "root" in fps.columns else F.col("fp")).alias("root"))
-    rows = fps.select("*", F.posexplode(tables).alias("table", "mask")).withColumn(
+    rows = fps.select(*parts, "fp", F.posexplode(tables).alias("table", "mask")).withColumn(
         "key", F.col("fp").bitwiseAND(F.col("mask"))
     )
-    counted = rows.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    shared = counted.where("n > 1 and lo <> hi").drop("lo", "hi")
-    members = materialise(rows.join(shared, bucket), "simhash-buckets")
+    shared = rows.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    members = rows.join(shared, bucket)
+    if "root" in fps.columns:
+        # Few rows share a bucket: roots are looked up for them alone, and buckets of one root left out.
+        members = materialise(members, "simhash-shared").join(fps.select(*parts, "fp", "root"), [*parts, "fp"])
+        members = materialise(members, "simhash-rooted")
+        mixed = members.groupBy(*bucket).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        members = members.join(mixed.select(*bucket), bucket, "left_semi")
+    else:
+        members = members.withColumn("root", F.col("fp"))
+    members = materialise(members, "simhash-buckets")
     small = members.where(F.col("n") <= PAIR_ROWS).groupBy(*bucket).agg(F.collect_list(F.struct("fp", "root")).alias("l"))
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
     pairs = (
@@ -234,9 +241,10 @@ def candidates(marks: DataFrame, families: list[int], radius: int, roots: DataFr
     first = F.min(F.struct("node", "root"))
     hubs = rows.groupBy("family", "fp").agg(first.alias("first"))
     hubs = materialise(hubs.select("family", "fp", F.col("first.node").alias("hub"), F.col("first.root").alias("root")), "simhash-hubs")
+    known = ["family", "fp", "root"] if roots.head(1) else ["family", "fp"]
     tied = rows.join(hubs.withColumnRenamed("root", "hub_root"), ["family", "fp"]).where("root <> hub_root")
     tied = tied.select(F.col("hub").alias("x"), F.col("node").alias("y"))
-    found = links(hubs.select("family", "fp", "root"), radius, ("family",))
+    found = links(hubs.select(*known), radius, ("family",))
     ends = [hubs.select("family", F.col("fp").alias(e), F.col("hub").alias(n)) for e, n in (("a", "x"), ("b", "y"))]
     linked = found.join(ends[0], ["family", "a"]).join(ends[1], ["family", "b"]).select("x", "y")
     pairs = tied.union(linked).where("x <> y")
