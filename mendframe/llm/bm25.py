@@ -81,6 +81,9 @@ class Shard:
         tf, length = arrays["counts"].astype(float), arrays["lengths"].astype(float)
         self.weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / mean_length))
         n = len(self.doc_ids)
+        # Rows are sorted by id: the first row of every id, and the number of each row's id.
+        new_id = np.append(True, self.doc_ids[1:] != self.doc_ids[:-1])[:n]
+        self.first, self.id_of = np.flatnonzero(new_id), np.cumsum(new_id) - 1
         self.sizes = np.diff(self.starts)
         self.frequent = self.sizes > FREQUENT * n
         self.blocks = -(-n // BLOCK_DOCS)
@@ -115,8 +118,26 @@ class Shard:
             "counts": counts.astype(np.min_scalar_type(int(counts.max(initial=0)))),
         }
 
+    def best_of_ids(self, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Where each id among ``rows`` has its best score."""
+        if len(self.first) == len(self.doc_ids):
+            return np.arange(len(rows))
+        order = np.lexsort((-scores, self.id_of[rows]))
+        ids = self.id_of[rows[order]]
+        return order[np.append(True, ids[1:] != ids[:-1])[: len(ids)]]
+
+    def rows_ahead(self, bound: np.ndarray, count: int) -> np.ndarray:
+        """The ``count`` ids of largest bound, each by a row that has it."""
+        ids = len(self.first)
+        if ids == len(self.doc_ids):
+            return np.argpartition(bound[:ids], ids - count)[ids - count :]
+        ends = np.append(self.first, len(self.doc_ids))
+        of_id = np.maximum.reduceat(bound[: len(self.doc_ids)], self.first)
+        chosen = np.argpartition(of_id, ids - count)[ids - count :]
+        return np.array([ends[i] + bound[ends[i] : ends[i + 1]].argmax() for i in chosen], np.int64)
+
     def search(self, terms: np.ndarray, idf: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best documents for a query's words, its own id left out."""
+        """The ``k`` best ids for a query's words with their best scores, its own id left out."""
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
         here = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, np.int64)
         at, idf, n = at[here], idf[here], len(self.doc_ids)
@@ -135,16 +156,17 @@ class Shard:
         bound[left:right] = -1
         bound[n:] = -1
         candidates = np.arange(n)
-        if k < n:
-            # The documents of largest bound give a first threshold; only bounds above it are scored.
-            ahead = np.argpartition(bound, -k - 1)[-k - 1 :]
+        if k < len(self.first):
+            # The ids of largest bound give a first threshold; only bounds above it are scored.
+            ahead = self.rows_ahead(bound, k + 1)
             ahead = ahead[bound[ahead] >= 0]
             scored = partial[ahead] + light @ self.rough[np.ix_(rows, ahead)]
             threshold = np.sort(scored)[-k] if len(scored) >= k else 0.0
             candidates = np.flatnonzero(bound >= threshold * (1 - MARGIN))
             scores = partial[candidates] + light @ self.rough[np.ix_(rows, candidates)]
-            if len(scores) > k:
-                threshold = np.partition(scores, -k)[-k]
+            each = scores[self.best_of_ids(candidates, scores)]
+            if len(each) > k:
+                threshold = np.partition(each, -k)[-k]
                 candidates = candidates[scores >= threshold * (1 - MARGIN)]
         candidates = candidates[bound[candidates] >= 0]
         # The few that are left: a column each, summed in the order of the terms in every shard.
@@ -159,6 +181,8 @@ class Shard:
             scores += part
         hits = scores > 0
         candidates, scores = candidates[hits], scores[hits]
+        each = self.best_of_ids(candidates, scores)
+        candidates, scores = candidates[each], scores[each]
         best = np.lexsort((self.doc_ids[candidates], -scores))[:k]
         return self.doc_ids[candidates[best]], scores[best]
 

@@ -137,6 +137,47 @@ def test_bm25_equals_brute_force(spark):
             assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-9)
 
 
+def test_bm25_counts_ids_not_rows(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(5, 30)))) for i in range(200)]
+    best = (500, rows[0][1])  # the best match of query 0, repeated more than k times
+    twice = [r for r in rows if r[0] % 100] * 2
+    odd = [(501, rows[0][1] + " w1"), (501, "w1 w2"), (501, rows[100][1])]
+    every = [*rows, *twice, *[best] * 25, *odd]
+    docs = spark.createDataFrame([(*r, 0.5) for r in every], DOCS).coalesce(1)
+    for k in (1, 10):
+        want = brute_bm25_rows(every, k)
+        for shard_docs in (100_000, 90):
+            got: dict = {}
+            for r in sorted(bm25.search(docs, F.col("doc_id") % 100 == 0, k, shard_docs).collect(), key=lambda r: r["rank"]):
+                got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+            assert got.keys() == want.keys()
+            for q in got:
+                assert [d for d, _ in got[q]] == [d for d, _ in want[q]]
+                assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-9)
+
+
+def brute_bm25_rows(rows, k):
+    """As brute_bm25, where ids repeat: every row is searched and found, an id has its best score."""
+    numbered = [(i * 1000 + at, t) for at, (i, t) in enumerate(rows)]
+    bags = {n: Counter(re.findall(r"[^\W_]+", t)) for n, t in numbered}
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    df = Counter(w for b in bags.values() for w in b)
+    out: dict = {}
+    for q, words in bags.items():
+        if q // 1000 % 100 == 0:
+            best = out.setdefault(q // 1000, {})
+            for n, b in bags.items():
+                if n // 1000 != q // 1000 and words.keys() & b.keys():
+                    score = 0.0
+                    for w in words.keys() & b.keys():
+                        tf = b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean))
+                        score += math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * tf
+                    best[n // 1000] = max(score, best.get(n // 1000, 0))
+    return {q: sorted(hits.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k] for q, hits in out.items()}
+
+
 def test_bm25_of_nothing(spark):
     assert bm25.search(spark.createDataFrame([], DOCS), F.col("doc_id") % 100 == 0).count() == 0
     lone = spark.createDataFrame([(0, "a b", 0.0), (1, None, 0.0)], DOCS)
