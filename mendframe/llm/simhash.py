@@ -14,10 +14,14 @@ Both find exactly the pairs within the radius, and no bucket's pairs are multipl
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like any
 other; repeated rows keep a row each; a null id never names a component unless all ids in it are
 null; an empty table gives an empty result.
+
+Near-duplicate texts (``keep_one``) are found without fingerprints: an exact join on the first
+shingles of every text in a common order, confirmed by all its shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mendframe.llm.common import hash_sample
 from mendframe.session import materialise
 
 BITS = 64
@@ -33,10 +38,12 @@ BITS = 64
 PAIR_ROWS = 32
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
-#: Independent word fingerprints that near-duplicate texts are looked for with.
-FAMILIES = 14
-#: Families that are looked through before the others.
-FIRST_FAMILIES = 3
+#: Near-duplicate texts: sampled texts, and tokens of them, that tell which tokens are frequent.
+ORDER_TEXTS, ORDER_TOKENS = 8192, 1 << 16
+#: Rows of a bucket that are ranked together, and ranks whose turn comes in the first round.
+RANKED_ROWS, FIRST_RANKS = 1024, 1
+#: The token of texts without words.
+WORDLESS = -1
 
 
 def shingle_hashes(words: list[bytes], width: int) -> list[int]:
@@ -191,143 +198,164 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFra
     return groups(materialise(fingerprints(docs, width), "simhash-marks"), radius)
 
 
-def word_fingerprints(text: str | None, families: int) -> list[int]:
-    """Independent fingerprints of a text's set of words: close texts differ in few bits of each."""
-    words = set((text or "").encode().lower().split())
-    base = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
-    found = []
-    for family in range(families):
-        x = base + np.uint64((family + 1) * 0x9E3779B97F4A7C15 % (1 << BITS))
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        x = (x ^ (x >> np.uint64(31))).byteswap()
-        ones = np.zeros(BITS, np.int64)
-        for start in range(0, len(x), CHUNK):
-            part = x[start : start + CHUNK]
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        found.append(int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big", signed=True))
-    return found
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes((text or "").encode().lower().split(), width), np.uint64)).view(np.int64)
 
 
-def per_text(texts: DataFrame, name: str, compute) -> DataFrame:
-    """``node`` and an array of longs that ``compute`` makes of its text."""
+def token_set(text: str | None, width: int) -> np.ndarray:
+    """The shingles of a text, ascending; one token of their own for all wordless texts."""
+    found = shingles(text, width)
+    return found if len(found) else np.array([WORDLESS], np.int64)
+
+
+def least_overlap(size: int, similar: float) -> int:
+    """Tokens that a set of that size shares at least with any set of that Jaccard similarity."""
+    return max(1, math.ceil(similar * size - 1e-9))
+
+
+def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that are frequent in a sample, ascending, and how frequent. Only an order is taken from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                found = [np.asarray(compute(t.as_py()), np.int64) for t in part.column("text")]
-                starts = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", name])
+            for start in range(0, batch.num_rows, 256):
+                found = [token_set(t.as_py(), width) for t in batch.column("text").slice(start, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["token"])
 
-    return texts.select("node", "text").mapInArrow(run, f"node string, {name} array<long>")
+    sample = hash_sample(texts, ORDER_TEXTS, "node").select("text")
+    counts = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    rows = sorted(counts.orderBy(F.desc("n"), "token").limit(ORDER_TOKENS).collect())
+    return np.array([r["token"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
 
 
-def candidates(marks: DataFrame, families: list[int], radius: int, roots: DataFrame) -> DataFrame:
-    """``a < b``: texts of different roots that share a fingerprint, or have one within ``radius`` bits,
-    in one of the families.
+def prefixes(texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """``node, size, tokens``: the first tokens of every text in one common order, frequent ones last.
 
-    ``marks`` has ``node, fps``, ``roots`` the roots of texts that are joined already. Texts with
-    one fingerprint are tied to the smallest.
+    There are as many that two sets of that similarity have one of them in common, whatever the order.
     """
-    named = marks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    chosen = F.array(*[F.struct(F.lit(f).alias("family"), F.col("fps")[f].alias("fp")) for f in families])
-    rows = named.select("node", "root", F.inline(chosen))
-    first = F.min(F.struct("node", "root"))
-    hubs = rows.groupBy("family", "fp").agg(first.alias("first"))
-    hubs = materialise(hubs.select("family", "fp", F.col("first.node").alias("hub"), F.col("first.root").alias("root")), "simhash-hubs")
-    known = ["family", "fp", "root"] if roots.head(1) else ["family", "fp"]
-    tied = rows.join(hubs.withColumnRenamed("root", "hub_root"), ["family", "fp"]).where("root <> hub_root")
-    tied = tied.select(F.col("hub").alias("x"), F.col("node").alias("y"))
-    found = links(hubs.select(*known), radius, ("family",))
-    ends = [hubs.select("family", F.col("fp").alias(e), F.col("hub").alias(n)) for e, n in (("a", "x"), ("b", "y"))]
-    linked = found.join(ends[0], ["family", "a"]).join(ends[1], ["family", "b"]).select("x", "y")
-    pairs = tied.union(linked).where("x <> y")
-    return materialise(
-        pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-candidates"
-    )
+    frequent, counts = frequent_tokens(texts, width)
 
+    def first_tokens(text: str | None) -> tuple[int, np.ndarray]:
+        tokens = token_set(text, width)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+            tokens = tokens[np.lexsort((tokens, np.where(frequent[at] == tokens, counts[at], 0)))]
+        return len(tokens), tokens[: len(tokens) - least_overlap(len(tokens), similar) + 1]
 
-def confirmed(
-    edges: DataFrame, texts: DataFrame, width: int, similar: float, roots: DataFrame, at_once: int = 2
-) -> DataFrame:
-    """``node, root``: the given roots joined by candidate links whose shingle sets have that Jaccard similarity.
-
-    In each round every text confirms its next links that are not within one component yet: first
-    ``at_once``, then four times as many every round. Links within a component need no confirmation,
-    so large groups cost a few comparisons a text, and the number of rounds is logarithmic.
-    """
-    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    grams = materialise(
-        per_text(texts.join(ends, "node", "left_semi"), "grams", lambda t: shingles(t, width)), "simhash-grams"
-    )
-    known = ends.join(roots, "node", "full").withColumn("root", F.coalesce("root", "node"))
-    roots = materialise(known.select("node", "root"), "simhash-roots")
-    while edges.head(1):
-        order = Window.partitionBy("b").orderBy("a")
-        ranked = materialise(edges.withColumn("r", F.row_number().over(order)), "simhash-open")
-        pairs = ranked.where(F.col("r") <= at_once).select("a", "b")
-        pairs = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-        pairs = pairs.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        jaccard = F.coalesce(F.try_divide(both, F.size("x") + F.size("y") - both), F.lit(1.0))
-        near = materialise(pairs.where(jaccard >= similar).select("a", "b"), "simhash-confirmed")
-        # Only the roots that this round has joined are connected anew.
-        joined = between_roots(near, roots).select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
-        moved = components(joined.distinct()).select(F.col("node").alias("root"), F.col("root").alias("up"))
-        up = F.coalesce("up", "root").alias("root")
-        roots = materialise(roots.join(moved, "root", "left").select("node", up), "simhash-roots")
-        rest = between_roots(ranked.where(F.col("r") > at_once), roots).select("a", "b")
-        edges = materialise(rest, "simhash-rest")
-        at_once *= 4
-    return roots
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                sizes, found = zip(*(first_tokens(t.as_py()) for t in part.column("text")), strict=True)
+                starts = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.array(sizes, pa.int32()), lists], ["node", "size", "tokens"]
+                )
 
+    return materialise(texts.select("node", "text").mapInArrow(run, "node long, size int, tokens array<long>"), "near-prefixes")
 
-def between_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """The links whose ends have different roots, with them."""
-    for end in ("a", "b"):
-        edges = edges.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
-    return edges.where("root_a <> root_b")
 
+def bucket_members(marks: DataFrame) -> DataFrame:
+    """``token, node, size, at, rank`` of the texts that share a token of their prefix with others.
 
-def near_groups(texts: DataFrame, width: int, radius: int, similar: float, families: int) -> DataFrame:
-    """``node, root`` of the texts (``node, text``, distinct) that have a near duplicate.
+    Ranks go from 0 in each bucket, texts with the fewest prefix tokens of their own first: the one
+    that others were copied from has few. A large bucket is ranked in parts, whose ranks interleave.
+    """
+    rows = marks.select("node", "size", F.posexplode("tokens").alias("at", "token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(rows.join(shared, "token"), "near-shared")
+    common = members.groupBy("node").agg(F.count("*").alias("common"))
+    lone = marks.select("node", F.size("tokens").alias("length")).join(common, "node")
+    members = members.join(lone.select("node", (F.col("length") - F.col("common")).alias("lone")), "node")
+    parts = F.ceil(F.col("n") / RANKED_ROWS)
+    members = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    order = Window.partitionBy("token", "part").orderBy("lone", "node")
+    rank = (F.row_number().over(order) - 1) * F.col("parts") + F.col("part")
+    return members.withColumn("rank", rank).select("token", "node", "size", "at", "rank")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """Of the pairs ``a, b`` those whose token sets have that Jaccard similarity."""
 
-    The first families join most of what belongs together; the others then look between roots only.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y")), strict=True):
+                sets = []
+                for node, text in ((a.as_py(), x), (b.as_py(), y)):
+                    if node not in memo:
+                        if len(memo) >= 512:
+                            memo.clear()
+                        memo[node] = token_set(text.as_py(), width)
+                    sets.append(memo[node])
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                keep.append(both / (len(sets[0]) + len(sets[1]) - both) >= similar)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(name)), end)
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_groups(texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """``node, root`` of the texts (``node, text``; nodes are longs) that are joined to a smaller one.
+
+    Groups are the connected components over all pairs of that similarity. A pair of that similarity
+    shares a prefix token, so it lies in a bucket. In every round the members of next ranks are
+    compared with all members of higher rank that are not in one group with them yet; a bucket
+    is done when its members are one group or all its ranks have had their turn. So a pair is left
+    out only if it is joined already or its sets are too unlike in size or order to be similar.
     """
-    marks = materialise(per_text(texts, "fps", lambda t: word_fingerprints(t, families)), "simhash-families")
-    roots = marks.select("node", F.col("node").alias("root")).limit(0)
-    for start, end in ((0, FIRST_FAMILIES), (FIRST_FAMILIES, families)):
-        if start < min(end, families):
-            edges = candidates(marks, list(range(start, min(end, families))), radius, roots)
-            roots = confirmed(edges, texts, width, similar, roots)
+    spark = texts.sparkSession
+    members = materialise(bucket_members(prefixes(texts, width, similar)).withColumn("root", F.col("node")), "near-members")
+    roots = spark.createDataFrame([], "node long, root long")
+    start, end = 0, FIRST_RANKS
+    while members.head(1):
+        hub = members.where((F.col("rank") >= start) & (F.col("rank") < end))
+        hub = hub.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("node", "size", "at", "rank", "root")])
+        # The most that the sets can share if this token is the first that they share.
+        most = F.least(F.col("size") - F.col("at"), F.col("hub_size") - F.col("hub_at"))
+        possible = most * (1 + similar) >= similar * (F.col("size") + F.col("hub_size")) - 1e-6
+        pairs = members.join(hub, "token").where((F.col("hub_rank") < F.col("rank")) & (F.col("hub_root") != F.col("root")) & possible)
+        ends = [f("node", "hub_node").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))]
+        of_end = [f("root", "hub_root").alias(n) for f, n in ((F.least, "root_a"), (F.greatest, "root_b"))]
+        pairs = materialise(pairs.select(*ends, *of_end).distinct(), "near-pairs")
+        near = similar_pairs(pairs.select("a", "b"), texts, width, similar)
+        joined = pairs.join(near, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        moved = components(materialise(joined.distinct(), "near-joined"))
+        up = moved.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        roots = roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")).union(moved)
+        roots = materialise(roots, "near-roots")
+        members = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ranks = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rank").alias("last"))
+        open_buckets = ranks.where((F.col("lo") != F.col("hi")) & (F.col("last") > end)).select("token")
+        members = materialise(members.join(open_buckets, "token", "left_semi"), "near-members")
+        start, end = end, end * 8
     return roots
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 2, similar: float = 0.8, families: int = FAMILIES) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id.
 
     Equal texts are one group. Different texts are linked if their sets of ``width``-word shingles
-    have a Jaccard similarity of ``similar`` or more and covering hashing finds them near: shingles
-    react too strongly to a changed word for few bits to differ, so the fingerprints are taken over
-    words, in several independent families, and the shingles confirm. Groups are connected links.
-    Rows that repeat an id and text count once; of a group without ids one row stays.
+    have a Jaccard similarity of ``similar`` or more; every such pair counts (``near_groups``).
+    Groups are connected links. Rows that repeat an id and text count once; of a group without ids
+    one row stays.
     """
-    node = F.coalesce(F.md5("text"), F.lit("")).alias("node")
-    ids = materialise(docs.select("doc_id", node), "simhash-texts").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    texts = docs.select("doc_id", node, "text").join(ids, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    texts = materialise(texts.select("node", "text").dropDuplicates(["node"]), "simhash-distinct-texts")
-    named = ids.join(near_groups(texts, width, radius, similar, families), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = Window.partitionBy("root").orderBy(F.col("first_id").asc_nulls_last(), "node")
+    digest = F.coalesce(F.md5("text"), F.lit("")).alias("digest")
+    ids = materialise(docs.select("doc_id", digest), "near-ids").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    texts = docs.select("doc_id", digest, "text").join(ids, "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = texts.select("digest", "first_id", "text").dropDuplicates(["digest"])
+    texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "near-texts")
+    roots = near_groups(texts, width, similar)
+    named = texts.drop("text").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = Window.partitionBy("root").orderBy(F.col("first_id").asc_nulls_last(), "digest")
     winners = named.withColumn("r", F.row_number().over(first)).where("r = 1").select(
-        F.col("node").alias("_node"), F.col("first_id").alias("_first_id")
+        F.col("digest").alias("_node"), F.col("first_id").alias("_first_id")
     )
-    rows = docs.withColumn("_node", node).join(winners, "_node").where(F.col("doc_id").eqNullSafe(F.col("_first_id")))
+    rows = docs.withColumn("_node", digest).join(winners, "_node").where(F.col("doc_id").eqNullSafe(F.col("_first_id")))
     return rows.dropDuplicates(["_node"]).select(*docs.columns)
 
 

@@ -277,3 +277,58 @@ def test_keep_one_of_each_group(spark):
     assert len(ids) == len(set(ids))
     assert set(ids) == want
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def brute_kept(rows, similar=0.8):
+    """The smallest id of every component of the pairs with that Jaccard similarity of 5-word shingles."""
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if both / (len(x) + len(sets[j]) - both) >= similar:
+                root[find(i)] = find(j)
+    least: dict = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)] = min(doc_id, least.get(find(i), doc_id))
+    return sorted(least.values())
+
+
+def changed(rng, words, count):
+    """A copy with ``count`` words replaced, far from each other."""
+    copy = list(words)
+    for at in rng.sample(range(0, len(words), 6), count):
+        copy[at] = f"new{rng.randrange(1 << 40)}"
+    return copy
+
+
+@pytest.mark.parametrize("pair_rows", [1, 32])
+def test_near_copies_joined_by_one_member_only(spark, monkeypatch, pair_rows):
+    monkeypatch.setattr(simhash, "PAIR_ROWS", pair_rows)
+    rng = random.Random(pair_rows)
+    groups = []
+    for size in (4, 60):
+        # Copies near the base alone: under 0.8 to each other; the base has no special id.
+        base = [f"b{size}w{i}" for i in range(300)]
+        groups += [[base, *(changed(rng, base, 6) for _ in range(size))]]
+        # Chains: each is near the next alone.
+        chain = [[f"c{size}w{i}" for i in range(300)]]
+        for _ in range(size):
+            chain.append(changed(rng, chain[-1], 6))
+        groups += [chain]
+        # Pairs that share a hub which neither of them is near to.
+        hub = [f"h{size}w{i}" for i in range(300)]
+        groups += [[hub, *(w for _ in range(size // 2) for w in [changed(rng, hub, 12)] for w in (w, changed(rng, w, 2)))]]
+    texts = [" ".join(words) for group in groups for words in group]
+    rows = list(zip(rng.sample(range(10_000), len(texts)), texts, strict=True))
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in got.collect()) == brute_kept(rows)
