@@ -332,3 +332,20 @@ def test_near_copies_joined_by_one_member_only(spark, monkeypatch, pair_rows):
     rows = list(zip(rng.sample(range(10_000), len(texts)), texts, strict=True))
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted(r["doc_id"] for r in got.collect()) == brute_kept(rows)
+
+
+def test_every_pair_from_the_threshold_on_is_found(spark):
+    rng = random.Random(8)
+    texts = []
+    for vocabulary in (1 << 40, 250, 60):  # all words distinct, or repetitive texts
+        for n in range(12):
+            words = [f"v{n}x{rng.randrange(vocabulary)}" for _ in range(450)]
+            extra = [f"e{rng.randrange(1 << 40)}" for _ in range(10 + 9 * n)]
+            texts += [words, [*words, *extra]]  # J from 0.98 down to 0.80
+            words = [f"v{n}y{rng.randrange(vocabulary)}" for _ in range(450)]
+            texts += [words, words[: 450 - 8 * n - 3]]  # J from 0.99 down to 0.79
+            words = [f"v{n}z{rng.randrange(vocabulary)}" for _ in range(450)]
+            texts += [words, changed(rng, words, n)]  # J from 1 down to 0.78
+    rows = list(zip(rng.sample(range(10_000), len(texts)), map(" ".join, texts), strict=True))
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in got.collect()) == brute_kept(rows)
