@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendframe.llm import ann, bm25, bpe, langid, mixing, simhash, tokencount, toxicity, urls, wavelet
+from mendframe.llm import ann, bm25, bpe, fim, langid, mixing, piece, simhash, tokencount, toxicity, urls, wavelet
 from mendframe.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,40 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document: 3-word shingles, links at 2 or fewer bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def spaced_digests(ids: list[int], decoded: str) -> tuple[int, str, str]:
+    joined = " ".join(map(DECIMAL.__getitem__, ids)).encode()
+    return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
+@query("op12_piece_round_trip")
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by backtracking over compatible pieces, then decoded."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    names, types = ["n_tokens", "ids_sha256", "decoded_sha256"], ["long", "string", "string"]
+    return piece.round_trip(table(spark, sf_dir, "documents"), path, spaced_digests, names, types)
+
+
+@query("op13_fill_in_middle")
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three by the learned rank index, and restored from its output."""
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents"), seed=42, fim_percent=50, spm_percent=80)
+    restored = fim.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t FROM documents),
+  h AS (SELECT doc_id, text, t, len(t)::BIGINT AS n, ('0x' || substr(s, 1, 8))::BIGINT % (len(t) + 1) AS x, ('0x' || substr(s, 9, 8))::BIGINT % (len(t) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(s, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || substr(s, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+  c AS (SELECT doc_id, text, n, form, array_to_string(t[1:least(x, y)], '') AS p, array_to_string(t[least(x, y) + 1:greatest(x, y)], '') AS m,
+    array_to_string(t[greatest(x, y) + 1:], '') AS s FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM c"""
