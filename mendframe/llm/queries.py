@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendframe.llm import ann, bm25, bpe, fim, langid, mixing, piece, simhash, tokencount, toxicity, urls, wavelet
+from mendframe.llm import ann, bm25, bpe, convtree, fim, langid, mixing, piece, simhash, tokencount, toxicity, urls, wavelet
 from mendframe.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,35 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op11_prefix_tree")
+def prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct sequence of first turns of the rebuilt conversations, with totals of its subtree."""
+    return convtree.prefix_tree(table(spark, sf_dir, "conversations"), block=100, heads=6)
+
+
+ORACLES["op11_prefix_tree"] = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, d: xor(c >> 1, (c & 1) * 3988292384))) AS t),
+  t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) - 1 AS pos, role, text
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+  o AS (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id),
+  c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) % 6 AS h FROM o, crc),
+  k AS (SELECT c.*, least(h, coalesce(o.own, 0)) AS shared FROM c LEFT JOIN o ON o.conv_id = c.base),
+  r AS (SELECT k.conv_id, pos + 1 AS depth, role, text FROM k JOIN t ON t.conv_id = k.base WHERE pos < h
+    UNION ALL SELECT k.conv_id, shared + pos - h + 1, role, text FROM k JOIN t USING (conv_id) WHERE pos >= h),
+  p AS (SELECT conv_id, depth, length(text) AS size, string_agg(md5(length(role) || ':' || role || text), ',') OVER (PARTITION BY conv_id ORDER BY depth) AS node,
+      max(depth) OVER (PARTITION BY conv_id) AS len FROM r),
+  q AS (SELECT *, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent FROM p
+    UNION ALL SELECT conv_id, 0, 0, '', coalesce((SELECT max(depth) FROM r WHERE r.conv_id = o.conv_id), 0), NULL FROM o),
+  n AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, any_value(size) AS size, count(*) AS n_convs, min(conv_id) AS conv_id,
+      sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len), '')) AS ends_sha256 FROM q GROUP BY node),
+  f AS (SELECT parent AS node, count(*) AS n_children FROM n GROUP BY parent),
+  g AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN f USING (node)),
+  s AS (SELECT q.node, sum((g.n_children = 0)::INT) AS n_leaves, sum((g.n_convs - 1) * g.size) AS saved FROM g JOIN q ON q.conv_id = g.conv_id AND q.depth <= g.depth GROUP BY q.node)
+SELECT g.conv_id, g.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, g.n_convs::BIGINT AS n_convs, g.n_children::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, g.ends_sha256 FROM g JOIN s USING (node) LEFT JOIN n u ON u.node = g.parent"""
+
+
 def spaced_digests(ids: list[int], decoded: str) -> tuple[int, str, str]:
     joined = " ".join(map(DECIMAL.__getitem__, ids)).encode()
     return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
