@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import hash_sample
+from mendframe.llm.common import hash_unit
 from mendframe.session import materialise
 
 BITS = 64
@@ -38,10 +38,13 @@ BITS = 64
 PAIR_ROWS = 32
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
-#: Near-duplicate texts: sampled texts, and tokens of them, that tell which tokens are frequent.
-ORDER_TEXTS, ORDER_TOKENS = 8192, 1 << 16
+#: Near-duplicate texts: one in so many texts tells which tokens are frequent, of which so many are kept.
+ORDER_SHARE, ORDER_TOKENS = 16, 1 << 20
+#: Longs of 64 bits that hold the parities of a token set.
+PARITY_LONGS = 8
 #: Rows of a bucket that are ranked together, and ranks whose turn comes in the first round.
 RANKED_ROWS, FIRST_RANKS = 1024, 1
+PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]
 #: The token of texts without words.
 WORDLESS = -1
 
@@ -214,7 +217,10 @@ def least_overlap(size: int, similar: float) -> int:
 
 
 def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that are frequent in a sample, ascending, and how frequent. Only an order is taken from them."""
+    """Tokens that are frequent in a share of all texts, ascending, and how frequent. Only an order is taken from them.
+
+    The share is fixed, so how many texts a token may be in before it counts as frequent does not grow with the table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,42 +228,67 @@ def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
                 found = [token_set(t.as_py(), width) for t in batch.column("text").slice(start, 256)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["token"])
 
-    sample = hash_sample(texts, ORDER_TEXTS, "node").select("text")
+    sample = texts.where(hash_unit("node") < 1 / ORDER_SHARE).select("text")
     counts = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    rows = sorted(counts.orderBy(F.desc("n"), "token").limit(ORDER_TOKENS).collect())
-    return np.array([r["token"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
+    counts = materialise(counts, "near-frequent")
+    octave = F.floor(F.log2("n")).cast("int").alias("octave")
+    least, kept = 64, 0
+    for row in counts.groupBy(octave).count().orderBy(F.desc("octave")).collect():  # at most 64 rows
+        kept += row["count"]
+        if kept > ORDER_TOKENS:
+            break
+        least = row["octave"]
+    rows = counts.where(octave >= least).toArrow()
+    tokens, n = (rows.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of ``64 * PARITY_LONGS`` bits, whether an odd number of the tokens falls on it, as longs.
+
+    Of two sets at most as many bits differ as tokens are in only one of them.
+    """
+    bits = 64 * PARITY_LONGS
+    mixed = (tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    odd = np.bincount((mixed % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def prefixes(texts: DataFrame, width: int, similar: float) -> DataFrame:
-    """``node, size, tokens``: the first tokens of every text in one common order, frequent ones last.
+    """``node, size, tokens, parity``: the first tokens of every text in one common order, frequent ones last.
 
     There are as many that two sets of that similarity have one of them in common, whatever the order.
     """
     frequent, counts = frequent_tokens(texts, width)
 
-    def first_tokens(text: str | None) -> tuple[int, np.ndarray]:
+    def first_tokens(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
         tokens = token_set(text, width)
+        parity = parities(tokens)
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
             tokens = tokens[np.lexsort((tokens, np.where(frequent[at] == tokens, counts[at], 0)))]
-        return len(tokens), tokens[: len(tokens) - least_overlap(len(tokens), similar) + 1]
+        return len(tokens), tokens[: len(tokens) - least_overlap(len(tokens), similar) + 1], parity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                sizes, found = zip(*(first_tokens(t.as_py()) for t in part.column("text")), strict=True)
+                sizes, found, parity = zip(*(first_tokens(t.as_py()) for t in part.column("text")), strict=True)
                 starts = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(found)))
+                words = np.stack(parity)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array(sizes, pa.int32()), lists], ["node", "size", "tokens"]
+                    [part.column("node"), pa.array(sizes, pa.int32()), lists, *[pa.array(w) for w in words.T.copy()]],
+                    ["node", "size", "tokens", *PARITY],
                 )
 
-    return materialise(texts.select("node", "text").mapInArrow(run, "node long, size int, tokens array<long>"), "near-prefixes")
+    schema = "node long, size int, tokens array<long>, " + ", ".join(f"{p} long" for p in PARITY)
+    return materialise(texts.select("node", "text").mapInArrow(run, schema), "near-prefixes")
 
 
 def bucket_members(marks: DataFrame) -> DataFrame:
-    """``token, node, size, at, rank`` of the texts that share a token of their prefix with others.
+    """``token, node, size, at, rank`` and parities of the texts that share a token of their prefix with others.
 
     Ranks go from 0 in each bucket, texts with the fewest prefix tokens of their own first: the one
     that others were copied from has few. A large bucket is ranked in parts, whose ranks interleave.
@@ -266,13 +297,13 @@ def bucket_members(marks: DataFrame) -> DataFrame:
     shared = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(rows.join(shared, "token"), "near-shared")
     common = members.groupBy("node").agg(F.count("*").alias("common"))
-    lone = marks.select("node", F.size("tokens").alias("length")).join(common, "node")
-    members = members.join(lone.select("node", (F.col("length") - F.col("common")).alias("lone")), "node")
+    lone = marks.select("node", F.size("tokens").alias("length"), *PARITY).join(common, "node")
+    members = members.join(lone.select("node", (F.col("length") - F.col("common")).alias("lone"), *PARITY), "node")
     parts = F.ceil(F.col("n") / RANKED_ROWS)
     members = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), parts))
     order = Window.partitionBy("token", "part").orderBy("lone", "node")
     rank = (F.row_number().over(order) - 1) * F.col("parts") + F.col("part")
-    return members.withColumn("rank", rank).select("token", "node", "size", "at", "rank")
+    return members.withColumn("rank", rank).select("token", "node", "size", "at", "rank", *PARITY)
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
@@ -314,10 +345,13 @@ def near_groups(texts: DataFrame, width: int, similar: float) -> DataFrame:
     start, end = 0, FIRST_RANKS
     while members.head(1):
         hub = members.where((F.col("rank") >= start) & (F.col("rank") < end))
-        hub = hub.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("node", "size", "at", "rank", "root")])
+        hub = hub.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("node", "size", "at", "rank", "root", *PARITY)])
         # The most that the sets can share if this token is the first that they share.
         most = F.least(F.col("size") - F.col("at"), F.col("hub_size") - F.col("hub_at"))
-        possible = most * (1 + similar) >= similar * (F.col("size") + F.col("hub_size")) - 1e-6
+        both = F.col("size") + F.col("hub_size")
+        # What is in one set alone is at least the number of parities that differ.
+        alone = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"hub_{p}"))) for p in PARITY)
+        possible = (most * (1 + similar) >= similar * both - 1e-6) & (alone * (1 + similar) <= (1 - similar) * both + 1e-6)
         pairs = members.join(hub, "token").where((F.col("hub_rank") < F.col("rank")) & (F.col("hub_root") != F.col("root")) & possible)
         ends = [f("node", "hub_node").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))]
         of_end = [f("root", "hub_root").alias(n) for f, n in ((F.least, "root_a"), (F.greatest, "root_b"))]
@@ -355,8 +389,9 @@ def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame
     winners = named.withColumn("r", F.row_number().over(first)).where("r = 1").select(
         F.col("digest").alias("_node"), F.col("first_id").alias("_first_id")
     )
-    rows = docs.withColumn("_node", digest).join(winners, "_node").where(F.col("doc_id").eqNullSafe(F.col("_first_id")))
-    return rows.dropDuplicates(["_node"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("_node"))
+    rows = rows.join(winners, "_node").where(F.col("row.doc_id").eqNullSafe(F.col("_first_id")))
+    return rows.dropDuplicates(["_node"]).select("row.*")
 
 
 def hex_of(fp: Column) -> Column:
