@@ -3,15 +3,16 @@
 Cost, rule and budget depend on each other in order. Only a bounded head of a session can matter,
 however long its log is: a step that is not refused takes budget, except an apply that uses up a
 recommendation of its own, and of a row of rollbacks at most ``MAX_ROLLBACKS`` can work. So the head
-of every session is folded as one short list, and the remaining rows are told by where it ended.
+of every session is folded as one short list by column expressions; its results are rows again, and every
+step of the log finds the one that tells of it by an equi-join: its own, or for the steps behind the head
+and the rollbacks left out of it, the last one before them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendframe import constants as K
@@ -27,66 +28,98 @@ FIELDS = {
     "streak": "bigint",
     "ends_session": "boolean",
 }
-_TOLD = "array<struct<step:bigint," + ",".join(f"{n}:{t}" for n, t in FIELDS.items()) + ">>"
-_ARROW = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+_TOLD = "struct<place:bigint,kind:bigint," + ",".join(f"{n}:{t}" for n, t in FIELDS.items()) + ">"
 #: Outcomes of steps that took place.
 EFFECTIVE = ("executed", "blocked", "undone")
 
 
-class Session:
-    """Budget, history, recommendations and undo stack of one session."""
-
-    def __init__(self, budget: int, streak: int):
-        self.budget, self.limit, self.done = budget, streak, False
-        self.last: str | None = None
-        self.run = self.stack = self.undone = 0
-        self.issued: set[str] = set()
-        self.applied: set[str] = set()
-
-    def step(self, action: str, rec_id: str | None, issues: Iterable[str], reached: bool) -> tuple:
-        """Outcome, rule, charge, budget before and after, length of the run, and whether it ends the session."""
-        before = self.budget
-        if self.done:
-            return "after_end", None, 0, before, before, 0, False
-        if action == "rollback":
-            if self.undone >= K.MAX_ROLLBACKS or not self.stack:
-                return "refused", None, 0, before, before, 0, False
-            self.undone += 1
-            self.stack -= 1
-            return "undone", None, *self._pay(1, before), 0, self.done
-        rule = self._rule(action, rec_id)
-        if rule:
-            return "blocked", rule, *self._pay(1, before), self.run, self.done
-        if action != "apply":
-            self.issued.update(issues)
-            return "executed", None, *self._pay(K.QUERY_COSTS[action], before), self.run, self.done
-        self.applied.add(rec_id)
-        self.stack = min(K.UNDO_DEPTH, self.stack + 1)
-        self.done = bool(reached) or self.budget <= 0
-        return "executed", None, 0, before, before, self.run, self.done
-
-    def _pay(self, cost: int, before: int) -> tuple[int, int, int]:
-        self.budget = max(0, before - cost)
-        self.done = self.budget <= 0
-        return cost, before, self.budget
-
-    def _rule(self, action: str, rec_id: str | None) -> str | None:
-        if self.budget <= 0:
-            return "budget_exhausted"
-        self.run = self.run + 1 if action == self.last else 1
-        self.last = action
-        if self.run >= self.limit and action != "apply":
-            return "action_spam"
-        if action in K.EXPENSIVE_ACTIONS and self.budget < K.EXPENSIVE_MIN_BUDGET:
-            return "low_budget_expensive_query"
-        if action == "apply":
-            if not rec_id:
-                return "missing_rec_id"
-            if rec_id in self.applied:
-                return "duplicate_apply"
-            if rec_id not in self.issued:
-                return "invalid_rec_id"
-        return None
+def _with(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of values that are computed once."""
+    named = F.array(F.struct(*[v.alias(n) for n, v in values.items()]))
+    return F.element_at(F.transform(named, body), 1)
+
+
+def _broken_rule(s: Column, x: Column, run: Column, streak: int) -> Column:
+    """The rule that a step breaks in state ``s``, null if none."""
+    action, apply = x["action"], x["action"] == "apply"
+    rec_id = F.coalesce(x["rec_id"], F.lit(""))
+    return (
+        F.when(s["budget"] <= 0, "budget_exhausted")
+        .when((run >= streak) & ~apply, "action_spam")
+        .when(action.isin(*K.EXPENSIVE_ACTIONS) & (s["budget"] < K.EXPENSIVE_MIN_BUDGET), "low_budget_expensive_query")
+        .when(apply & (rec_id == ""), "missing_rec_id")
+        .when(apply & F.array_contains(s["applied"], rec_id), "duplicate_apply")
+        .when(apply & ~F.array_contains(s["issued"], rec_id), "invalid_rec_id")
+    )
+
+
+def _cost(action: Column) -> Column:
+    """What an executed step takes: queries by agent, anything else nothing."""
+    price = F.lit(0)
+    for name, cost in K.QUERY_COSTS.items():
+        price = F.when(action == name, cost).otherwise(price)
+    return price
+
+
+def _step(s: Column, x: Column, streak: int) -> Column:
+    """The state of a session after the step ``x`` in state ``s``; what it tells is appended to ``told``."""
+    undo, apply = x["action"] == "rollback", x["action"] == "apply"
+    run = F.when(x["action"].eqNullSafe(s["last"]), s["run"] + 1).otherwise(1)
+    rule = F.when(~undo & ~s["done"], _broken_rule(s, x, run, streak))
+    def judged(t: Column) -> Column:
+        known = F.when(s["done"], "after_end").when(
+            undo, F.when((s["undone"] < K.MAX_ROLLBACKS) & (s["stack"] > 0), "undone").otherwise("refused")
+        )
+        return _with(
+            {"run": t["run"], "rule": t["rule"], "outcome": known.when(t["rule"].isNotNull(), "blocked").otherwise("executed")},
+            lambda t: charged(t),
+        )
+
+    def charged(t: Column) -> Column:
+        cost = F.when(t["outcome"].isin("undone", "blocked"), 1).when(t["outcome"] == "executed", _cost(x["action"])).otherwise(0)
+        return _with(
+            {"run": t["run"], "rule": t["rule"], "outcome": t["outcome"], "cost": cost, "left": F.greatest(F.lit(0).cast("bigint"), s["budget"] - cost)},
+            lambda t: moved(t),
+        )
+
+    def moved(t: Column) -> Column:
+        counts = ~undo & ~s["done"] & ~t["rule"].eqNullSafe("budget_exhausted")
+        works = (t["outcome"] == "executed") & apply
+        asks = (t["outcome"] == "executed") & ~apply
+        ends = t["outcome"].isin(*EFFECTIVE) & ((t["left"] <= 0) | (works & x["reached"]))
+        run = F.when(counts, t["run"]).otherwise(s["run"])
+        told = F.struct(
+            x["place"], x["kind"], t["outcome"], t["rule"], t["cost"].cast("bigint"), s["budget"], t["left"],
+            F.when(undo | s["done"], 0).otherwise(run), ends,
+        )
+        return F.struct(
+            t["left"].alias("budget"),
+            (s["done"] | ends).alias("done"),
+            F.when(counts, x["action"]).otherwise(s["last"]).alias("last"),
+            run.alias("run"),
+            F.when(works, F.least(F.lit(K.UNDO_DEPTH), s["stack"] + 1)).when(t["outcome"] == "undone", s["stack"] - 1).otherwise(s["stack"]).alias("stack"),
+            F.when(t["outcome"] == "undone", s["undone"] + 1).otherwise(s["undone"]).alias("undone"),
+            F.when(asks, F.array_union(s["issued"], x["ids"])).otherwise(s["issued"]).alias("issued"),
+            F.when(works, F.array_append(s["applied"], x["rec_id"])).otherwise(s["applied"]).alias("applied"),
+            F.concat(s["told"], F.array(told.cast(_TOLD))).alias("told"),
+        )
+
+    return _with({"run": run.cast("bigint"), "rule": rule}, judged)
+
+
+def _folded(steps: Column, budget: int, streak: int) -> Column:
+    start = F.struct(
+        F.lit(budget).cast("bigint").alias("budget"),
+        F.lit(False).alias("done"),
+        F.lit(None).cast("string").alias("last"),
+        F.lit(0).cast("bigint").alias("run"),
+        F.lit(0).alias("stack"),
+        F.lit(0).alias("undone"),
+        F.array().cast("array<string>").alias("issued"),
+        F.array().cast("array<string>").alias("applied"),
+        F.array().cast(f"array<{_TOLD}>").alias("told"),
+    )
+    return F.aggregate(steps, start, lambda s, x: _step(s, x, streak), lambda s: s["told"])
 
 
 def replay(steps: DataFrame, recs: DataFrame, budget: int = K.BUDGET, streak: int = K.STREAK) -> DataFrame:
@@ -96,51 +129,38 @@ def replay(steps: DataFrame, recs: DataFrame, budget: int = K.BUDGET, streak: in
     rollback that works), ``refused`` (one that does not; it costs nothing) or ``after_end``. A
     recommendation counts as issued only by an executed query and as applied only by an executed apply.
     """
-    most = recs.groupBy("session_id", "step").count().agg(F.max("count")).first()[0] or 0
-    head = budget * (1 + most)
     undo = F.col("action") == "rollback"
+    most = recs.groupBy("session_id", "step").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most"))
+    head = (most.scalar() + 1) * budget
     numbered = scan(
         steps, ["session_id"], ["step"], step_chunk(), _place=count(~undo), _kind=Running("run", undo)
     )
-    kept = numbered.where((F.col("_place") <= head) & (~undo | (F.col("_kind") <= K.MAX_ROLLBACKS)))
+    # Place n is the n-th step that is no rollback, kind 0, and the rollbacks behind it are of kinds 1, 2, ...
+    inside = F.col("_place") <= head
+    kind = F.when(undo & inside, F.least("_kind", F.lit(K.MAX_ROLLBACKS))).otherwise(0).cast("bigint")
+    kept = numbered.where(inside & (~undo | (F.col("_kind") <= K.MAX_ROLLBACKS)))
     handed = recs.groupBy("session_id", "step").agg(F.collect_set("rec_id").alias("ids"))
     reached = F.coalesce(F.col("accuracy_after") >= F.col("target_accuracy"), F.lit(False))
-    heads = (
-        kept.join(handed, ["session_id", "step"], "left")
-        .groupBy("session_id")
-        .agg(F.array_sort(F.collect_list(F.struct("step", "action", "rec_id", "ids", reached.alias("reached")))).alias("steps"))
-    )
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("step", pa.int64()), *((n, _ARROW[t]) for n, t in FIELDS.items())]))
-        for batch in batches:
-            told = []
-            for rows in batch.column("steps").to_pylist():
-                session = Session(budget, streak)
-                out = []
-                for r in rows:
-                    found = session.step(r["action"], r["rec_id"], r["ids"] or (), r["reached"])
-                    out.append({"step": r["step"], **dict(zip(FIELDS, found, strict=True))})
-                told.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column("session_id"), pa.array(told, kind)], ["session_id", "_told"])
-
-    kind = steps.schema["session_id"].dataType.simpleString()
-    told = heads.mapInArrow(fold, f"session_id {kind}, _told {_TOLD}")
-    joined = steps.join(told, "session_id", "left")
-    own = F.filter("_told", lambda x: x["step"] == F.col("step"))
-    earlier = F.filter("_told", lambda x: x["step"] < F.col("step"))
-    known, past = F.get(own, F.lit(0)), F.try_element_at(earlier, F.lit(-1))
-    left = F.coalesce(past["budget_remaining"], F.lit(budget).cast("bigint"))
-    over = F.exists("_told", lambda x: x["ends_session"] & (x["step"] < F.col("step")))
-    rest = F.struct(
-        F.when(over, "after_end").otherwise("refused").alias("outcome"),
-        F.lit(None).cast("string").alias("rule"),
-        F.lit(0).cast("bigint").alias("charged"),
-        left.alias("budget_before"),
-        left.alias("budget_remaining"),
-        F.lit(0).cast("bigint").alias("streak"),
-        F.lit(False).alias("ends_session"),
+    ids = F.coalesce("ids", F.array().cast("array<string>")).alias("ids")
+    number = F.when(undo, F.col("_kind")).otherwise(0).cast("bigint")
+    row = F.struct("step", "action", "rec_id", ids, reached.alias("reached"), F.col("_place").alias("place"), number.alias("kind"))
+    heads = kept.join(handed, ["session_id", "step"], "left").groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("steps"))
+    told = heads.select("session_id", F.inline(_folded(F.col("steps"), budget, streak)))
+    told = told.select("session_id", F.col("place").alias("_place"), F.col("kind").alias("_kind"), F.struct(*FIELDS).alias("_told"))
+    known = F.col("_told")
+    over = known["ends_session"] | (known["outcome"] == "after_end")
+    rest = {
+        "outcome": F.when(over, "after_end").otherwise("refused"),
+        "rule": F.lit(None).cast("string"),
+        "charged": F.lit(0).cast("bigint"),
+        "budget_before": known["budget_remaining"],
+        "budget_remaining": known["budget_remaining"],
+        "streak": F.lit(0).cast("bigint"),
+        "ends_session": F.lit(False),
+    }
+    placed = numbered.withColumns({"_own": F.col("_kind"), "_kind": kind, "_inside": inside, "_place": F.least("_place", head).cast("bigint")})
+    # A step of the head is told of itself; one behind it or left out of it, of the last step before.
+    itself = F.col("_inside") & (~undo | (F.col("_own") <= K.MAX_ROLLBACKS))
+    return placed.join(told, ["session_id", "_place", "_kind"], "left").select(
+        *[F.col(c) for c in steps.columns], *[F.when(itself, known[n]).otherwise(rest[n]).cast(t).alias(n) for n, t in FIELDS.items()]
     )
-    full = F.when(F.size(own) > 0, F.struct(*[known[n].alias(n) for n in FIELDS])).otherwise(rest)
-    return joined.withColumn("_now", full).select(*steps.columns, "_now.*")
-

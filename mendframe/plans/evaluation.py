@@ -44,8 +44,8 @@ from mendframe.sources import event_log, samples, tables
 from mendframe.sources.catalogue import CATALOGUE, DIFFICULTY_DATASETS, with_metadata
 from mendframe.streaming.audit import stream_audit
 from mendframe.streaming.quality import quality_windows
-from mendframe.streaming.sessions import stream_sessions
-from mendframe.streaming.sinks import latest_by, run_append, run_update
+from mendframe.streaming.sessions import session_totals, stream_sessions
+from mendframe.streaming.sinks import run_append, run_update
 
 _POSITIVE = "label < 5"
 
@@ -487,8 +487,7 @@ def quality_windows_stream(spark, sf):
 def stream_session_metrics(spark, sf):
     steps = _event_stream(spark, sf).select(F.col("user_id").alias("session_id"), "ts")
     snapshots = run_append(stream_sessions(steps, ttl_seconds=10 * DAY), "sessions")
-    total = snapshots.withColumn("_n", F.col("n_steps") + F.col("n_rejected"))
-    return latest_by(total, ["session_id"], "_n").select("session_id", "n_steps", "n_rejected")
+    return session_totals(snapshots).select("session_id", "n_steps", "n_rejected")
 
 
 @query(

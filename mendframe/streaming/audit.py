@@ -1,77 +1,117 @@
-"""Live rule audit: the batch fold, fed step by step, with bounded state per session."""
+"""Live rule audit: the fold of a session, fed step by step, with bounded state per session.
+
+Steps are numbered 1, 2, ... per session, so their order does not depend on micro-batches. A step that
+comes before its number waits, and no longer than the event-time watermark needs to reach it: by then no
+earlier step can come any more, so a gap in the numbers delays steps but holds none back. A session
+that has ended keeps no ids and lets nothing wait, and it ends within its budget; so the state of a
+session is bounded by its budget and by what can arrive within the delay.
+"""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mendframe import constants as K
-from mendframe.operators.replay import Session
+from mendframe.streaming.session_fold import Session
 
 OUTPUT = (
     "session_id bigint, step bigint, action string, rec_id string, outcome string,"
     " budget_before bigint, streak bigint, rule string"
 )
-STATE = "state string"
+COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+NOW = "budget bigint, done boolean, last string, run bigint, stack bigint, undone bigint, following bigint"
+WAITING = "step bigint, action string, rec_id string, issued array<string>, reached boolean, due bigint"
 
 
-def stream_audit(steps: DataFrame, budget: int = K.BUDGET, streak: int = K.STREAK) -> DataFrame:
-    """Outcome and broken rule of every step as it arrives.
+class Audit(StatefulProcessor):
+    """State: where the session stands, the ids it has handed out and used, and the steps that wait."""
 
-    ``steps`` has ``session_id, step, action, rec_id, accuracy_after, target_accuracy`` and the list
-    ``issued`` of recommendation ids a query step hands out. Steps are numbered 1, 2, ... per session,
-    so order does not depend on micro-batches: a step that comes early waits in the state until those
-    before it have come. A session that has ended keeps no ids and lets nothing wait, and it ends
-    within its budget, so the state stays small however long its log is.
-    """
+    def __init__(self, budget: int, streak: int):
+        self.budget, self.streak = budget, streak
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", NOW)
+        self.issued = handle.getListState("issued", "rec_id string")
+        self.applied = handle.getListState("applied", "rec_id string")
+        self.waiting = handle.getListState("waiting", WAITING)
 
-    def audit(
-        key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        session, following, waiting = _loaded(state.get[0] if state.exists else None, budget, streak)
-        for piece in pieces:
-            out = []
-            for row in piece.sort_values("step", kind="stable").itertuples(index=False):
-                rec = row.rec_id if isinstance(row.rec_id, str) else None
-                ids = [] if row.issued is None else [str(i) for i in row.issued]
-                waiting[int(row.step)] = (row.action, rec, ids, bool(row.reached))
-            while following in waiting or (session.done and waiting):
-                at = following if following in waiting else min(waiting)
-                action, rec, ids, reached = waiting.pop(at)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = []
+        for piece in rows:
+            for r in piece.itertuples(index=False):
+                ids = [] if r.issued is None else [str(i) for i in r.issued]
+                rec = r.rec_id if isinstance(r.rec_id, str) else None
+                fresh.append((int(r.step), r.action, rec, ids, bool(r.reached), int(r.due)))
+        yield from self._fold(key, fresh, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._fold(key, [], timerValues)
+
+    def _fold(self, key, fresh: list[tuple], timers) -> Iterator[pd.DataFrame]:
+        session, following = self._loaded()
+        held = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
+        waiting = sorted([*held, *fresh], key=lambda w: w[0])
+        watermark = timers.getCurrentWatermarkInMs()
+        # Every step up to the last one that the watermark has reached: nothing before it can come now.
+        sure = max((w[0] for w in waiting if w[5] <= watermark), default=0)
+        out, rest = [], []
+        for w in waiting:
+            at, action, rec, ids, reached, _ = w
+            if at <= following or at <= sure or session.done:
                 outcome, rule, _, before, _, run, _ = session.step(action, rec, ids, reached)
                 out.append((key[0], at, action, rec, outcome, before, run, rule))
                 following = max(following, at + 1)
-            if out:
-                columns = [c.split()[0] for c in OUTPUT.split(", ")]
-                yield pd.DataFrame(out, columns=columns)
-        state.update((_stored(session, following, waiting),))
+            else:
+                rest.append(w)
+        if held or rest:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(min(w[5] for w in rest))
+        if out:
+            self._store(session, following)
+            yield pd.DataFrame(out, columns=COLUMNS)
 
-    reached = F.coalesce(F.col("accuracy_after") >= F.col("target_accuracy"), F.lit(False))
-    return (
-        steps.select("session_id", "step", "action", "rec_id", "issued", reached.alias("reached"))
-        .groupBy("session_id")
-        .applyInPandasWithState(audit, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-    )
+    def _loaded(self) -> tuple[Session, int]:
+        session = Session(self.budget, self.streak)
+        if not self.now.exists():
+            return session, 1
+        session.budget, session.done, session.last, session.run, session.stack, session.undone, following = self.now.get()
+        session.issued = {r[0] for r in self.issued.get()} if self.issued.exists() else set()
+        session.applied = {r[0] for r in self.applied.get()} if self.applied.exists() else set()
+        return session, following
 
+    def _store(self, session: Session, following: int) -> None:
+        self.now.update((session.budget, session.done, session.last, session.run, session.stack, session.undone, following))
+        for state, ids in ((self.issued, session.issued), (self.applied, session.applied)):
+            if ids and not session.done:
+                state.put([(i,) for i in sorted(ids)])
+            elif state.exists():
+                state.clear()
 
-def _loaded(text: str | None, budget: int, streak: int) -> tuple[Session, int, dict[int, tuple]]:
-    session = Session(budget, streak)
-    if text is None:
-        return session, 1, {}
-    kept = json.loads(text)
-    session.budget, session.done, session.last, session.run, session.stack, session.undone = kept["now"]
-    session.issued, session.applied = set(kept["issued"]), set(kept["applied"])
-    return session, kept["following"], {int(k): tuple(v) for k, v in kept["waiting"].items()}
+    def close(self) -> None:
+        pass
 
 
-def _stored(session: Session, following: int, waiting: dict[int, tuple]) -> str:
-    now = (session.budget, session.done, session.last, session.run, session.stack, session.undone)
-    known = ([], []) if session.done else (sorted(session.issued), sorted(session.applied))
-    return json.dumps(
-        {"now": now, "issued": known[0], "applied": known[1], "following": following, "waiting": waiting}
+def stream_audit(steps: DataFrame, budget: int = K.BUDGET, streak: int = K.STREAK, delay: str = "1 hour") -> DataFrame:
+    """Outcome and broken rule of every step as it arrives.
+
+    ``steps`` has ``session_id, step, ts, action, rec_id, accuracy_after, target_accuracy`` and the list
+    ``issued`` of recommendation ids a query step hands out. A step without ``ts`` waits for nothing.
+    Steps more than ``delay`` behind the latest are dropped by the watermark. A number that has been
+    passed over and comes within the delay is judged when it comes. Steps still waiting when the input
+    ends appear with the next one that moves the watermark.
+    """
+    reached = F.coalesce(F.col("accuracy_after") >= F.col("target_accuracy"), F.lit(False))
+    timed = steps.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    due = F.coalesce(F.unix_millis("ts"), F.lit(0))
+    return (
+        timed.select("session_id", "step", "ts", "action", "rec_id", "issued", reached.alias("reached"), due.alias("due"))
+        .groupBy("session_id")
+        .transformWithStateInPandas(Audit(budget, streak), OUTPUT, "append", "eventTime")
     )

@@ -1,4 +1,10 @@
-"""Live session metrics: sessions expire a fixed time after they start."""
+"""Live session metrics: sessions expire a fixed time after they start, and leave the state then.
+
+The state holds open sessions only: when the watermark passes a session's end, its last snapshot goes
+out and nothing of it stays. The snapshots are the table of expired sessions; a step that comes
+later opens a state of its own under the same id, and ``session_totals`` joins it to the first
+one, so that it counts as rejected and starts nothing anew.
+"""
 
 from __future__ import annotations
 
@@ -7,65 +13,110 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mendframe.constants import SESSION_TTL_SECONDS
 
-OUTPUT = "session_id bigint, created_at double, last_seen double, n_steps bigint, n_rejected bigint, status string"
-STATE = "created_at double, last_seen double, n_steps bigint, n_rejected bigint"
+OUTPUT = "session_id bigint, created_at double, last_seen double, n_steps bigint, n_rejected bigint, status string, opened bigint"
+COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
-def stream_sessions(
-    steps: DataFrame, ttl_seconds: int = SESSION_TTL_SECONDS, delay: str = "1 hour"
-) -> DataFrame:
-    """Snapshots per session: start, last step, steps in time and steps after expiry.
+class Sessions(StatefulProcessor):
+    """Four numbers of an open session, and the times of steps seen while an earlier one may still come."""
 
-    Age counts from the first step, not from the last one, so this is no session window.
-    Rows arrive in pieces and only four numbers per session are kept. They stay when a session has
-    expired, so that a later step is rejected and does not start the session anew.
-    """
+    def __init__(self, ttl_seconds: int):
+        self.ttl = ttl_seconds
 
-    def update(
-        key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            created, seen, n, rejected = state.get
-            yield _snapshot(key, created, seen, n, rejected, "expired")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "created double, seen double, n bigint, rejected bigint, opened bigint")
+        self.early = handle.getListState("early", "at double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = [float(t) for piece in rows for t in piece["at"]]
+        if self.now.exists():
+            created, seen, n, rejected, opened = self.now.get()
+        else:
+            created, seen, n, rejected, opened = min(times), min(times), 0, 0, int(min(times) * 1e6)
+        if self.early.exists():
+            times += [r[0] for r in self.early.get()]
+            self.early.clear()
+        elif n + rejected == 0 or not times:
+            pass
+        if n + rejected == 0:
+            created = min([created, *times])
+        seen = max([seen, *times])
+        end = created + self.ttl
+        in_time = sum(t <= end for t in times)
+        total = n + in_time, rejected + len(times) - in_time
+        watermark = timerValues.getCurrentWatermarkInMs() / 1000
+        if watermark >= end:  # all of it late, yet within the delay
+            self.now.clear()
+            yield snapshot(key, created, seen, *total, "expired", opened)
             return
-        times = [piece["at"].to_numpy(dtype="float64") for piece in pieces]
-        start = min(float(t.min()) for t in times)
-        created, seen, n, rejected = state.get if state.exists else (start, start, 0, 0)
-        created = min(created, start)
-        for t in times:
-            in_time = t <= created + ttl_seconds
-            n += int(in_time.sum())
-            rejected += int((~in_time).sum())
-            seen = max(seen, float(t.max()))
-        state.update((created, seen, n, rejected))
-        expiry = int((created + ttl_seconds) * 1000)
-        expired = expiry <= state.getCurrentWatermarkMs()
-        if not expired:
-            state.setTimeoutTimestamp(expiry)
-        yield _snapshot(key, created, seen, n, rejected, "expired" if expired else "active")
-
-    timed = steps.select("session_id", F.col("ts").cast("timestamp").alias("ts")).withColumn(
-        "at", F.unix_micros("ts") / 1_000_000.0
-    )
+        if watermark >= created:
+            n, rejected = total
+        else:
+            # An earlier step may move the start: these are judged when the watermark has passed it.
+            self.early.put([(t,) for t in times])
+            self.handle.registerTimer(int(created * 1000) + 1)
+        self.now.update((created, seen, n, rejected, opened))
+        self.handle.registerTimer(int(end * 1000) + 1)
+        yield snapshot(key, created, seen, *total, "active", opened)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.now.exists():
+            return
+        created, seen, n, rejected, opened = self.now.get()
+        watermark = timerValues.getCurrentWatermarkInMs() / 1000
+        if watermark >= created and self.early.exists():
+            times = [r[0] for r in self.early.get()]
+            in_time = sum(t <= created + self.ttl for t in times)
+            n, rejected = n + in_time, rejected + len(times) - in_time
+            self.early.clear()
+            self.now.update((created, seen, n, rejected, opened))
+        if watermark >= created + self.ttl:
+            self.now.clear()
+            yield snapshot(key, created, seen, n, rejected, "expired", opened)
+
+    def close(self) -> None:
+        pass
+
+
+def snapshot(key, *values) -> pd.DataFrame:
+    return pd.DataFrame([(key[0], *values)], columns=COLUMNS)
+
+
+def stream_sessions(steps: DataFrame, ttl_seconds: int = SESSION_TTL_SECONDS, delay: str = "1 hour") -> DataFrame:
+    """Snapshots of sessions: start, last step, steps in time and steps after the end.
+
+    Age counts from the first step, not from the last one, so this is no session window. Rows without
+    a time are left out. ``opened`` tells the states of one id apart; read the snapshots through
+    ``session_totals``.
+    """
+    timed = steps.select("session_id", F.col("ts").cast("timestamp").alias("ts")).where("ts IS NOT NULL")
+    timed = timed.withColumn("at", F.unix_micros("ts") / 1_000_000.0)
     return (
         timed.withWatermark("ts", delay)
         .groupBy("session_id")
-        .applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(Sessions(ttl_seconds), OUTPUT, "append", "eventTime")
     )
 
 
-def _snapshot(key, created, seen, n, rejected, status) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "session_id": [key[0]],
-            "created_at": [created],
-            "last_seen": [seen],
-            "n_steps": [n],
-            "n_rejected": [rejected],
-            "status": [status],
-        }
+def session_totals(snapshots: DataFrame) -> DataFrame:
+    """One row per session from its snapshots: the first start counts, all steps of later states are rejected."""
+    seen = F.col("n_steps") + F.col("n_rejected")
+    latest = snapshots.groupBy("session_id", "opened").agg(
+        F.max_by(F.struct("created_at", "last_seen", "n_steps", "n_rejected", "status"), F.struct(seen, F.col("status") == "expired")).alias("s")
+    )
+    first = F.min_by(F.struct("s.*", "opened"), "opened").alias("f")
+    total = F.sum(F.col("s.n_steps") + F.col("s.n_rejected")).alias("total")
+    found = latest.groupBy("session_id").agg(first, total, F.max("s.last_seen").alias("last_seen"))
+    return found.select(
+        "session_id",
+        F.col("f.created_at").alias("created_at"),
+        "last_seen",
+        F.col("f.n_steps").alias("n_steps"),
+        (F.col("total") - F.col("f.n_steps")).alias("n_rejected"),
+        F.col("f.status").alias("status"),
     )

@@ -10,8 +10,8 @@ from mendframe.session import scratch_path
 from mendframe.sources import event_log
 from mendframe.streaming.audit import stream_audit
 from mendframe.streaming.quality import quality_windows
-from mendframe.streaming.sessions import stream_sessions
-from mendframe.streaming.sinks import latest_by, run_append, run_update
+from mendframe.streaming.sessions import session_totals, stream_sessions
+from mendframe.streaming.sinks import run_append, run_update, state_store
 from test_steps import RECS, STEPS, make_log
 
 
@@ -25,6 +25,14 @@ def stream(spark, df, path, per_batch=1):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
+DAY = 86_400
+
+
+def at(seconds):
+    """A time some seconds after a fixed moment."""
+    return F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
+
+
 @pytest.mark.parametrize("batches", [1, 3, 10])
 def test_audit_does_not_depend_on_batches(spark, batches):
     """The rows come in any order, spread over the micro-batches by a hash."""
@@ -33,40 +41,78 @@ def test_audit_does_not_depend_on_batches(spark, batches):
     table = spark.createDataFrame(recs, RECS)
     issued = table.groupBy("session_id", "step").agg(F.collect_list("rec_id").alias("issued"))
     full = steps.join(issued, ["session_id", "step"], "left").withColumn("part", F.pmod(F.xxhash64("session_id", "step"), F.lit(batches)))
+    full = full.withColumn("ts", at(F.col("step") * 10))
     path = scratch_path(spark, "audit-input")
     write_parts(full, "part", batches, path)
     columns = ["session_id", "step", "outcome", "budget_before", "streak", "rule"]
-    got = run_append(stream_audit(stream(spark, full.drop("part"), path)), "audit-test").select(columns)
+    got = run_append(stream_audit(stream(spark, full.drop("part"), path), delay="30 days"), "audit-test").select(columns)
     want = L.rule_audit(steps, table).select(columns)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_gap_delays_steps_until_the_watermark(spark):
+    """Number 2 is missing, another log starts at 5; both go on once the watermark has passed them."""
+    kind = "session_id bigint, step bigint, action string, rec_id string, accuracy_after double, target_accuracy double, s bigint, part int"
+    query = lambda session, step, s, part: (session, step, "query_cleaner", None, 0.5, 0.9, s, part)
+    rows = [query(1, 1, 0, 0), query(1, 3, 20, 0), query(1, 4, 30, 0), query(2, 5, 10, 0), query(2, 6, 20, 0)]
+    rows += [query(9, 1, 40, 1), query(9, 2, 9000, 2), query(9, 3, 9001, 3)]
+    df = spark.createDataFrame(rows, kind).select("*", at(F.col("s")).alias("ts"), F.array().cast("array<string>").alias("issued")).drop("s")
+    path = scratch_path(spark, "audit-gap")
+    write_parts(df, "part", 4, path)
+    out = run_append(stream_audit(stream(spark, df.drop("part"), path), delay="1 minute"), "gap-test")
+    found = sorted((r["session_id"], r["step"], r["outcome"], r["streak"]) for r in out.collect())
+    assert found == [
+        (1, 1, "executed", 1), (1, 3, "executed", 2), (1, 4, "blocked", 3), (2, 5, "executed", 1), (2, 6, "executed", 2),
+        (9, 1, "executed", 1), (9, 2, "executed", 2), (9, 3, "blocked", 3),
+    ]
+    first = run_append(stream_audit(stream(spark, df.drop("part"), path), delay="30 days"), "gap-early")
+    assert {(r["session_id"], r["step"]) for r in first.collect()} == {(1, 1), (9, 1), (9, 2), (9, 3)}
+
+
+def session_rows(spark, rows):
+    return spark.createDataFrame(rows, "session_id bigint, s bigint, part int").select("session_id", at(F.col("s")).alias("ts"), "part")
+
+
+def totals(spark, df, parts, **options):
+    path = scratch_path(spark, "sessions-input")
+    write_parts(df, "part", parts, path)
+    snapshots = run_append(stream_sessions(stream(spark, df.drop("part"), path), **options), "sessions-test")
+    return {r["session_id"]: (r["n_steps"], r["n_rejected"]) for r in session_totals(snapshots).collect()}
+
+
 def test_expired_sessions_stay_known(spark):
     """A step long after the expiry, in a later batch, is rejected and starts nothing anew."""
-    kind = "session_id bigint, s bigint, part int"
     rows = [(1, 0, 0), (1, 100, 0), (9, 90_000, 1), (9, 90_001, 2), (1, 180_000, 3), (9, 180_001, 3)]
-    df = spark.createDataFrame(rows, kind).select(
-        "session_id", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), "part"
-    )
-    path = scratch_path(spark, "sessions-late")
-    write_parts(df, "part", 4, path)
-    snapshots = run_append(stream_sessions(stream(spark, df.drop("part"), path), delay="1 minute"), "late-test")
-    last = snapshots.withColumn("n", F.col("n_steps") + F.col("n_rejected"))
-    got = {r["session_id"]: (r["n_steps"], r["n_rejected"]) for r in latest_by(last, ["session_id"], "n").collect()}
-    assert got == {1: (2, 1), 9: (2, 1)}
+    assert totals(spark, session_rows(spark, rows), 4, delay="1 minute") == {1: (2, 1), 9: (2, 1)}
 
 
 def test_sessions_expire_from_their_start(spark):
-    rows = [(1, 0), (1, 100), (1, 2000), (2, 50), (2, 1800), (3, 9000)]
-    df = spark.createDataFrame(rows, "session_id bigint, s bigint").select(
-        "session_id", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts")
-    )
-    path = scratch_path(spark, "sessions-input")
-    df.coalesce(1).write.parquet(path)
-    snapshots = run_append(stream_sessions(stream(spark, df, path)), "sessions-test")
-    total = snapshots.withColumn("n", F.col("n_steps") + F.col("n_rejected"))
-    got = {r["session_id"]: (r["n_steps"], r["n_rejected"]) for r in latest_by(total, ["session_id"], "n").collect()}
-    assert got == {1: (2, 1), 2: (2, 0), 3: (1, 0)}
+    rows = [(1, 0, 0), (1, 100, 0), (1, 2000, 0), (2, 50, 0), (2, 1800, 0), (3, 9000, 0)]
+    assert totals(spark, session_rows(spark, rows), 1) == {1: (2, 1), 2: (2, 0), 3: (1, 0)}
+
+
+def test_an_earlier_step_moves_the_start(spark):
+    """The step at 1,790 is in time of the start at 0 known first, and late for the true start at -30."""
+    rows = [(1, 0, 0), (1, 1790, 0), (1, -30, 1), (2, 10, 1), (1, 1900, 2)]
+    assert totals(spark, session_rows(spark, rows), 3, delay="1 hour") == {1: (2, 2), 2: (1, 0)}
+
+
+@pytest.mark.parametrize("batches", [4, 12])
+def test_state_holds_open_sessions_only(spark, batches):
+    """Twenty new sessions a day: after any number of days the state is that of the open ones."""
+    rows = [(day * 20 + i, day * DAY + i * 60, day) for day in range(batches) for i in range(20)]
+    df = session_rows(spark, rows)
+    path, out, state = (scratch_path(spark, n) for n in ("open-input", "open-output", "open-state"))
+    write_parts(df, "part", batches, path)
+    with state_store(spark):
+        query = (
+            stream_sessions(stream(spark, df.drop("part"), path), delay="1 minute")
+            .writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert kept <= 100 and spark.read.parquet(out).where("status = 'expired'").count() == 20 * (batches - 1)
 
 
 @pytest.mark.parametrize("per_batch", [1, 10])
