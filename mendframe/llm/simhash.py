@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendframe.llm.common import hash_unit
+from mendframe.operators.sizing import small_side
 from mendframe.session import materialise
 
 BITS = 64
@@ -44,6 +45,8 @@ ORDER_SHARE, ORDER_TOKENS = 16, 1 << 20
 PARITY_LONGS = 8
 #: Rows of a bucket that are ranked together, and ranks whose turn comes in the first round.
 RANKED_ROWS, FIRST_RANKS = 1024, 1
+#: Tokens of a prefix by which copies are looked for first.
+FIRST_TOKENS = 4
 PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]
 #: The token of texts without words.
 WORDLESS = -1
@@ -287,15 +290,18 @@ def prefixes(texts: DataFrame, width: int, similar: float) -> DataFrame:
     return materialise(texts.select("node", "text").mapInArrow(run, schema), "near-prefixes")
 
 
-def bucket_members(marks: DataFrame) -> DataFrame:
-    """``token, node, size, at, rank`` and parities of the texts that share a token of their prefix with others.
+def bucket_members(marks: DataFrame, roots: DataFrame, first: int | None = None) -> DataFrame:
+    """``token, node, size, at, rank, root`` and parities of the texts that share a token of their prefix
+    (of its ``first`` tokens) with a text of another root.
 
     Ranks go from 0 in each bucket, texts with the fewest prefix tokens of their own first: the one
     that others were copied from has few. A large bucket is ranked in parts, whose ranks interleave.
     """
-    rows = marks.select("node", "size", F.posexplode("tokens").alias("at", "token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(rows.join(shared, "token"), "near-shared")
+    known = marks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tokens = F.slice("tokens", 1, first) if first else F.col("tokens")
+    rows = known.select("node", "root", "size", F.posexplode(tokens).alias("at", "token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    members = materialise(rows.join(small_side(shared.select("token", "n")), "token"), "near-shared")
     common = members.groupBy("node").agg(F.count("*").alias("common"))
     lone = marks.select("node", F.size("tokens").alias("length"), *PARITY).join(common, "node")
     members = members.join(lone.select("node", (F.col("length") - F.col("common")).alias("lone"), *PARITY), "node")
@@ -303,7 +309,7 @@ def bucket_members(marks: DataFrame) -> DataFrame:
     members = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), parts))
     order = Window.partitionBy("token", "part").orderBy("lone", "node")
     rank = (F.row_number().over(order) - 1) * F.col("parts") + F.col("part")
-    return members.withColumn("rank", rank).select("token", "node", "size", "at", "rank", *PARITY)
+    return materialise(members.withColumn("rank", rank).select("token", "node", "size", "at", "rank", "root", *PARITY), "near-members")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
@@ -325,47 +331,59 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float
                 keep.append(both / (len(sets[0]) + len(sets[1]) - both) >= similar)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # Only texts that are in a pair move.
+    ends = small_side(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    texts = texts.select("node", "text").join(ends, "node", "left_semi")
     for end, name in (("a", "x"), ("b", "y")):
         pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(name)), end)
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def joined_roots(members: DataFrame, start: int, end: int, texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """``a < b``: roots that a similar pair joins, of members of ranks from ``start`` to below ``end`` with members of higher ranks."""
+    hub = members.where((F.col("rank") >= start) & (F.col("rank") < end))
+    hub = hub.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("node", "size", "at", "rank", "root", *PARITY)])
+    # The most that the sets can share if this token is the first that they share.
+    most = F.least(F.col("size") - F.col("at"), F.col("hub_size") - F.col("hub_at"))
+    both = F.col("size") + F.col("hub_size")
+    # What is in one set alone is at least the number of parities that differ.
+    alone = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"hub_{p}"))) for p in PARITY)
+    possible = (most * (1 + similar) >= similar * both - 1e-6) & (alone * (1 + similar) <= (1 - similar) * both + 1e-6)
+    pairs = members.join(hub, "token").where((F.col("hub_rank") < F.col("rank")) & (F.col("hub_root") != F.col("root")) & possible)
+    ends = [f("node", "hub_node").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))]
+    of_end = [f("root", "hub_root").alias(n) for f, n in ((F.least, "root_a"), (F.greatest, "root_b"))]
+    pairs = materialise(pairs.select(*ends, *of_end).distinct(), "near-pairs")
+    near = similar_pairs(pairs.select("a", "b"), texts, width, similar)
+    joined = pairs.join(near, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    return materialise(joined.distinct(), "near-joined")
+
+
 def near_groups(texts: DataFrame, width: int, similar: float) -> DataFrame:
     """``node, root`` of the texts (``node, text``; nodes are longs) that are joined to a smaller one.
 
     Groups are the connected components over all pairs of that similarity. A pair of that similarity
-    shares a prefix token, so it lies in a bucket. In every round the members of next ranks are
-    compared with all members of higher rank that are not in one group with them yet; a bucket
-    is done when its members are one group or all its ranks have had their turn. So a pair is left
-    out only if it is joined already or its sets are too unlike in size or order to be similar.
+    shares a prefix token, so it lies in a bucket. The first few tokens of the prefixes join most copies
+    to one of their group; then all tokens are looked at whose texts are not of one group yet. In every
+    round the members of next ranks are compared with all members of higher rank that are not in one
+    group with them; a bucket is done when its members are one group or all its ranks have had
+    their turn. So a pair is left out only if it is joined already or its sets are too unlike in size,
+    order or parity to be similar.
     """
     spark = texts.sparkSession
-    members = materialise(bucket_members(prefixes(texts, width, similar)).withColumn("root", F.col("node")), "near-members")
-    roots = spark.createDataFrame([], "node long, root long")
+    marks = prefixes(texts, width, similar)
+    none = spark.createDataFrame([], "node long, root long")
+    roots = materialise(components(joined_roots(bucket_members(marks, none, FIRST_TOKENS), 0, 1, texts, width, similar)), "near-roots")
+    members = bucket_members(marks, roots)
     start, end = 0, FIRST_RANKS
     while members.head(1):
-        hub = members.where((F.col("rank") >= start) & (F.col("rank") < end))
-        hub = hub.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("node", "size", "at", "rank", "root", *PARITY)])
-        # The most that the sets can share if this token is the first that they share.
-        most = F.least(F.col("size") - F.col("at"), F.col("hub_size") - F.col("hub_at"))
-        both = F.col("size") + F.col("hub_size")
-        # What is in one set alone is at least the number of parities that differ.
-        alone = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"hub_{p}"))) for p in PARITY)
-        possible = (most * (1 + similar) >= similar * both - 1e-6) & (alone * (1 + similar) <= (1 - similar) * both + 1e-6)
-        pairs = members.join(hub, "token").where((F.col("hub_rank") < F.col("rank")) & (F.col("hub_root") != F.col("root")) & possible)
-        ends = [f("node", "hub_node").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))]
-        of_end = [f("root", "hub_root").alias(n) for f, n in ((F.least, "root_a"), (F.greatest, "root_b"))]
-        pairs = materialise(pairs.select(*ends, *of_end).distinct(), "near-pairs")
-        near = similar_pairs(pairs.select("a", "b"), texts, width, similar)
-        joined = pairs.join(near, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        moved = components(materialise(joined.distinct(), "near-joined"))
+        moved = components(joined_roots(members, start, end, texts, width, similar))
         up = moved.select(F.col("node").alias("root"), F.col("root").alias("up"))
         roots = roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")).union(moved)
         roots = materialise(roots, "near-roots")
         members = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ranks = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rank").alias("last"))
         open_buckets = ranks.where((F.col("lo") != F.col("hi")) & (F.col("last") > end)).select("token")
-        members = materialise(members.join(open_buckets, "token", "left_semi"), "near-members")
+        members = materialise(members.join(small_side(open_buckets), "token", "left_semi"), "near-members")
         start, end = end, end * 8
     return roots
 
