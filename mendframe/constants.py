@@ -192,3 +192,9 @@ REGRESSION_CAUSES = {
     ),
     "unknown": "Try a different approach or rollback this step.",
 }
+
+# Fixed value: the actions named in every observation.
+AVAILABLE_ACTIONS = (
+    "query_cleaner | query_augmenter | query_balancer | query_validator (cost 2) |"
+    " query_analyst (cost 2) | apply {rec_id} | rollback (undo last apply, max 3/episode)"
+)

@@ -135,6 +135,27 @@ def scan(
     )
 
 
+def as_of(
+    left: DataFrame, right: DataFrame, keys: list[str], order: str, values: list[str], rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Every left row with ``values`` of the last right row of its key that does not come after it.
+
+    Nulls where there is none. Both tables are cut together into ranges along the order, and the last
+    value is carried over the ranges, so neither a hot key nor a long gap gathers rows in one task.
+    Keys are not null; the right table has one row per key and place.
+    """
+    value = F.struct(*values)
+    mine, other = left.select(F.struct(*left.columns).alias("_left")), right.select(value.alias("_right"))
+    sides = [
+        left.select(F.struct(*left.columns).alias("_left"), *keys, order, F.lit(None).cast(other.schema["_right"].dataType).alias("_right"), F.lit(1).alias("_side")),
+        right.select(F.lit(None).cast(mine.schema["_left"].dataType).alias("_left"), *keys, order, value.alias("_right"), F.lit(0).alias("_side")),
+    ]
+    along = [order, "_side"]
+    ranged = range_chunks(sides[0].unionByName(sides[1]), [*keys, *along], rows, "_range")
+    found = scan(ranged, keys, along, F.col("_range"), _seen=Running("last", F.col("_right")))
+    return found.where("_side = 1").select("_left.*", *[F.col("_seen")[v].alias(v) for v in values])
+
+
 def _local_runs(rows: DataFrame, name: str, value: Column, local) -> DataFrame:
     """Index of each non-null value within its chunk, and the index where its run begins."""
     so_far = local.rowsBetween(Window.unboundedPreceding, 0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mendframe import constants as K
 from mendframe.functions import scalar as S
 from mendframe.operators.replay import EFFECTIVE, replay
-from mendframe.operators.scan import Running, count, scan, step_chunk, top_rows
+from mendframe.operators.scan import Running, as_of, count, scan, step_chunk, top_rows
 
 SESSION = ["session_id"]
 ORDER = ["step"]
@@ -25,20 +25,6 @@ def is_query(action: Column | str = "action") -> Column:
     return S._col(action).isin(K.QUERY_ACTIONS)
 
 
-def action_cost(action: Column | str = "action") -> Column:
-    """Budget a step takes: queries by agent, rollback 1, apply 0."""
-    c = S._col(action)
-    cost = F.when(c == "rollback", 1)
-    for name, price in K.QUERY_COSTS.items():
-        cost = cost.when(c == name, price)
-    return cost.otherwise(0)
-
-
-def step_type(action: Column | str = "action") -> Column:
-    c = S._col(action)
-    return F.when(is_query(c), "query").otherwise(c)
-
-
 # Validation of incoming rows.
 
 
@@ -315,48 +301,96 @@ def next_action(ledger: DataFrame, recs: DataFrame) -> DataFrame:
     )
 
 
-def observations(ledger: DataFrame, recs: DataFrame, meta: DataFrame | None = None) -> DataFrame:
-    """One nested row per session: accuracy, gap, budget, benchmarks, statistics, last five
-    steps and the best pending recommendation. The full pending list is ``pending_recs``."""
+#: What an evaluation tells an observation.
+EVALUATED = ["majority_class_baseline", "n_train_rows", "n_holdout_rows", "n_cols", "top_positive", "top_negative"]
+_FEATURES = "array<struct<feature:string,coef:double>>"
+_EVALUATED_TYPES = dict(zip(EVALUATED, ["double", "bigint", "bigint", "bigint", _FEATURES, _FEATURES], strict=True))
+#: What is told of a pending recommendation besides its id.
+DESCRIBED = {"agent": "string", "type": "string", "priority": "int", "reason": "string", "domain_informed": "boolean"}
+
+
+def pending_lists(audited: DataFrame, recs: DataFrame) -> DataFrame:
+    """Per session a map from the id of each pending recommendation to what is told of it, best first.
+
+    A session hands out within its budget, so the map is short. Columns that ``recs`` lacks are null.
+    """
+    told = F.struct(*[(F.col(c) if c in recs.columns else F.lit(None)).cast(t).alias(c) for c, t in DESCRIBED.items()])
+    once = pending_recs(audited, recs).groupBy(*REC).agg(F.min(F.struct("priority", told.alias("told"))).alias("_p"))
+    entry = F.struct(F.col("_p.priority").alias("priority"), "rec_id", F.col("_p.told").alias("told"))
+    listed = once.groupBy(*SESSION).agg(F.array_sort(F.collect_list(entry)).alias("_l"))
+    pairs = F.transform("_l", lambda x: F.struct(x["rec_id"], x["told"]))
+    return listed.select(*SESSION, F.map_from_entries(pairs).alias("pending_recommendations"))
+
+
+def query_results(audited: DataFrame, recs: DataFrame) -> DataFrame:
+    """``session_id, step, last_query_result`` of every executed query: its agent and what it recommended."""
+    listed = recs.groupBy("session_id", "step").agg(F.array_sort(F.collect_list(F.struct("priority", "rec_id"))).alias("_l"))
+    asked = audited.filter(executed(is_query())).select("session_id", "step", "action")
+    ids = F.coalesce(F.transform("_l", lambda x: x["rec_id"]), F.array().cast("array<string>"))
+    result = F.struct(F.substring("action", 7, 20).alias("agent"), F.size(ids).alias("n_recs"), ids.alias("rec_ids"))
+    return asked.join(listed, ["session_id", "step"], "left").select("session_id", "step", result.alias("last_query_result"))
+
+
+def observations(
+    ledger: DataFrame,
+    recs: DataFrame,
+    meta: DataFrame | None = None,
+    evaluations: DataFrame | None = None,
+    trace_steps: int = K.RECENT_STEPS,
+) -> DataFrame:
+    """One nested row per session: all that an agent sees of it after its last step.
+
+    ``meta`` has one row per session from the dataset catalogue (``with_metadata``); ``evaluations`` has
+    ``session_id, step`` and the columns ``EVALUATED``. The last evaluation and the last query result
+    up to the session's last step are found by as-of joins; what has none is null.
+    """
     trace = (
-        recent_trace(effective(ledger))
+        recent_trace(effective(ledger), trace_steps)
         .groupBy(*SESSION)
-        .agg(
-            F.array_sort(F.collect_list(F.struct("step", "action", "rec_id", "accuracy_after"))).alias(
-                "episode_trace"
-            )
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("step", "action", "rec_id", "outcome", "rule", "accuracy_after"))).alias("episode_trace"))
     )
     start = ledger.groupBy(*SESSION).agg(F.min_by("accuracy_before", "step").alias("starting_accuracy"))
-    current, target = F.col("accuracy_after"), F.col("target_accuracy")
-    joined = (
-        session_state(ledger)
-        .join(start, SESSION)
-        .join(trace, SESSION, "left")
-        .join(best_pending(ledger, recs), SESSION, "left")
-    )
-    extra = []
+    seen = session_state(ledger).withColumnRenamed("last_step", "step")
+    seen = as_of(seen, query_results(ledger, recs), SESSION, "step", ["last_query_result"])
+    if evaluations is None:
+        seen = seen.withColumns({c: F.lit(None).cast(t) for c, t in _EVALUATED_TYPES.items()})
+    else:
+        seen = as_of(seen, evaluations, SESSION, "step", EVALUATED)
+    joined = seen.join(start, SESSION).join(trace, SESSION, "left").join(pending_lists(ledger, recs), SESSION, "left")
+    about = ["name", "domain", "description", "known_issues", "published_baseline", "difficulty"]
     if meta is not None:
-        joined = joined.join(meta, SESSION, "left")
-        extra = [c for c in meta.columns if c not in SESSION]
+        joined = joined.join(meta.select("session_id", F.col("display_name").alias("name"), *about[1:]), SESSION, "left")
+    else:
+        types = ["string", "string", "string", "array<string>", "double", "string"]
+        joined = joined.withColumns({c: F.lit(None).cast(t) for c, t in zip(about, types, strict=True)})
+    current, target = F.col("accuracy_after"), F.col("target_accuracy")
     return joined.select(
         "session_id",
-        *extra,
+        F.struct(*about[:5]).alias("dataset"),
         S.round_even(current, 4).alias("current_accuracy"),
         target.alias("target_accuracy"),
         S.round_even(S.accuracy_gap(current, target), 4).alias("accuracy_gap"),
         "budget_remaining",
+        "difficulty",
         F.struct(
+            "majority_class_baseline",
             S.round_even("starting_accuracy", 4).alias("starting_accuracy"),
             S.round_even(current - F.col("starting_accuracy"), 4).alias("improvement_over_start"),
+            S.round_even(current - F.col("majority_class_baseline"), 4).alias("improvement_over_baseline"),
+            "published_baseline",
         ).alias("benchmarks"),
         F.struct(
+            "n_train_rows",
+            "n_holdout_rows",
+            "n_cols",
             S.round_even("missing_after", 4).alias("missing_pct"),
             S.round_even("balance_after", 4).alias("balance_ratio"),
         ).alias("dataset_stats"),
+        F.struct("top_positive", "top_negative").alias("feature_importance"),
         "episode_trace",
-        F.coalesce("n_pending", F.lit(0).cast("bigint")).alias("n_pending"),
-        F.col("rec_id").alias("best_rec_id"),
+        "pending_recommendations",
+        "last_query_result",
+        F.lit(K.AVAILABLE_ACTIONS).alias("available_actions"),
     )
 
 

@@ -12,6 +12,7 @@ from mendframe.functions import scalar as S
 from mendframe.operators import evaluate as E
 from mendframe.operators import sampling
 from mendframe.operators import steps as L
+from mendframe.operators.scan import as_of
 from mendframe.plans.auto_repair import auto_repair
 from mendframe.plans.inputs import (
     DIRTY_EVENTS,
@@ -38,6 +39,7 @@ from mendframe.plans.step_log import (
     issued_recs,
     scored_steps,
     audited,
+    stored_log,
 )
 from mendframe.session import materialise, scratch_path
 from mendframe.sources import event_log, samples, tables
@@ -344,98 +346,163 @@ def training_samples(spark, sf):
 
 def _json(**fields):
     """A JSON object as SQL text; values are SQL expressions of JSON text."""
-    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields.items()) + " || '}'"
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || coalesce(CAST({v} AS VARCHAR), 'null')" for k, v in fields.items()) + " || '}'"
 
 
 def _text(value):
     return f"'\"' || {value} || '\"'"
 
 
-_ISSUES_JSON = "CASE dataset " + " ".join(
-    f"WHEN '{n}' THEN {_quoted(json.dumps(e['known_issues'][:2], ensure_ascii=False, separators=(',', ':')))}"
-    for n, e in CATALOGUE.items()
+def _issues_json(shown=None):
+    return "CASE dataset " + " ".join(
+        f"WHEN '{n}' THEN {_quoted(json.dumps(e['known_issues'][:shown], ensure_ascii=False, separators=(',', ':')))}"
+        for n, e in CATALOGUE.items()
+    ) + " END"
+
+
+# Evaluations on record: one at every seventh event of a session.
+_EVALUATED = {
+    "majority_class_baseline": "CAST(500 + event_id % 100 AS DOUBLE) / 1000",
+    "n_train_rows": "CAST(100000 - event_id % 1000 AS BIGINT)",
+    "n_holdout_rows": "CAST(event_id % 500 AS BIGINT)",
+    "n_cols": "CAST(event_id % 50 AS BIGINT)",
+}
+_FEATURE = "CAST(event_id % {m} AS STRING)"
+_COEF = "CAST({sign} * (event_id % {m} + 1) AS DOUBLE) / 100"
+_TOPS = {"top_positive": ("", [(9, 97), (7, 89), (5, 83)]), "top_negative": ("-", [(11, 79)])}
+_EVALS_SQL = "evals AS (SELECT session_id, step, " + ", ".join(f"{v} AS {n}" for n, v in _EVALUATED.items()) + ", " + ", ".join(
+    "'[' || " + " || ',' || ".join(
+        _json(feature=_text(f"'f' || {_FEATURE.format(m=a).replace('STRING', 'VARCHAR')}"), coef=_COEF.format(sign=sign + "1", m=b)) for a, b in tops
+    ) + f" || ']' AS {name}, " + _json(feature=_text(f"'f' || {_FEATURE.format(m=tops[0][0]).replace('STRING', 'VARCHAR')}"), coef=_COEF.format(sign=sign + "1", m=tops[0][1]))
+    + f" AS {name}_1" + (
+        ", " + _json(feature=_text(f"'f' || {_FEATURE.format(m=tops[1][0]).replace('STRING', 'VARCHAR')}"), coef=_COEF.format(sign=sign + "1", m=tops[1][1])) + f" AS {name}_2" if len(tops) > 1 else ""
+    )
+    for name, (sign, tops) in _TOPS.items()
+) + " FROM log WHERE event_id % 7 = 0)"
+_TYPE = "CASE priority WHEN 1 THEN 'fill' WHEN 2 THEN 'clip' ELSE 'drop' END"
+_REASON = "repeat(concat(agent, ' recommends ', rec_id, '; '), 8)"
+
+
+def evaluations(steps):
+    """What an evaluation after every seventh event of a session told."""
+    tops = {
+        name: F.array(*[F.struct(F.expr(f"concat('f', {_FEATURE.format(m=a)})").alias("feature"), F.expr(_COEF.format(sign=sign + "1", m=b)).alias("coef")) for a, b in found])
+        for name, (sign, found) in _TOPS.items()
+    }
+    return steps.where("event_id % 7 = 0").select(
+        "session_id", "step", *[F.expr(v).alias(n) for n, v in _EVALUATED.items()], *[c.alias(n) for n, c in tops.items()]
+    )
+
+
+def _described(recs):
+    return recs.withColumns({"type": F.expr(_TYPE), "reason": F.expr(_REASON), "domain_informed": F.col("priority") % 2 == 0})
+
+
+def _seen(spark, sf):
+    """The full observation of every session."""
+    steps = audited(spark, sf)
+    sessions = steps.select("session_id").distinct().withColumn("dataset", F.expr(_DATASET))
+    meta = with_metadata(sessions)
+    return L.observations(steps, _described(issued_recs(steps)), meta, evaluations(steps))
+
+
+_LEVEL = "CASE " + " ".join(
+    f"WHEN dataset IN ({', '.join(repr(n) for n in names)}) THEN '{level}'" for level, names in DIFFICULTY_DATASETS.items()
 ) + " END"
+_BENCHMARKS = _json(
+    majority_class_baseline="majority_class_baseline",
+    starting_accuracy="round_even(start, 4)",
+    improvement_over_start="round_even(accuracy - start, 4)",
+    improvement_over_baseline="round_even(accuracy - majority_class_baseline, 4)",
+    published_baseline=f"{_meta_sql('published_baseline')}::DOUBLE",
+)
+_STATS = _json(
+    n_train_rows="n_train_rows", n_holdout_rows="n_holdout_rows", n_cols="n_cols",
+    missing_pct="round_even(missing, 4)", balance_ratio="round_even(balance, 4)",
+)
+
+
+def _pending_json(reason, *more):
+    told = dict(agent=_text("agent"), type=_text(_TYPE), **dict(more), reason=_text(reason), domain_informed="priority % 2 = 0")
+    return f"'{{' || string_agg({_text('rec_id')} || ':' || {_json(**told)}, ',' ORDER BY priority, rec_id) || '}}'"
+
+
+def _trace_json(shown):
+    told = _json(step="step", action=_text("action"), rec_id=_text("rec_id"), outcome=_text("outcome"), rule=_text("rule"), accuracy_after="accuracy_after")
+    return f"""(SELECT session_id, '[' || string_agg({told}, ',' ORDER BY step) || ']' AS trace FROM (SELECT *, row_number() OVER
+      (PARTITION BY session_id ORDER BY step DESC) AS r FROM audit WHERE outcome IN ('executed', 'blocked', 'undone')) WHERE r <= {shown} GROUP BY session_id)"""
+
+
+_ASKED_JSON = _json(agent=_text("substr(action, 7, 20)"), n_recs="n_recs", rec_ids="ids")
+_SEEN_SQL = f"""{LOG_SQL}, {_AUDIT_SQL}, {_STATE_SQL}, {_EVALS_SQL},
+    listed AS (SELECT session_id, {_pending_json("substr(" + _REASON + ", 1, 120)")} AS short, {_pending_json(_REASON, ("priority", "priority"))} AS listed FROM pending GROUP BY session_id),
+    given AS (SELECT session_id, step, '[' || string_agg({_text('rec_id')}, ',' ORDER BY priority, rec_id) || ']' AS ids FROM recs GROUP BY ALL),
+    asked AS (SELECT a.session_id, a.step, {_ASKED_JSON} AS asked FROM (SELECT session_id, step, action, n_recs, coalesce(ids, '[]') AS ids
+      FROM audit LEFT JOIN given USING (session_id, step) WHERE outcome = 'executed' AND action LIKE 'query%') a),
+    ends AS (SELECT session_id, max(step) AS step FROM audit GROUP BY session_id),
+    seen AS (SELECT s.*, e.* EXCLUDE (session_id, step), q.asked, {_DATASET.replace("session_id", "s.session_id")} AS dataset, short, listed, t.trace, u.trace AS trace3
+      FROM state s JOIN ends n USING (session_id) ASOF LEFT JOIN evals e ON e.session_id = n.session_id AND n.step >= e.step
+      ASOF LEFT JOIN asked q ON q.session_id = n.session_id AND n.step >= q.step LEFT JOIN listed l ON l.session_id = n.session_id
+      LEFT JOIN {_trace_json(5)} t ON t.session_id = n.session_id LEFT JOIN {_trace_json(samples.TRACE_SHOWN)} u ON u.session_id = n.session_id)"""
+_NESTED = ("dataset", "benchmarks", "dataset_stats", "feature_importance", "episode_trace", "pending_recommendations", "last_query_result")
+
+
+@query(
+    "observations",
+    f"""WITH RECURSIVE {_SEEN_SQL} SELECT session_id, {_json(
+        name=_text(_meta_sql("display_name")), domain=_text(_meta_sql("domain")), description=_text(_meta_sql("description")),
+        known_issues=_issues_json(), published_baseline=f"{_meta_sql('published_baseline')}::DOUBLE")} AS dataset,
+      round_even(accuracy, 4) AS current_accuracy, 0.9::DOUBLE AS target_accuracy, round_even(greatest(0, 0.9::DOUBLE - accuracy), 4) AS accuracy_gap,
+      budget_remaining, {_LEVEL} AS difficulty, {_BENCHMARKS} AS benchmarks, {_STATS} AS dataset_stats,
+      {_json(top_positive="top_positive", top_negative="top_negative")} AS feature_importance, trace AS episode_trace,
+      listed AS pending_recommendations, asked AS last_query_result, '{K.AVAILABLE_ACTIONS}' AS available_actions FROM seen""",
+)
+def observations(spark, sf):
+    found = _seen(spark, sf)
+    return found.withColumns({c: F.to_json(c, {"ignoreNullFields": "false"}) for c in _NESTED})
+
+
+@query(
+    "evaluations_as_of",
+    f"""WITH {LOG_SQL}, {_EVALS_SQL} SELECT l.session_id, l.step, e.n_train_rows, e.majority_class_baseline
+    FROM log l ASOF LEFT JOIN evals e ON e.session_id = l.session_id AND l.step >= e.step""",
+)
+def evaluations_as_of(spark, sf):
+    """Every step with the evaluation that was the latest then."""
+    steps = stored_log(spark, sf)
+    return as_of(steps.select("session_id", "step"), evaluations(steps), ["session_id"], "step", ["n_train_rows", "majority_class_baseline"])
+
+
 _SHOWN = _json(
     dataset=_text(_meta_sql("display_name")),
     domain=_text(_meta_sql("domain")),
-    known_issues=_ISSUES_JSON,
+    known_issues=_issues_json(samples.ISSUES_SHOWN),
     current_accuracy="round_even(accuracy, 4)",
     target_accuracy="0.9",
     accuracy_gap="round_even(greatest(0, 0.9::DOUBLE - accuracy), 4)",
-    benchmarks=_json(
-        starting_accuracy="round_even(start, 4)",
-        improvement_over_start="round_even(accuracy - start, 4)",
-        published_baseline=f"{_meta_sql('published_baseline')}::DOUBLE",
-    ),
+    benchmarks=_BENCHMARKS,
     budget_remaining="budget_remaining",
-    dataset_stats=_json(missing_pct="round_even(missing, 4)", balance_ratio="round_even(balance, 4)"),
-    pending_recommendations="'[' || coalesce(listed, '') || ']'",
-    episode_trace="'[' || coalesce(trace, '') || ']'",
-    available_actions=_text(f"'{samples.AVAILABLE_ACTIONS}'"),
+    dataset_stats=_STATS,
+    pending_recommendations="coalesce(short, '{}')",
+    episode_trace="trace3",
+    feature_importance="'[' || top_positive_1 || ',' || top_positive_2 || ']'",
+    available_actions=_text(f"'{K.AVAILABLE_ACTIONS}'"),
 )
-_REASON = "repeat(concat(agent, ' recommends ', rec_id, '; '), 8)"
-_PROMPTS_SQL = f"""WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}, {_STATE_SQL},
-    listed AS (SELECT session_id, string_agg({_json(rec_id=_text('rec_id'), agent=_text('agent'), reason=_text(f'substr({_REASON}, 1, 120)'))},
-      ',' ORDER BY priority, rec_id) AS listed FROM pending GROUP BY session_id),
-    told AS (SELECT session_id, string_agg({_json(step='step', action=_text('action'), outcome=_text('outcome'))}, ',' ORDER BY step)
-      AS trace FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step DESC) AS r FROM audit
-      WHERE outcome IN ('executed', 'blocked', 'undone')) WHERE r <= {samples.TRACE_SHOWN} GROUP BY session_id),
-    shown AS (SELECT session_id, difficulty, {_SHOWN} AS obs FROM (SELECT *, {_DATASET} AS dataset, CASE
-      {" ".join(f"WHEN {_DATASET} IN ({', '.join(repr(n) for n in names)}) THEN '{level}'" for level, names in DIFFICULTY_DATASETS.items())}
-      END AS difficulty FROM state) LEFT JOIN listed USING (session_id) LEFT JOIN told USING (session_id)),
+_PROMPTS_SQL = f"""WITH RECURSIVE {_SEEN_SQL}, shown AS (SELECT session_id, {_LEVEL} AS difficulty, {_SHOWN} AS obs FROM seen),
     prompts AS (SELECT *, '<|system|>' || chr(10) || '{samples.SYSTEM_TEXT}' || chr(10) || '<|user|>' || chr(10)
       || 'Current environment state:' || chr(10) || obs || chr(10) || '<|assistant|>' || chr(10) AS prompt FROM shown)"""
 
 
-def _prompt_state(spark, sf):
-    """One row per session with the fields a prompt shows."""
-    steps = audited(spark, sf)
-    recs = issued_recs(steps)
-    seen = L.observations(steps, recs)
-    listed = (
-        L.pending_recs(steps, recs)
-        .withColumn("reason", samples.compact_reason(F.expr(_REASON)))
-        .groupBy("session_id")
-        .agg(F.array_sort(F.collect_list(F.struct("priority", "rec_id", "agent", "reason"))).alias("l"))
-        .select("session_id", F.transform("l", lambda r: F.struct(r["rec_id"].alias("rec_id"), r["agent"].alias("agent"), r["reason"].alias("reason"))).alias("pending"))
-    )
-    trace = (
-        L.recent_trace(L.effective(steps), samples.TRACE_SHOWN)
-        .groupBy("session_id")
-        .agg(F.array_sort(F.collect_list(F.struct("step", "action", "outcome"))).alias("told"))
-    )
-    joined = seen.join(listed, "session_id", "left").join(trace, "session_id", "left")
-    known = with_metadata(joined.drop("target_accuracy").withColumn("dataset", F.expr(_DATASET)))
-    return known.select(
-        "session_id",
-        "difficulty",
-        F.col("display_name").alias("dataset"),
-        "domain",
-        samples.first_issues("known_issues").alias("known_issues"),
-        "current_accuracy",
-        F.lit(0.9).alias("target_accuracy"),
-        "accuracy_gap",
-        F.struct(
-            "benchmarks.starting_accuracy", "benchmarks.improvement_over_start", "published_baseline"
-        ).alias("benchmarks"),
-        "budget_remaining",
-        "dataset_stats",
-        F.coalesce("pending", F.array().cast("array<struct<rec_id:string,agent:string,reason:string>>")).alias("pending_recommendations"),
-        F.coalesce("told", F.array().cast("array<struct<step:bigint,action:string,outcome:string>>")).alias("episode_trace"),
-        F.lit(samples.AVAILABLE_ACTIONS).alias("available_actions"),
-    )
-
-
 @query("prompt_json", f"{_PROMPTS_SQL} SELECT session_id, prompt FROM prompts")
 def prompt_json(spark, sf):
-    state = _prompt_state(spark, sf)
+    state = samples.prompt_state(_seen(spark, sf))
     shown = F.struct(*[c for c in state.columns if c not in ("session_id", "difficulty")])
     return state.select("session_id", samples.prompt_text(shown).alias("prompt"))
 
 
 @query("prompt_dataset", f"{_PROMPTS_SQL} SELECT prompt, difficulty, obs AS initial_obs FROM prompts")
 def prompt_dataset(spark, sf):
-    state = _prompt_state(spark, sf)
+    state = samples.prompt_state(_seen(spark, sf))
     return samples.prompt_dataset(state, [c for c in state.columns if c not in ("session_id", "difficulty")])
 
 

@@ -419,29 +419,6 @@ def next_action_early(spark, sf):
     return L.next_action(steps, issued_recs(steps))
 
 
-@query(
-    "observations",
-    f"""WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}, {_STATE_SQL}, tail AS (SELECT session_id,
-      string_agg(action, '>' ORDER BY step) AS trace FROM (SELECT *, row_number() OVER (PARTITION BY
-      session_id ORDER BY step DESC) AS r FROM audit WHERE outcome IN ('executed', 'blocked', 'undone'))
-      WHERE r <= 5 GROUP BY session_id)
-    SELECT session_id, round_even(accuracy, 4) AS current_accuracy, {TARGET}::DOUBLE AS target_accuracy,
-      round_even(greatest(0, {TARGET}::DOUBLE - accuracy), 4) AS accuracy_gap, budget_remaining,
-      round_even(start, 4) AS starting_accuracy, round_even(accuracy - start, 4) AS improvement_over_start,
-      round_even(missing, 4) AS missing_pct, round_even(balance, 4) AS balance_ratio, trace,
-      coalesce(n_pending, 0) AS n_pending, rec_id AS best_rec_id
-    FROM state LEFT JOIN tail USING (session_id) LEFT JOIN best USING (session_id)""",
-)
-def observations(spark, sf):
-    steps = audited(spark, sf)
-    seen = L.observations(steps, issued_recs(steps))
-    return seen.select(
-        "session_id", "current_accuracy", "target_accuracy", "accuracy_gap", "budget_remaining",
-        "benchmarks.*", "dataset_stats.*",
-        F.array_join("episode_trace.action", ">").alias("trace"), "n_pending", "best_rec_id",
-    )
-
-
 @query(
     "rollback_state",
     f"""WITH RECURSIVE {LOG_SQL}, n AS (SELECT session_id, step, action, count(*) FILTER (action = 'apply')
