@@ -1,141 +1,138 @@
 """Exact quantiles with linear interpolation, at any size and by one path.
 
-The first scan counts values per sixty-fourth of an octave; the counts combine in each task, so
-neither a hot value nor the number of rows matters, and they tell which bucket holds each wanted
-rank. While such a bucket holds more than ``FINAL_ROWS`` different places, one more scan counts
-its sub-buckets. The last scan collects the values of the buckets that are left, by value.
+The first scan summarises every column by a mergeable quantile sketch (Spark's ``percentile_approx``, whose
+ranks are off by ``n / ACCURACY`` at most) and so brackets every wanted rank of all columns. The second
+counts the values below each bracket and collects those inside by value: a few in ten thousand. Only
+if a bracket still holds too many, of some hundred million rows, it is narrowed by the same sketch
+before. All of it combines in each task, so neither a hot value nor the number of rows matters.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STEPS_PER_OCTAVE = 64
-SUB_BUCKETS = 65_536
+#: The sketch's ranks are off by one in so many at most; columns of fewer rows need none.
+ACCURACY = 10_000
+#: How far a bracket reaches to either side of its ranks, in units of that error.
+REACH = 4
+#: Different values of a bracket that may be collected.
 FINAL_ROWS = 200_000
 RANK_BUCKETS = 4_096
 
 
+@dataclass(frozen=True)
+class Bracket:
+    """Bounds of the values at the ranks ``first`` and ``last`` of a column, and how many rows may lie between."""
+
+    column: int
+    first: int
+    last: int
+    low: float
+    high: float
+    rows: int
+
+
 def fit_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], final_rows: int = FINAL_ROWS
 ) -> dict[str, list[float | None]]:
     """Exact quantiles per column, nulls ignored; None for a column without values."""
     if not columns:
         return {}
-    values = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("ci"), (F.col(c).cast("double") + F.lit(0.0)).alias("v"))
-                    for i, c in enumerate(columns)
-                ]
-            )
-        )
-    ).filter(F.col("v").isNotNull())
-    # One row per wanted order statistic, as everywhere below: columns x quantiles x 2.
-    found = _first_buckets(values, probs).collect()
-    wanted = {(r["ci"], r["p"], r["end"]): r for r in found}
-    at = {k: (r["ci"], r["left"], r["lo"], r["hi"], r["n"]) for k, r in wanted.items()}
-    while wide := {b for b in at.values() if b[2] < b[3] and b[4] > final_rows}:
-        narrowed = _narrow(values, wide)
-        at = {k: narrowed.get(b, b) for k, b in at.items()}
-    last = _settle(values, {b for b in at.values() if b[2] < b[3]})
-    exact = {k: b[2] if b[2] == b[3] else last[b] for k, b in at.items()}
+    values = [F.col(c).cast("double") + F.lit(0.0) for c in columns]
+    reach = REACH / ACCURACY
+    asked = [min(1.0, max(0.0, p + side * reach)) for p in probs for side in (-1, 1)]
+    facts = [
+        f.alias(f"{name}_{i}")
+        for i, v in enumerate(values)
+        for name, f in (("n", F.count(v)), ("lo", F.min(v)), ("hi", F.max(v)), ("q", F.percentile_approx(v, asked, ACCURACY)))
+    ]
+    seen = df.agg(*facts).first()
+    brackets: dict[tuple[int, int], Bracket] = {}
+    for i in range(len(columns)):
+        n, least, most = (seen[f"{f}_{i}"] for f in ("n", "lo", "hi"))
+        for j, p in enumerate(probs if n else []):
+            low, high = seen[f"q_{i}"][2 * j : 2 * j + 2]
+            # Near the ends, and for few rows, the bracket is open on that side.
+            low = least if n < ACCURACY or p <= reach else low
+            high = most if n < ACCURACY or p >= 1 - reach else high
+            rows = n if n < ACCURACY else math.ceil(2 * (REACH + 1) / ACCURACY * n)
+            brackets[i, j] = Bracket(i, math.floor(p * (n - 1)), math.ceil(p * (n - 1)), low, high, rows)
+    while wide := {b for b in brackets.values() if b.rows > final_rows and b.low < b.high}:
+        narrowed = _narrow(df, values, sorted(wide, key=repr))
+        brackets = {k: narrowed.get(b, b) for k, b in brackets.items()}
+    ends = _settle(df, values, sorted(set(brackets.values()), key=repr))
     result: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
         result[c] = []
-        for j in range(len(probs)):
-            if (i, j, 0) not in wanted:
+        for j, p in enumerate(probs):
+            if (i, j) not in brackets:
                 result[c].append(None)
                 continue
-            part, low, high = wanted[i, j, 0]["part"], exact[i, j, 0], exact[i, j, 1]
+            part = p * (seen[f"n_{i}"] - 1)
+            part -= math.floor(part)
+            low, high = ends[brackets[i, j]]
             result[c].append(low if part == 0 else (1.0 - part) * low + part * high)
     return result
 
 
-def fit_medians(df: DataFrame, columns: list[str], **options) -> dict[str, float | None]:
-    return {c: q[0] for c, q in fit_quantiles(df, columns, [0.5], **options).items()}
+def _narrow(df: DataFrame, values: list[Column], brackets: list[Bracket]) -> dict[Bracket, Bracket]:
+    """Each bracket cut down around its ranks, by a sketch of the values strictly inside it."""
+    facts = []
+    for k, b in enumerate(brackets):
+        v = values[b.column]
+        inside = F.when((v > b.low) & (v < b.high), v)
+        # Ranks are asked for by eighths of a reach, so that two of them enclose any rank closely.
+        grid = [t / ACCURACY for t in range(0, ACCURACY + 1, REACH)]
+        facts += [F.count_if(v <= b.low).alias(f"below_{k}"), F.count(inside).alias(f"n_{k}")]
+        facts.append(F.percentile_approx(inside, grid, ACCURACY).alias(f"q_{k}"))
+    seen = df.agg(*facts).first()
+    out = {}
+    for k, b in enumerate(brackets):
+        below, n, grid = seen[f"below_{k}"], seen[f"n_{k}"], seen[f"q_{k}"]
+        first, last = b.first - below, b.last - below
+        if last < 0 or first >= n:
+            bound = b.low if last < 0 else b.high
+            out[b] = replace(b, low=bound, high=bound, rows=1)
+            continue
+        # Two steps of the grid are more than the sketch is off; a rank outside keeps the bound it lies on.
+        lower = math.floor(first / n * ACCURACY / REACH) - 2 if first >= 0 else -1
+        upper = math.ceil((last + 1) / n * ACCURACY / REACH) + 2 if last < n else len(grid)
+        low = grid[lower] if lower >= 0 else b.low
+        high = grid[upper] if upper < len(grid) else b.high
+        rows = min(n, math.ceil((upper - max(lower, 0) + 2) * REACH / ACCURACY * n))
+        # A bracket that does not shrink holds few different values.
+        out[b] = replace(b, low=low, high=high, rows=rows if (low, high) != (b.low, b.high) else 0)
+    return out
+
+
+def _settle(df: DataFrame, values: list[Column], brackets: list[Bracket]) -> dict[Bracket, tuple[float, float]]:
+    """The values at both ranks of each bracket, from the number below it and the values inside."""
+    if not brackets:
+        return {}
+    rows = [
+        F.struct(F.lit(k).alias("bid"), F.when(values[b.column] >= b.low, values[b.column]).alias("v"), (values[b.column] <= b.high).alias("held"))
+        for k, b in enumerate(brackets)
+    ]
+    counts = df.select(F.inline(F.array(*rows))).where("held").groupBy("bid", "v").agg(F.count(F.lit(1)).alias("n"))
+    found: dict[int, list] = {k: [] for k in range(len(brackets))}
+    for r in counts.collect():
+        found[r["bid"]].append((r["v"], r["n"]))
+    ends = {}
+    for k, b in enumerate(brackets):
+        passed, at = sum(n for v, n in found[k] if v is None), {}
+        for v, n in sorted((v, n) for v, n in found[k] if v is not None):
+            at |= {rank: v for rank in (b.first, b.last) if passed <= rank < passed + n}
+            passed += n
+        ends[b] = at[b.first], at[b.last]
+    return ends
 
 
-def _octave(v: Column) -> Column:
-    """Monotone bucket number of a double: sign and a 64th of an octave of the magnitude."""
-    size = F.floor(
-        F.least(F.log2(F.abs(v)), F.lit(1025.0)) * STEPS_PER_OCTAVE
-    ) + F.lit(1080 * STEPS_PER_OCTAVE)
-    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("bigint")
-
-
-def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-
-
-def _first_buckets(values: DataFrame, probs: list[float]) -> DataFrame:
-    """The bucket of the ranks below and above each quantile, and the rank within it."""
-    histogram = _counted(values.withColumn("b", _octave(F.col("v"))), ["ci", "b"])
-    whole, running = Window.partitionBy("ci"), Window.partitionBy("ci").orderBy("b")
-    sized = histogram.withColumns({"total": F.sum("n").over(whole), "upto": F.sum("n").over(running)})
-    position = F.col("prob") * (F.col("total") - 1)
-    asked = F.array(*[F.struct(F.lit(j).alias("p"), F.lit(float(q)).alias("prob")) for j, q in enumerate(probs)])
-    ends = F.array(
-        F.struct(F.lit(0).alias("end"), F.floor(position).alias("rank")),
-        F.struct(F.lit(1).alias("end"), F.ceil(position).alias("rank")),
-    )
-    return (
-        sized.select("*", F.inline(asked))
-        .withColumn("part", position - F.floor(position))
-        .select("*", F.inline(ends))
-        .filter((F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-        .withColumn("left", F.col("rank") - F.col("upto") + F.col("n"))
-    )
-
-
-Bucket = tuple[int, int, float, float, int]
-
-
-def _inside(values: DataFrame, buckets: set[Bucket]) -> tuple[DataFrame, DataFrame]:
-    """The values within the bounds of each bucket, and the ranks that are wanted of it."""
-    spark = values.sparkSession
-    number = {key: i for i, key in enumerate(sorted({(c, lo, hi) for c, _, lo, hi, _ in buckets}))}
-    bounds = spark.createDataFrame([(i, *key) for key, i in number.items()], "bid int, ci int, low double, high double")
-    ranks = spark.createDataFrame(
-        [(number[c, lo, hi], left) for c, left, lo, hi in sorted({b[:4] for b in buckets})], "bid int, left bigint"
-    )
-    held = values.join(F.broadcast(bounds), "ci").filter(F.col("v").between(F.col("low"), F.col("high")))
-    return held, F.broadcast(ranks)
-
-
-def _picked(histogram: DataFrame, ranks: DataFrame, order: str) -> list:
-    """The row of a histogram that holds each wanted rank, and the rank within it."""
-    running = Window.partitionBy("bid").orderBy(order)
-    hit = (F.col("upto") - F.col("n") <= F.col("left")) & (F.col("left") < F.col("upto"))
-    counted = histogram.withColumn("upto", F.sum("n").over(running)).join(ranks, "bid").filter(hit)
-    return counted.withColumn("inside", F.col("left") - F.col("upto") + F.col("n")).collect()
-
-
-def _narrow(values: DataFrame, buckets: set[Bucket]) -> dict[Bucket, Bucket]:
-    """Where each wide bucket's rank lies among equal parts of it."""
-    held, ranks = _inside(values, buckets)
-    # Halved operands keep the width finite even for bounds of opposite sign.
-    width = F.col("high") / 2 - F.col("low") / 2
-    share = F.coalesce(F.try_divide(F.col("v") / 2 - F.col("low") / 2, width), F.lit(0.0))
-    rows = held.withColumn("b", F.floor(share * SUB_BUCKETS).cast("bigint"))
-    found = _picked(_counted(rows, ["bid", "ci", "low", "high", "b"]), ranks, "b")
-    at = {(r["ci"], r["left"], r["low"], r["high"]): (r["ci"], r["inside"], r["lo"], r["hi"], r["n"]) for r in found}
-    # Bounds that no part can tell apart hold neighbouring doubles: they are settled by value.
-    return {b: at[b[:4]] if at[b[:4]][4] < b[4] else (*b[:4], 0) for b in buckets}
-
-
-def _settle(values: DataFrame, buckets: set[Bucket]) -> dict[Bucket, float]:
-    """The value at the rank of each bucket, from its values and their counts."""
-    if not buckets:
-        return {}
-    held, ranks = _inside(values, buckets)
-    found = _picked(_counted(held, ["bid", "ci", "low", "high", "v"]), ranks, "v")
-    at = {(r["ci"], r["left"], r["low"], r["high"]): r["v"] for r in found}
-    return {b: at[b[:4]] for b in buckets}
+def fit_medians(df: DataFrame, columns: list[str], **options) -> dict[str, float | None]:
+    return {c: q[0] for c, q in fit_quantiles(df, columns, [0.5], **options).items()}
 
 
 def fit_order_statistic(df: DataFrame, column: str, rank: int) -> int | None:

@@ -74,13 +74,20 @@ def drop_null_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def remove_duplicates(df: DataFrame, row_id: str = K.ROW_ID) -> DataFrame:
     """Keep one row per group of equal rows: the one with the smallest key, if there is a key.
 
-    Groups are found by digests of long columns, so whole texts are not shuffled to find them.
+    Groups are found by digests of text columns and combined before the one shuffle, so of a large
+    group each task sends one row; nothing is joined back.
     """
     data = S.data_columns(df)
     if row_id not in df.columns:
         return df.dropDuplicates(data)
-    firsts = df.groupBy(*row_key(df, data)).agg(F.min(row_id).alias("_first")).select("_first")
-    return df.join(firsts, df[row_id] == firsts["_first"], "left_semi").dropDuplicates([row_id])
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    keys = {c: f"k{i}" for i, c in enumerate(data)}
+    texts = [c for c in data if isinstance(kinds[c], T.StringType)]
+    rest = [c for c in df.columns if c not in keys and c != row_id]
+    first = df.groupBy(*row_key(df, data)).agg(
+        F.min(row_id).alias(row_id), *[F.any_value(c).alias(c) for c in texts], *[F.min_by(c, row_id).alias(c) for c in rest]
+    )
+    return first.select(*[F.col(keys[c]).alias(c) if c in keys and c not in texts else F.col(c) for c in df.columns])
 
 
 def clip_column(df: DataFrame, column: str, lower: float, upper: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,20 @@ def test_profile_does_not_depend_on_partitions(spark):
         for n in (1, 7, 200)
     ]
     assert rows[0] == rows[1] == rows[2]
+
+
+@pytest.mark.parametrize("final_rows", [200_000, 40])
+def test_quantiles_of_many_rows_are_exact(spark, final_rows):
+    """Enough rows for the sketch, with hot values on the wanted ranks, skew and both signs."""
+    rng = np.random.default_rng(4)
+    columns = {
+        "a": rng.normal(size=60_000) ** 3,
+        "b": np.where(rng.random(60_000) < 0.6, 1.5, rng.random(60_000)),
+        "c": rng.integers(-3, 4, 60_000).astype(float),
+        "d": np.concatenate([np.full(30_000, -1.0), rng.random(30_000)]),
+    }
+    df = spark.createDataFrame(pd.DataFrame(columns)).repartition(5)
+    probs = [0.0, 0.0001, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = fit_quantiles(df, list(columns), probs, final_rows=final_rows)
+    for name, values in columns.items():
+        assert got[name] == pytest.approx(list(np.quantile(values, probs)), rel=1e-12, abs=1e-12)
