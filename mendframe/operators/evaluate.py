@@ -28,6 +28,7 @@ class Evaluation:
     n_train: int
     n_holdout: int
     coefficients: dict[str, float] = field(default_factory=dict)
+    class_coefficients: dict[int, dict[str, float]] = field(default_factory=dict)
     reason: str | None = None
 
 
@@ -51,8 +52,9 @@ def evaluate(train: DataFrame, holdout: DataFrame, label: str = K.LABEL) -> Eval
     """Scale, fit on complete training rows, score on complete holdout rows.
 
     The model is logistic regression on features scaled by their population deviation, with
-    an L2 penalty of weight one on the summed loss and a free intercept. Errors of the fit
-    are raised.
+    an L2 penalty of weight one on the summed loss and a free intercept. With more than two classes it
+    is multinomial; the penalty makes the coefficients of a feature sum to zero over the classes, so
+    their mean says nothing and ``class_coefficients`` tells them apart. Errors of the fit are raised.
     """
     features = shared_features(train, holdout, label)
     if not features:
@@ -89,11 +91,10 @@ def evaluate(train: DataFrame, holdout: DataFrame, label: str = K.LABEL) -> Eval
     finally:
         rows.unpersist()
         tests.unpersist()
-    matrix = model.coefficientMatrix.toArray()
-    coefficients = (matrix[0] if matrix.shape[0] == 1 else matrix.mean(axis=0)) / stretch
-    return Evaluation(
-        accuracy, n_train, n_holdout, {c: float(w) for c, w in zip(features, coefficients)}
-    )
+    matrix = model.coefficientMatrix.toArray() / stretch
+    by_class = {k: dict(zip(features, row.tolist(), strict=True)) for k, row in enumerate(matrix)} if len(matrix) > 1 else {}
+    means = dict(zip(features, matrix.mean(axis=0).tolist(), strict=True))
+    return Evaluation(accuracy, n_train, n_holdout, means, by_class)
 
 
 def _vectors(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -136,18 +137,22 @@ def feature_importance(
 
     There is one coefficient per column, so a sorted list holds them.
     """
-    rounded = [(name, round(weight, 4)) for name, weight in coefficients.items()]
-    table = spark.createDataFrame(rounded, "feature string, coef double")
+    return class_importance(spark, {0: coefficients}, top).drop("class")
+
+
+def class_importance(
+    spark: SparkSession, class_coefficients: dict[int, dict[str, float]], top: int = K.TOP_FEATURES
+) -> DataFrame:
+    """The same for every class of a fit on more than two."""
+    rounded = [(k, name, round(weight, 4)) for k, found in class_coefficients.items() for name, weight in found.items()]
+    table = spark.createDataFrame(rounded, "class int, feature string, coef double")
     signed = table.filter(F.col("coef") != 0).withColumn(
         "sign", F.when(F.col("coef") > 0, "positive").otherwise("negative")
     )
-    ranked = signed.groupBy("sign").agg(
-        F.slice(
-            F.array_sort(F.collect_list(F.struct((-F.abs("coef")).alias("o"), "feature", "coef"))), 1, top
-        ).alias("l")
-    )
-    return ranked.select("sign", F.posexplode("l").alias("at", "f")).select(
-        "sign", (F.col("at") + 1).alias("rank"), "f.feature", "f.coef"
+    entry = F.struct((-F.abs("coef")).alias("o"), "feature", "coef")
+    ranked = signed.groupBy("class", "sign").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, top).alias("l"))
+    return ranked.select("class", "sign", F.posexplode("l").alias("at", "f")).select(
+        "class", "sign", (F.col("at") + 1).alias("rank"), "f.feature", "f.coef"
     )
 
 

@@ -146,6 +146,73 @@ def fit_coefficients(spark, sf):
     return found.withColumn("coef", F.round("coef", 2))
 
 
+# Three classes and six features, fitted by block Newton steps: one weight at a time, each from all rows.
+_SIX = {
+    "a": "CAST(k AS DOUBLE)", "b": "CAST(value_z AS DOUBLE)", **{
+        n: f"CAST(_row_id * {m} % {q} AS DOUBLE)" for n, m, q in (("c", 37, 101), ("d", 53, 97), ("e", 71, 89), ("f", 61, 79))
+    },
+}
+#: A feature of the holdout that the training table has lost.
+_LOST = "CAST(_row_id % 7 AS DOUBLE)"
+_NOISE = "CAST(_row_id * 29 % 83 AS DOUBLE) / 83 * 5"
+_SUM = "CAST(k AS DOUBLE) / 50 + CAST(value_z AS DOUBLE) / 60 + " + " + ".join(
+    f"({w}) * {_SIX[n]} / {q}" for n, w, q in (("c", "0.9", 101), ("d", "-0.7", 97), ("e", "0.5", 89), ("f", "0.6", 79))
+)
+_THREE = f"CASE WHEN {_SUM} + {_NOISE} > 5.6 THEN 2 WHEN {_SUM} + {_NOISE} > 3.7 THEN 1 ELSE 0 END"
+_WIDTH, _SWEEPS = len(_SIX) + 1, 40
+_THREE_SRC = f"{DIRTY_EVENTS_SQL}, src AS (SELECT _row_id, {', '.join(f'{v} AS {n}' for n, v in _SIX.items())}, {_THREE} AS label FROM dirty)"
+_XS = "[1.0::DOUBLE, " + ", ".join(f"(p.{n} - m{n}) / s{n}" for n in _SIX) + "]"
+_SCORE = "list_dot_product(xs, w[{a}:{b}])"
+_SCORES = ", ".join(f"{_SCORE.format(a=k * _WIDTH + 1, b=(k + 1) * _WIDTH)} AS t{k}" for k in range(3))
+_BLOCK_SQL = f"""WITH RECURSIVE {_THREE_SRC}, split AS ({_split_sql(_THREE_SRC, "src")}),
+    parts AS (SELECT src.*, holdout FROM src JOIN split USING (_row_id)),
+    st AS (SELECT {", ".join(f"avg({n}) AS m{n}, stddev_pop({n}) AS s{n}" for n in _SIX)} FROM parts WHERE NOT holdout),
+    z AS MATERIALIZED (SELECT {_XS} AS xs, label AS y, holdout FROM parts p, st),
+    newton AS (SELECT 0 AS i, list_transform(range({3 * _WIDTH}), lambda j: 0.0::DOUBLE) AS w UNION ALL
+      SELECT i + 1, list_transform(range({3 * _WIDTH}), lambda j: w[j + 1] - CASE WHEN j % {_WIDTH} = i % {_WIDTH} THEN ((j = i % {3 * _WIDTH})::INT - 1.0::DOUBLE / 3) * g / h ELSE 0 END) FROM
+      (SELECT i, w, sum((p - (y = c)::INT) * x) + ridge * w[i % {3 * _WIDTH} + 1] AS g, sum(p * (1 - p) * x * x) + ridge AS h FROM
+        (SELECT i, w, y, c, x, ridge, exp(CASE c WHEN 0 THEN t0 WHEN 1 THEN t1 ELSE t2 END - greatest(t0, t1, t2))
+          / (exp(t0 - greatest(t0, t1, t2)) + exp(t1 - greatest(t0, t1, t2)) + exp(t2 - greatest(t0, t1, t2))) AS p FROM
+          (SELECT i, w, y, i % {3 * _WIDTH} // {_WIDTH} AS c, xs[i % {_WIDTH} + 1] AS x, (i % {_WIDTH} > 0)::INT AS ridge, {_SCORES}
+            FROM newton, z WHERE i < {3 * _WIDTH * _SWEEPS} AND NOT holdout)) GROUP BY i, w, ridge)),
+    w AS (SELECT w FROM newton WHERE i = {3 * _WIDTH * _SWEEPS})"""
+
+
+def _three_classes(spark, sf):
+    """The training table has lost a feature that the holdout still has."""
+    df = dirty_events(spark, sf).select(
+        "_row_id", *[F.expr(v).alias(n) for n, v in _SIX.items()], F.expr(_LOST).alias("lost"), F.expr(_THREE).alias("label")
+    )
+    train, holdout = E.frozen_split(df)
+    return E.evaluate(train.drop("lost"), holdout), holdout
+
+
+@query(
+    "multiclass_fit",
+    f"""{_BLOCK_SQL}, h AS (SELECT y, CASE WHEN t0 >= t1 AND t0 >= t2 THEN 0 WHEN t1 >= t2 THEN 1 ELSE 2 END AS found
+      FROM (SELECT y, {_SCORES} FROM z, w WHERE holdout))
+    SELECT (SELECT count(*) FROM z WHERE NOT holdout) AS n_train, count(*) AS n_holdout,
+      round_even(avg((y = found)::INTEGER), 4) AS accuracy, NULL::VARCHAR AS reason,
+      (SELECT round_even(max(n)::DOUBLE / sum(n), 4) FROM (SELECT count(*) AS n FROM h GROUP BY y)) AS majority_baseline FROM h""",
+)
+def multiclass_fit(spark, sf):
+    result, holdout = _three_classes(spark, sf)
+    return E.evaluation_row(spark, result, holdout)
+
+
+@query(
+    "multiclass_coefficients",
+    f"""{_BLOCK_SQL}, c AS (SELECT j // {len(_SIX)} AS class, {list(_SIX)}[j % {len(_SIX)} + 1] AS feature,
+      w[j // {len(_SIX)} * {_WIDTH} + j % {len(_SIX)} + 2] AS coef FROM w, unnest(range({3 * len(_SIX)})) AS u(j))
+    SELECT class::INTEGER AS class, sign, rank, feature, round(coef, 2) AS coef FROM (SELECT *, CASE WHEN coef > 0 THEN 'positive' ELSE 'negative' END AS sign,
+      CAST(row_number() OVER (PARTITION BY class, coef > 0 ORDER BY abs(coef) DESC) AS INTEGER) AS rank FROM c) WHERE rank <= {K.TOP_FEATURES}""",
+)
+def multiclass_coefficients(spark, sf):
+    """The strongest features of every class: of five positive ones the fifth is cut off."""
+    result, _ = _three_classes(spark, sf)
+    return E.class_importance(spark, result.class_coefficients).withColumn("coef", F.round("coef", 2))
+
+
 # Tables of one origin that lost accuracy for different reasons: columns, label, rows at the start.
 _DROPS = {
     "grown": (["k"], "label", 0.5),

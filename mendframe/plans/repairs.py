@@ -431,6 +431,20 @@ def nearest(spark, sf):
     return nearest_neighbours(df, K.SMOTE_NEIGHBOURS)
 
 
+@query(
+    "shuffled",
+    f"""WITH {ORDERS_SQL} SELECT _row_id, price, row_number() OVER (ORDER BY {h('shuffle', '_row_id')}, _row_id) AS position FROM ords""",
+)
+def shuffled(spark, sf):
+    """Orders numbered in their repeatable random order, as an export would hold them."""
+    from mendframe.operators.ranking import ordered_index
+
+    # The numbers that the sorted rows get, partition after partition, rise along their order.
+    exported = sampling.shuffled(labelled_orders(spark, sf)).withColumn("_at", F.monotonically_increasing_id())
+    numbered = ordered_index(exported, ["_at"], "_place")
+    return numbered.select("_row_id", "price", (F.col("_place") + 1).alias("position"))
+
+
 # Golden rows and corruption.
 
 _GOLDEN = f"""gold AS (SELECT *, rk <= {K.GOLDEN_ROWS // 2} AND cls_n >= {K.GOLDEN_ROWS // 2} AS golden
