@@ -40,7 +40,7 @@ PAIR_ROWS = 32
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 #: Near-duplicate texts: one in so many texts tells which tokens are frequent, of which so many are kept.
-ORDER_SHARE, ORDER_TOKENS = 16, 1 << 20
+ORDER_SHARE, ORDER_TOKENS = 16, 1 << 18
 #: Longs of 64 bits that hold the parities of a token set.
 PARITY_LONGS = 8
 #: Rows of a bucket that are ranked together, and ranks whose turn comes in the first round.
@@ -231,7 +231,7 @@ def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
                 found = [token_set(t.as_py(), width) for t in batch.column("text").slice(start, 256)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["token"])
 
-    sample = texts.where(hash_unit("node") < 1 / ORDER_SHARE).select("text")
+    sample = texts.where(hash_unit("digest") < 1 / ORDER_SHARE).dropDuplicates(["digest"]).select("text")
     counts = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     counts = materialise(counts, "near-frequent")
     octave = F.floor(F.log2("n")).cast("int").alias("octave")
@@ -259,9 +259,10 @@ def parities(tokens: np.ndarray) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, width: int, similar: float) -> DataFrame:
-    """``node, size, tokens, parity``: the first tokens of every text in one common order, frequent ones last.
+    """``node, digest, size, tokens, parity`` of every different text of ``digest, text``.
 
-    There are as many that two sets of that similarity have one of them in common, whatever the order.
+    The tokens are the first ones of the text in one common order, frequent ones last. There are as many
+    that two sets of that similarity have one of them in common, whatever the order.
     """
     frequent, counts = frequent_tokens(texts, width)
 
@@ -282,12 +283,13 @@ def prefixes(texts: DataFrame, width: int, similar: float) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(found)))
                 words = np.stack(parity)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array(sizes, pa.int32()), lists, *[pa.array(w) for w in words.T.copy()]],
-                    ["node", "size", "tokens", *PARITY],
+                    [part.column("digest"), pa.array(sizes, pa.int32()), lists, *[pa.array(w) for w in words.T.copy()]],
+                    ["digest", "size", "tokens", *PARITY],
                 )
 
-    schema = "node long, size int, tokens array<long>, " + ", ".join(f"{p} long" for p in PARITY)
-    return materialise(texts.select("node", "text").mapInArrow(run, schema), "near-prefixes")
+    schema = "digest string, size int, tokens array<long>, " + ", ".join(f"{p} long" for p in PARITY)
+    marks = texts.select("digest", "text").mapInArrow(run, schema).dropDuplicates(["digest"])
+    return materialise(marks.withColumn("node", F.monotonically_increasing_id()), "near-prefixes")
 
 
 def bucket_members(marks: DataFrame, roots: DataFrame, first: int | None = None) -> DataFrame:
@@ -312,8 +314,8 @@ def bucket_members(marks: DataFrame, roots: DataFrame, first: int | None = None)
     return materialise(members.withColumn("rank", rank).select("token", "node", "size", "at", "rank", "root", *PARITY), "near-members")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
-    """Of the pairs ``a, b`` those whose token sets have that Jaccard similarity."""
+def similar_pairs(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
+    """Of the pairs ``a, b`` of nodes those whose token sets have that Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[int, np.ndarray] = {}
@@ -332,14 +334,15 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # Only texts that are in a pair move.
-    ends = small_side(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    texts = texts.select("node", "text").join(ends, "node", "left_semi")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ends = small_side(marks.select("node", "digest").join(ends, "node", "left_semi"))
+    texts = texts.select("digest", "text").join(ends, "digest").dropDuplicates(["digest"])
     for end, name in (("a", "x"), ("b", "y")):
         pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(name)), end)
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def joined_roots(members: DataFrame, start: int, end: int, texts: DataFrame, width: int, similar: float) -> DataFrame:
+def joined_roots(members: DataFrame, start: int, end: int, marks: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
     """``a < b``: roots that a similar pair joins, of members of ranks from ``start`` to below ``end`` with members of higher ranks."""
     hub = members.where((F.col("rank") >= start) & (F.col("rank") < end))
     hub = hub.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("node", "size", "at", "rank", "root", *PARITY)])
@@ -353,13 +356,13 @@ def joined_roots(members: DataFrame, start: int, end: int, texts: DataFrame, wid
     ends = [f("node", "hub_node").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))]
     of_end = [f("root", "hub_root").alias(n) for f, n in ((F.least, "root_a"), (F.greatest, "root_b"))]
     pairs = materialise(pairs.select(*ends, *of_end).distinct(), "near-pairs")
-    near = similar_pairs(pairs.select("a", "b"), texts, width, similar)
+    near = similar_pairs(pairs.select("a", "b"), marks, texts, width, similar)
     joined = pairs.join(near, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     return materialise(joined.distinct(), "near-joined")
 
 
 def near_groups(texts: DataFrame, width: int, similar: float) -> DataFrame:
-    """``node, root`` of the texts (``node, text``; nodes are longs) that are joined to a smaller one.
+    """``digest, root`` of all texts (``digest, text``): texts of one group have one root.
 
     Groups are the connected components over all pairs of that similarity. A pair of that similarity
     shares a prefix token, so it lies in a bucket. The first few tokens of the prefixes join most copies
@@ -372,11 +375,11 @@ def near_groups(texts: DataFrame, width: int, similar: float) -> DataFrame:
     spark = texts.sparkSession
     marks = prefixes(texts, width, similar)
     none = spark.createDataFrame([], "node long, root long")
-    roots = materialise(components(joined_roots(bucket_members(marks, none, FIRST_TOKENS), 0, 1, texts, width, similar)), "near-roots")
+    roots = materialise(components(joined_roots(bucket_members(marks, none, FIRST_TOKENS), 0, 1, marks, texts, width, similar)), "near-roots")
     members = bucket_members(marks, roots)
     start, end = 0, FIRST_RANKS
     while members.head(1):
-        moved = components(joined_roots(members, start, end, texts, width, similar))
+        moved = components(joined_roots(members, start, end, marks, texts, width, similar))
         up = moved.select(F.col("node").alias("root"), F.col("root").alias("up"))
         roots = roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")).union(moved)
         roots = materialise(roots, "near-roots")
@@ -385,7 +388,7 @@ def near_groups(texts: DataFrame, width: int, similar: float) -> DataFrame:
         open_buckets = ranks.where((F.col("lo") != F.col("hi")) & (F.col("last") > end)).select("token")
         members = materialise(members.join(small_side(open_buckets), "token", "left_semi"), "near-members")
         start, end = end, end * 8
-    return roots
+    return marks.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
@@ -397,19 +400,19 @@ def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame
     one row stays.
     """
     digest = F.coalesce(F.md5("text"), F.lit("")).alias("digest")
-    ids = materialise(docs.select("doc_id", digest), "near-ids").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    texts = docs.select("doc_id", digest, "text").join(ids, "digest").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    texts = texts.select("digest", "first_id", "text").dropDuplicates(["digest"])
-    texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "near-texts")
-    roots = near_groups(texts, width, similar)
-    named = texts.drop("text").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = Window.partitionBy("root").orderBy(F.col("first_id").asc_nulls_last(), "digest")
-    winners = named.withColumn("r", F.row_number().over(first)).where("r = 1").select(
-        F.col("digest").alias("_node"), F.col("first_id").alias("_first_id")
-    )
-    rows = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("_node"))
-    rows = rows.join(winners, "_node").where(F.col("row.doc_id").eqNullSafe(F.col("_first_id")))
-    return rows.dropDuplicates(["_node"]).select("row.*")
+    roots = materialise(near_groups(docs.select(digest, "text"), width, similar), "near-named")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest)
+    # Without their texts: the rows that have to go, and those of which one of several alike stays.
+    ids = materialise(docs.groupBy("doc_id", digest).agg(F.count("*").alias("n")), "near-ids")
+    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(roots, "digest")
+    order = F.struct(F.col("first_id").isNull(), "first_id", "digest")
+    winners = first.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w.digest").alias("digest"), F.col("w.first_id").alias("first_id"), F.lit(True).alias("wins"))
+    judged = ids.join(winners, "digest", "left").withColumn("stays", F.coalesce(F.col("wins") & F.col("doc_id").eqNullSafe(F.col("first_id")), F.lit(False)))
+    special = small_side(judged.where(~F.col("stays") | (F.col("n") > 1)).select("doc_id", "digest", "stays"))
+    same = rows["digest"].eqNullSafe(special["digest"]) & rows["row.doc_id"].eqNullSafe(special["doc_id"])
+    single = rows.join(special, same, "left_anti").select("row.*")
+    one = rows.join(special.where("stays"), same).select(rows["digest"], "row").dropDuplicates(["digest"]).select("row.*")
+    return single.unionByName(one)
 
 
 def hex_of(fp: Column) -> Column:
