@@ -179,16 +179,20 @@ def integrity_guard(
     )
 
 
-def guarded(df: DataFrame, rec: dict, limit: float = K.DELETION_LIMIT) -> tuple[DataFrame, bool]:
+def guarded(
+    df: DataFrame, rec: dict, limit: float = K.DELETION_LIMIT, apply: Repair = apply_recommendation
+) -> tuple[DataFrame, bool]:
     """Apply a repair unless it deletes more than ``limit`` of the rows."""
-    after = apply_recommendation(df, rec)
+    after = apply(df, rec)
     accepted = integrity_guard(df, after, limit).first()["accepted"]
     return (after, True) if accepted else (df, False)
 
 
-def repair_report(before: DataFrame, rec: dict, label: str = K.LABEL) -> DataFrame:
+def repair_report(
+    before: DataFrame, rec: dict, label: str = K.LABEL, apply: Repair = apply_recommendation
+) -> DataFrame:
     """One row on a repair that is carried out: what it did, rows and missing cells before and after."""
-    after = apply_recommendation(before, rec)
+    after = apply(before, rec)
     column = rec.get("column")
     here = column in before.columns
 

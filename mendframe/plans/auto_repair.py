@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from mendframe import constants as K
 from mendframe.operators import diagnose, steps
 from mendframe.operators.evaluate import evaluate
 from mendframe.operators.profile import quality_stats
-from mendframe.operators.repair import guarded
+from mendframe.operators.registry import Context, Registry, standard
 from mendframe.sources.versions import Versions
 
 TRACE_SCHEMA = """session_id string, step int, action string, rec_id string, rec_type string,
@@ -28,10 +30,14 @@ def auto_repair(
     session_id: str = "session",
     cap: int | None = None,
     label: str = K.LABEL,
+    registry: Registry | None = None,
+    score: Callable[[DataFrame, DataFrame], float] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Ask the analyst, follow its plan, then ask what the table still needs, until the target is met
     or the budget is spent.
 
+    ``registry`` holds the diagnoses and repairs at hand (the standard ones by default); ``score`` rates a
+    training table on the holdout (the accuracy of the fixed model by default).
     Returns the repaired table and the scored trace. The number of steps is bounded by the
     budget and by the recommendations of each query; every accepted repair is written as a version.
     """
@@ -42,7 +48,8 @@ def auto_repair(
     asked: set[str] = set()
     planned: list[str] = []
     log: list[tuple] = []
-    accuracy = evaluate(current, holdout, label).accuracy
+    score = score or (lambda train, holdout: evaluate(train, holdout, label).accuracy)
+    accuracy = score(current, holdout)
     facts = quality_stats(current, label).first()
     rows = current.count()
 
@@ -58,12 +65,8 @@ def auto_repair(
     def state():
         return (accuracy, facts["missing_pct"], facts["balance_ratio"], rows)
 
-    agents = {
-        "query_cleaner": lambda: diagnose.cleaner_recommendations(current, meta, session_id),
-        "query_balancer": lambda: diagnose.balancer_recommendations(current, session_id, label),
-        "query_augmenter": lambda: diagnose.augmenter_recommendation(current, 1, session_id, cap, label),
-        "query_validator": lambda: diagnose.validator_recommendations(current, meta, session_id),
-    }
+    registry = registry or standard()
+    context = Context(meta, session_id, label, 1, cap)
     while budget > 0 and accuracy < target:
         before = state()
         if not asked:
@@ -81,25 +84,25 @@ def auto_repair(
         else:
             break
         if action != "apply":
-            cost = K.QUERY_COSTS[action]
+            cost = K.QUERY_COSTS[action] if action == "query_analyst" else registry.cost(action)
             # One recommendation per column or class at most.
             if action == "query_analyst":
                 plan = diagnose.analyst_report(current, meta, label).first()["action_plan"]
                 planned, found = [step["action"] for step in plan], []
             else:
-                found = [r.asDict() for r in agents[action]().collect()]
+                found = [r.asDict() for r in registry.diagnose(current, action, context).collect()]
             pending.update({r["rec_id"]: r for r in found})
             asked.add(action)
             budget = max(0, budget - cost)
             note(action, {}, cost, len(found), before, before, "asked")
             continue
         rec = pending.pop(min(pending, key=lambda r: (pending[r]["priority"], r)))
-        repaired, accepted = guarded(current, rec)
+        repaired, accepted = registry.guarded(current, rec, context)
         if not accepted:
             note("apply", rec, 0, 0, before, before, "rejected: deletes too many rows")
             continue
         current = store.commit(repaired)
-        accuracy = evaluate(current, holdout, label).accuracy
+        accuracy = score(current, holdout)
         facts, rows = quality_stats(current, label).first(), current.count()
         note("apply", rec, 0, 0, before, state(), "applied")
         if accuracy < before[0] - K.EFFECT_BAND and budget > 0 and store.rollback():

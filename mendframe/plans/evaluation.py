@@ -12,6 +12,8 @@ from mendframe.functions import scalar as S
 from mendframe.operators import evaluate as E
 from mendframe.operators import sampling
 from mendframe.operators import steps as L
+from mendframe.operators.profile import one_row
+from mendframe.operators.registry import Context, standard
 from mendframe.operators.scan import as_of
 from mendframe.plans.auto_repair import auto_repair
 from mendframe.plans.inputs import (
@@ -329,6 +331,53 @@ def auto_repair_trace(spark, sf):
     )
 
 
+# An own diagnosis and its repair, registered beside the standard ones.
+_CEILING = 40.0
+_WATCHED = ["value_n", "k"]
+
+
+def _own_registry():
+    known = standard()
+
+    @known.diagnosis("query_ceiling")
+    def too_high(df, context):
+        above = df.agg(*[F.count_if(F.col(c) > _CEILING).alias(c) for c in _WATCHED])
+        found = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("count")) for c in _WATCHED])).alias("f")
+        return above.select(found).select("f.*").where("count > 0").select(
+            F.concat_ws("/", F.lit(context.session_id), F.lit("ceiling"), "column").alias("rec_id"),
+            F.lit("ceiling").alias("type"), F.lit(2).alias("priority"), "column", "count",
+        )
+
+    @known.repair("ceiling")
+    def lower(df, rec, context):
+        column = F.col(rec["column"])
+        return df.withColumn(rec["column"], F.when(column > _CEILING, _CEILING).otherwise(column))
+
+    return known
+
+
+@query(
+    "own_repairs",
+    f"""WITH {DIRTY_EVENTS_SQL} """ + " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT 'own/ceiling/{c}' AS rec_id, 2::INTEGER AS priority, count(*) FILTER ({c} > {_CEILING}) AS n_above, TRUE AS accepted,
+        count(*) AS rows_before, count(*) AS rows_after, 0::BIGINT AS missing_fixed, round(sum(CASE WHEN {c} > {_CEILING} THEN {_CEILING}::DOUBLE ELSE {c}::DOUBLE END), 4) AS total
+        FROM dirty) WHERE n_above > 0""" for c in _WATCHED
+    ),
+)
+def own_repairs(spark, sf):
+    """A diagnosis and a repair of one's own through dispatch, guard and report."""
+    known, context = _own_registry(), Context(session_id="own")
+    df = dirty_events(spark, sf).select("_row_id", *_WATCHED)
+    parts = []
+    for rec in known.diagnose(df, "query_ceiling", context).collect():  # one per watched column at most
+        rec = rec.asDict()
+        after, accepted = known.guarded(df, rec, context)
+        total = after.agg(F.round(F.sum(F.col(rec["column"]).cast("double")), 4).alias("total"))
+        told = [F.lit(rec["rec_id"]).alias("rec_id"), F.lit(rec["priority"]).alias("priority"), F.lit(rec["count"]).alias("n_above"), F.lit(accepted).alias("accepted")]
+        parts.append(one_row(known.report(df, rec, context), total).select(*told, "rows_before", "rows_after", "missing_fixed", "total"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 # Sources and sinks.
 
 
@@ -641,3 +690,36 @@ def stream_rule_audit(spark, sf):
     return run_append(stream_audit(stream), "audit")
 
 
+
+
+def _log_lines(spark, sf):
+    """The step log as lines of JSON, some of them followed by a broken one."""
+    steps = action_log(spark, sf)
+    prefix = F.concat_ws("_", F.col("session_id").cast("string"), F.col("event_id").cast("string"))
+    numbers = F.when(F.col("n_recs") > 0, F.sequence(F.lit(0), F.col("n_recs") - 1))
+    issued = F.to_json(F.transform(numbers, lambda j: F.concat_ws("_", prefix, j.cast("string"))))
+    named = ["step", "action", "rec_id", "issued", "accuracy_after", "target_accuracy"]
+    lines = event_log.to_event_lines(steps.withColumn("issued", issued), "step", "ts", "session_id", named)
+    broken = lines.where(F.pmod(F.crc32("value"), F.lit(97)) == 0).select(F.substring("value", 1, 40).alias("value"))
+    path = scratch_path(spark, "step-lines")
+    event_log.write_event_log(lines.unionByName(broken), path)
+    event_log.write_event_log(steps.where("event_id % 89 = 0").select(F.lit("no json").alias("value")), path)
+    return path
+
+
+@query(
+    "stream_log_audit",
+    f"""WITH RECURSIVE {LOG_SQL}, {_AUDIT_SQL}
+    SELECT session_id, step, action, rec_id, outcome, budget_before, streak, rule FROM audit""",
+)
+def stream_log_audit(spark, sf):
+    """The live audit, fed by the log's lines; broken lines are kept apart."""
+    good, _ = event_log.stream_event_log(spark, _log_lines(spark, sf))
+    return run_append(stream_audit(event_log.steps_of(good), delay="400 days"), "log-audit")
+
+
+@query("stream_bad_lines", "SELECT 'no json' AS value, count(*) AS n FROM events WHERE event_id % 89 = 0")
+def stream_bad_lines(spark, sf):
+    """Malformed lines of one kind, counted as the stream meets them."""
+    _, bad = event_log.stream_event_log(spark, _log_lines(spark, sf))
+    return run_append(bad, "bad-lines").where("value = 'no json'").groupBy("value").agg(F.count("*").alias("n"))

@@ -7,7 +7,9 @@ from pathlib import Path
 
 import pytest
 
-from mendframe.operators import diagnose, repair
+from pyspark.sql import functions as F
+
+from mendframe.operators import diagnose, registry, repair
 from mendframe.sources import tables
 from mendframe.sources.catalogue import dataset_meta, datasets_for
 
@@ -197,3 +199,25 @@ def test_scratch_is_removed_on_request(spark):
     path = gone.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
     assert clear_scratch(spark, after) == scratch_mark(spark) - after + 1
     assert not Path(path).exists() and kept.count() == 3 and scratch_mark(spark) == mark + 1
+
+
+def test_registry_checks_and_dispatches(spark):
+    df = spark.createDataFrame([(i, float(i), i % 2) for i in range(20)], "_row_id bigint, a double, label int")
+    known = registry.standard()
+    recs = lambda **more: spark.createDataFrame([("r", "thin", 1)], "rec_id string, type string, priority int").withColumns(more)
+    known.diagnosis("query_own", cost=3)(lambda df, context: recs(column=F.lit("a")))
+    known.repair("thin")(lambda df, rec, context: df.filter(F.col(rec["column"]) > 4))
+    found = known.diagnose(df, "query_own", registry.Context()).first().asDict()
+    assert set(diagnose.RECOMMENDATION) <= set(found) and found["column"] == "a" and known.cost("query_own") == 3
+    after, accepted = known.guarded(df, found)
+    assert not accepted and after is df  # a quarter of the rows would go
+    assert known.guarded(df, found, limit=0.5)[0].count() == 15
+    report = known.report(df, found).first()
+    assert (report["rows_removed"], report["message"]) == (5, None)
+    assert known.apply(df, {"type": "nothing of the kind"}) is df
+    known.diagnosis("query_wrong")(lambda df, context: recs(pct=F.lit("much")))
+    known.diagnosis("query_short")(lambda df, context: recs().drop("type"))
+    for name in ("query_wrong", "query_short", "query_none"):
+        with pytest.raises(ValueError):
+            known.diagnose(df, name, registry.Context())
+    assert "query_own" not in registry.standard().diagnoses

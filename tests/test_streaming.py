@@ -141,5 +141,7 @@ def test_event_log_batch_and_stream(spark):
     row = event_log.read_event_log(spark, path).first()
     assert (row["event"], row["session_id"], row["attrs"]) == ("query_step", "1", {"k": "x"})
     assert row["ts"].microsecond == 123000
-    streamed = run_append(event_log.stream_event_log(spark, path), "events-test")
-    assert streamed.count() == 1
+    spark.createDataFrame([("no json",), ('{"ts": 1.5, "event": ',), ("",), ('{"ts": 1.5}',)], "value string").write.mode("append").text(path)
+    good, bad = event_log.stream_event_log(spark, path)
+    assert run_append(good, "events-test").count() == 1
+    assert run_append(bad, "bad-lines").count() == 4
