@@ -75,17 +75,19 @@ class WordEncoder:
         self.closing: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def plain(self, words: list[str]) -> list[bytes]:
+    def plain(self, words: list[bytes]) -> list[bytes]:
         """Ids of plain words."""
         if not words:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
         if len(ends) != len(words):
-            return self.whole(words)
+            return self.whole([w.decode() for w in words])
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
 
@@ -105,7 +107,7 @@ class WordEncoder:
                 other.append(text)
         plain.update(core for core, _ in tailed.values() if core not in memo)
         cores = list(plain)
-        memo |= zip(cores, self.plain([w.decode() for w in cores]), strict=True)
+        memo |= zip(cores, self.plain(cores), strict=True)
         tails = list({tail for _, tail in tailed.values()})
         encoded = dict(zip(tails, self.whole(tails), strict=True))
         for word, (core, tail) in tailed.items():
@@ -143,7 +145,9 @@ class WordEncoder:
                 # A word ends in a character that punctuation behind it may belong to.
                 words = text.split(b" ")
                 self.learn(w for w in set(words) if w not in self.memo and w not in self.closing)
-                yield b"".join([self.closing[w] if w in self.closing else self.memo[w] for w in words])
+                # No word is kept in both.
+                found = list(map(self.memo.get, words))
+                yield b"".join(found if None not in found else [self.closing[w] if ids is None else ids for w, ids in zip(words, found, strict=True)])
                 continue
             for i in at:
                 found[i] = self.memo[words[i]]
