@@ -8,9 +8,15 @@ blocks of bounded size, however many vectors it gets. Search: a query is routed
 of largest probability until they hold ``mass`` of it (and at least ``probes``), and is compared
 exactly, in double precision, with all vectors in them.
 
+The largest inner product favours long vectors, so rows get one more coordinate that lifts them all to
+the length of the longest, and queries get 0 there: then the nearest by direction are those of
+largest inner product, whatever the lengths. The classifier learns from the rows, and from the sample
+as queries, each with the partitions of its best rows.
+
 Equal vectors are collapsed to one with its smallest ids, so a vector with a third of all rows is
 searched and found once. Rows without an id, and vectors that are null, zero or hold a null or
-non-finite component, take no part; rows repeated with the same id count once; an id with several
+non-finite component, take no part, nor do those of another number of components than most (of equally
+many: than the longest); rows repeated with the same id count once; an id with several
 vectors counts with its best score; an empty table gives an empty result.
 """
 
@@ -35,7 +41,7 @@ GRAPH_NEIGHBOURS = 12
 PARTITION_SAMPLE = 128
 #: Blocks a partition is stored in and queries are gathered to.
 BLOCK_ROWS, QUERY_ROWS = 8192, 1024
-PROBES, MASS = 4, 0.995
+PROBES, MASS = 8, 0.999
 #: What names a distinct vector.
 NAME = ("first", "tag")
 
@@ -46,30 +52,39 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(embedding, lambda x: x != 0)
 
 
-def neighbours_of(unit: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` nearest others of some rows by inner product, a few rows at a time."""
+def lifted(vectors: np.ndarray, reach: float) -> np.ndarray:
+    """Vectors with one more coordinate that makes all of them ``reach`` long."""
+    return np.column_stack([vectors, np.sqrt(np.maximum(0, reach**2 - (vectors**2).sum(axis=1)))])
+
+
+def asking(vectors: np.ndarray) -> np.ndarray:
+    """Queries have nothing in that coordinate."""
+    return np.column_stack([vectors, np.zeros(len(vectors))])
+
+
+def neighbours_of(queries: np.ndarray, rows: np.ndarray, numbers: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` rows of largest inner product with some of the queries, but that of its own number, a few queries at a time."""
     found = [np.zeros((0, k), np.int64)]
-    for start in range(0, len(rows), 128):
-        part = rows[start : start + 128]
-        near = unit[part] @ unit.T
+    for start in range(0, len(numbers), 128):
+        part = numbers[start : start + 128]
+        near = queries[part] @ rows.T
         near[np.arange(len(part)), part] = -np.inf
         found.append(np.argpartition(near, -k, axis=1)[:, -k:] if k else np.zeros((len(part), 0), np.int64))
     return np.concatenate(found)
 
 
-def neighbour_graph(spark: SparkSession, vectors: np.ndarray, k: int) -> np.ndarray:
-    """Each sample row's ``k`` nearest others among unit vectors; tasks share the sample, each does some rows."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    k, shared = min(k, len(unit) - 1), spark.sparkContext.broadcast(unit)
+def neighbour_graph(spark: SparkSession, queries: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Each query's ``k`` best other rows; tasks share the sample, each does some queries."""
+    k, shared = min(k, len(rows) - 1), spark.sparkContext.broadcast((queries, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = neighbours_of(shared.value, batch.column("id").to_numpy(), k)
+            near = neighbours_of(*shared.value, batch.column("id").to_numpy(), k)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(near.tolist(), pa.list_(pa.int64()))], ["id", "near"])
 
-    found = spark.range(len(unit)).mapInArrow(run, "id long, near array<long>").toArrow().sort_by("id")
+    found = spark.range(len(rows)).mapInArrow(run, "id long, near array<long>").toArrow().sort_by("id")
     shared.unpersist()
-    return found.column("near").combine_chunks().flatten().to_numpy().reshape(len(unit), k)
+    return found.column("near").combine_chunks().flatten().to_numpy().reshape(len(rows), k)
 
 
 def bisect(graph: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -126,17 +141,17 @@ class Router:
     intercept: np.ndarray
 
     @classmethod
-    def fit(cls, vectors: np.ndarray, label: np.ndarray, steps: int = 150, rate: float = 0.05, seed: int = 0) -> Router:
-        """Adam on mini-batches."""
+    def fit(cls, vectors: np.ndarray, share: np.ndarray, steps: int = 150, rate: float = 0.05, seed: int = 0) -> Router:
+        """Adam on mini-batches; ``share`` tells how much of each vector belongs to each partition."""
         rng = np.random.default_rng(seed)
         x = np.append(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), np.ones((len(vectors), 1)), axis=1)
-        w = np.zeros((x.shape[1], label.max() + 1))
+        w = np.zeros((x.shape[1], share.shape[1]))
         mean, square, t = np.zeros_like(w), np.zeros_like(w), 0
         for _ in range(steps):
             order = rng.permutation(len(x))
             for start in range(0, len(x), 1024):
                 rows = order[start : start + 1024]
-                slope = x[rows].T @ (softmax(x[rows] @ w) - np.eye(w.shape[1])[label[rows]]) / len(rows) + 1e-5 * w
+                slope = x[rows].T @ (softmax(x[rows] @ w) - share[rows]) / len(rows) + 1e-5 * w
                 t += 1
                 mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
                 w -= rate * mean / (1 - 0.9**t) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
@@ -152,27 +167,34 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(distinct: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Router:
+def fit(distinct: DataFrame, reach: float, sample_rows: int = SAMPLE_ROWS) -> Router:
     """Fits on about ``sample_rows`` distinct vectors chosen by hash; only they reach the driver."""
     sample = hash_sample(distinct.select(*NAME, "vec"), sample_rows, *NAME, seed=3).toArrow()
     sample = sample.sort_by([(name, "ascending") for name in NAME])
     if len(sample) < 2:
         dims = len(sample.column("vec")[0]) if len(sample) else 1
-        return Router(np.zeros((dims, 1)), np.zeros(1))
-    vectors = matrix(sample.column("vec").combine_chunks())
+        return Router(np.zeros((dims + 1, 1)), np.zeros(1))
+    vectors, spark = matrix(sample.column("vec").combine_chunks()), distinct.sparkSession
+    rows, queries = lifted(vectors, reach), asking(vectors)
     levels = max(0, (len(vectors) // PARTITION_SAMPLE).bit_length() - 1)
-    label = balanced_partitions(neighbour_graph(distinct.sparkSession, vectors, GRAPH_NEIGHBOURS), levels)
-    return Router.fit(vectors, label)
+    label = balanced_partitions(neighbour_graph(spark, rows, rows, GRAPH_NEIGHBOURS), levels)
+    own = np.eye(label.max() + 1)[label]
+    best = neighbour_graph(spark, queries, rows, GRAPH_NEIGHBOURS)
+    return Router.fit(np.concatenate([rows, queries]), np.concatenate([own, own[best].mean(axis=1)]))
+
 
+def routed(rows: DataFrame, router: Router, probes: int, mass: float, reach: float | None = None) -> DataFrame:
+    """``first, tag, vec, part``: each vector with the partitions that hold ``mass`` of it, ``probes`` at least.
 
-def routed(rows: DataFrame, router: Router, probes: int, mass: float) -> DataFrame:
-    """``first, tag, vec, part``: each vector with the partitions that hold ``mass`` of it, ``probes`` at least."""
+    With ``reach`` the vectors are rows, else queries.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(router)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p = shared.value.probabilities(matrix(batch.column("vec")))
+                vectors = matrix(batch.column("vec"))
+                p = shared.value.probabilities(asking(vectors) if reach is None else lifted(vectors, reach))
                 order = np.argsort(-p, axis=1, kind="stable")
                 before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
                 wanted = np.maximum(probes, (before < mass).sum(axis=1) + 1) if mass else np.full(len(p), probes)
@@ -191,15 +213,18 @@ def matrix(column: pa.ListArray) -> np.ndarray:
 def exact_top(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per query its ``k`` best rows (ties to the earlier row): query number, row number, inner product."""
     k, rough = min(k, len(rows)), queries @ rows.T
-    if k + 8 < len(rows):
-        # A few more than k survive the fast product; they are ranked by sums of fixed order.
-        near = np.sort(np.argpartition(-rough, k + 7, axis=1)[:, : k + 8], axis=1)
+    if k < len(rows):
+        # All that may be among the k best survive the fast product; sums of fixed order rank them.
+        last = np.partition(rough, len(rows) - k, axis=1)[:, len(rows) - k]
+        off = 8 * queries.shape[1] * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max()
+        mine, near = np.nonzero(rough >= (last - off)[:, None])
     else:
-        near = np.tile(np.arange(len(rows)), (len(queries), 1))
-    exact = np.stack([(queries[i] * rows[near[i]]).sum(axis=1) for i in range(len(queries))])
-    best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-    number = np.repeat(np.arange(len(queries)), k)
-    return number, np.take_along_axis(near, best, axis=1).ravel(), np.take_along_axis(exact, best, axis=1).ravel()
+        mine, near = np.nonzero(np.ones(rough.shape, bool))
+    exact = np.concatenate([np.zeros(0), *((queries[mine[i : i + 65536]] * rows[near[i : i + 65536]]).sum(axis=1) for i in range(0, len(mine), 65536))])
+    order = np.lexsort((near, -exact, mine))
+    mine, near, exact = mine[order], near[order], exact[order]
+    kept = np.arange(len(mine)) - np.searchsorted(mine, mine) < k
+    return mine[kept], near[kept], exact[kept]
 
 
 def collapse(rows: DataFrame, k: int) -> DataFrame:
@@ -218,11 +243,15 @@ def search(
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("vec"), is_query.alias("asks")
     )
+    usual = rows.groupBy(F.size("vec").alias("d")).count().agg(F.max_by("d", F.struct("count", "d"))).first()[0]
+    rows = rows.where(F.size("vec") == F.lit(usual))
     distinct = materialise(collapse(rows, k), "ann-distinct")
-    router = fit(distinct, sample_rows)
-    index = materialise(routed(distinct, router, 1, 0.0), "ann-index")
-    asking = rows.where("asks").select("vec_id", "vec").distinct()
-    asked = materialise(asking.join(distinct, "vec").select("vec_id", *NAME), "ann-queries")
+    reach = distinct.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    reach = (reach or 0.0) ** 0.5
+    router = fit(distinct, reach, sample_rows)
+    index = materialise(routed(distinct, router, 1, 0.0, reach), "ann-index")
+    asked_rows = rows.where("asks").select("vec_id", "vec").distinct()
+    asked = materialise(asked_rows.join(distinct, "vec").select("vec_id", *NAME), "ann-queries")
     wanted = asked.select(*NAME).distinct()
     routes = materialise(routed(distinct.join(wanted, [*NAME]), router, probes, mass), "ann-routes")
 

@@ -73,6 +73,39 @@ def test_search_recall(spark):
     assert np.mean(hits) / 20 >= 0.9
 
 
+@pytest.mark.parametrize("grouped", [True, False])
+def test_search_recall_with_unlike_lengths(spark, grouped):
+    """Lengths spread log-normally: the longest vectors are among the best of queries everywhere."""
+    rng = np.random.default_rng(6)
+    x = clustered(4000, seed=6) if grouped else rng.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.exp(0.5 * rng.normal(size=(4000, 1)))
+    vectors = spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], VECTORS)
+    got = found_lists(ann.search(vectors, F.col("vec_id") % 20 == 0, 20).collect())
+    hits = np.array([len({h for h, _ in got[q]} & {h for h, _ in brute_nearest(np.arange(4000), x, q, 20)}) for q in got]) / 20
+    assert len(hits) == 200 and hits.mean() >= 0.95 and hits.min() >= 0.8
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Vectors of zeros and ones: most scores tie, and all partitions are searched."""
+    x = (np.random.default_rng(7).random((600, 16)) < 0.4).astype(float)
+    x[:, 0] = 1
+    ids = np.random.default_rng(8).permutation(600)
+    vectors = spark.createDataFrame([(int(i), v.tolist(), "") for i, v in zip(ids, x)], VECTORS)
+    got = found_lists(ann.search(vectors, F.col("vec_id") % 20 == 0, 20, probes=1000, sample_rows=300).collect())
+    place = np.argsort(ids)
+    for q, hits in got.items():
+        score = x[place] @ x[place[q]]
+        want = [int(i) for i in np.lexsort((np.arange(600), -score)) if i != q][:20]
+        assert [h for h, _ in hits] == want
+
+
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = [(20, [1.0, 2.0], ""), (21, [0.5, 0.0], ""), (22, [1.0, 1.0, 1.0], ""), (40, [1.0], ""), (60, [0.0, 3.0], "")]
+    got = found_lists(ann.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, 20).collect())
+    assert {q: [h for h, _ in hits] for q, hits in got.items()} == {20: [60, 21], 60: [20, 21]}
+
+
 @pytest.mark.parametrize("rows", [[], [(20, [1.0, 2.0], "")], [(20, [1.0, 2.0], ""), (21, [0.5, 0.0], "")], [(20, [1.0, 2.0], "")] * 3 + [(40, [1.0, 2.0], "")]])
 def test_search_of_few(spark, rows):
     got = found_lists(ann.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, 20).collect())
@@ -84,8 +117,8 @@ def test_search_of_few(spark, rows):
 
 def test_partitions_are_balanced(spark):
     x = clustered(1000, seed=5)
-    graph = ann.neighbour_graph(spark, x, 8)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    graph = ann.neighbour_graph(spark, unit, unit, 8)
     near = unit @ unit.T
     np.fill_diagonal(near, -np.inf)
     assert (np.sort(graph, axis=1) == np.sort(np.argsort(-near, axis=1)[:, :8], axis=1)).all()
