@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +35,17 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(key.cast("string").cast("binary")) % parts
+
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand so many rows at a time to Python, which bounds what long texts take there."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import hash_unit
+from mendframe.llm.common import arrow_batches, hash_unit
 from mendframe.operators.sizing import small_side
 from mendframe.session import materialise
 
@@ -48,6 +48,8 @@ RANKED_ROWS, FIRST_RANKS = 1024, 1
 #: Tokens of a prefix by which copies are looked for first.
 FIRST_TOKENS = 4
 PARITY = [f"parity{i}" for i in range(PARITY_LONGS)]
+#: Texts, or pairs of them, that Python gets at a time.
+BATCH_TEXTS = 256
 #: The token of texts without words.
 WORDLESS = -1
 
@@ -233,7 +235,8 @@ def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
     sample = texts.where(hash_unit("digest") < 1 / ORDER_SHARE).dropDuplicates(["digest"]).select("text")
     counts = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    counts = materialise(counts, "near-frequent")
+    with arrow_batches(texts.sparkSession, BATCH_TEXTS):
+        counts = materialise(counts, "near-frequent")
     octave = F.floor(F.log2("n")).cast("int").alias("octave")
     least, kept = 64, 0
     for row in counts.groupBy(octave).count().orderBy(F.desc("octave")).collect():  # at most 64 rows
@@ -289,7 +292,8 @@ def prefixes(texts: DataFrame, width: int, similar: float) -> DataFrame:
 
     schema = "digest string, size int, tokens array<long>, " + ", ".join(f"{p} long" for p in PARITY)
     marks = texts.select("digest", "text").mapInArrow(run, schema).dropDuplicates(["digest"])
-    return materialise(marks.withColumn("node", F.monotonically_increasing_id()), "near-prefixes")
+    with arrow_batches(texts.sparkSession, BATCH_TEXTS):
+        return materialise(marks.withColumn("node", F.monotonically_increasing_id()), "near-prefixes")
 
 
 def bucket_members(marks: DataFrame, roots: DataFrame, first: int | None = None) -> DataFrame:
@@ -325,7 +329,7 @@ def similar_pairs(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: i
                 sets = []
                 for node, text in ((a.as_py(), x), (b.as_py(), y)):
                     if node not in memo:
-                        if len(memo) >= 512:
+                        if len(memo) >= 256:
                             memo.clear()
                         memo[node] = token_set(text.as_py(), width)
                     sets.append(memo[node])
@@ -358,7 +362,8 @@ def joined_roots(members: DataFrame, start: int, end: int, marks: DataFrame, tex
     pairs = materialise(pairs.select(*ends, *of_end).distinct(), "near-pairs")
     near = similar_pairs(pairs.select("a", "b"), marks, texts, width, similar)
     joined = pairs.join(near, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    return materialise(joined.distinct(), "near-joined")
+    with arrow_batches(marks.sparkSession, BATCH_TEXTS):
+        return materialise(joined.distinct(), "near-joined")
 
 
 def near_groups(texts: DataFrame, width: int, similar: float) -> DataFrame:
