@@ -40,17 +40,25 @@ Repair = Callable[[DataFrame, dict, Context], DataFrame]
 class Registry:
     diagnoses: dict[str, tuple[Diagnose, int]] = field(default_factory=dict)
     repairs: dict[str, Repair] = field(default_factory=dict)
+    changes: dict[str, Callable[[dict], list[str] | None]] = field(default_factory=dict)
 
     def diagnosis(self, name: str, cost: int = 1) -> Callable[[Diagnose], Diagnose]:
         """Registers a diagnosis and what asking it takes from the budget."""
         return lambda fn: self.diagnoses.__setitem__(name, (fn, cost)) or fn
 
-    def repair(self, kind: str) -> Callable[[Repair], Repair]:
-        """Registers the repair of a type of recommendation."""
+    def repair(self, kind: str, changes: Callable[[dict], list[str] | None] | None = None) -> Callable[[Repair], Repair]:
+        """Registers the repair of a type of recommendation.
+
+        ``changes`` tells the columns that it changes where all rows stay; without it, or where it
+        says None, any column may change.
+        """
+        if changes:
+            self.changes[kind] = changes
         return lambda fn: self.repairs.__setitem__(kind, fn) or fn
 
-    def copy(self) -> Registry:
-        return Registry(dict(self.diagnoses), dict(self.repairs))
+    def changed(self, rec: dict) -> list[str] | None:
+        told = self.changes.get(rec["type"])
+        return told(rec) if told else None
 
     def cost(self, name: str) -> int:
         return self.diagnoses[name][1]
@@ -97,5 +105,8 @@ def standard() -> Registry:
         ),
         "query_validator": (lambda df, c: diagnose.validator_recommendations(df, c.meta, c.session_id), costs["query_validator"]),
     }
+    own = lambda rec: [rec["column"]] if rec.get("column") not in (None, repair.ALL) else None
+    known.changes = {kind: own for kind in ("zero_to_nan_impute", "log_transform", "drop_redundant", "clip_outliers")}
+    known.changes["impute"] = lambda rec: None if rec["strategy"] == "drop_rows" else own(rec)
     known.repairs = {kind: lambda df, rec, _, fn=fn: fn(df, rec) for kind, fn in repair.REPAIRS.items()}
     return known

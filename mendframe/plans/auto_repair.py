@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from mendframe import constants as K
 from mendframe.operators import diagnose, steps
 from mendframe.operators.evaluate import evaluate
-from mendframe.operators.profile import quality_stats
+from mendframe.operators.profile import label_summary
+from mendframe.operators.profile_state import missing_share
 from mendframe.operators.registry import Context, Registry, standard
 from mendframe.sources.versions import Versions
 
@@ -42,16 +43,23 @@ def auto_repair(
     budget and by the recommendations of each query; every accepted repair is written as a version.
     """
     spark = train.sparkSession
-    store = Versions.start(train)
+    store = Versions.start(train, label=label)
     current = store.read()
     pending: dict[str, dict] = {}
     asked: set[str] = set()
     planned: list[str] = []
     log: list[tuple] = []
+
+    def quality(balance: float | None = None) -> tuple[dict, int]:
+        """Missing share and balance of the current version, from its profile; classes are counted only if rows changed."""
+        told = missing_share(store.profile()).first()
+        if balance is None:
+            balance = label_summary(current, label).first()["balance_ratio"] if told["n_rows"] else 0.0
+        return {"missing_pct": told["missing_pct"], "balance_ratio": balance}, told["n_rows"]
+
     score = score or (lambda train, holdout: evaluate(train, holdout, label).accuracy)
     accuracy = score(current, holdout)
-    facts = quality_stats(current, label).first()
-    rows = current.count()
+    facts, rows = quality()
 
     def note(action, rec, cost, n_recs, before, now, outcome):
         log.append(
@@ -101,9 +109,10 @@ def auto_repair(
         if not accepted:
             note("apply", rec, 0, 0, before, before, "rejected: deletes too many rows")
             continue
-        current = store.commit(repaired)
+        changed = registry.changed(rec)
+        current = store.commit(repaired, changed)
         accuracy = score(current, holdout)
-        facts, rows = quality_stats(current, label).first(), current.count()
+        facts, rows = quality(facts["balance_ratio"] if changed is not None else None)
         note("apply", rec, 0, 0, before, state(), "applied")
         if accuracy < before[0] - K.EFFECT_BAND and budget > 0 and store.rollback():
             hurt = state()

@@ -633,3 +633,26 @@ def log_candidates(spark, sf):
     return profile.null_profile(df, names).select(
         "column", S.round_even("skew", 2).alias("skewness"), (F.col("skew") > K.LOG_SKEW_LIMIT).alias("recommended")
     )
+
+
+_KEPT = ("value_n", "k_n", "value_z", "etype")
+
+
+@query(
+    "profile_state",
+    f"WITH {DIRTY_EVENTS_SQL}, again AS (SELECT _row_id, value_n, k_n, CASE WHEN value_z = 0 THEN NULL ELSE value_z END AS value_z, etype FROM dirty) "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS n, count(*) - count({c}) AS n_null, {f"count(*) FILTER ({c} = 0)" if c != "etype" else "0::BIGINT"} AS n_zero,
+      {f"round(avg({c}), 6)" if c != "etype" else "NULL::DOUBLE"} AS mean, {f"round(stddev_samp({c}), 6)" if c != "etype" else "NULL::DOUBLE"} AS std,
+      {f"round(skewness({c}), 6)" if c != "etype" else "0.0::DOUBLE"} AS skew FROM again""" for c in _KEPT
+    ),
+)
+def profile_state(spark, sf):
+    """Profiles of two halves put together, then renewed for the one column that a repair has changed."""
+    from mendframe.operators import profile_state as P
+
+    df = dirty_events(spark, sf).select("_row_id", *_KEPT)
+    halves = [P.state_of(df.where(F.col("_row_id") % 2 == part)) for part in (0, 1)]
+    repaired = df.withColumn("value_z", F.nullif("value_z", F.lit(0.0)))
+    found = P.profile_of(P.renewed(P.merged(*halves), repaired, ["value_z"]))
+    return found.select("column", "n", "n_null", "n_zero", *[F.round(c, 6).alias(c) for c in ("mean", "std", "skew")])

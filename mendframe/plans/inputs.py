@@ -80,8 +80,13 @@ ORDERS_SQL = (
     "ords AS (SELECT o_orderkey AS _row_id, o_totalprice AS price, o_custkey AS custkey,"
     " CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders)"
 )
-DIMENSIONS = 64
-EMBEDDING_COLUMNS = [f"e{i}" for i in range(DIMENSIONS)]
+#: Columns that the SQL twins write out: as many as the embeddings of the test tables have entries.
+SQL_DIMENSIONS = 64
+
+
+def embedding_columns(dimensions: int) -> list[str]:
+    return [f"e{i}" for i in range(dimensions)]
+
 
 
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,17 +112,19 @@ def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_features(spark: SparkSession, sf_dir: str, positive: str) -> DataFrame:
-    """One double column per dimension; the label is 1 where the SQL rule ``positive`` holds."""
-    return table(spark, sf_dir, "embeddings").select(
+    """One double column per entry of the longest embedding; the label is 1 where the SQL rule ``positive`` holds."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    longest = embeddings.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+    return embeddings.select(
         F.col("vec_id").alias("_row_id"),
-        *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(EMBEDDING_COLUMNS)],
+        *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(embedding_columns(longest))],
         F.expr(f"CASE WHEN {positive} THEN 1 ELSE 0 END").alias("label"),
     )
 
 
 def embeddings_sql(positive: str) -> str:
     dims = ", ".join(
-        f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(EMBEDDING_COLUMNS)
+        f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(embedding_columns(SQL_DIMENSIONS))
     )
     return (
         f"emb AS (SELECT vec_id AS _row_id, {dims},"

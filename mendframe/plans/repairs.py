@@ -13,7 +13,8 @@ from mendframe.plans.diagnosis import KEYS, _fences, _quoted, rounded
 from mendframe.plans.inputs import (
     DIRTY_EVENTS_SQL,
     DOCS_SQL,
-    EMBEDDING_COLUMNS,
+    SQL_DIMENSIONS,
+    embedding_columns,
     EVENT_FEATURES,
     ORDERS_SQL,
     dirty_events,
@@ -25,6 +26,9 @@ from mendframe.plans.inputs import (
 )
 from mendframe.plans.registry import query
 
+#: Columns of the embeddings as SQL names them.
+EMBEDDING_COLUMNS = embedding_columns(SQL_DIMENSIONS)
+
 TWO_52 = 4503599627370496.0
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mendframe.functions import scalar as S
 from mendframe.operators import profile
+from mendframe.operators import profile_state as P
 from mendframe.operators.quantiles import fit_order_statistic, fit_quantiles
 
 VALUES = [1.0, 2.0, 2.0, 2.0, 3.5, -4.0, 0.0, -0.0, 1e300, -1e-300, 7.25, 1e-12, None]
@@ -137,3 +138,28 @@ def test_quantiles_of_many_rows_are_exact(spark, final_rows):
     got = fit_quantiles(df, list(columns), probs, final_rows=final_rows)
     for name, values in columns.items():
         assert got[name] == pytest.approx(list(np.quantile(values, probs)), rel=1e-12, abs=1e-12)
+
+
+def test_profile_states_add_up_and_are_renewed(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 7 == 0 else float(rng.normal() ** 3) + 5, float(i % 5), "t" if i % 3 else None, i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "_row_id bigint, a double, b double, c string, label int")
+
+    def told(state):
+        return {r["column"]: [r[f] for f in ("n", "n_null", "n_zero", "mean", "std", "skew")] for r in P.profile_of(state).collect()}
+
+    whole = told(P.state_of(df))
+    parts = [P.state_of(df.where(F.col("_row_id") % 3 == i)) for i in range(3)]
+    empty = P.state_of(df.limit(0))
+    for column, facts in told(P.merged(*parts, empty)).items():
+        assert facts[:3] == whole[column][:3]
+        assert [f or 0 for f in facts[3:]] == pytest.approx([f or 0 for f in whole[column][3:]], rel=1e-9)
+    null = {r["column"]: r for r in profile.null_profile(df).collect()}
+    for column in "abc":
+        assert whole[column][:3] == [400, null[column]["n_null"], null[column]["n_zero"]]
+        assert whole[column][5] == pytest.approx(null[column]["skew"], abs=1e-9)
+    fixed = df.withColumn("a", F.coalesce("a", F.lit(0.0))).drop("c")
+    assert told(P.renewed(P.state_of(df), fixed, ["a"])) == told(P.state_of(fixed))
+    assert told(P.renewed(P.state_of(df), fixed.limit(9), None)) == told(P.state_of(fixed.limit(9)))
+    one = P.missing_share(P.state_of(df)).first()
+    assert (one["n_rows"], round(one["missing_pct"], 6)) == (400, round((58 + 0 + 134) / 1200, 6))
