@@ -36,6 +36,12 @@ FEATURES = [
     "has_fragment",
     "suffix_length",
     "suffix_share",
+    "label_length",
+    "host_hyphens",
+    "first_length",
+    "first_entropy",
+    "first_vowels",
+    "first_share",
 ]
 #: Labelled urls the trees are fitted on, at most (about).
 TRAIN_ROWS = 20_000
@@ -71,10 +77,11 @@ def entropy(text: Column) -> Column:
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """Adds the parts of the url and its lexical features; the suffix share counts all rows.
+    """Adds the parts of the url and its lexical features; the shares count all rows.
 
-    ``suffix_share`` is the log share of all urls with the same last host label. It is joined by
-    that label, hot labels included, so both sides are narrow and AQE may split the hot one.
+    ``suffix_share`` is the log share of all urls with the same last host label, ``first_share`` of those
+    with the same first part of the path. Both are joined by that text, hot ones included, so both
+    sides are narrow and AQE may split the hot one.
     """
     url, host, path = F.coalesce(F.col("url"), F.lit("")), F.col("host"), F.col("path")
     digits = F.length(url) - F.length(F.translate(url, "0123456789", ""))
@@ -86,7 +93,10 @@ def lexical(pages: DataFrame) -> DataFrame:
         .withColumn("host", host_of(F.col("url")))
         .withColumn("path", path_of(F.col("url")))
         .withColumn("suffix", F.substring_index("host", ".", -1))
+        .withColumn("first", F.regexp_extract("path", r"(?s)^/([^/]*)", 1))
     )
+    first, label = F.col("first"), F.substring_index("host", ".", 1)
+    vowels = F.length(first) - F.length(F.translate(first, "aeiouAEIOU", ""))
     measured = parts.select(
         "*",
         F.length(url).cast("double").alias("url_length"),
@@ -101,10 +111,18 @@ def lexical(pages: DataFrame) -> DataFrame:
         count(url, "-").alias("hyphens"),
         F.contains(url, F.lit("#")).cast("double").alias("has_fragment"),
         F.length("suffix").cast("double").alias("suffix_length"),
+        F.length(label).cast("double").alias("label_length"),
+        count(host, "-").alias("host_hyphens"),
+        F.length(first).cast("double").alias("first_length"),
+        entropy(first).alias("first_entropy"),
+        F.when(first == "", 0.0).otherwise(vowels / F.length(first)).alias("first_vowels"),
+        F.xxhash64("url").alias("url_hash"),
     )
-    seen = materialise(parts.groupBy("suffix").agg(F.count("*").alias("suffix_rows")), "url-suffixes")
-    total = seen.agg(F.sum("suffix_rows")).first()[0] or 1
-    return measured.join(seen, "suffix").withColumn("suffix_share", F.log(F.col("suffix_rows") / total))
+    for name in ("suffix", "first"):
+        seen = materialise(parts.groupBy(name).agg(F.count("*").alias("rows")), f"url-{name}")
+        total = seen.agg(F.sum("rows")).first()[0] or 1
+        measured = measured.join(seen, name).withColumn(f"{name}_share", F.log(F.col("rows") / total)).drop("rows")
+    return measured
 
 
 def fit_trees(labelled: DataFrame, trees: int = 20, depth: int = 4, seed: int = 7) -> GBTClassificationModel:
@@ -120,14 +138,16 @@ def judge(
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, score``: the rule's verdict, else the trees' (score: block)."""
     rows = materialise(
-        lexical(pages).withColumn("rule", rule_column(F.col("host"), F.col("path"), rules)).drop("url", "suffix"),
+        lexical(pages).withColumn("rule", rule_column(F.col("host"), F.col("path"), rules)).drop("url", "suffix", "first"),
         "url-features",
     )
     verdicts = reduce(
         lambda acc, rule: F.when(F.col("rule") == rule, rules[rule]).otherwise(acc), rules, F.lit(None).cast("string")
     )
     labelled = rows.where("rule is not null").withColumn("block", (verdicts == "block").cast("double"))
-    sample = materialise(hash_sample(labelled, train_rows, "page_id").select(*FEATURES, "block"), "url-labelled")
+    # Rows alike in id and url teach once; the draw goes by both, so neither null nor repeated ids upset it.
+    once = labelled.dropDuplicates(["page_id", "url_hash"])
+    sample = materialise(hash_sample(once, train_rows, "page_id", "url_hash").select(*FEATURES, "block"), "url-labelled")
     seen = sample.agg(F.min("block"), F.max("block")).first()
     if seen[0] is None:
         scored = rows.withColumn("score", F.lit(1.0 if default == "block" else 0.0))

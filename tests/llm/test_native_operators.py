@@ -120,6 +120,29 @@ def test_urls_follow_rules_first(spark):
         assert (got[i]["verdict"] == "block") == (got[i]["score"] >= 0.5) or got[i]["rule"]
 
 
+def test_urls_of_rows_without_ids(spark):
+    """Null ids neither empty the sample of labelled urls nor fill it."""
+    pages = spark.createDataFrame([(None, u, "") for u in URLS if u], "page_id long, url string, html string")
+    got = urls.judge(pages, RULES, train_rows=60)
+    assert got.count() == len([u for u in URLS if u])
+    assert {r["verdict"] for r in got.where("rule is null").select("verdict").distinct().collect()} == {"allow", "block"}
+
+
+def test_trees_on_held_out_urls(spark):
+    """Fitted on half of the urls that a rule fits, right on the others, and no mere rule of suffixes."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = urls.lexical(pages).withColumn("rule", urls.rule_column(F.col("host"), F.col("path"), RULES))
+    block = F.col("rule").isin(*[r for r, verdict in RULES.items() if verdict == "block"])
+    rows = rows.withColumn("block", block.cast("double")).withColumn("half", F.crc32(F.col("page_id").cast("string").cast("binary")) % 2)
+    model = urls.fit_trees(rows.where("rule is not null and half = 0"))
+    found = model.transform(urls.VectorAssembler(inputCols=urls.FEATURES, outputCol="features").transform(rows))
+    held = found.where("rule is not null and half = 1").agg(F.avg((F.col("prediction") == F.col("block")).cast("double")), F.count("*")).first()
+    assert held[1] > 400 and held[0] >= 0.9
+    per_suffix = found.where("rule is null").groupBy("suffix").agg(F.count_distinct("prediction").alias("n")).collect()
+    # Every url of org that a rule fits is allowed, so only that can be learned there.
+    assert {r["suffix"]: r["n"] for r in per_suffix} == {"com": 2, "org": 1}
+
+
 def test_urls_without_labels(spark):
     kinds = "page_id long, url string, html string"
     assert urls.judge(spark.createDataFrame([], kinds), RULES).count() == 0
