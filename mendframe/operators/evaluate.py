@@ -141,10 +141,10 @@ def feature_importance(
 
 
 def class_importance(
-    spark: SparkSession, class_coefficients: dict[int, dict[str, float]], top: int = K.TOP_FEATURES
+    spark: SparkSession, class_coefficients: dict[int, dict[str, float]], top: int = K.TOP_FEATURES, digits: int = 4
 ) -> DataFrame:
     """The same for every class of a fit on more than two."""
-    rounded = [(k, name, round(weight, 4)) for k, found in class_coefficients.items() for name, weight in found.items()]
+    rounded = [(k, name, round(weight, digits)) for k, found in class_coefficients.items() for name, weight in found.items()]
     table = spark.createDataFrame(rounded, "class int, feature string, coef double")
     signed = table.filter(F.col("coef") != 0).withColumn(
         "sign", F.when(F.col("coef") > 0, "positive").otherwise("negative")

@@ -205,14 +205,14 @@ def multiclass_fit(spark, sf):
 @query(
     "multiclass_coefficients",
     f"""{_BLOCK_SQL}, c AS (SELECT j // {len(_SIX)} AS class, {list(_SIX)}[j % {len(_SIX)} + 1] AS feature,
-      w[j // {len(_SIX)} * {_WIDTH} + j % {len(_SIX)} + 2] AS coef FROM w, unnest(range({3 * len(_SIX)})) AS u(j))
-    SELECT class::INTEGER AS class, sign, rank, feature, round(coef, 2) AS coef FROM (SELECT *, CASE WHEN coef > 0 THEN 'positive' ELSE 'negative' END AS sign,
-      CAST(row_number() OVER (PARTITION BY class, coef > 0 ORDER BY abs(coef) DESC) AS INTEGER) AS rank FROM c) WHERE rank <= {K.TOP_FEATURES}""",
+      round(w[j // {len(_SIX)} * {_WIDTH} + j % {len(_SIX)} + 2], 2) AS coef FROM w, unnest(range({3 * len(_SIX)})) AS u(j))
+    SELECT class::INTEGER AS class, sign, rank, feature, coef FROM (SELECT *, CASE WHEN coef > 0 THEN 'positive' ELSE 'negative' END AS sign,
+      CAST(row_number() OVER (PARTITION BY class, coef > 0 ORDER BY abs(coef) DESC, feature) AS INTEGER) AS rank FROM c WHERE coef <> 0) WHERE rank <= {K.TOP_FEATURES}""",
 )
 def multiclass_coefficients(spark, sf):
     """The strongest features of every class: of five positive ones the fifth is cut off."""
     result, _ = _three_classes(spark, sf)
-    return E.class_importance(spark, result.class_coefficients).withColumn("coef", F.round("coef", 2))
+    return E.class_importance(spark, result.class_coefficients, digits=2)
 
 
 # Tables of one origin that lost accuracy for different reasons: columns, label, rows at the start.
