@@ -42,7 +42,7 @@ SHARD_TOKENS = 1 << 21
 #: Bits of a block, the unit of compression and of stored ranks.
 BLOCK_BITS = 1 << 17
 #: Encoded words a worker keeps before it starts anew, and bytes of text whose words are held at a time.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 BATCH_BYTES = 1 << 20
 #: Letters that neither normalisation nor splitting treats specially; punctuation that is cut off words.
 PLAIN = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -132,7 +132,7 @@ class WordEncoder:
         yield from self._joined(held)
 
     def _joined(self, texts: list[bytes]) -> Iterator[bytes]:
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) + len(self.closing) > MEMO_WORDS:
             self.memo.clear()
             self.closing.clear()
         split = [punctuation_apart(t) for t in texts]
