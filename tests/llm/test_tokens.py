@@ -164,3 +164,25 @@ def test_counts_break_ties_like_library():
             if all(c in {p for p, _ in pieces} for c in "ab▁"):
                 marked = "▁" + text.replace(" ", "▁")
                 assert mine.count(text)[0] == len(want.encode(marked, add_special_tokens=False).ids)
+
+
+def test_counts_of_long_texts_and_of_nothing(spark):
+    """Whole texts of tens of thousands of characters; scores are sums of the vocabulary's."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=PIECES)
+    score = {model.id_to_piece(i): model.get_score(i) for i in range(len(model))}
+    want = Tokenizer(models.Unigram([(p, s) for p, s in score.items()], model.unk_id(), True))
+    texts = ["word " * 8000, "zażółć gęślą jaźń, " * 900, None, ""]
+    rows = {r["doc_id"]: r for r in tokencount.token_counts(docs_of(spark, texts), PIECES).collect()}
+    for i, text in enumerate(texts):
+        pieces = want.encode(tokencount.SPACE + text.replace(" ", tokencount.SPACE), add_special_tokens=False).tokens if text else []
+        assert rows[i]["n_tokens"] == len(pieces)
+        if all(p in score and not p.startswith("<0x") for p in pieces):
+            assert rows[i]["score"] == pytest.approx(sum(score[p] for p in pieces))
+    assert tokencount.token_counts(docs_of(spark, []), PIECES).count() == 0
+
+
+def test_round_trip_of_no_texts(spark):
+    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    assert bpe.round_trip(docs_of(spark, []), BYTE, queries.id_digests, kinds).count() == 0
