@@ -15,14 +15,15 @@ Defined results: null, empty and wordless texts have fingerprint zero and are li
 other; repeated rows keep a row each; a null id never names a component unless all ids in it are
 null; an empty table gives an empty result.
 
-Near-duplicate texts (``keep_one``) are found without fingerprints: an exact join on the first
-shingles of every text in a common order, confirmed by all its shingles.
+Near-duplicate texts (``keep_one``) are first grouped by their fingerprints in this way. A fingerprint
+misses most pairs that differ by a passage, so an exact join on the first shingles of every text in a
+common order, confirmed by all its shingles, then adds the pairs that the groups leave open.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,17 +65,27 @@ def shingle_hashes(words: list[bytes], width: int) -> list[int]:
     return [hashed(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(width)), strict=False)]
 
 
-def fingerprint(text: str | None, width: int) -> int:
+def hash_parts(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles of a text, repeats included, ``CHUNK`` of them at a time."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    ones, total = np.zeros(BITS, np.int64), 0
     for start in range(0, max(1, len(words) - width + 1), CHUNK):
-        hashes = shingle_hashes(words[start : start + CHUNK + width - 1], width)
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        yield np.array(shingle_hashes(words[start : start + CHUNK + width - 1], width), np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of all hashes as a signed 64-bit integer."""
+    ones, total = np.zeros(BITS, np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(axis=0, dtype=np.int64)
         total += len(hashes)
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    return majority(hash_parts(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, fp``: the fingerprint of every text as a signed 64-bit integer."""
 
@@ -206,14 +217,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFra
     return groups(materialise(fingerprints(docs, width), "simhash-marks"), radius)
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes((text or "").encode().lower().split(), width), np.uint64)).view(np.int64)
+def distinct(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """The different hashes, ascending as unsigned; one token of their own for all wordless texts."""
+    found = np.unique(np.concatenate(list(parts))).view(np.int64)
+    return found if len(found) else np.array([WORDLESS], np.int64)
 
 
 def token_set(text: str | None, width: int) -> np.ndarray:
-    """The shingles of a text, ascending; one token of their own for all wordless texts."""
-    found = shingles(text, width)
-    return found if len(found) else np.array([WORDLESS], np.int64)
+    return distinct(hash_parts(text, width))
 
 
 def least_overlap(size: int, similar: float) -> int:
@@ -262,35 +273,36 @@ def parities(tokens: np.ndarray) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, width: int, similar: float) -> DataFrame:
-    """``node, digest, size, tokens, parity`` of every different text of ``digest, text``.
+    """``node, digest, fp, size, tokens, parity`` of every different text of ``digest, text``.
 
     The tokens are the first ones of the text in one common order, frequent ones last. There are as many
     that two sets of that similarity have one of them in common, whatever the order.
     """
     frequent, counts = frequent_tokens(texts, width)
 
-    def first_tokens(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-        tokens = token_set(text, width)
+    def first_tokens(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+        parts = list(hash_parts(text, width))
+        tokens = distinct(parts)
         parity = parities(tokens)
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
             tokens = tokens[np.lexsort((tokens, np.where(frequent[at] == tokens, counts[at], 0)))]
-        return len(tokens), tokens[: len(tokens) - least_overlap(len(tokens), similar) + 1], parity
+        return majority(parts), len(tokens), tokens[: len(tokens) - least_overlap(len(tokens), similar) + 1], parity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                sizes, found, parity = zip(*(first_tokens(t.as_py()) for t in part.column("text")), strict=True)
+                fps, sizes, found, parity = zip(*(first_tokens(t.as_py()) for t in part.column("text")), strict=True)
                 starts = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(found)))
                 words = np.stack(parity)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("digest"), pa.array(sizes, pa.int32()), lists, *[pa.array(w) for w in words.T.copy()]],
-                    ["digest", "size", "tokens", *PARITY],
+                    [part.column("digest"), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), lists, *[pa.array(w) for w in words.T.copy()]],
+                    ["digest", "fp", "size", "tokens", *PARITY],
                 )
 
-    schema = "digest string, size int, tokens array<long>, " + ", ".join(f"{p} long" for p in PARITY)
+    schema = "digest string, fp long, size int, tokens array<long>, " + ", ".join(f"{p} long" for p in PARITY)
     marks = texts.select("digest", "text").mapInArrow(run, schema).dropDuplicates(["digest"])
     with arrow_batches(texts.sparkSession, BATCH_TEXTS):
         return materialise(marks.withColumn("node", F.monotonically_increasing_id()), "near-prefixes")
@@ -366,28 +378,41 @@ def joined_roots(members: DataFrame, start: int, end: int, marks: DataFrame, tex
         return materialise(joined.distinct(), "near-joined")
 
 
-def near_groups(texts: DataFrame, width: int, similar: float) -> DataFrame:
+def fingerprint_roots(marks: DataFrame, radius: int) -> DataFrame:
+    """``node, root`` of the nodes that links between fingerprints join to a smaller one."""
+    found = groups(marks.select(F.col("node").alias("doc_id"), "fp"), radius)
+    return found.where("doc_id <> component_id").select(F.col("doc_id").alias("node"), F.col("component_id").alias("root"))
+
+
+def moved_up(roots: DataFrame, moved: DataFrame) -> DataFrame:
+    """``node, root`` after some roots (``node`` of ``moved``) have been joined to others (its ``root``)."""
+    moved = materialise(moved, "near-moved")
+    up = moved.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    roots = roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")).union(moved)
+    return materialise(roots, "near-roots")
+
+
+def near_groups(texts: DataFrame, width: int, similar: float, radius: int = 2) -> DataFrame:
     """``digest, root`` of all texts (``digest, text``): texts of one group have one root.
 
-    Groups are the connected components over all pairs of that similarity. A pair of that similarity
-    shares a prefix token, so it lies in a bucket. The first few tokens of the prefixes join most copies
-    to one of their group; then all tokens are looked at whose texts are not of one group yet. In every
+    Groups are the connected components over all pairs whose fingerprints differ in at most ``radius``
+    bits (``groups``) or whose token sets have that Jaccard similarity. A pair of that similarity
+    shares a prefix token, so it lies in a bucket. Fingerprints come first; then the first few tokens of
+    the prefixes join most other copies to one of their group; then all tokens are looked at whose texts
+    are not of one group yet. In every
     round the members of next ranks are compared with all members of higher rank that are not in one
     group with them; a bucket is done when its members are one group or all its ranks have had
     their turn. So a pair is left out only if it is joined already or its sets are too unlike in size,
     order or parity to be similar.
     """
-    spark = texts.sparkSession
     marks = prefixes(texts, width, similar)
-    none = spark.createDataFrame([], "node long, root long")
-    roots = materialise(components(joined_roots(bucket_members(marks, none, FIRST_TOKENS), 0, 1, marks, texts, width, similar)), "near-roots")
+    roots = materialise(fingerprint_roots(marks, radius), "near-roots")
+    members = bucket_members(marks, roots, FIRST_TOKENS)
+    roots = moved_up(roots, components(joined_roots(members, 0, 1, marks, texts, width, similar)))
     members = bucket_members(marks, roots)
     start, end = 0, FIRST_RANKS
     while members.head(1):
-        moved = components(joined_roots(members, start, end, marks, texts, width, similar))
-        up = moved.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        roots = roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")).union(moved)
-        roots = materialise(roots, "near-roots")
+        roots = moved_up(roots, components(joined_roots(members, start, end, marks, texts, width, similar)))
         members = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ranks = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rank").alias("last"))
         open_buckets = ranks.where((F.col("lo") != F.col("hi")) & (F.col("last") > end)).select("token")
@@ -396,16 +421,17 @@ def near_groups(texts: DataFrame, width: int, similar: float) -> DataFrame:
     return marks.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8, radius: int = 2) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id.
 
-    Equal texts are one group. Different texts are linked if their sets of ``width``-word shingles
-    have a Jaccard similarity of ``similar`` or more; every such pair counts (``near_groups``).
+    Equal texts are one group. Different texts are linked if their fingerprints over ``width``-word
+    shingles differ in at most ``radius`` bits, or if the sets of these shingles have a Jaccard
+    similarity of ``similar`` or more; every such pair counts (``near_groups``).
     Groups are connected links. Rows that repeat an id and text count once; of a group without ids
     one row stays.
     """
     digest = F.coalesce(F.md5("text"), F.lit("")).alias("digest")
-    roots = materialise(near_groups(docs.select(digest, "text"), width, similar), "near-named")
+    roots = materialise(near_groups(docs.select(digest, "text"), width, similar, radius), "near-named")
     rows = docs.select(F.struct(*docs.columns).alias("row"), digest)
     # Without their texts: the rows that have to go, and those of which one of several alike stays.
     ids = materialise(docs.groupBy("doc_id", digest).agg(F.count("*").alias("n")), "near-ids")

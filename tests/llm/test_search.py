@@ -382,3 +382,16 @@ def test_every_pair_from_the_threshold_on_is_found(spark):
     rows = list(zip(rng.sample(range(10_000), len(texts)), map(" ".join, texts), strict=True))
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted(r["doc_id"] for r in got.collect()) == brute_kept(rows)
+
+
+def test_texts_of_near_fingerprints_are_one_group(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=9))
+    rows = []
+    for g in range(20):  # one shingle makes up nearly all of a text; the rest differs, so do the sets
+        rows += [(10 * g + i, " ".join([word()] + [f"often{g}"] * 300 + [word() for _ in range(4)])) for i in range(3)]
+    rows += [(1000 + i, " ".join(word() for _ in range(200))) for i in range(20)]
+    want = plain_components([(i, plain_fingerprint(t, 5)) for i, t in rows], 2)
+    assert len(brute_kept(rows)) == len(rows) > len(set(want.values()))
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 0.8, 2)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
