@@ -20,8 +20,8 @@ from mendframe.session import materialise
 TOXIC_FROM = 0.7
 #: A document whose language is unknown goes, and so does one no language claims at all.
 LANGUAGE_SCORE = 0.05
-#: Near duplicates: words per shingle, Jaccard similarity that links.
-SHINGLE_WORDS, SIMILAR = 5, 0.8
+#: Near duplicates: words per shingle, bits in which linked fingerprints differ, Jaccard similarity that links too.
+SHINGLE_WORDS, RADIUS, SIMILAR = 5, 2, 0.8
 MIX_WEIGHTS, MIX_SEED = [1, 2, 3], 20
 #: SQL cannot fit the classifiers nor merge tokens; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -39,8 +39,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest id."""
-    return simhash.keep_one(docs, SHINGLE_WORDS, SIMILAR)
+    """Keeps one document of each group of near duplicates by SimHash, the one with the smallest id.
+
+    Similar texts whose fingerprints differ more are joined exactly behind it.
+    """
+    return simhash.keep_one(docs, SHINGLE_WORDS, SIMILAR, RADIUS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
