@@ -10,39 +10,35 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mendframe.constants import SESSION_TTL_SECONDS
 
 OUTPUT = "session_id bigint, created_at double, last_seen double, n_steps bigint, n_rejected bigint, status string, opened bigint"
-COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+SNAPSHOT = Row(*[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 class Sessions(StatefulProcessor):
-    """Four numbers of an open session, and the times of steps seen while an earlier one may still come."""
+    """Four numbers of an open session, and the times of steps seen while an earlier one may still come.
+
+    All of it is one value, and one timer is set at a time: every call to the store is a message from
+    Python to the executor, and with many short sessions these messages are the work.
+    """
 
     def __init__(self, ttl_seconds: int):
         self.ttl = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "created double, seen double, n bigint, rejected bigint, opened bigint")
-        self.early = handle.getListState("early", "at double")
+        self.now = handle.getValueState("now", "created double, seen double, n bigint, rejected bigint, opened bigint, early array<double>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = [float(t) for piece in rows for t in piece["at"]]
-        if self.now.exists():
-            created, seen, n, rejected, opened = self.now.get()
-        else:
-            created, seen, n, rejected, opened = min(times), min(times), 0, 0, int(min(times) * 1e6)
-        if self.early.exists():
-            times += [r[0] for r in self.early.get()]
-            self.early.clear()
-        elif n + rejected == 0 or not times:
-            pass
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        times = [r.at for r in rows]
+        known = self.now.get()
+        created, seen, n, rejected, opened, early = known or (min(times), min(times), 0, 0, int(min(times) * 1e6), [])
+        times += early
         if n + rejected == 0:
             created = min([created, *times])
         seen = max([seen, *times])
@@ -51,42 +47,43 @@ class Sessions(StatefulProcessor):
         total = n + in_time, rejected + len(times) - in_time
         watermark = timerValues.getCurrentWatermarkInMs() / 1000
         if watermark >= end:  # all of it late, yet within the delay
-            self.now.clear()
-            yield snapshot(key, created, seen, *total, "expired", opened)
+            if known:
+                self.now.clear()
+            yield SNAPSHOT(key[0], created, seen, *total, "expired", opened)
             return
         if watermark >= created:
-            n, rejected = total
+            self.now.update((created, seen, *total, opened, []))
+            self._wake(end)
         else:
             # An earlier step may move the start: these are judged when the watermark has passed it.
-            self.early.put([(t,) for t in times])
-            self.handle.registerTimer(int(created * 1000) + 1)
-        self.now.update((created, seen, n, rejected, opened))
-        self.handle.registerTimer(int(end * 1000) + 1)
-        yield snapshot(key, created, seen, *total, "active", opened)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.now.exists():
+            self.now.update((created, seen, n, rejected, opened, times))
+            self._wake(created)
+        yield SNAPSHOT(key[0], created, seen, *total, "active", opened)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.now.get()
+        if not known:
             return
-        created, seen, n, rejected, opened = self.now.get()
+        created, seen, n, rejected, opened, early = known
         watermark = timerValues.getCurrentWatermarkInMs() / 1000
-        if watermark >= created and self.early.exists():
-            times = [r[0] for r in self.early.get()]
-            in_time = sum(t <= created + self.ttl for t in times)
-            n, rejected = n + in_time, rejected + len(times) - in_time
-            self.early.clear()
-            self.now.update((created, seen, n, rejected, opened))
-        if watermark >= created + self.ttl:
+        end = created + self.ttl
+        if watermark >= created:
+            in_time = sum(t <= end for t in early)
+            n, rejected = n + in_time, rejected + len(early) - in_time
+        if watermark >= end:
             self.now.clear()
-            yield snapshot(key, created, seen, n, rejected, "expired", opened)
+            yield SNAPSHOT(key[0], created, seen, n, rejected, "expired", opened)
+        elif watermark >= created and early:
+            self.now.update((created, seen, n, rejected, opened, []))
+            self._wake(end)
+
+    def _wake(self, at: float) -> None:
+        self.handle.registerTimer(int(at * 1000) + 1)
 
     def close(self) -> None:
         pass
 
 
-def snapshot(key, *values) -> pd.DataFrame:
-    return pd.DataFrame([(key[0], *values)], columns=COLUMNS)
-
-
 def stream_sessions(steps: DataFrame, ttl_seconds: int = SESSION_TTL_SECONDS, delay: str = "1 hour") -> DataFrame:
     """Snapshots of sessions: start, last step, steps in time and steps after the end.
 
@@ -99,7 +96,7 @@ def stream_sessions(steps: DataFrame, ttl_seconds: int = SESSION_TTL_SECONDS, de
     return (
         timed.withWatermark("ts", delay)
         .groupBy("session_id")
-        .transformWithStateInPandas(Sessions(ttl_seconds), OUTPUT, "append", "eventTime")
+        .transformWithState(Sessions(ttl_seconds), OUTPUT, "append", "eventTime")
     )
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from mendframe.operators import steps as L
 from mendframe.session import scratch_path
 from mendframe.sources import event_log
-from mendframe.streaming.audit import stream_audit
+from mendframe.streaming.audit import Audit, stream_audit
 from mendframe.streaming.quality import quality_windows
-from mendframe.streaming.sessions import session_totals, stream_sessions
+from mendframe.streaming.sessions import Sessions, session_totals, stream_sessions
 from mendframe.streaming.sinks import run_append, run_update, state_store
 from test_steps import RECS, STEPS, make_log
 
@@ -145,3 +147,51 @@ def test_event_log_batch_and_stream(spark):
     good, bad = event_log.stream_event_log(spark, path)
     assert run_append(good, "events-test").count() == 1
     assert run_append(bad, "bad-lines").count() == 4
+
+
+class Store:
+    """Stands in for the state store; every call is a message that a worker would send."""
+
+    def __init__(self):
+        self.calls, self.values = [], {}
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Value(self, name)
+
+    getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("timer")
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+class Value:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def __getattr__(self, call):
+        def told(*value):
+            self.store.calls.append(call)
+            if value:
+                self.store.values[self.name] = value[0]
+            return self.store.values.get(self.name) is not None if call == "exists" else self.store.values.get(self.name)
+
+        return told
+
+
+@pytest.mark.parametrize("steps", [1, 50])
+def test_a_session_costs_three_messages_a_batch(steps):
+    step = {"action": "query_cleaner", "rec_id": None, "issued": None, "reached": False, "due": 9}
+    asked = [{**step, "step": 2 * i + 1, "issued": ["a", "b"]} for i in range(steps)]
+    for processor, rows in (
+        (Sessions(1800), [Row(at=1000.0 + i) for i in range(steps)]),
+        (Audit(5, 3), [pd.DataFrame(asked)]),
+    ):
+        store = Store()
+        processor.init(store)
+        for _ in range(2):
+            store.calls.clear()
+            assert list(processor.handleInputRows((1,), iter(rows), store))
+            assert len(store.calls) <= 3
