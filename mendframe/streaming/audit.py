@@ -24,12 +24,18 @@ OUTPUT = (
     " budget_before bigint, streak bigint, rule string"
 )
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
-NOW = "budget bigint, done boolean, last string, run bigint, stack bigint, undone bigint, following bigint"
-WAITING = "step bigint, action string, rec_id string, issued array<string>, reached boolean, due bigint"
+WAITING = "array<struct<step bigint, action string, rec_id string, issued array<string>, reached boolean, due bigint>>"
+NOW = (
+    "budget bigint, done boolean, last string, run bigint, stack bigint, undone bigint, following bigint,"
+    f" issued array<string>, applied array<string>, waiting {WAITING}"
+)
 
 
 class Audit(StatefulProcessor):
-    """State: where the session stands, the ids it has handed out and used, and the steps that wait."""
+    """State: where the session stands, the ids it has handed out and used, and the steps that wait.
+
+    All of it is one value: every call to the store is a message from Python to the executor.
+    """
 
     def __init__(self, budget: int, streak: int):
         self.budget, self.streak = budget, streak
@@ -37,25 +43,20 @@ class Audit(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", NOW)
-        self.issued = handle.getListState("issued", "rec_id string")
-        self.applied = handle.getListState("applied", "rec_id string")
-        self.waiting = handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = []
         for piece in rows:
-            for r in piece.itertuples(index=False):
-                ids = [] if r.issued is None else [str(i) for i in r.issued]
-                rec = r.rec_id if isinstance(r.rec_id, str) else None
-                fresh.append((int(r.step), r.action, rec, ids, bool(r.reached), int(r.due)))
+            columns = (piece[c].tolist() for c in ("step", "action", "rec_id", "issued", "reached", "due"))
+            for step, action, rec, issued, reached, due in zip(*columns, strict=True):
+                fresh.append((step, action, rec if isinstance(rec, str) else None, [] if issued is None else list(issued), reached, due))
         yield from self._fold(key, fresh, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._fold(key, [], timerValues)
 
     def _fold(self, key, fresh: list[tuple], timers) -> Iterator[pd.DataFrame]:
-        session, following = self._loaded()
-        held = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
+        session, following, held = self._loaded()
         waiting = sorted([*held, *fresh], key=lambda w: w[0])
         watermark = timers.getCurrentWatermarkInMs()
         # Every step up to the last one that the watermark has reached: nothing before it can come now.
@@ -69,30 +70,24 @@ class Audit(StatefulProcessor):
                 following = max(following, at + 1)
             else:
                 rest.append(w)
-        if held or rest:
-            self.waiting.put(rest) if rest else self.waiting.clear()
+        if out or fresh:
+            self._store(session, following, rest)
         if rest:
             self.handle.registerTimer(min(w[5] for w in rest))
         if out:
-            self._store(session, following)
             yield pd.DataFrame(out, columns=COLUMNS)
 
-    def _loaded(self) -> tuple[Session, int]:
-        session = Session(self.budget, self.streak)
-        if not self.now.exists():
-            return session, 1
-        session.budget, session.done, session.last, session.run, session.stack, session.undone, following = self.now.get()
-        session.issued = {r[0] for r in self.issued.get()} if self.issued.exists() else set()
-        session.applied = {r[0] for r in self.applied.get()} if self.applied.exists() else set()
-        return session, following
-
-    def _store(self, session: Session, following: int) -> None:
-        self.now.update((session.budget, session.done, session.last, session.run, session.stack, session.undone, following))
-        for state, ids in ((self.issued, session.issued), (self.applied, session.applied)):
-            if ids and not session.done:
-                state.put([(i,) for i in sorted(ids)])
-            elif state.exists():
-                state.clear()
+    def _loaded(self) -> tuple[Session, int, list[tuple]]:
+        session, known = Session(self.budget, self.streak), self.now.get()
+        if known is None:
+            return session, 1, []
+        session.budget, session.done, session.last, session.run, session.stack, session.undone, following, issued, applied, held = known
+        session.issued, session.applied = set(issued), set(applied)
+        return session, following, [tuple(w) for w in held]
+
+    def _store(self, session: Session, following: int, waiting: list[tuple]) -> None:
+        ids = ([], []) if session.done else (sorted(session.issued), sorted(session.applied))
+        self.now.update((session.budget, session.done, session.last, session.run, session.stack, session.undone, following, *ids, waiting))
 
     def close(self) -> None:
         pass
