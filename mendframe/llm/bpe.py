@@ -30,6 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mendframe.llm.common import giving_back
 from mendframe.session import materialise, scratch_path
 
 #: Words of the corpus that the automaton holds, at most.
@@ -38,6 +39,8 @@ LEXICON_WORDS = 1 << 15
 LEXICON_CHARS = 32
 #: Encoded chunks that a worker, and counted ones that a task keeps before it starts anew.
 MEMO_WORDS = 600_000
+#: Counted chunks that are split into words at a time.
+COUNTED_CHUNKS = 1 << 16
 #: Characters whose words are held at a time; a longer text is held alone.
 BATCH_CHARS = 1 << 20
 #: Fixed value: how the byte-level scheme splits text into words.
@@ -433,22 +436,24 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
         vocab, chunks = vocabulary(tokenizer), Counter()
 
         def rows():
-            seen: dict[str, int] = {}
-            for chunk, n in chunks.items():
-                for word in vocab.words_after_space(chunk):
-                    seen[word] = seen.get(word, 0) + n
-            chunks.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
+            # Chunks go as their words come, so that no second table as large as the first is held.
+            while chunks:
+                seen: dict[str, int] = {}
+                for _ in range(min(len(chunks), COUNTED_CHUNKS)):
+                    chunk, n = chunks.popitem()
+                    for word in vocab.words_after_space(chunk):
+                        seen[word] = seen.get(word, 0) + n
+                yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
         for batch in batches:
             for text in batch.column("text"):
                 # Equal chunks between spaces are counted first and split into words once.
                 chunks.update((text.as_py() or "").split(" "))
                 if len(chunks) > MEMO_WORDS:
-                    yield rows()
-        yield rows()
+                    yield from rows()
+        yield from rows()
 
-    counted = docs.select("text").mapInArrow(run, "word string, n long")
+    counted = docs.select("text").mapInArrow(giving_back(run), "word string, n long")
     return counted.where(F.length("word") <= LEXICON_CHARS).groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -494,7 +499,7 @@ def encode_with(docs: DataFrame, tokenizer: str, name: str, make, schema: str) -
         for batch in batches:
             yield from make(codec, batch.column("doc_id"), batch.column("text"))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), schema)
 
 
 def encode(docs: DataFrame, tokenizer: str, bound: int = LEXICON_WORDS) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,24 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(BATCH, before)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``: a worker, which Spark keeps, does not keep what its tasks have freed."""
+
+    def told(batches: Batches) -> Batches:
+        yield from run(batches)
+        give_back()
+
+    return told

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import hash_unit
+from mendframe.llm.common import giving_back, hash_unit
 
 UNKNOWN = "und"
 #: Longest n-gram; three code points of 21 bits fill one 64-bit key.
@@ -175,7 +175,7 @@ def fit(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, landmarks:
                 values = np.concatenate(rows).astype(np.float64)
                 yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "kernel": pa.array(list(values))})
 
-    rows = sample.select("lang", "text").mapInArrow(run, "lang string, kernel array<double>").collect()
+    rows = sample.select("lang", "text").mapInArrow(giving_back(run), "lang string, kernel array<double>").collect()
     kernel, labels = np.array([r["kernel"] for r in rows]), np.array([r["lang"] for r in rows], object)
     order = np.lexsort([*kernel.T[:8], labels.astype(str)])
     return Model(languages, held, regression(held, kernel[order], labels[order], languages))
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 ["doc_id", "lang_pred", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
@@ -216,4 +216,4 @@ def keep_known(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
                 kept = np.append(kept, (np.array(names, object) != UNKNOWN) & (scores >= least))
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import arrow_batches, hash_unit
+from mendframe.llm.common import arrow_batches, giving_back, hash_unit
 from mendframe.operators.sizing import small_side
 from mendframe.session import materialise
 
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -245,7 +245,7 @@ def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["token"])
 
     sample = texts.where(hash_unit("digest") < 1 / ORDER_SHARE).dropDuplicates(["digest"]).select("text")
-    counts = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    counts = sample.mapInArrow(giving_back(run), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     with arrow_batches(texts.sparkSession, BATCH_TEXTS):
         counts = materialise(counts, "near-frequent")
     octave = F.floor(F.log2("n")).cast("int").alias("octave")
@@ -303,7 +303,7 @@ def prefixes(texts: DataFrame, width: int, similar: float) -> DataFrame:
                 )
 
     schema = "digest string, fp long, size int, tokens array<long>, " + ", ".join(f"{p} long" for p in PARITY)
-    marks = texts.select("digest", "text").mapInArrow(run, schema).dropDuplicates(["digest"])
+    marks = texts.select("digest", "text").mapInArrow(giving_back(run), schema).dropDuplicates(["digest"])
     with arrow_batches(texts.sparkSession, BATCH_TEXTS):
         return materialise(marks.withColumn("node", F.monotonically_increasing_id()), "near-prefixes")
 
@@ -355,7 +355,7 @@ def similar_pairs(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: i
     texts = texts.select("digest", "text").join(ends, "digest").dropDuplicates(["digest"])
     for end, name in (("a", "x"), ("b", "y")):
         pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(name)), end)
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(giving_back(run), "a long, b long")
 
 
 def joined_roots(members: DataFrame, start: int, end: int, marks: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import hash_sample
+from mendframe.llm.common import giving_back, hash_sample
 from mendframe.session import materialise
 
 #: Fixed value: insults that vote from the start.
@@ -106,7 +106,7 @@ def event_counts(labelled: DataFrame) -> DataFrame:
                     seen[1].clear()
         yield rows()
 
-    rows = labelled.select("text", "label").mapInArrow(run, "event string, toxic long, clean long")
+    rows = labelled.select("text", "label").mapInArrow(giving_back(run), "event string, toxic long, clean long")
     return rows.groupBy("event").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -310,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             )
 
     fired_rows = sorted(
-        sample.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, events array<int>").collect()
+        sample.select("doc_id", "label", "text").mapInArrow(giving_back(run), f"doc_id {kind}, label int, events array<int>").collect()
     )
     label = np.array([r["label"] for r in fired_rows], int)
     row = np.repeat(np.arange(len(fired_rows)), [len(r["events"]) for r in fired_rows])
@@ -338,7 +338,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             scores = scorer.scores(t.as_py() for t in batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {kind}, score double")
 
 
 def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
@@ -351,4 +351,4 @@ def keep_below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
             scores = scorer.scores(t.as_py() for t in batch.column("text"))
             yield batch.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
