@@ -18,8 +18,10 @@ ordered by the hash of their text; an empty table has no file.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from unicodedata import normalize
@@ -27,12 +29,12 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from mendframe.session import materialise, scratch_path
 
@@ -43,23 +45,29 @@ SHARD_TOKENS = 1 << 21
 BLOCK_BITS = 1 << 17
 #: Encoded words a worker keeps before it starts anew, and bytes of text whose words are held at a time.
 MEMO_WORDS = 500_000
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 22
 #: Letters that neither normalisation nor splitting treats specially; punctuation that is cut off words.
-PLAIN = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Such letters and then ASCII symbols other than an apostrophe, which are never in one word.
-TAILED = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 SPLIT_OFF = (b".", b",")
 #: White space of ASCII as spaces, with and without its capitals as small letters.
 SPACED = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
 LOWERED = SPACED.lower()
+#: The letters that a byte-level vocabulary spells bytes with; white space stays itself.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+HIDDEN = [b for b in range(256) if b not in SHOWN]
+SPELLED = "".join(" " if b == 32 else chr(b if b in SHOWN else 256 + HIDDEN.index(b)) for b in range(256))
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space and ends every word with its own token.
 
-    Works on UTF-8 bytes. Words between spaces are encoded once and kept. Plain words go to the
-    library many in one text and are told apart by their end-of-word tokens; anything else goes to
-    it by itself. A full stop or comma behind a word is cut off: it never belongs to the word of a
+    Works on UTF-8 bytes. Words between spaces are encoded once and kept; of some texts together only
+    the distinct words are looked up, and positions among them say what each text is made of. Plain
+    words go to the library many in one text, lower-cased and spelled as its vocabulary spells bytes,
+    so that it only has to merge them, and are told apart by their end-of-word tokens; anything else
+    goes to it by itself. A full stop or comma behind a word is cut off: it never belongs to the word of a
     letter or digit before it. Words that end in anything else are kept apart in ``closing``, and a
     text that has one is cut at its spaces alone.
     """
@@ -68,6 +76,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.normalizer, self.merger.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -84,7 +94,8 @@ class WordEncoder:
         """Ids of plain words."""
         if not words:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        spelled = charmap_decode(b" ".join(words).decode().lower().encode(), "strict", SPELLED)[0]
+        ids = np.array(self.merger.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
         if len(ends) != len(words):
             return self.whole([w.decode() for w in words])
@@ -135,23 +146,41 @@ class WordEncoder:
         if len(self.memo) + len(self.closing) > MEMO_WORDS:
             self.memo.clear()
             self.closing.clear()
-        split = [punctuation_apart(t) for t in texts]
-        known = [list(map(self.memo.get, words)) for words in split]
-        gaps = [[i for i, ids in enumerate(found) if ids is None] if None in found else [] for found in known]
-        new = {words[i] for words, at in zip(split, gaps, strict=True) for i in at}
-        self.learn(new.difference(self.closing))
-        for text, words, found, at in zip(texts, split, known, gaps, strict=True):
-            if at and not self.closing.keys().isdisjoint(words[i] for i in at):
-                # A word ends in a character that punctuation behind it may belong to.
-                words = text.split(b" ")
-                self.learn(w for w in set(words) if w not in self.memo and w not in self.closing)
-                # No word is kept in both.
-                found = list(map(self.memo.get, words))
-                yield b"".join(found if None not in found else [self.closing[w] if ids is None else ids for w, ids in zip(words, found, strict=True)])
-                continue
-            for i in at:
-                found[i] = self.memo[words[i]]
-            yield b"".join(found)
+        found, closed = self._looked_up([punctuation_apart(t) for t in texts])
+        # There a word ends in a character that punctuation behind it may belong to.
+        whole = iter(self._looked_up([texts[i] for i in np.flatnonzero(closed)])[0])
+        for ids, again in zip(found, closed.tolist(), strict=True):
+            yield next(whole) if again else ids
+
+    def _looked_up(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The ids of texts cut at single spaces, and which of them have a word of ``closing``."""
+        if not texts:
+            return [], np.zeros(0, bool)
+        lists = pc.split_pattern(pa.array(texts, pa.large_binary()), " ")
+        ends = lists.offsets.to_numpy()[1:].astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found = list(map(self.memo.get, words))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        self.learn([words[i] for i in gaps if words[i] not in self.closing])
+        closing = np.zeros(len(words), bool)
+        for i in gaps:
+            # No word is kept in both.
+            found[i] = self.memo.get(words[i])
+            if found[i] is None:
+                found[i], closing[i] = self.closing[words[i]], True
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        shift = (np.cumsum(sizes) - sizes)[at]
+        sizes = sizes[at]
+        stops = np.cumsum(sizes)
+        shift -= stops - sizes
+        data = memoryview(ids[np.repeat(shift, sizes) + np.arange(stops[-1])].tobytes())
+        cuts = [0, *(4 * stops[ends - 1]).tolist()]
+        closed = np.zeros(len(texts), bool)
+        if closing.any():
+            closed[np.searchsorted(ends, np.flatnonzero(closing[at]), side="right")] = True
+        return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], closed
 
 
 def open_ended(word: str) -> bool:
@@ -159,15 +188,15 @@ def open_ended(word: str) -> bool:
     return bool(word) and not normalize("NFC", word[-1]).lower()[-1].isalnum()
 
 
-def punctuation_apart(text: bytes) -> list[bytes]:
-    """The text cut at spaces, and before a full stop or comma that ends a word.
+def punctuation_apart(text: bytes) -> bytes:
+    """The text with a space before every full stop or comma that ends a word.
 
-    Where two such marks follow each other the text is cut at spaces alone, as they may be one word.
+    Where two such marks follow each other the text stays as it is, as they may be one word.
     """
     apart = (text + b" ").replace(b". ", b" . ").replace(b", ", b" , ")
     if any(pair in apart for pair in (b". .", b", ,", b". ,", b", .")):
-        return text.split(b" ")
-    return apart.split(b" ")
+        return text
+    return apart
 
 
 @lru_cache(maxsize=1)
