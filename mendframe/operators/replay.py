@@ -108,6 +108,7 @@ def _step(s: Column, x: Column, streak: int) -> Column:
 
 
 def _folded(steps: Column, budget: int, streak: int) -> Column:
+    """What the steps of a session did. Those after its end change nothing and are told of at once."""
     start = F.struct(
         F.lit(budget).cast("bigint").alias("budget"),
         F.lit(False).alias("done"),
@@ -119,7 +120,17 @@ def _folded(steps: Column, budget: int, streak: int) -> Column:
         F.array().cast("array<string>").alias("applied"),
         F.array().cast(f"array<{_TOLD}>").alias("told"),
     )
-    return F.aggregate(steps, start, lambda s, x: _step(s, x, streak), lambda s: s["told"])
+    zero = F.lit(0).cast("bigint")
+
+    def late(s: Column, x: Column) -> Column:
+        no_rule = F.lit(None).cast("string")
+        return F.struct(x["place"], x["kind"], F.lit("after_end"), no_rule, zero, s["budget"], s["budget"], zero, F.lit(False)).cast(_TOLD)
+
+    def finished(s: Column) -> Column:
+        n = F.size(s["told"])
+        return F.concat(s["told"], F.transform(F.slice(steps, n + 1, F.size(steps) - n), lambda x: late(s, x)))
+
+    return F.aggregate(steps, start, lambda s, x: F.when(s["done"], s).otherwise(_step(s, x, streak)), finished)
 
 
 def replay(steps: DataFrame, recs: DataFrame, budget: int = K.BUDGET, streak: int = K.STREAK) -> DataFrame:

@@ -144,16 +144,36 @@ def as_of(
     value is carried over the ranges, so neither a hot key nor a long gap gathers rows in one task.
     Keys are not null; the right table has one row per key and place.
     """
-    value = F.struct(*values)
-    mine, other = left.select(F.struct(*left.columns).alias("_left")), right.select(value.alias("_right"))
-    sides = [
-        left.select(F.struct(*left.columns).alias("_left"), *keys, order, F.lit(None).cast(other.schema["_right"].dataType).alias("_right"), F.lit(1).alias("_side")),
-        right.select(F.lit(None).cast(mine.schema["_left"].dataType).alias("_left"), *keys, order, value.alias("_right"), F.lit(0).alias("_side")),
-    ]
+    return as_of_each(left, [(right, values)], keys, order, rows)
+
+
+def as_of_each(
+    left: DataFrame, rights: list[tuple[DataFrame, list[str]]], keys: list[str], order: str, rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """``as_of`` with several right tables in one pass; each comes with its values.
+
+    The rows of all tables are stored once, as they are counted, sampled and dealt into ranges.
+    """
+    types = [right.select(F.struct(*values).alias("_right")).schema["_right"].dataType for right, values in rights]
+    mine = left.select(F.struct(*left.columns).alias("_left")).schema["_left"].dataType
+
+    def side(df: DataFrame, number: int) -> DataFrame:
+        row = F.struct(*left.columns) if number == len(rights) else F.lit(None).cast(mine)
+        told = [
+            (F.struct(*values) if i == number else F.lit(None).cast(types[i])).alias(f"_right{i}")
+            for i, (_, values) in enumerate(rights)
+        ]
+        return df.select(row.alias("_left"), *keys, order, *told, F.lit(number).alias("_side"))
+
+    both = side(left, len(rights))
+    for number, (right, _) in enumerate(rights):
+        both = both.unionByName(side(right, number))
     along = [order, "_side"]
-    ranged = range_chunks(sides[0].unionByName(sides[1]), [*keys, *along], rows, "_range")
-    found = scan(ranged, keys, along, F.col("_range"), _seen=Running("last", F.col("_right")))
-    return found.where("_side = 1").select("_left.*", *[F.col("_seen")[v].alias(v) for v in values])
+    ranged = range_chunks(materialise(both, "as-of"), [*keys, *along], rows, "_range")
+    seen = {f"_seen{i}": Running("last", F.col(f"_right{i}")) for i in range(len(rights))}
+    found = scan(ranged, keys, along, F.col("_range"), **seen)
+    told = [F.col(f"_seen{i}")[v].alias(v) for i, (_, values) in enumerate(rights) for v in values]
+    return found.where(F.col("_side") == len(rights)).select("_left.*", *told)
 
 
 def _local_runs(rows: DataFrame, name: str, value: Column, local) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mendframe import constants as K
 from mendframe.functions import scalar as S
 from mendframe.operators.replay import EFFECTIVE, replay
-from mendframe.operators.scan import Running, as_of, count, scan, step_chunk, top_rows
+from mendframe.operators.scan import Running, as_of_each, count, scan, step_chunk, top_rows
 
 SESSION = ["session_id"]
 ORDER = ["step"]
@@ -351,11 +351,12 @@ def observations(
     )
     start = ledger.groupBy(*SESSION).agg(F.min_by("accuracy_before", "step").alias("starting_accuracy"))
     seen = session_state(ledger).withColumnRenamed("last_step", "step")
-    seen = as_of(seen, query_results(ledger, recs), SESSION, "step", ["last_query_result"])
+    rights = [(query_results(ledger, recs), ["last_query_result"])]
+    if evaluations is not None:
+        rights.append((evaluations, EVALUATED))
+    seen = as_of_each(seen, rights, SESSION, "step")
     if evaluations is None:
         seen = seen.withColumns({c: F.lit(None).cast(t) for c, t in _EVALUATED_TYPES.items()})
-    else:
-        seen = as_of(seen, evaluations, SESSION, "step", EVALUATED)
     joined = seen.join(start, SESSION).join(trace, SESSION, "left").join(pending_lists(ledger, recs), SESSION, "left")
     about = ["name", "domain", "description", "known_issues", "published_baseline", "difficulty"]
     if meta is not None:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from mendframe import constants as K
 from mendframe.functions import parsing as P
+from mendframe.operators import replay
 from mendframe.operators import steps as L
-from mendframe.operators.scan import Running, count, moving_average, range_chunks, scan, step_chunk, top_rows
+from mendframe.operators.scan import Running, as_of, count, moving_average, range_chunks, scan, step_chunk, top_rows
 
 ACTIONS = ["query_cleaner", "query_analyst", "apply", "rollback", "apply"]
 
@@ -166,6 +167,38 @@ def test_nothing_counts_after_the_end(spark):
     assert (row["n_steps"], row["n_rewards"], row["last_accuracy"], row["success"]) == (2, 2, 0.95, True)
 
 
+def test_steps_after_the_end_are_not_walked(spark, monkeypatch):
+    walked = replay._step
+
+    def strict(s, x, streak):
+        return F.when(s["done"], F.raise_error(F.lit("a step after the end was walked"))).otherwise(walked(s, x, streak))
+
+    monkeypatch.setattr(replay, "_step", strict)
+    kinds = ["query_cleaner", "query_augmenter"] * 2 + ["rollback"] * 2
+    steps = spark.createDataFrame([(1, i + 1, a, None, 0.5, 0.9) for i, a in enumerate(kinds)], "session_id bigint, step bigint, action string, rec_id string, accuracy_after double, target_accuracy double")
+    recs = spark.createDataFrame([(1, "a", 1, 1), (1, "b", 1, 2)], "session_id bigint, rec_id string, step bigint, priority int")
+    found = L.rule_audit(steps, recs, budget=2).orderBy("step").collect()
+    assert [r["outcome"] for r in found] == ["executed"] * 2 + ["after_end"] * 4
+    assert [r["budget_before"] for r in found] == [2, 1, 0, 0, 0, 0]
+    assert [(r["rule"], r["charged"], r["budget_remaining"], r["streak"], r["ends_session"]) for r in found[2:]] == [(None, 0, 0, 0, False)] * 4
+
+
+def test_as_of_reads_its_tables_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(step):
+        met.add(1)
+        return step
+
+    steps = spark.range(40).select((F.col("id") % 4).alias("session_id"), F.floor(F.col("id") / 4).alias("at"))
+    left = steps.select("session_id", seen("at").alias("step"))
+    right = steps.where("at % 3 = 1").select("session_id", F.col("at").alias("step"), (F.col("at") * 10).alias("told"))
+    found = as_of(left, right, ["session_id"], "step", ["told"], rows=7).collect()
+    assert met.value == 40
+    assert sorted(map(tuple, found)) == sorted((s, t, None if t < 1 else (t - 1) // 3 * 30 + 10) for s in range(4) for t in range(10))
+
+
 def test_a_blocked_apply_uses_nothing_up(spark):
     steps, recs = session(
         spark, [("apply", "a", 0.6), ("query_cleaner", None, 0.6), ("rollback", None, 0.6)], [("a", 2)]
