@@ -1,17 +1,17 @@
-"""Exact top-k search by BM25 over an inverted index with block maxima, built and searched per shard.
+"""Exact top-k search by BM25 over an inverted index, built and searched per shard.
 
 Every task cuts its documents into shards of bounded size and writes each shard's index (postings
 by term with counts, lengths) as one file to the shared folder; documents are not shuffled. The
 manifest, which Spark commits, names the files that count, and the terms of each. Document
 frequencies, the number of documents and the mean length are taken over all shards, so scores do
-not depend on the sharding. A shard that is searched gets its weights, and the largest weight of
-every block of documents for its frequent terms.
+not depend on the sharding.
 
-Queries are written in blocks and meet each shard; tasks get the names of the two files. The pruning is that of block-max WAND: terms are ordered by
-frequency, the postings of the rare ones are summed, and a document is scored in full only if that
-sum plus the block's bound for the frequent terms can still pass the k-th best score found so far.
-Shard lists are merged by score. Nothing is approximate: every document that can be in the result
-is scored in full.
+Queries are written in blocks, and every block meets every shard: a task gets the names of one
+block and of a lot of shards. For each shard the frequent words of many queries at once are scored
+by one matrix product, the postings of the others are added, and only documents that can still be
+among the ``k`` best of all shards of the lot so far are scored again in double precision and kept.
+The lists of the tasks are merged by score. Nothing is approximate: every document that can be in
+the result is scored in full, and all documents are compared.
 
 A query is a set of words (lower-cased runs of letters and digits). Defined results: a null or
 wordless text neither finds nor is found; documents without a query word are no hits; ties go to the
@@ -41,60 +41,55 @@ from mendframe.session import materialise, scratch_path
 
 #: Documents of a shard at most, and queries (about) that are searched together.
 SHARD_DOCS, QUERY_BLOCK = 16_384, 4096
-#: Documents of a block: small, as long queries have many frequent terms and loose bounds.
-BLOCK_DOCS = 8
-#: Relative error allowed for bounds and first scores, which are single precision.
+#: Queries whose scores by frequent terms are one matrix product, and shards that one task searches at most.
+QUERY_LOT, SHARD_LOT = 128, 32
+#: Relative error allowed for first scores, which are single precision.
 MARGIN = 1e-4
-#: Terms in more than this share of a shard's documents have block maxima instead of being summed first.
-FREQUENT = 1 / 16
+#: Words in more than this share of a shard's documents have their gains in a matrix, so many of them at most.
+FREQUENT, DENSE_WORDS = 1 / 16, 512
 K1, B = 1.2, 0.75
-#: Tasks that pairs of a shard and a block of queries are dealt to, at most.
+#: Tasks that lots of shards and blocks of queries are dealt to, at most.
 MAX_TASKS = 20_000
-MEMO_WORDS = 600_000
 words_of = re.compile(r"[^\W_]+").findall
 
 
-class Bagger:
-    """Texts as distinct words (as hashes, ascending) with their counts."""
-
-    def __init__(self):
-        self.memo: dict[str, int] = {}
-
-    def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        memo, found = self.memo, Counter(words_of((text or "").lower()))
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for word in found:
-            if word not in memo:
-                memo[word] = xxhash.xxh64_intdigest(word) - (1 << 63)
-        hashes = np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
-        order = np.argsort(hashes, kind="stable")
-        return hashes[order], np.fromiter(found.values(), np.int32, len(found))[order]
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text as distinct words (as hashes, ascending) with their counts."""
+    found = Counter(words_of((text or "").lower()))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    hashes = (hashes ^ np.uint64(1 << 63)).view(np.int64)
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], np.fromiter(found.values(), np.int32, len(found))[order]
 
 
 class Shard:
-    """One shard's index in memory: weights, and bounds by block for its frequent terms."""
+    """One shard's index in memory: gains (weight times idf) of the asked words by posting, and those of the most
+    frequent ones by document."""
 
-    def __init__(self, arrays: dict[str, np.ndarray], mean_length: float):
-        self.doc_ids, self.terms, self.starts = arrays["doc_ids"], arrays["terms"], arrays["starts"]
+    def __init__(self, arrays: dict[str, np.ndarray], mean_length: float, words: np.ndarray, idf: np.ndarray):
+        self.doc_ids, terms, self.starts = arrays["doc_ids"], arrays["terms"], arrays["starts"]
         self.docs = arrays["docs"].astype(np.int32)
+        n, self.sizes = len(self.doc_ids), np.diff(self.starts)
+        # Where the shard has each word, or -1.
+        self.spots = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
+        self.spots[terms[self.spots] != words] = -1
+        asked = np.zeros(len(terms))
+        asked[self.spots[self.spots >= 0]] = idf[self.spots >= 0]
         tf, length = arrays["counts"].astype(float), arrays["lengths"].astype(float)
-        self.weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / mean_length))
-        n = len(self.doc_ids)
-        # Rows are sorted by id: the first row of every id, and the number of each row's id.
+        self.gains = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / mean_length))
+        self.gains *= np.repeat(asked, self.sizes)
+        # Rows are sorted by id: whether each id has one row, and the number of each row's id.
         new_id = np.append(True, self.doc_ids[1:] != self.doc_ids[:-1])[:n]
-        self.first, self.id_of = np.flatnonzero(new_id), np.cumsum(new_id) - 1
-        self.sizes = np.diff(self.starts)
-        self.frequent = self.sizes > FREQUENT * n
-        self.blocks = -(-n // BLOCK_DOCS)
-        self.dense_row = np.cumsum(self.frequent) - 1
-        # The weights of frequent terms by document, and the largest of each block.
-        self.dense = np.zeros((int(self.frequent.sum()), self.blocks * BLOCK_DOCS))
-        for row, t in enumerate(np.flatnonzero(self.frequent)):
+        self.unique, self.id_of = bool(new_id.all()), np.cumsum(new_id) - 1
+        frequent = np.flatnonzero((self.sizes > FREQUENT * n) & (asked > 0))
+        frequent = frequent[np.argsort(-self.sizes[frequent], kind="stable")][:DENSE_WORDS]
+        self.row = np.full(len(terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), n))
+        for row, t in enumerate(frequent):
             at = slice(self.starts[t], self.starts[t + 1])
-            self.dense[row, self.docs[at]] = self.weights[at]
+            self.dense[row, self.docs[at]] = self.gains[at]
         self.rough = self.dense.astype(np.float32)
-        self.block_max = self.rough.reshape(len(self.dense), self.blocks, BLOCK_DOCS).max(axis=2)
 
     @staticmethod
     def build(doc_ids: list[int], bags: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -120,71 +115,103 @@ class Shard:
 
     def best_of_ids(self, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Where each id among ``rows`` has its best score."""
-        if len(self.first) == len(self.doc_ids):
+        if self.unique:
             return np.arange(len(rows))
         order = np.lexsort((-scores, self.id_of[rows]))
         ids = self.id_of[rows[order]]
         return order[np.append(True, ids[1:] != ids[:-1])[: len(ids)]]
 
-    def rows_ahead(self, bound: np.ndarray, count: int) -> np.ndarray:
-        """The ``count`` ids of largest bound, each by a row that has it."""
-        ids = len(self.first)
-        if ids == len(self.doc_ids):
-            return np.argpartition(bound[:ids], ids - count)[ids - count :]
-        ends = np.append(self.first, len(self.doc_ids))
-        of_id = np.maximum.reduceat(bound[: len(self.doc_ids)], self.first)
-        chosen = np.argpartition(of_id, ids - count)[ids - count :]
-        return np.array([ends[i] + bound[ends[i] : ends[i + 1]].argmax() for i in chosen], np.int64)
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best ids for a query's words with their best scores, its own id left out."""
-        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
-        here = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, np.int64)
-        at, idf, n = at[here], idf[here], len(self.doc_ids)
-        frequent = self.frequent[at]
-        rare = np.flatnonzero(~frequent)
-        # The postings of all rare terms, one behind the other.
-        first, size = self.starts[at[rare]], self.sizes[at[rare]]
+    def search(self, queries: dict[str, np.ndarray], best: "Best") -> None:
+        """Betters the lists of ``best`` by the documents of this shard, a query's own id left out."""
+        own, starts = queries["query_id"], queries["starts"]
+        own_from, own_to = np.searchsorted(self.doc_ids, own), np.searchsorted(self.doc_ids, own, side="right")
+        for lot in range(0, len(own), QUERY_LOT):
+            ends = starts[lot : lot + QUERY_LOT + 1]
+            n = len(ends) - 1
+            at = self.spots[queries["terms"][ends[0] : ends[-1]]]
+            query, here = np.repeat(np.arange(n), np.diff(ends)), np.flatnonzero(at >= 0)
+            at, query = at[here], query[here]
+            rows, first = self.row[at], self.starts[at]
+            frequent = rows >= 0
+            asks = np.zeros((n, len(self.rough)), np.float32)
+            asks[query[frequent], rows[frequent]] = 1
+            size = np.where(frequent, 0, self.sizes[at])
+            cuts, hits = np.searchsorted(query, np.arange(n + 1)), []
+            for i, scores in enumerate(asks @ self.rough):
+                words = slice(cuts[i], cuts[i + 1])
+                if words.start < words.stop:
+                    mine = slice(own_from[lot + i], own_to[lot + i])
+                    docs, gains = self.search_one(rows[words], first[words], size[words], scores, mine, best.floors[lot + i], best.k)
+                    hits.append((np.full(len(docs), lot + i), self.doc_ids[docs], gains))
+            best.add(lot, lot + n, hits)
+
+    def search_one(
+        self, rows: np.ndarray, first: np.ndarray, size: np.ndarray, scores: np.ndarray, own: slice, floor: float, k: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that may be among the ``k`` best, each id once, with their scores.
+
+        A query's words are given by their rows in the matrix, or their postings if that is -1; ``scores`` are
+        those of all documents by the former, in single precision.
+        """
         ends = np.cumsum(size)
-        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
-        found, gains = self.docs[place], self.weights[place] * np.repeat(idf[rare], size)
-        partial = np.bincount(found, gains, minlength=self.blocks * BLOCK_DOCS)
-        rows, boost = self.dense_row[at[frequent]], idf[frequent]
-        light = boost.astype(np.float32)
-        bound = partial + np.repeat(light @ self.block_max[rows], BLOCK_DOCS)
-        left, right = np.searchsorted(self.doc_ids, [own, own + 1])
-        bound[left:right] = -1
-        bound[n:] = -1
-        candidates = np.arange(n)
-        if k < len(self.first):
-            # The ids of largest bound give a first threshold; only bounds above it are scored.
-            ahead = self.rows_ahead(bound, k + 1)
-            ahead = ahead[bound[ahead] >= 0]
-            scored = partial[ahead] + light @ self.rough[np.ix_(rows, ahead)]
-            threshold = np.sort(scored)[-k] if len(scored) >= k else 0.0
-            candidates = np.flatnonzero(bound >= threshold * (1 - MARGIN))
-            scores = partial[candidates] + light @ self.rough[np.ix_(rows, candidates)]
-            each = scores[self.best_of_ids(candidates, scores)]
+        place = np.arange(ends[-1])
+        place += np.repeat(first - ends + size, size)
+        found, gains = self.docs.take(place, mode="clip"), self.gains.take(place, mode="clip")
+        scores = scores + np.bincount(found, gains, minlength=len(scores))
+        scores[own] = 0
+        docs = np.flatnonzero(scores >= floor * (1 - MARGIN) if floor else scores > 0)
+        if len(docs) > k:
+            scores = scores[docs]
+            each = scores[self.best_of_ids(docs, scores)]
             if len(each) > k:
-                threshold = np.partition(each, -k)[-k]
-                candidates = candidates[scores >= threshold * (1 - MARGIN)]
-        candidates = candidates[bound[candidates] >= 0]
-        # The few that are left: a column each, summed in the order of the terms in every shard.
-        column = np.full(self.blocks * BLOCK_DOCS, -1)
-        column[candidates] = np.arange(len(candidates))
-        hit = np.flatnonzero(column[found] >= 0)
-        parts = np.zeros((len(at), len(candidates)))
-        parts[rare[np.searchsorted(ends, hit, side="right")], column[found[hit]]] = gains[hit]
-        parts[np.flatnonzero(frequent)] = self.dense[np.ix_(rows, candidates)] * boost[:, None]
-        scores = np.zeros(len(candidates))
-        for part in parts:
-            scores += part
-        hits = scores > 0
-        candidates, scores = candidates[hits], scores[hits]
-        each = self.best_of_ids(candidates, scores)
-        candidates, scores = candidates[each], scores[each]
-        best = np.lexsort((self.doc_ids[candidates], -scores))[:k]
-        return self.doc_ids[candidates[best]], scores[best]
+                docs = docs[scores >= np.partition(each, -k)[-k] * (1 - MARGIN)]
+        if not len(docs):
+            return docs, np.zeros(0)
+        # The few that are left: a column each, summed in the order of the words in every shard.
+        mark = np.zeros(len(self.doc_ids), bool)
+        mark[docs] = True
+        hit, frequent = np.flatnonzero(mark.take(found, mode="clip")), np.flatnonzero(rows >= 0)
+        parts = np.zeros((len(rows), len(docs)))
+        parts[np.searchsorted(ends, hit, side="right"), np.searchsorted(docs, found[hit])] = gains[hit]
+        parts[frequent] = self.dense[np.ix_(rows[frequent], docs)]
+        scores = np.cumsum(parts, axis=0)[-1]
+        each = self.best_of_ids(docs, scores)
+        return docs[each], scores[each]
+
+
+class Best:
+    """The ``k`` best ids of every query of a block so far, best first, and the score that another has to reach.
+
+    A score of 0 marks a free place. ``scored`` counts the documents that were scored in full.
+    """
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floors, self.scored = k, np.zeros(queries), 0
+        self.ids, self.scores = np.zeros((queries, k), np.int64), np.zeros((queries, k))
+
+    def add(self, start: int, stop: int, hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Hits (query, id, score) of queries from ``start`` to ``stop``; an id keeps its best score."""
+        old = np.nonzero(self.scores[start:stop])
+        query, ids, scores = (np.concatenate(x) for x in zip((old[0] + start, self.ids[start:stop][old], self.scores[start:stop][old]), *hits, strict=True))
+        self.scored += len(ids) - len(old[0])
+        order = np.lexsort((-scores, ids, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        order = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]))[: len(ids)])
+        order = order[np.lexsort((ids[order], -scores[order], query[order]))]
+        query, ids, scores = query[order], ids[order], scores[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = rank < self.k
+        query, rank = query[kept], rank[kept]
+        self.scores[start:stop] = 0
+        self.ids[query, rank], self.scores[query, rank] = ids[kept], scores[kept]
+        self.floors[start:stop] = self.scores[start:stop, -1]
+
+    def rows(self, query_id: np.ndarray) -> pa.RecordBatch:
+        query, rank = np.nonzero(self.scores)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(query_id[query]), pa.array(self.ids[query, rank]), pa.array(self.scores[query, rank])],
+            ["query_id", "doc_id", "score"],
+        )
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -227,7 +254,7 @@ def write_index(docs: DataFrame, shard_docs: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bagger, held, ids, shard = Bagger(), [], [], 0
+        held, ids, shard = [], [], 0
         part = TaskContext.get().partitionId()
 
         def close() -> pa.RecordBatch:
@@ -243,7 +270,7 @@ def write_index(docs: DataFrame, shard_docs: int) -> DataFrame:
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                found = bagger.bag(text.as_py())
+                found = bag(text.as_py())
                 if len(found[0]):
                     ids.append(doc_id)
                     held.append(found)
@@ -261,9 +288,8 @@ def query_words(docs: DataFrame) -> DataFrame:
     """``query, query_id, terms``: the distinct words of the asking documents, numbered by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bagger = Bagger()
         for batch in batches:
-            terms = [bagger.bag(t.as_py())[0] for t in batch.column("text")]
+            terms = [bag(t.as_py())[0] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("query_id"), pa.array(terms, pa.list_(pa.int64()))], ["query_id", "terms"]
             )
@@ -277,7 +303,7 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard_docs: int = SHA
     """``query_id, rank, doc_id, score`` for the rows with ``is_query`` (on ``doc_id``) against all others."""
     docs = docs.where("doc_id is not null")
     manifest = write_index(docs, shard_docs)
-    total = manifest.agg(F.sum("documents").alias("n"), F.sum("words").alias("words")).first()
+    total = manifest.agg(F.sum("documents").alias("n"), F.sum("words").alias("words"), F.count("*").alias("shards")).first()
     n = total["n"] or 0
     mean_length = total["words"] / n if n else 1.0
 
@@ -293,12 +319,13 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard_docs: int = SHA
     folder = new_folder(docs.sparkSession, "bm25-queries")
 
     def write(table: pa.Table) -> pa.Table:
-        """One block of queries as a file: their words by query, ascending."""
+        """One block of queries as a file: their words by query, ascending, as places in the list of all of them."""
         table = table.sort_by([("query", "ascending"), ("term", "ascending")])
         query, first = np.unique(table.column("query").to_numpy(), return_index=True)
+        words, places, terms = np.unique(table.column("term").to_numpy(), return_index=True, return_inverse=True)
         arrays = {
             "query_id": table.column("query_id").to_numpy()[first], "starts": np.append(first, len(table)),
-            "terms": table.column("term").to_numpy(), "idfs": table.column("idf").to_numpy(),
+            "words": words, "idf": table.column("idf").to_numpy()[places], "terms": terms.astype(np.int32),
         }
         number = table.column("block")[0].as_py()
         return pa.table({"block": [number], "asked": [stored(folder, f"block-{number:08d}", arrays)]})
@@ -307,23 +334,28 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, shard_docs: int = SHA
     asking = asks.join(weighed, "term").select("query", "query_id", "term", "idf", block)
     files = materialise(asking.groupBy("block").applyInArrow(write, "block long, asked string"), "bm25-blocks")
 
-    # Every block of queries meets every shard; only the names of the two files are sent to a task.
-    places = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    pairs = materialise(places.join(files, "block"), "bm25-pairs")
+    # Every block of queries meets every shard; only the names of files are sent to tasks. A task has one block and
+    # a lot of shards, dealt by the numbers of the tasks that wrote them.
+    spark, shards = docs.sparkSession, total["shards"]
+    together = max(1, min(SHARD_LOT, shards * blocks // (4 * spark.sparkContext.defaultParallelism)))
+    lots = max(1, -(-shards // together))
+    number = F.shiftright("shard", 32) + F.col("shard").bitwiseAND((1 << 32) - 1)
+    lot = F.pmod(number, F.lit(lots)).alias("lot")
+    paths = manifest.groupBy(lot).agg(F.collect_list("path").alias("paths"))
+    tasks = spark.range(0, lots * blocks, 1, min(lots * blocks, MAX_TASKS))
+    tasks = tasks.select((F.col("id") % lots).alias("lot"), F.floor(F.col("id") / lots).alias("block"))
+    tasks = tasks.join(F.broadcast(paths), "lot").join(F.broadcast(files), "block").select("paths", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, asked in zip(batch.column("path").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                shard, queries = Shard(loaded(path), mean_length), loaded(asked)
-                for q, (first, last) in enumerate(zip(queries["starts"], queries["starts"][1:], strict=False)):
-                    own = int(queries["query_id"][q])
-                    ids, scores = shard.search(queries["terms"][first:last], queries["idfs"][first:last], own, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(ids), own)), pa.array(ids), pa.array(scores)], ["query_id", "doc_id", "score"]
-                    )
-
-    tasks = max(1, min(pairs.count(), MAX_TASKS))
-    found = pairs.repartition(tasks, "path", "block").mapInArrow(run, "query_id long, doc_id long, score double")
+            for paths, asked in zip(batch.column("paths").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                queries = loaded(asked)
+                best = Best(len(queries["query_id"]), k)
+                for path in paths:
+                    Shard(loaded(path), mean_length, queries["words"], queries["idf"]).search(queries, best)
+                yield best.rows(queries["query_id"])
+
+    found = tasks.mapInArrow(run, "query_id long, doc_id long, score double")
     found = found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
