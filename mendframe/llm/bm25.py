@@ -41,7 +41,7 @@ from mendframe.session import materialise, scratch_path
 
 #: Documents of a shard at most, and queries (about) that are searched together.
 SHARD_DOCS, QUERY_BLOCK = 16_384, 4096
-#: Queries whose scores by frequent terms are one matrix product, and shards that one task searches at most.
+#: Queries whose scores by frequent words are one matrix product, and shards that one task searches at most.
 QUERY_LOT, SHARD_LOT = 128, 32
 #: Relative error allowed for first scores, which are single precision.
 MARGIN = 1e-4
@@ -62,6 +62,14 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], np.fromiter(found.values(), np.int32, len(found))[order]
 
 
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whole numbers from each ``first`` on, so many of each, one range behind the other."""
+    ends = np.cumsum(size)
+    out = np.arange(ends[-1])
+    out += np.repeat(first - ends + size, size)
+    return out
+
+
 class Shard:
     """One shard's index in memory: gains (weight times idf) of the asked words by posting, and those of the most
     frequent ones by document."""
@@ -85,11 +93,15 @@ class Shard:
         frequent = frequent[np.argsort(-self.sizes[frequent], kind="stable")][:DENSE_WORDS]
         self.row = np.full(len(terms), -1)
         self.row[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), n))
+        self.dense = np.zeros((len(frequent), n), np.float32)
         for row, t in enumerate(frequent):
             at = slice(self.starts[t], self.starts[t + 1])
             self.dense[row, self.docs[at]] = self.gains[at]
-        self.rough = self.dense.astype(np.float32)
+        # The postings of a document, by ascending term, and their terms.
+        self.by_doc = np.argsort(arrays["docs"], kind="stable").astype(np.int32)
+        self.terms_by_doc = np.repeat(np.arange(len(terms), dtype=np.int32), self.sizes)[self.by_doc]
+        self.doc_starts = np.append(0, np.cumsum(np.bincount(self.docs, minlength=n)))
+        self.wanted = np.zeros(len(terms), bool)
 
     @staticmethod
     def build(doc_ids: list[int], bags: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -131,50 +143,48 @@ class Shard:
             at = self.spots[queries["terms"][ends[0] : ends[-1]]]
             query, here = np.repeat(np.arange(n), np.diff(ends)), np.flatnonzero(at >= 0)
             at, query = at[here], query[here]
-            rows, first = self.row[at], self.starts[at]
-            frequent = rows >= 0
-            asks = np.zeros((n, len(self.rough)), np.float32)
+            rows = self.row[at]
+            frequent, rare = rows >= 0, rows < 0
+            asks = np.zeros((n, len(self.dense)), np.float32)
             asks[query[frequent], rows[frequent]] = 1
-            size = np.where(frequent, 0, self.sizes[at])
-            cuts, hits = np.searchsorted(query, np.arange(n + 1)), []
-            for i, scores in enumerate(asks @ self.rough):
-                words = slice(cuts[i], cuts[i + 1])
-                if words.start < words.stop:
-                    mine = slice(own_from[lot + i], own_to[lot + i])
-                    docs, gains = self.search_one(rows[words], first[words], size[words], scores, mine, best.floors[lot + i], best.k)
+            first, size = self.starts[at[rare]], self.sizes[at[rare]]
+            words, cuts = np.searchsorted(query, np.arange(n + 1)), np.searchsorted(query[rare], np.arange(n + 1))
+            hits = []
+            for i, scores in enumerate(asks @ self.dense):
+                if words[i] == words[i + 1]:
+                    continue
+                if cuts[i] < cuts[i + 1]:
+                    scores = self.added(scores, first[cuts[i] : cuts[i + 1]], size[cuts[i] : cuts[i + 1]])
+                scores[own_from[lot + i] : own_to[lot + i]] = 0
+                docs = self.hopeful(scores, best.floors[lot + i], best.k)
+                if len(docs):
+                    docs, gains = self.exact(docs, at[words[i] : words[i + 1]])
                     hits.append((np.full(len(docs), lot + i), self.doc_ids[docs], gains))
             best.add(lot, lot + n, hits)
 
-    def search_one(
-        self, rows: np.ndarray, first: np.ndarray, size: np.ndarray, scores: np.ndarray, own: slice, floor: float, k: int
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that may be among the ``k`` best, each id once, with their scores.
-
-        A query's words are given by their rows in the matrix, or their postings if that is -1; ``scores`` are
-        those of all documents by the former, in single precision.
-        """
-        ends = np.cumsum(size)
-        place = np.arange(ends[-1])
-        place += np.repeat(first - ends + size, size)
-        found, gains = self.docs.take(place, mode="clip"), self.gains.take(place, mode="clip")
-        scores = scores + np.bincount(found, gains, minlength=len(scores))
-        scores[own] = 0
+    def added(self, scores: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """``scores`` and the gains of words by their postings, so many of each from ``first`` on."""
+        place = ranges(first, size)
+        return scores + np.bincount(self.docs.take(place, mode="clip"), self.gains.take(place, mode="clip"), minlength=len(scores))
+
+    def hopeful(self, scores: np.ndarray, floor: float, k: int) -> np.ndarray:
+        """The documents that may be among the ``k`` best, by scores that are single precision."""
         docs = np.flatnonzero(scores >= floor * (1 - MARGIN) if floor else scores > 0)
         if len(docs) > k:
             scores = scores[docs]
             each = scores[self.best_of_ids(docs, scores)]
             if len(each) > k:
                 docs = docs[scores >= np.partition(each, -k)[-k] * (1 - MARGIN)]
-        if not len(docs):
-            return docs, np.zeros(0)
-        # The few that are left: a column each, summed in the order of the words in every shard.
-        mark = np.zeros(len(self.doc_ids), bool)
-        mark[docs] = True
-        hit, frequent = np.flatnonzero(mark.take(found, mode="clip")), np.flatnonzero(rows >= 0)
-        parts = np.zeros((len(rows), len(docs)))
-        parts[np.searchsorted(ends, hit, side="right"), np.searchsorted(docs, found[hit])] = gains[hit]
-        parts[frequent] = self.dense[np.ix_(rows[frequent], docs)]
-        scores = np.cumsum(parts, axis=0)[-1]
+        return docs
+
+    def exact(self, docs: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each id among ``docs`` once with its best score, which is summed in the order of the words in every shard."""
+        self.wanted[words] = True
+        first, size = self.doc_starts[docs], self.doc_starts[docs + 1] - self.doc_starts[docs]
+        place, owner = ranges(first, size), np.repeat(np.arange(len(docs)), size)
+        hit = np.flatnonzero(self.wanted.take(self.terms_by_doc.take(place, mode="clip"), mode="clip"))
+        scores = np.bincount(owner[hit], self.gains[self.by_doc[place[hit]]], minlength=len(docs))
+        self.wanted[words] = False
         each = self.best_of_ids(docs, scores)
         return docs[each], scores[each]
 

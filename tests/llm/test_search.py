@@ -211,6 +211,38 @@ def brute_bm25_rows(rows, k):
     return {q: sorted(hits.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k] for q, hits in out.items()}
 
 
+def test_bm25_tasks_keep_a_query_s_best_over_many_shards():
+    """Shards of one task: lists as by brute force, few documents are scored in full."""
+    rng = random.Random(5)
+    vocabulary = [f"w{int(rng.paretovariate(0.5))}" for _ in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(5, 60))) for _ in range(1600)]
+    rows = [(i, texts[i] if i % 40 else texts[7]) for i in range(1600)]
+    bags = [bm25.bag(t) for _, t in rows]
+    n, mean = len(rows), sum(int(counts.sum()) for _, counts in bags) / len(rows)
+    all_words, df = np.unique(np.concatenate([words for words, _ in bags]), return_counts=True)
+    asking = range(0, n, 100)
+    words, terms = np.unique(np.concatenate([bags[i][0] for i in asking]), return_inverse=True)
+    df = df[np.searchsorted(all_words, words)]
+    queries = {
+        "query_id": np.array(asking), "starts": np.append(0, np.cumsum([len(bags[i][0]) for i in asking])),
+        "words": words, "idf": np.log(1 + (n - df + 0.5) / (df + 0.5)), "terms": terms,
+    }
+    best = bm25.Best(len(asking), 10)
+    for start in range(0, n, 100):
+        arrays = bm25.Shard.build([i for i, _ in rows[start : start + 100]], bags[start : start + 100])
+        bm25.Shard(arrays, mean, words, queries["idf"]).search(queries, best)
+    found: dict = {}
+    for hit in sorted(best.rows(queries["query_id"]).to_pylist(), key=lambda r: (-r["score"], r["doc_id"])):
+        found.setdefault(hit["query_id"], []).append((hit["doc_id"], hit["score"]))
+    want = brute_bm25(rows, 10)
+    assert found.keys() == want.keys()
+    for q in found:
+        assert [d for d, _ in found[q]] == [d for d, _ in want[q]]
+        assert [s for _, s in found[q]] == pytest.approx([s for _, s in want[q]], abs=1e-9)
+    # Ten of every shard would be 160 a query.
+    assert best.scored <= 80 * len(asking)
+
+
 def test_bm25_of_nothing(spark):
     assert bm25.search(spark.createDataFrame([], DOCS), F.col("doc_id") % 100 == 0).count() == 0
     lone = spark.createDataFrame([(0, "a b", 0.0), (1, None, 0.0)], DOCS)
